@@ -135,3 +135,303 @@ def q_perplexity(spark, sf):
 @register("type_counts", "SELECT type, count(*) AS n FROM records GROUP BY type", ("records",))
 def q_type_counts(spark, sf):
     return M.type_counts(V.records(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# Prompts and projections
+# ---------------------------------------------------------------------------
+from tunedata.operators import generate as G  # noqa: E402
+
+_STRIPPED = f"SELECT doc_id, {S.strip('text')} AS text FROM problems"
+
+
+def _stripped(spark, sf):
+    return P.strip_text(V.problems(spark, sf))
+
+
+@register("strip_text", _STRIPPED, ("problems",))
+def q_strip_text(spark, sf):
+    return _stripped(spark, sf)
+
+
+@register("expand_variants", f"SELECT doc_id, unnest({S.KINDS}) AS kind FROM problems",
+          ("problems",))
+def q_expand_variants(spark, sf):
+    return P.expand_variants(V.problems(spark, sf).select("doc_id"))
+
+
+_REWRITE = (f"SELECT doc_id, kind, text, {S.render('text', 'kind', T.REWRITE_TEMPLATES)} AS prompt "
+            f"FROM (SELECT doc_id, unnest({S.KINDS}) AS kind, text FROM ({_STRIPPED}) s) e")
+
+
+def _rewrite(spark, sf):
+    return P.rewrite_prompt(P.expand_variants(_stripped(spark, sf)))
+
+
+@register("rewrite_prompt", f"SELECT doc_id, kind, prompt FROM ({_REWRITE}) r", ("problems",))
+def q_rewrite_prompt(spark, sf):
+    return _rewrite(spark, sf).select("doc_id", "kind", "prompt")
+
+
+_QUESTION = (f"SELECT doc_id, kind, text, {S.render('text', 'kind', T.QUESTION_TEMPLATES)} "
+             f"AS prompt FROM (SELECT doc_id, unnest({S.KINDS}) AS kind, text "
+             f"FROM ({_STRIPPED}) s) e")
+
+
+def _question(spark, sf):
+    return P.question_prompt(P.expand_variants(_stripped(spark, sf)))
+
+
+@register("question_prompt", f"SELECT doc_id, kind, prompt FROM ({_QUESTION}) q", ("problems",))
+def q_question_prompt(spark, sf):
+    return _question(spark, sf).select("doc_id", "kind", "prompt")
+
+
+@register("unrender_prompt", f"SELECT doc_id, kind, text AS problem FROM ({_QUESTION}) q",
+          ("problems",))
+def q_unrender_prompt(spark, sf):
+    q = _question(spark, sf).select("doc_id", "kind", F.col("prompt").alias("input"),
+                                    F.lit("").alias("output"))
+    return P.unrender_prompt(q).select("doc_id", "kind", "problem")
+
+
+_VARIANTS = (f"SELECT doc_id, kind, {S.rule_variant('kind', 'text')} AS variant "
+             f"FROM (SELECT doc_id, unnest({S.KINDS}) AS kind, text FROM ({_STRIPPED}) s) e")
+
+
+def _variants(spark, sf):
+    e = P.expand_variants(_stripped(spark, sf))
+    e = e.withColumn("_sents", F.col("text")).withColumn("_sents", G.sentences("text"))
+    v = G.rule_variant(F.col("kind"), F.col("text"), F.col("_sents"))
+    return e.select("doc_id", "kind", G.strip(v).alias("variant"))
+
+
+@register("rule_variants", _VARIANTS, ("problems",))
+def q_rule_variants(spark, sf):
+    return _variants(spark, sf)
+
+
+def _pair_sql() -> str:
+    arms = []
+    for k, t in T.PAIRED_TEMPLATES.items():
+        head, rest = t.split("{original}")
+        mid, tail = rest.split("{variant}")
+        arms.append(f"WHEN {S.lit(k)} THEN {S.lit(head)} || o.text || {S.lit(mid)} || "
+                    f"v.variant || {S.lit(tail)}")
+    return "CASE v.kind " + " ".join(arms) + " END"
+
+
+@register("paired_prompt", f"""
+SELECT v.doc_id, v.kind, {_pair_sql()} AS prompt
+FROM ({_VARIANTS}) v JOIN ({_STRIPPED}) o ON v.doc_id = o.doc_id""", ("problems",))
+def q_paired_prompt(spark, sf):
+    v = _variants(spark, sf).withColumnRenamed("doc_id", "problem_id")
+    o = _stripped(spark, sf).withColumnRenamed("doc_id", "problem_id")
+    out = P.paired_prompt(v, o, variant_text="variant")
+    return out.select(F.col("problem_id").alias("doc_id"), "kind", "prompt")
+
+
+@register("rule_questions", f"""
+SELECT doc_id, kind, {S.rule_questions('kind', 'text')} AS questions
+FROM (SELECT doc_id, unnest({S.KINDS}) AS kind, text FROM ({_STRIPPED}) s) e""", ("problems",))
+def q_rule_questions(spark, sf):
+    e = P.expand_variants(_stripped(spark, sf)).withColumn("_sents", G.sentences("text"))
+    e = e.withColumn("_qs", G.question_sentences(F.col("_sents")))
+    return e.select("doc_id", "kind", G.rule_questions(F.col("kind"), "_qs").alias("questions"))
+
+
+_TAG_LINES = """
+SELECT record_id, problem, answer,
+       CASE record_id % 3 WHEN 0 THEN type WHEN 1 THEN 'Incomplete' ELSE NULL END AS type
+FROM records"""
+
+
+@register("tag_type", _TAG_LINES, ("records",))
+def q_tag_type(spark, sf):
+    """Raw JSON lines where ``type`` is present, missing or explicitly null;
+    only the missing one is filled (read back from the shared folder)."""
+    from tunedata.session import scratch_path
+    r = V.records(spark, sf)
+    m = F.col("record_id") % 3
+    with_t = F.to_json(F.struct("record_id", "problem", "answer", "type"))
+    without = F.to_json(F.struct("record_id", "problem", "answer"))
+    null_t = F.to_json(F.struct("record_id", "problem", "answer",
+                                F.lit(None).cast("string").alias("type")),
+                       {"ignoreNullFields": "false"})
+    lines = r.select(F.when(m == 0, with_t).when(m == 1, without).otherwise(null_t)
+                     .alias("value"))
+    path = scratch_path(spark, "tag-type")
+    lines.write.mode("overwrite").text(path)
+    raw = spark.read.text(path)
+    schema = "record_id BIGINT, problem STRING, answer STRING"
+    parsed = raw.select(F.from_json("value", schema).alias("j"),
+                        P.tag_type_lines(raw, "Incomplete").alias("type"))
+    return parsed.select("j.record_id", "j.problem", "j.answer", "type")
+
+
+@register("keep_complete", "SELECT record_id, problem, answer FROM records", ("records",))
+def q_keep_complete(spark, sf):
+    r = V.records(spark, sf).select("record_id", "problem", "answer")
+    o = V.requests_open(spark, sf).select("record_id", F.col("input").alias("problem"),
+                                          F.lit(None).cast("string").alias("answer"))
+    return P.keep_complete(r.unionByName(o))
+
+
+_REJECT_SQL = (f"CASE WHEN type = 'Original' THEN {S.lit(T.REJECTION_PROMPT_ORIGINAL)} "
+               f"ELSE {S.lit(T.REJECTION_PROMPT_OTHER)} END || answer")
+
+
+@register("rejection_prompt", f"SELECT record_id, {_REJECT_SQL} AS prompt FROM records",
+          ("records",))
+def q_rejection_prompt(spark, sf):
+    return V.records(spark, sf).select("record_id", P.rejection_prompt().alias("prompt"))
+
+
+@register("preference_prompt", f"""
+SELECT record_id, {S.lit(T.PREFERENCE_PROMPT_PREFIX)} || problem ||
+       {S.lit(T.PREFERENCE_PROMPT_SUFFIX)} AS prompt FROM records""", ("records",))
+def q_preference_prompt(spark, sf):
+    return V.records(spark, sf).select("record_id", P.preference_prompt().alias("prompt"))
+
+
+@register("strip_prompt_echo", f"""
+SELECT record_id, {S.strip('substring(problem || answer, length(problem) + 1)')} AS response
+FROM records""", ("records",))
+def q_strip_prompt_echo(spark, sf):
+    r = V.records(spark, sf).select("record_id", F.col("problem").alias("prompt"),
+                                    P.concat_v1().alias("generated"))
+    return r.select("record_id", P.strip_prompt_echo().alias("response"))
+
+
+@register("merge_tags", f"""
+SELECT doc_id, text || {S.lit(T.TAG_SEPARATOR)} || '[' ||
+       array_to_string(list_transform([lang, source], lambda t: '''' || t || ''''), ', ')
+       || ']' AS prediction FROM documents""")
+def q_merge_tags(spark, sf):
+    d = V.table(spark, sf, "documents")
+    d = d.select("doc_id", F.col("text").alias("quote"), F.array("lang", "source").alias("tags"))
+    return d.select("doc_id", P.merge_tags().alias("prediction"))
+
+
+@register("head_n", "SELECT record_id, problem, answer, type FROM records "
+          "ORDER BY record_id LIMIT 5", ("records",))
+def q_head_n(spark, sf):
+    return P.head_n(V.records(spark, sf), 5, "record_id")
+
+
+# ---------------------------------------------------------------------------
+# Requests, resume, backends, repair
+# ---------------------------------------------------------------------------
+_REQ = (f"SELECT doc_id, kind, text, prompt, 'rewrite' AS stage, "
+        f"{S.request_id(chr(39) + 'rewrite' + chr(39), 'kind', 'prompt')} AS request_id "
+        f"FROM ({_REWRITE}) r")
+
+
+def _requests(spark, sf):
+    return G.request_table(_rewrite(spark, sf), "rewrite")
+
+
+@register("request_table", f"SELECT doc_id, kind, request_id FROM ({_REQ}) q", ("problems",))
+def q_request_table(spark, sf):
+    return _requests(spark, sf).select("doc_id", "kind", "request_id")
+
+
+_TURN_REQ = (f"SELECT record_id, problem AS prompt, "
+             f"{S.request_id(chr(39) + 'answer' + chr(39), chr(39) + 'chat' + chr(39), 'problem')}"
+             f" AS request_id FROM (SELECT record_id, problem FROM records UNION ALL "
+             f"SELECT record_id, input FROM requests_open) u")
+
+
+def _turn_requests(spark, sf):
+    r = V.records(spark, sf).select("record_id", F.col("problem").alias("prompt"),
+                                    F.col("answer"))
+    o = V.requests_open(spark, sf).select("record_id", F.col("input").alias("prompt"),
+                                          F.col("output").alias("answer"))
+    return G.request_table(r.unionByName(o).withColumn("kind", F.lit("chat")), "answer")
+
+
+@register("pending_requests", f"""
+SELECT q.record_id, q.request_id FROM ({_TURN_REQ}) q
+WHERE NOT EXISTS (SELECT 1 FROM ({_TURN_REQ}) d JOIN records r ON d.record_id = r.record_id
+                  WHERE d.request_id = q.request_id)""", ("records", "requests_open"))
+def q_pending_requests(spark, sf):
+    req = _turn_requests(spark, sf)
+    answered = req.where(F.col("answer") != "").select(
+        "request_id", F.col("answer").alias("response"), F.lit("ok").alias("status"))
+    return G.pending_requests(req, answered).select("record_id", "request_id")
+
+
+@register("generate_responses", f"""
+SELECT DISTINCT request_id, {S.rules_response('stage', 'kind', 'text')} AS response,
+       'ok' AS status, 1 AS attempt FROM ({_REQ}) q""", ("problems",))
+def q_generate_responses(spark, sf):
+    return G.generate_responses(_requests(spark, sf)).select(
+        "request_id", "response", "status", "attempt")
+
+
+def flaky_backend(prompt: str) -> str:
+    """Stand-in client for failure capture: deterministic quota errors,
+    blocks and crashes by prompt hash; otherwise echoes the prompt length."""
+    import zlib
+    h = zlib.crc32(prompt.encode("utf-8")) % 10
+    if h == 0:
+        raise G.Blocked("prompt_feedback: block_reason=SAFETY")
+    if h == 1:
+        raise G.QuotaExceeded("429 quota exceeded")
+    if h == 2:
+        raise RuntimeError("500 internal error")
+    return f"answer of {len(prompt)} characters"
+
+
+@register("generation_status")
+def q_generation_status(spark, sf):
+    return G.generate_responses(_requests(spark, sf), backend=flaky_backend, retry_wait=0.0)
+
+
+_OLD_RESP = """
+SELECT record_id, answer AS response, 1 AS attempt FROM records
+UNION ALL SELECT record_id, output, 1 FROM requests_open"""
+
+
+def _old_responses(spark, sf):
+    r = V.records(spark, sf).select("record_id", F.col("answer").alias("response"))
+    o = V.requests_open(spark, sf).select("record_id", F.col("output").alias("response"))
+    return r.unionByName(o).select(
+        F.col("record_id").cast("string").alias("request_id"), "response",
+        F.lit("ok").alias("status"), F.lit(1).alias("attempt"),
+        F.lit(None).cast("string").alias("error"))
+
+
+@register("repair_empty", f"""
+SELECT CAST(record_id AS VARCHAR) AS request_id,
+       CASE WHEN response = '' THEN {S.rule_questions("'ambiguous'", 'prompt')} ELSE response END
+       AS response,
+       CASE WHEN response = '' THEN 2 ELSE 1 END AS attempt
+FROM ({_OLD_RESP}) o JOIN (SELECT record_id, problem AS prompt FROM records UNION ALL
+                           SELECT record_id, input FROM requests_open) p USING (record_id)""",
+          ("records", "requests_open"))
+def q_repair_empty(spark, sf):
+    r = V.records(spark, sf).select("record_id", F.col("problem").alias("text"))
+    o = V.requests_open(spark, sf).select("record_id", F.col("input").alias("text"))
+    req = r.unionByName(o).select(
+        F.col("record_id").cast("string").alias("request_id"), "text",
+        F.lit("question").alias("stage"), F.lit("ambiguous").alias("kind"),
+        F.col("text").alias("prompt"))
+    out = G.repair_empty(_old_responses(spark, sf), req)
+    return out.select("request_id", "response", "attempt")
+
+
+@register("latest_attempt", """
+SELECT CAST(record_id AS VARCHAR) AS request_id,
+       CASE WHEN conv_id_even THEN answer ELSE '' END AS response,
+       CASE WHEN conv_id_even THEN 2 ELSE 1 END AS attempt
+FROM (SELECT record_id, answer, (record_id // 1000) % 2 = 0 AS conv_id_even FROM records) r""",
+          ("records",))
+def q_latest_attempt(spark, sf):
+    r = V.records(spark, sf)
+    first = r.select(F.col("record_id").cast("string").alias("request_id"),
+                     F.lit("").alias("response"), F.lit(1).alias("attempt"))
+    second = (r.where((F.floor(F.col("record_id") / 1000) % 2) == 0)
+              .select(F.col("record_id").cast("string").alias("request_id"),
+                      F.col("answer").alias("response"), F.lit(2).alias("attempt")))
+    return G.latest_attempt(first.unionByName(second))
