@@ -170,14 +170,17 @@ def _python_runner(fn: Callable[[str], str], retry_wait: float, attempt_base: in
 
 def generate_responses(requests: DataFrame, backend="rules", text: str = "text",
                        retry_wait: float = 60.0, attempt_base: int = 1) -> DataFrame:
-    """One response row per distinct ``request_id``."""
-    distinct = requests.dropDuplicates(["request_id"])
+    """One response row per distinct ``request_id``. Only the columns the
+    backend reads are shuffled by the de-duplication."""
     if backend == "rules":
+        distinct = requests.select("request_id", "stage", "kind", text).dropDuplicates(
+            ["request_id"])
         out = rules_backend(distinct, text)
         return out if attempt_base == 1 else out.withColumn("attempt", F.lit(attempt_base))
     if not callable(backend):
         raise ValueError("backend must be 'rules' or a callable prompt -> text")
-    return distinct.select("request_id", "prompt").mapInPandas(
+    distinct = requests.select("request_id", "prompt").dropDuplicates(["request_id"])
+    return distinct.mapInPandas(
         _python_runner(backend, retry_wait, attempt_base), RESPONSE_SCHEMA)
 
 

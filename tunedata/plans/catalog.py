@@ -435,3 +435,179 @@ def q_latest_attempt(spark, sf):
               .select(F.col("record_id").cast("string").alias("request_id"),
                       F.col("answer").alias("response"), F.lit(2).alias("attempt")))
     return G.latest_attempt(first.unionByName(second))
+
+
+# ---------------------------------------------------------------------------
+# Class split, plans, sampling, shuffles, splits
+# ---------------------------------------------------------------------------
+from tunedata.operators import sampling as R  # noqa: E402
+from tunedata.operators import preference as D  # noqa: E402
+
+_FLAG = "coalesce(type IS NOT DISTINCT FROM 'Original', false)"
+
+
+@register("class_split", f"SELECT record_id, type, {_FLAG} AS is_original FROM records",
+          ("records",))
+def q_class_split(spark, sf):
+    return R.class_split(V.records(spark, sf)).select("record_id", "type", "is_original")
+
+
+@register("filter_original", "SELECT * FROM records WHERE type = 'Original'", ("records",))
+def q_filter_original(spark, sf):
+    return R.filter_original(V.records(spark, sf))
+
+
+def plan_sql(table: str, ratio, pick: str = "least") -> str:
+    f0, f1 = ratio[0] / 100, ratio[1] / 100
+    return f"""
+SELECT n_original, n_other, total,
+       CAST(floor({f0!r}::DOUBLE * total) AS BIGINT) AS original_target,
+       CAST(floor({f1!r}::DOUBLE * total) AS BIGINT) AS other_target
+FROM (SELECT *, CAST(floor({pick}(n_original / {f0!r}::DOUBLE, n_other / {f1!r}::DOUBLE))
+                     AS BIGINT) AS total
+      FROM (SELECT count(*) FILTER (WHERE is_original) AS n_original,
+                   count(*) FILTER (WHERE NOT is_original) AS n_other FROM {table}) c) t"""
+
+
+_CLASSED_F = f"(SELECT doc_id, type, {_FLAG} AS is_original FROM classed)"
+
+
+@register("sample_plan", plan_sql(_CLASSED_F, (40, 60)), ("classed",))
+def q_sample_plan(spark, sf):
+    return R.sample_plan(R.class_split(V.classed(spark, sf)), (40, 60))
+
+
+@register("downsample", f"""
+SELECT record_id, rank FROM (SELECT record_id, {S.hash_rank(7, 'record_id')} AS rank
+                             FROM records) r WHERE rank <= 100""", ("records",))
+def q_downsample(spark, sf):
+    return R.downsample(V.records(spark, sf), 100, "record_id", seed=7).select(
+        "record_id", "rank")
+
+
+def draws_sql(seed, n: str) -> str:
+    return (f"1 + CAST(('0x' || substr({S.seeded(seed, 'i')}, 1, 12)) AS BIGINT) % {n}")
+
+
+@register("oversample", f"""
+WITH cls AS (SELECT doc_id FROM classed WHERE type = 'Incomplete'),
+r AS (SELECT doc_id, {S.hash_rank(3, 'doc_id')} AS rk FROM cls),
+d AS (SELECT i + 1 AS sample_id, {draws_sql(3, '(SELECT count(*) FROM cls)')} AS rk
+      FROM range(1000) t(i))
+SELECT d.sample_id, r.doc_id FROM d JOIN r ON d.rk = r.rk""", ("classed",))
+def q_oversample(spark, sf):
+    cls = V.classed(spark, sf).where(F.col("type") == "Incomplete")
+    return R.oversample(cls, 1000, "doc_id", seed=3).select("sample_id", "doc_id")
+
+
+def balance_sql(table: str, key: str, ratio, seed, mode: str) -> str:
+    """SQL twin of ``sampling.balance`` over ``table(key, ..., is_original)``."""
+    pick = "greatest" if mode == "oversample" else "least"
+    return f"""
+WITH f AS (SELECT * FROM {table}),
+p AS ({plan_sql('f', ratio, pick)}),
+r AS (SELECT *, {S.hash_rank(seed, key, 'is_original')} AS rk FROM f),
+cnt AS (SELECT is_original, count(*) AS n FROM f GROUP BY is_original),
+tg AS (SELECT true AS is_original, original_target AS target FROM p
+       UNION ALL SELECT false, other_target FROM p),
+cls AS (SELECT tg.is_original, tg.target, cnt.n FROM tg JOIN cnt ON tg.is_original = cnt.is_original),
+down AS (SELECT r.* EXCLUDE (rk), r.rk AS sample_id FROM r JOIN cls ON r.is_original = cls.is_original
+         WHERE (cls.target <= cls.n OR {'false' if mode == 'oversample' else 'true'})
+           AND r.rk <= cls.target),
+dr AS (SELECT is_original, n, unnest(range(target)) AS i FROM cls WHERE target > n
+       AND {'true' if mode == 'oversample' else 'false'}),
+draws AS (SELECT is_original, i + 1 AS sample_id, {draws_sql(seed, 'n')} AS rk FROM dr),
+up AS (SELECT r.* EXCLUDE (rk), d.sample_id FROM draws d
+       JOIN r ON r.is_original = d.is_original AND r.rk = d.rk),
+c AS (SELECT * FROM down UNION ALL SELECT * FROM up),
+k AS (SELECT *, concat_ws(':', CAST(CAST(is_original AS INTEGER) AS VARCHAR),
+                          CAST({key} AS VARCHAR), CAST(sample_id AS VARCHAR)) AS skey FROM c)
+SELECT * EXCLUDE (skey), {S.hash_rank(seed, 'skey')} AS position FROM k"""
+
+
+@register("balance_downsample", f"""
+SELECT doc_id, type, is_original, sample_id, position
+FROM ({balance_sql(_CLASSED_F, 'doc_id', (40, 60), 11, 'downsample')}) b""", ("classed",))
+def q_balance_downsample(spark, sf):
+    b = R.balance(V.classed(spark, sf), "doc_id", (40, 60), "downsample", seed=11)
+    return b.select("doc_id", "type", "is_original", "sample_id", "position")
+
+
+@register("balance_oversample", f"""
+SELECT doc_id, type, is_original, sample_id, position
+FROM ({balance_sql(_CLASSED_F, 'doc_id', (40, 60), 11, 'oversample')}) b""", ("classed",))
+def q_balance_oversample(spark, sf):
+    b = R.balance(V.classed(spark, sf), "doc_id", (40, 60), "oversample", seed=11)
+    return b.select("doc_id", "type", "is_original", "sample_id", "position")
+
+
+@register("balance_summary", f"""
+SELECT CASE WHEN is_original THEN 'Original' ELSE 'other' END AS class,
+       count(*) AS selected, (SELECT count(*) FROM b0) AS combined
+FROM ({balance_sql(_CLASSED_F, 'doc_id', (40, 60), 11, 'downsample')}) b
+GROUP BY is_original""".replace("(SELECT count(*) FROM b0)", "sum(count(*)) OVER ()"),
+          ("classed",))
+def q_balance_summary(spark, sf):
+    b = R.balance(V.classed(spark, sf), "doc_id", (40, 60), "downsample", seed=11)
+    return R.balance_summary(b)
+
+
+@register("shuffle_positions", f"SELECT record_id, {S.hash_rank(42, 'record_id')} AS position "
+          "FROM records", ("records",))
+def q_shuffle_positions(spark, sf):
+    return R.shuffle_positions(V.records(spark, sf), "record_id", 42).select(
+        "record_id", "position")
+
+
+_SPLIT = f"""
+SELECT record_id, CASE WHEN {S.hash_rank(42, 'record_id')} <= ceil(0.2::DOUBLE * count(*) OVER ())
+       THEN 'validation' ELSE 'train' END AS split FROM records"""
+
+
+@register("train_val_split", _SPLIT, ("records",))
+def q_train_val_split(spark, sf):
+    return R.train_val_split(V.records(spark, sf), "record_id").select("record_id", "split")
+
+
+@register("split_sizes", f"SELECT split, count(*) AS n FROM ({_SPLIT}) s GROUP BY split",
+          ("records",))
+def q_split_sizes(spark, sf):
+    return R.split_sizes(R.train_val_split(V.records(spark, sf), "record_id"))
+
+
+# ---------------------------------------------------------------------------
+# Preference data
+# ---------------------------------------------------------------------------
+_PREF_PROMPT = (f"{S.lit(T.PREFERENCE_PROMPT_PREFIX)} || problem || "
+                f"{S.lit(T.PREFERENCE_PROMPT_SUFFIX)}")
+
+
+@register("preference_pairs", f"""
+SELECT record_id, type, {_PREF_PROMPT} AS prompt, answer AS chosen,
+       CASE WHEN coalesce(resp, '') = '' THEN {S.lit(D.EMPTY_REJECTED)} ELSE resp END AS rejected
+FROM (SELECT *, {S.rules_response("'reject'", 'kind', 'answer')} AS resp
+      FROM (SELECT *, CASE WHEN {_FLAG} THEN 'original' ELSE 'other' END AS kind
+            FROM records WHERE problem IS NOT NULL AND answer IS NOT NULL) c) x""", ("records",))
+def q_preference_pairs(spark, sf):
+    return D.preference_pairs(V.records(spark, sf))
+
+
+def cross_sql(table: str, key: str, seed) -> str:
+    return f"""
+WITH c AS (SELECT *, {_FLAG} AS is_original FROM {table}
+           WHERE problem IS NOT NULL AND answer IS NOT NULL),
+r AS (SELECT *, {S.hash_rank(seed, key, 'is_original')} AS rk FROM c),
+n AS (SELECT count(*) FILTER (WHERE is_original) AS n_o,
+             count(*) FILTER (WHERE NOT is_original) AS n_x FROM c),
+ch AS (SELECT r.*, NOT is_original AS opp,
+              (rk - 1) % (CASE WHEN is_original THEN n_x ELSE n_o END) + 1 AS prk
+       FROM r, n WHERE (CASE WHEN is_original THEN n_x ELSE n_o END) > 0)
+SELECT ch.{key}, ch.type, {S.lit(T.PREFERENCE_PROMPT_PREFIX)} || ch.problem ||
+       {S.lit(T.PREFERENCE_PROMPT_SUFFIX)} AS prompt, ch.answer AS chosen,
+       p.answer AS rejected, p.{key} AS rejected_id
+FROM ch JOIN r p ON p.is_original = ch.opp AND p.rk = ch.prk"""
+
+
+@register("cross_class_rejected", cross_sql("records", "record_id", 5), ("records",))
+def q_cross_class_rejected(spark, sf):
+    return D.cross_class_rejected(V.records(spark, sf), seed=5)
