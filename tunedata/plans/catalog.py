@@ -611,3 +611,160 @@ FROM ch JOIN r p ON p.is_original = ch.opp AND p.rk = ch.prk"""
 @register("cross_class_rejected", cross_sql("records", "record_id", 5), ("records",))
 def q_cross_class_rejected(spark, sf):
     return D.cross_class_rejected(V.records(spark, sf), seed=5)
+
+
+# ---------------------------------------------------------------------------
+# Vocabulary, encoding, labels, batches
+# ---------------------------------------------------------------------------
+VOCAB_CAP = 50_000
+_VOCAB = f"""
+SELECT token, CAST(row_number() OVER (ORDER BY count DESC, token) + 3 AS INTEGER) AS id, count
+FROM (SELECT token, count(*) AS count
+      FROM (SELECT unnest({S.toks('problem')}) AS token FROM records
+            UNION ALL SELECT unnest({S.toks('answer')}) FROM records) t
+      GROUP BY token ORDER BY count DESC, token LIMIT {VOCAB_CAP}) c"""
+
+
+def _vocab(spark, sf):
+    r = V.records(spark, sf)
+    corpus = r.select(F.concat(TK.tokenize("problem"), TK.tokenize("answer")).alias("tokens"))
+    return TK.build_vocab(corpus, "tokens", VOCAB_CAP)
+
+
+@register("build_vocab", _VOCAB, ("records",))
+def q_build_vocab(spark, sf):
+    return _vocab(spark, sf)
+
+
+def encode_sql(text_expr: str, limit: int, toks_expr: str | None = None,
+               extra: str = "") -> str:
+    """CTE chain -> enc(record_id, ids) over records, vocabulary ``vocab``;
+    ``t`` holds the (truncated) tokens and any ``extra`` columns."""
+    toks = toks_expr or S.toks(text_expr)
+    return f"""
+vocab AS ({_VOCAB}),
+t AS (SELECT record_id, ({toks})[1:{limit}] AS toks{extra} FROM records),
+u AS (SELECT record_id, unnest(toks) AS token, generate_subscripts(toks, 1) AS pos FROM t),
+j AS (SELECT u.record_id, u.pos, coalesce(v.id, 1) AS id FROM u LEFT JOIN vocab v
+      ON u.token = v.token),
+enc AS (SELECT t.record_id, CAST(coalesce(g.ids, []) AS INTEGER[]) AS ids FROM t LEFT JOIN
+        (SELECT record_id, list(id ORDER BY pos) AS ids FROM j GROUP BY record_id) g
+        ON t.record_id = g.record_id)"""
+
+
+def _encoded(spark, sf, text_col, limit):
+    r = V.records(spark, sf).select("record_id", text_col.alias("_text"))
+    return TK.encode(r, TK.tokenize("_text"), _vocab(spark, sf), "record_id", limit)
+
+
+@register("encode", f"WITH {encode_sql('problem || answer', 512)} "
+          "SELECT record_id, ids AS input_ids FROM enc", ("records",))
+def q_encode(spark, sf):
+    return _encoded(spark, sf, P.concat_v1(), 512)
+
+
+_CAUSAL = ("SELECT record_id, ids AS input_ids, ids AS labels, "
+           "list_transform(ids, lambda x: 1) AS attention_mask FROM enc")
+
+
+@register("labels_v1", f"WITH {encode_sql('problem || answer', 512)} {_CAUSAL}", ("records",))
+def q_labels_v1(spark, sf):
+    return TK.causal_labels(_encoded(spark, sf, P.concat_v1(), 512))
+
+
+@register("labels_v3", f"WITH {encode_sql('problem || answer || type', 512)} {_CAUSAL}",
+          ("records",))
+def q_labels_v3(spark, sf):
+    return TK.causal_labels(_encoded(spark, sf, P.concat_v3(), 512))
+
+
+@register("labels_v4", f"WITH {encode_sql(V4_SQL, 2048)} {_CAUSAL}", ("records",))
+def q_labels_v4(spark, sf):
+    return TK.causal_labels(_encoded(spark, sf, P.concat_v4(), 2048))
+
+
+_V2_TOKS = f"list_concat({S.toks('problem')}, {S.toks('answer')})"
+_V2_SA = (f", least(len({S.toks('problem')}), 512) AS s, "
+          f"least(len({S.toks('answer')}), 512) AS a")
+
+
+@register("labels_v2", f"""
+WITH {encode_sql('', 2048, _V2_TOKS, _V2_SA)}
+SELECT enc.record_id, ids AS input_ids,
+       list_transform(ids, lambda x, i: CASE WHEN i - 1 >= s AND i - 1 < s + a THEN x
+                                             ELSE -100 END) AS labels,
+       list_transform(ids, lambda x: 1) AS attention_mask
+FROM enc JOIN t ON enc.record_id = t.record_id""", ("records",))
+def q_labels_v2(spark, sf):
+    return TK.labels_v2(V.records(spark, sf), _vocab(spark, sf))
+
+
+def length_batch_sql(table: str, key: str, length: str, seed=42, bs=4, mega=50) -> str:
+    return f"""
+SELECT * EXCLUDE (rk, mega, j), mega * {mega} + (j - 1) // {bs} AS batch_id
+FROM (SELECT *, row_number() OVER (PARTITION BY mega ORDER BY {length} DESC, rk) AS j
+      FROM (SELECT *, (rk - 1) // {mega * bs} AS mega
+            FROM (SELECT *, {S.hash_rank(seed, key)} AS rk FROM {table}) a) b) c"""
+
+
+@register("length_batches", f"""
+SELECT record_id, length, batch_id FROM ({length_batch_sql(
+    '(SELECT record_id, length(problem || answer) AS length FROM records)',
+    'record_id', 'length')}) x""", ("records",))
+def q_length_batches(spark, sf):
+    r = V.records(spark, sf).select("record_id",
+                                    F.length(P.concat_v1()).cast("long").alias("length"))
+    return TK.length_batches(r, "length", "record_id").select("record_id", "length", "batch_id")
+
+
+_PAD = f"""
+WITH {encode_sql('problem || answer', 512)},
+b AS ({length_batch_sql('(SELECT record_id, ids, len(ids) AS n FROM enc)', 'record_id', 'n')}),
+w AS (SELECT *, CAST(ceil(max(n) OVER (PARTITION BY batch_id) / 8.0::DOUBLE) * 8 AS INTEGER)
+              AS width FROM b)
+SELECT record_id, batch_id, width,
+       list_concat(list_transform(range(width - n), lambda x: 0), ids) AS input_ids,
+       list_concat(list_transform(range(width - n), lambda x: 0),
+                   list_transform(ids, lambda x: 1)) AS attention_mask,
+       list_concat(list_transform(range(width - n), lambda x: -100), ids) AS labels
+FROM w"""
+
+
+@register("pad_batches", _PAD, ("records",))
+def q_pad_batches(spark, sf):
+    enc = TK.causal_labels(_encoded(spark, sf, P.concat_v1(), 512))
+    b = TK.length_batches(enc.withColumn("_n", F.size("input_ids")), "_n", "record_id")
+    return TK.pad_batches(b.drop("_n")).select("record_id", "batch_id", "width", "input_ids",
+                                                "attention_mask", "labels")
+
+
+def _waste_sql(batches: str, name: str) -> str:
+    return f"""(SELECT round((sum(cells) - sum(used)) / sum(cells), 6) AS {name},
+        count(*) AS {name}_batches
+    FROM (SELECT batch_id, CAST(ceil(max(length) / 8.0::DOUBLE) * 8 AS BIGINT) * count(*) AS cells,
+                 sum(length) AS used FROM ({batches}) q GROUP BY batch_id) g)"""
+
+
+_WASTE_BASE = (f"(SELECT record_id, CAST(least(len({S.toks('problem || answer')}), 512) "
+               "AS BIGINT) AS length FROM records)")
+
+
+@register("padding_waste", f"""
+SELECT * FROM {_waste_sql(length_batch_sql(_WASTE_BASE, 'record_id', 'length'), 'grouped_waste')} a,
+{_waste_sql(f"SELECT *, ({S.hash_rank(42, 'record_id')} - 1) // 4 AS batch_id FROM {_WASTE_BASE} z",
+            'ungrouped_waste')} b""", ("records",))
+def q_padding_waste(spark, sf):
+    r = V.records(spark, sf).select(
+        "record_id", F.least(F.size(TK.tokenize(P.concat_v1())), F.lit(512)).cast("long")
+        .alias("length"))
+    return TK.padding_waste(r, "length", "record_id")
+
+
+@register("step_budget", f"""
+SELECT count(*) AS rows, CAST(8000 AS BIGINT) AS rows_seen,
+       round(8000.0::DOUBLE / count(*), 6) AS epochs,
+       CAST(greatest(count(*) - 8000, 0) AS BIGINT) AS rows_unseen
+FROM ({_SPLIT}) s WHERE split = 'train'""", ("records",))
+def q_step_budget(spark, sf):
+    tr = R.train_val_split(V.records(spark, sf), "record_id").where(F.col("split") == "train")
+    return TK.step_budget(tr)
