@@ -768,3 +768,198 @@ FROM ({_SPLIT}) s WHERE split = 'train'""", ("records",))
 def q_step_budget(spark, sf):
     tr = R.train_val_split(V.records(spark, sf), "record_id").where(F.col("split") == "train")
     return TK.step_budget(tr)
+
+
+# ---------------------------------------------------------------------------
+# M5-M6: per-record metrics and dataset averages
+# ---------------------------------------------------------------------------
+def entropy_sql(table: str, key: str, text: str, out: str) -> str:
+    return f"""
+{out}_t AS (SELECT {key} AS k, unnest({S.toks(f'lower({text})')}) AS tok FROM {table}),
+{out}_c AS (SELECT k, count(*) AS n FROM {out}_t GROUP BY k, tok),
+{out}_s AS (SELECT k, n, sum(n) OVER (PARTITION BY k) AS tot FROM {out}_c),
+{out}_res AS (SELECT k, -sum(n / tot * ln(n / tot + 1e-10)) AS {out} FROM {out}_s GROUP BY k)"""
+
+
+_METRICS = f"""
+WITH {entropy_sql('records', 'record_id', 'problem', 'problem_entropy')},
+{entropy_sql('records', 'record_id', 'answer', 'answer_entropy')},
+{perplexity_sql('records', 'record_id', 'problem', 'problem_perplexity')},
+{perplexity_sql('records', 'record_id', 'answer', 'answer_perplexity')},
+m AS (
+SELECT r.record_id, r.problem, r.answer,
+       round(coalesce(pe.problem_entropy, 0.0), 4) AS problem_entropy,
+       round(coalesce(ae.answer_entropy, 0.0), 4) AS answer_entropy,
+       round(pp.problem_perplexity, 4) AS problem_perplexity,
+       round(ap.answer_perplexity, 4) AS answer_perplexity
+FROM records r
+LEFT JOIN problem_entropy_res pe ON pe.k = r.record_id
+LEFT JOIN answer_entropy_res ae ON ae.k = r.record_id
+LEFT JOIN problem_perplexity_res pp ON pp.k = r.record_id
+LEFT JOIN answer_perplexity_res ap ON ap.k = r.record_id)"""
+
+
+@register("record_metrics", _METRICS + "\nSELECT * FROM m", ("records",))
+def q_record_metrics(spark, sf):
+    return M.record_metrics(V.records(spark, sf))
+
+
+@register("quality_summary", _METRICS + """
+SELECT round(avg(problem_perplexity), 4) AS avg_problem_perplexity,
+       round(avg(answer_perplexity), 4) AS avg_answer_perplexity,
+       round(avg(problem_entropy), 4) AS avg_problem_entropy,
+       round(avg(answer_entropy), 4) AS avg_answer_entropy FROM m""", ("records",))
+def q_quality_summary(spark, sf):
+    return M.quality_summary(M.record_metrics(V.records(spark, sf)))
+
+
+# ---------------------------------------------------------------------------
+# Sources and sinks (round trips through the shared folder)
+# ---------------------------------------------------------------------------
+from pyspark.sql import types as ST  # noqa: E402
+
+from tunedata.session import scratch_path  # noqa: E402
+from tunedata.sources import io as IO  # noqa: E402
+
+RECORD_SCHEMA = ST.StructType([
+    ST.StructField("record_id", ST.LongType()),
+    ST.StructField("problem", ST.StringType()),
+    ST.StructField("answer", ST.StringType()),
+    ST.StructField("type", ST.StringType()),
+])
+
+
+@register("read_problem_dirs", f"""
+SELECT doc_id AS problem_id,
+       {S.strip("regexp_replace(text, '" + chr(92) + "r" + chr(92) + "n?', chr(10), 'g')")} AS text
+FROM problems""", ("problems",))
+def q_read_problem_dirs(spark, sf):
+    root = scratch_path(spark, "problem-dirs")
+    IO.write_problem_dirs(V.problems(spark, sf).withColumnRenamed("doc_id", "problem_id"), root)
+    got = IO.read_problem_dirs(spark, root, "*.txt")
+    return got.select(F.col("problem_id").cast("long").alias("problem_id"), "text")
+
+
+@register("jsonl_roundtrip", "SELECT record_id, problem, answer, type FROM records", ("records",))
+def q_jsonl_roundtrip(spark, sf):
+    path = scratch_path(spark, "jsonl")
+    IO.write_jsonl(V.records(spark, sf), path)
+    return IO.valid_rows(IO.read_jsonl(spark, path, RECORD_SCHEMA))
+
+
+@register("json_array_scan", "SELECT record_id, problem, answer, type FROM records", ("records",))
+def q_json_array_scan(spark, sf):
+    path = scratch_path(spark, "json-array")
+    IO.write_json_arrays(V.records(spark, sf), path, "record_id", rows_per_file=100)
+    return IO.read_json_array(spark, f"{path}/*", RECORD_SCHEMA)
+
+
+@register("append_dataset", "SELECT record_id, problem, answer, type FROM records", ("records",))
+def q_append_dataset(spark, sf):
+    path = scratch_path(spark, "dataset")
+    recs = V.records(spark, sf)
+    IO.append_dataset(spark, path, R.filter_original(recs), "record_id")
+    IO.append_dataset(spark, path, recs, "record_id")
+    return IO.append_dataset(spark, path, recs, "record_id")     # rerun adds nothing
+
+
+_GEN_OUT = """(SELECT record_id, problem AS input, answer AS output FROM records
+  UNION ALL SELECT record_id, input, output FROM requests_open)"""
+
+
+@register("index_nonempty", f"""
+SELECT idx, record_id, output FROM (
+  SELECT record_id, output, row_number() OVER (ORDER BY record_id) - 1 AS idx FROM {_GEN_OUT} g) x
+WHERE output IS NOT NULL AND length(output) > 0""", ("records", "requests_open"))
+def q_index_nonempty(spark, sf):
+    r = V.records(spark, sf).select("record_id", F.col("problem").alias("input"),
+                                    F.col("answer").alias("output"))
+    g = r.unionByName(V.requests_open(spark, sf))
+    return IO.index_nonempty(g, "record_id").select("idx", "record_id", "output")
+
+
+# ---------------------------------------------------------------------------
+# Incremental generation (Structured Streaming, availableNow)
+# ---------------------------------------------------------------------------
+@register("stream_generate", ORACLE["generate_responses"].replace(
+    "SELECT DISTINCT request_id", "SELECT DISTINCT request_id", 1))
+def q_stream_generate(spark, sf):
+    from tunedata.streaming.generate import stream_generate
+    req = _requests(spark, sf).select("request_id", "stage", "kind", "text", "prompt")
+    src, sink, ck = (scratch_path(spark, n) for n in ("requests", "responses", "stream-ckpt"))
+    half = F.pmod(F.xxhash64("request_id"), F.lit(2))
+    req.where(half == 0).write.mode("append").parquet(src)
+    stream_generate(spark, src, req.schema, sink, ck)
+    req.where(half == 1).write.mode("append").parquet(src)
+    stream_generate(spark, src, req.schema, sink, ck)
+    stream_generate(spark, src, req.schema, sink, ck)          # nothing new: adds 0 rows
+    out = spark.read.parquet(sink)
+    return out.select("request_id", "response", "status", "attempt")
+
+
+# ---------------------------------------------------------------------------
+# Whole builds
+# ---------------------------------------------------------------------------
+from tunedata.plans import builds as W  # noqa: E402
+
+_INITCAP = "upper(substr(kind, 1, 1)) || lower(substr(kind, 2))"
+_BUILD = f"""
+WITH v AS (SELECT doc_id, kind, {S.rules_response("'rewrite'", 'kind', 'text')} AS variant
+           FROM (SELECT doc_id, unnest({S.KINDS}) AS kind, text FROM ({_STRIPPED}) s) e),
+g AS (SELECT kind || ':' || CAST(doc_id AS VARCHAR) AS record_id, variant AS problem,
+             {S.rules_response("'question'", 'kind', 'variant')} AS answer,
+             {_INITCAP} AS type
+      FROM v WHERE length(variant) > 0),
+o AS (SELECT 'original:' || CAST(record_id AS VARCHAR) AS record_id, problem, answer,
+             'Original' AS type FROM records WHERE type = 'Original'),
+a AS (SELECT * FROM g UNION ALL SELECT * FROM o)
+SELECT *, {S.hash_rank(0, 'record_id')} AS position FROM a"""
+
+
+def _build_dataset(spark, sf):
+    orig = R.filter_original(V.records(spark, sf))
+    return W.build_dataset(V.problems(spark, sf), orig, key="doc_id")
+
+
+@register("build_dataset", _BUILD, ("problems", "records"))
+def q_build_dataset(spark, sf):
+    return _build_dataset(spark, sf)
+
+
+_REC_F = f"(SELECT record_id, problem, answer, type, {_FLAG} AS is_original FROM records)"
+
+
+@register("build_preferences", f"""
+WITH bal AS (SELECT record_id, problem, answer, type FROM
+             ({balance_sql(_REC_F, 'record_id', (20, 80), 0, 'downsample')}) b)
+SELECT * FROM ({cross_sql('bal', 'record_id', 0)}) x""", ("records",))
+def q_build_preferences(spark, sf):
+    return W.build_preferences(V.records(spark, sf))
+
+
+def _batches_sql() -> str:
+    vocab = f"""
+SELECT token, CAST(row_number() OVER (ORDER BY count DESC, token) + 3 AS INTEGER) AS id, count
+FROM (SELECT token, count(*) AS count
+      FROM (SELECT unnest({S.toks(V4_SQL)}) AS token FROM records) t
+      GROUP BY token ORDER BY count DESC, token LIMIT {VOCAB_CAP}) c"""
+    enc = encode_sql(V4_SQL, 2048).replace(_VOCAB, vocab)
+    return f"""
+WITH {enc},
+sp AS (SELECT record_id, ids, len(ids) AS n FROM (
+         SELECT *, CASE WHEN {S.hash_rank(42, 'record_id')} <= ceil(0.2::DOUBLE * count(*) OVER ())
+                   THEN 'validation' ELSE 'train' END AS split FROM enc) s WHERE split = 'train'),
+b AS ({length_batch_sql('sp', 'record_id', 'n')}),
+w AS (SELECT *, CAST(ceil(max(n) OVER (PARTITION BY batch_id) / 8.0::DOUBLE) * 8 AS INTEGER)
+              AS width FROM b)
+SELECT record_id, batch_id, width,
+       list_concat(list_transform(range(width - n), lambda x: 0), ids) AS input_ids,
+       list_concat(list_transform(range(width - n), lambda x: 0),
+                   list_transform(ids, lambda x: 1)) AS attention_mask,
+       list_concat(list_transform(range(width - n), lambda x: -100), ids) AS labels
+FROM w"""
+
+
+@register("build_batches", _batches_sql(), ("records",))
+def q_build_batches(spark, sf):
+    return W.build_batches(V.records(spark, sf))

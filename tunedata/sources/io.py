@@ -73,7 +73,8 @@ def read_json_array(spark: SparkSession, path: str, schema: ST.StructType | None
 def write_json_arrays(df: DataFrame, path: str, key: str, rows_per_file: int = 10_000) -> None:
     """Write rows as JSON-array files of about ``rows_per_file`` rows: rows are
     hashed into ``ceil(n / rows_per_file)`` buckets (each bounded) and each
-    bucket becomes one array document sorted by ``key``."""
+    bucket becomes one array document sorted by ``key``, in its own folder
+    ``<path>/bucket=<b>/`` (read back with ``read_json_array(path + '/*')``)."""
     n = df.count()
     files = max(1, -(-n // rows_per_file))
     b = F.pmod(F.xxhash64(F.col(key)), F.lit(files))
@@ -83,8 +84,9 @@ def write_json_arrays(df: DataFrame, path: str, key: str, rows_per_file: int = 1
                      .alias("_e"))
            .groupBy("_b").agg(F.sort_array(F.collect_list("_e")).alias("_a")))
     text = F.concat(F.lit("["), F.array_join(F.transform("_a", lambda e: e["j"]), ","), F.lit("]"))
-    doc.select(text.alias("value"), "_b").repartition(files, "_b").drop("_b") \
-        .write.mode("overwrite").text(path)
+    # one folder per bucket, one row (= one document) per folder
+    (doc.select(text.alias("value"), F.col("_b").alias("bucket")).repartition("bucket")
+     .write.mode("overwrite").partitionBy("bucket").text(path))
 
 
 # --- S5 ----------------------------------------------------------------------
