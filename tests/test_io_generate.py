@@ -18,7 +18,8 @@ def test_jsonl_corrupt_line_kept_then_excluded(spark, tmp_shared):
         .write.text(path)
     from pyspark.sql.types import StructType
     df = IO.read_jsonl(spark, path, StructType.fromDDL(SCHEMA))
-    assert df.where(F.col("_corrupt_record").isNotNull()).count() == 1
+    bad = df.where(F.col("_corrupt_record").isNotNull()).select("input", "_corrupt_record")
+    assert [r._corrupt_record for r in bad.collect()] == ["not json"]
     assert IO.valid_rows(df).count() == 2
 
 
@@ -76,15 +77,18 @@ def test_failure_capture_statuses(spark):
     calls = {}
 
     def backend(p):
-        if "1" in p:
+        if p.startswith("Q"):
             raise G.QuotaExceeded("slow down")
-        if "2" in p:
+        if p.startswith("B"):
             raise G.Blocked("SAFETY")
-        if "3" in p:
+        if p.startswith("E"):
             raise RuntimeError("boom")
         return p.upper()
 
-    out = {r.request_id: r for r in G.generate_responses(_requests(spark, 5), backend,
+    df = spark.createDataFrame([(p, p, "ambiguous") for p in ["Q1", "B1", "E1", "ok1", "ok2"]],
+                               "prompt STRING, text STRING, kind STRING")
+    req = G.request_table(df, "rewrite")
+    out = {r.request_id: r for r in G.generate_responses(req, backend,
                                                          retry_wait=0).collect()}
     st = sorted((r.status, r.attempt) for r in out.values())
     assert st == [("blocked", 1), ("error", 1), ("ok", 1), ("ok", 1), ("quota", 2)]

@@ -58,7 +58,7 @@ def test_oversample_exact_size_known_rows(spark):
 def test_balance_oversample_grows_minority(spark):
     b = R.balance(_classes(spark, 10, 100), "record_id", (40, 60), "oversample", seed=2)
     got = {r.is_original: r.n for r in b.groupBy("is_original").agg(F.count("*").alias("n")).collect()}
-    assert got == {True: 66, False: 100}   # total = max(25, 166.67) -> 166
+    assert got == {True: 66, False: 99}    # total = int(max(25, 166.67)) = 166; int(0.6*166)
     ref = R.balance(_classes(spark, 10, 100), "record_id", (40, 60), "oversample", seed=2,
                     cap="reference")
     assert ref.count() == 10 + 15           # upstream min(): never oversamples

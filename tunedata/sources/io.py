@@ -51,10 +51,17 @@ def read_jsonl(spark: SparkSession, path: str, schema: ST.StructType,
 
 
 def valid_rows(df: DataFrame) -> DataFrame:
-    """Drop corrupt lines (downstream operators only see parsed rows)."""
+    """Drop corrupt lines (downstream operators only see parsed rows).
+
+    The filter also reads a data column: Spark rejects a JSON scan whose only
+    referenced column is the corrupt-record column (e.g. a bare count)."""
     if CORRUPT not in df.columns:
         return df
-    return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    data = [c for c in df.columns if c != CORRUPT]
+    keep = F.col(CORRUPT).isNull()
+    if data:
+        keep = keep & (F.size(F.array(F.col(data[0]).isNull())) > 0)
+    return df.where(keep).drop(CORRUPT)
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
