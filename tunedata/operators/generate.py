@@ -184,6 +184,26 @@ def generate_responses(requests: DataFrame, backend="rules", text: str = "text",
         _python_runner(backend, retry_wait, attempt_base), RESPONSE_SCHEMA)
 
 
+def responses_at(requests: DataFrame, path: str, backend="rules", text: str = "text",
+                 retry_wait: float = 60.0) -> DataFrame:
+    """The persisted response table for ``requests`` at ``path`` (shared
+    storage): answer only the pending requests, append, read back.
+
+    Persisting is what makes a stage resumable and what guarantees the
+    backend is called once per request: every later consumer (joins back,
+    ranks, several passes) reads the table instead of re-running the model."""
+    spark = requests.sparkSession
+    try:
+        done = spark.read.schema(RESPONSE_SCHEMA).parquet(path)
+        todo = pending_requests(requests, done)
+    except Exception as e:  # noqa: BLE001 - first run: no table yet
+        if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
+            raise
+        todo = requests
+    generate_responses(todo, backend, text, retry_wait).write.mode("append").parquet(path)
+    return latest_attempt(spark.read.schema(RESPONSE_SCHEMA).parquet(path))
+
+
 # --- G5 / G6 -----------------------------------------------------------------
 def latest_attempt(responses: DataFrame) -> DataFrame:
     """One row per request: the highest attempt (a window over one request's

@@ -91,19 +91,18 @@ def with_entropy(df: DataFrame, text: str, out: str = "entropy") -> DataFrame:
 
 # --- M4 ----------------------------------------------------------------------
 def bigram_pairs(df: DataFrame, key: str, text: str, max_tokens: int = 1024) -> DataFrame:
-    """(key, p, w, n): distinct (previous, token) pairs of each text's first
-    ``max_tokens`` lower-cased tokens with their count in that text."""
+    """(key, p, w, n): every (previous, token) pair of each text's first
+    ``max_tokens`` lower-cased tokens (n = 1; the corpus-wide count is
+    combined map-side by the aggregate that follows)."""
     t = df.select(key, F.slice(tokens(F.lower(F.col(text))), 1, max_tokens).alias("_t"))
     tc = F.col("_t")
-    pairs = t.select(key, F.sort_array(F.transform(tc, lambda w, i: F.struct(
-        F.when(i == 0, F.lit(START)).otherwise(F.get(tc, i - 1)).alias("p"),
-        w.alias("w")))).alias("_pairs"))
+    prev = F.concat(F.array(F.lit(START)), F.slice(tc, 1, F.greatest(F.size(tc) - 1, F.lit(0))))
+    zipped = F.when(F.size(tc) > 0, F.arrays_zip(prev.alias("p"), tc.alias("w")))
     # explode_outer + null filter: a plain explode makes Catalyst infer a
-    # size(...) > 0 filter and push it (lambdas and all) below the projections
-    ex = (with_value_counts(pairs, "_pairs", "_vc")
-          .select(key, F.explode_outer("_vc").alias("_v")).where(F.col("_v").isNotNull()))
-    return ex.select(key, F.col("_v.value.p").alias("p"), F.col("_v.value.w").alias("w"),
-                     F.col("_v.n").cast("long").alias("n"))
+    # size(...) > 0 filter and push it (with the tokenizer) below this project
+    ex = t.select(key, F.explode_outer(zipped).alias("_v")).where(F.col("_v").isNotNull())
+    return ex.select(key, F.col("_v.p").alias("p"), F.col("_v.w").alias("w"),
+                     F.lit(1).cast("long").alias("n"))
 
 
 def bigram_model(pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -133,7 +132,9 @@ def perplexity(df: DataFrame, key: str, text: str, max_tokens: int = 1024,
                 / (F.coalesce(F.col("cp"), F.lit(0)) + F.col("v")))
     per = scored.groupBy(key).agg((F.sum(F.col("n") * nll) / F.sum("n")).alias("_m"))
     got = per.select(key, F.exp("_m").alias(out))
-    empty = (df.where(F.size(tokens(F.lower(F.col(text)))) == 0)
+    # a text has no token iff it has no non-whitespace character (every such
+    # character starts a token), so no second tokenizer pass is needed
+    empty = (df.where(~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\s]"))
              .select(key, F.lit(None).cast("double").alias(out)))
     return got.unionByName(empty)
 

@@ -21,34 +21,38 @@ from tunedata.operators import prompts as P
 from tunedata.operators import sampling as R
 from tunedata.operators import tokens as TK
 from tunedata.operators.preference import cross_class_rejected
-
-
-def _answered(requests: DataFrame, keep: list[str], backend) -> DataFrame:
-    """Join successful, non-empty responses back to their requests. Only the
-    columns in ``keep`` travel through the shuffle."""
-    resp = (G.generate_responses(requests, backend)
-            .where((F.col("status") == "ok") & (F.length("response") > 0))
-            .select("request_id", "response"))
-    return requests.select("request_id", *keep).join(resp, "request_id")
+from tunedata.session import scratch_path
 
 
 def build_dataset(problems: DataFrame, originals: DataFrame | None = None,
                   key: str = "problem_id", text: str = "text", kinds=T.KINDS,
-                  backend="rules", seed: int = 0) -> DataFrame:
+                  backend="rules", seed: int = 0, workdir: str | None = None) -> DataFrame:
     """(record_id, problem, answer, type, position).
 
     ``record_id`` is ``<kind>:<problem id>`` for generated rows and
-    ``original:<id>`` for rows of ``originals`` (record_id, problem, answer)."""
+    ``original:<id>`` for rows of ``originals`` (record_id, problem, answer).
+
+    Each generation stage's responses and the final records are persisted
+    under ``workdir`` (default: a fresh folder under the shared checkpoint
+    dir): a rerun with the same ``workdir`` resumes (only pending requests
+    are sent), the backend is called once per distinct request, and the
+    shuffle ranks read a written table instead of recomputing the lineage.
+    """
+    spark = problems.sparkSession
+    work = (workdir or scratch_path(spark, "build-dataset")).rstrip("/")
     probs = P.strip_text(problems.select(F.col(key).alias("problem_id"), F.col(text).alias("text")))
     rewrite = G.request_table(P.rewrite_prompt(P.expand_variants(probs, kinds)), "rewrite")
-    variants = _answered(rewrite, ["problem_id", "kind"], backend).withColumnRenamed(
-        "response", "text")
+    r1 = G.responses_at(rewrite, f"{work}/responses-rewrite", backend)
+    ok1 = r1.where((F.col("status") == "ok") & (F.length("response") > 0))
+    variants = (rewrite.select("request_id", "problem_id", "kind")
+                .join(ok1.select("request_id", F.col("response").alias("text")), "request_id")
+                .drop("request_id"))
     ask = P.question_prompt(variants).withColumn(
         "problem", P.unrender("prompt", "kind", T.QUESTION_TEMPLATES))
     qa = G.request_table(ask, "question")
-    resp = G.generate_responses(qa, backend).where(F.col("status") == "ok").select(
-        "request_id", F.col("response").alias("answer"))
-    gen = qa.select("request_id", "problem_id", "kind", "problem").join(resp, "request_id")
+    r2 = G.responses_at(qa, f"{work}/responses-question", backend)
+    ok2 = r2.where(F.col("status") == "ok").select("request_id", F.col("response").alias("answer"))
+    gen = qa.select("request_id", "problem_id", "kind", "problem").join(ok2, "request_id")
     records = gen.select(
         F.concat(F.col("kind"), F.lit(":"), F.col("problem_id").cast("string")).alias("record_id"),
         "problem", "answer", F.initcap("kind").alias("type"))
@@ -57,7 +61,8 @@ def build_dataset(problems: DataFrame, originals: DataFrame | None = None,
             F.concat(F.lit("original:"), F.col("record_id").cast("string")).alias("record_id"),
             "problem", "answer", F.lit(T.ORIGINAL).alias("type"))
         records = records.unionByName(o)
-    return R.shuffle_positions(records, "record_id", seed)
+    records.write.mode("overwrite").parquet(f"{work}/records")
+    return R.shuffle_positions(spark.read.parquet(f"{work}/records"), "record_id", seed)
 
 
 def build_preferences(records: DataFrame, key: str = "record_id", ratio=(20, 80),

@@ -8,6 +8,8 @@ checkpoint folder (``session.scratch_path``), never a machine-local folder.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
@@ -25,10 +27,17 @@ def read_problem_dirs(spark: SparkSession, root: str, filename: str = "question.
     Folders without the file are skipped by the glob; the text is read whole,
     ``\\r\\n`` normalised and stripped as upstream. ``<id>`` may also be the
     ``name=value`` folder a partitioned Spark write creates."""
-    raw = spark.read.text(f"{root.rstrip('/')}/*/{filename}", wholetext=True)
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1)
+    base = root.rstrip("/")
+    # recursive listing runs in parallel (no driver-side glob over every
+    # folder); the path filter keeps exactly <root>/<id>/<file>
+    raw = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", filename)
+           .text(base, wholetext=True))
+    path = F.col("_metadata.file_path")
+    one_level = path.rlike(r"^.*" + re.escape(base.split("://")[-1]) + r"/[^/]+/[^/]+$")
+    folder = F.regexp_extract(path, r"/([^/]+)/[^/]+$", 1)
     pid = F.regexp_replace(folder, r"^[^=]*=", "")
-    return raw.select(pid.alias("problem_id"), strip(normalize_newlines("value")).alias("text"))
+    return raw.where(one_level).select(pid.alias("problem_id"),
+                                       strip(normalize_newlines("value")).alias("text"))
 
 
 def write_problem_dirs(df: DataFrame, root: str, key: str = "problem_id",
