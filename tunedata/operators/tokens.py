@@ -5,9 +5,10 @@ Stand-in for a pretrained BPE tokenizer: word/punctuation tokens
 corpus, with the reference's truncation / masking / padding semantics.
 
 Scale notes
-* ``build_vocab`` is a map-side-combined ``groupBy(token)``; the top ``cap``
-  tokens come from ``orderBy().limit(cap)`` (per-partition top-k, then merge),
-  so the vocabulary has a proven bound of ``cap`` rows and is broadcast when
+* ``build_vocab`` is a map-side-combined ``groupBy(token)``; a histogram of
+  the count values yields the count threshold of the ``cap``-th token, so only
+  ~``cap`` candidates reach the final ``orderBy().limit(cap)`` merge. The
+  vocabulary has a proven bound of ``cap`` rows and is broadcast when
   ``cap <= BROADCAST_VOCAB``.
 * ``encode`` truncates **before** exploding, so at most ``max_length`` rows per
   record are joined; the regrouping ``collect_list`` is partially aggregated
@@ -44,7 +45,17 @@ def build_vocab(corpus_tokens: DataFrame, column: str = "tokens", cap: int = 50_
         raise ValueError(f"vocabulary cap must be in 1..{MAX_VOCAB}")
     counts = (corpus_tokens.select(F.explode(F.col(column)).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
-    top = counts.orderBy(F.desc("count"), "token").limit(cap)
+    # Threshold first: the histogram of count values (one row per distinct
+    # count, at most sqrt(2 * tokens) rows) gives the count t of the cap-th
+    # token; only tokens with count >= t (cap + ties at t) reach the top-k,
+    # so its final merge holds ~cap rows, not partitions * cap.
+    hist = counts.groupBy("count").agg(F.count(F.lit(1)).alias("_k"))
+    cum = hist.withColumn("_cum", F.sum("_k").over(
+        Window.orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, 0)))
+    t = cum.agg(F.coalesce(F.max(F.when(F.col("_cum") >= cap, F.col("count"))),
+                           F.min("count")).alias("_t"))
+    cand = counts.join(F.broadcast(t), F.col("count") >= F.col("_t")).drop("_t")
+    top = cand.orderBy(F.desc("count"), "token").limit(cap)
     w = Window.orderBy(F.desc("count"), "token")      # <= cap rows
     return top.select("token", (F.row_number().over(w) + (T.EOS_ID)).cast("int").alias("id"),
                       "count")
