@@ -95,3 +95,15 @@ def test_split_sizes(spark):
     s = R.train_val_split(spark.range(101).withColumnRenamed("id", "k"), "k")
     sizes = {r.split: r.n for r in R.split_sizes(s).collect()}
     assert sizes == {"validation": 21, "train": 80}      # ceil(0.2 * 101)
+
+
+def test_lead_in_group_matches_window(spark):
+    from pyspark.sql import Window
+    from tunedata.operators.windows import lead_in_group
+    rows = [(1, t, f"r{t}") for t in list(range(0, 50)) + [77, 200, 201, 1000]] + \
+           [(2, t, f"s{t}") for t in (5, 9)] + [(3, 0, "x")]
+    df = spark.createDataFrame(rows, "g INT, o INT, v STRING")
+    got = {(r.g, r.o): r.next_v for r in lead_in_group(df, "g", "o", ["v"], width=8).collect()}
+    w = Window.partitionBy("g").orderBy("o")
+    exp = {(r.g, r.o): r.n for r in df.select("g", "o", F.lead("v").over(w).alias("n")).collect()}
+    assert got == exp

@@ -543,10 +543,9 @@ def q_balance_oversample(spark, sf):
 
 @register("balance_summary", f"""
 SELECT CASE WHEN is_original THEN 'Original' ELSE 'other' END AS class,
-       count(*) AS selected, (SELECT count(*) FROM b0) AS combined
+       count(*) AS selected, CAST(sum(count(*)) OVER () AS BIGINT) AS combined
 FROM ({balance_sql(_CLASSED_F, 'doc_id', (40, 60), 11, 'downsample')}) b
-GROUP BY is_original""".replace("(SELECT count(*) FROM b0)", "sum(count(*)) OVER ()"),
-          ("classed",))
+GROUP BY is_original""", ("classed",))
 def q_balance_summary(spark, sf):
     b = R.balance(V.classed(spark, sf), "doc_id", (40, 60), "downsample", seed=11)
     return R.balance_summary(b)

@@ -8,24 +8,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tunedata.operators.windows import lead_in_group
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # One conversation is one window partition: its size is the number of
-    # turns of that conversation, not a share of the table.
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    conv = table(spark, sf_dir, "conversations")
-    return conv.select(
-        "conv_id", "turn", "role", "text",
-        F.lead("role").over(w).alias("next_role"),
-        F.lead("text").over(w).alias("next_text"),
-    )
+    # lead() by conversation, with windows bounded by turn ranges so a very
+    # long conversation is not one task (operators.windows).
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return lead_in_group(conv, "conv_id", "turn", ["role", "text"])
 
 
 def _type_by_conv() -> F.Column:
