@@ -208,7 +208,10 @@ def responses_at(requests: DataFrame, path: str, backend="rules", text: str = "t
 def latest_attempt(responses: DataFrame) -> DataFrame:
     """One row per request: the highest attempt (a window over one request's
     attempts only)."""
-    w = Window.partitionBy("request_id").orderBy(F.desc("attempt"))
+    # response / status break ties deterministically (a replayed append may
+    # leave two rows with the same attempt; recomputation must pick the same)
+    w = Window.partitionBy("request_id").orderBy(
+        F.desc("attempt"), F.asc_nulls_last("response"), F.asc_nulls_last("status"))
     return (responses.withColumn("_n", F.row_number().over(w))
             .where(F.col("_n") == 1).drop("_n"))
 

@@ -3,7 +3,6 @@ shared scratch location every job that writes intermediate data uses."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -52,6 +51,4 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused path under the shared checkpoint folder."""
     root = checkpoint_root(spark)
-    if "://" not in root:
-        os.makedirs(root, exist_ok=True)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
