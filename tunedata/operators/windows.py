@@ -29,14 +29,15 @@ def lead_in_group(df: DataFrame, group: str, order: str, cols: Sequence[str],
     inner = Window.partitionBy(group, "_lg_r").orderBy(order)
     for c in cols:
         x = x.withColumn(f"_lg_{c}", F.lead(c).over(inner))
-    x = x.withColumn("_lg_last", F.lead(order).over(inner).isNull())
-    firsts = (df.withColumn("_lg_r", F.floor(F.col(order) / F.lit(width)))
-              .groupBy(group, "_lg_r")
-              .agg(F.min_by(F.struct(*cols), F.col(order)).alias("_lg_first")))
+    x = (x.withColumn("_lg_last", F.lead(order).over(inner).isNull())
+         .withColumn("_lg_head", F.lag(order).over(inner).isNull()))
+    # first row of every range, straight from the same window (no aggregate)
+    firsts = x.where(F.col("_lg_head")).select(group, "_lg_r",
+                                                F.struct(*cols).alias("_lg_first"))
     nxt = firsts.select(group, "_lg_r", F.lead("_lg_first").over(
         Window.partitionBy(group).orderBy("_lg_r")).alias("_lg_nf"))
     x = x.join(nxt, [group, "_lg_r"], "left")
     for c in cols:
         x = x.withColumn(prefix + c, F.when(F.col("_lg_last"), F.col("_lg_nf")[c])
                          .otherwise(F.col(f"_lg_{c}")))
-    return x.drop("_lg_r", "_lg_last", "_lg_nf", *[f"_lg_{c}" for c in cols])
+    return x.drop("_lg_r", "_lg_last", "_lg_head", "_lg_nf", *[f"_lg_{c}" for c in cols])
