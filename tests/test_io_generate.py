@@ -128,3 +128,30 @@ def test_stream_second_run_adds_nothing(spark, tmp_shared):
     n1 = spark.read.parquet(sink).count()
     stream_generate(spark, src, req.schema, sink, ck)
     assert n1 == 30 == spark.read.parquet(sink).count()
+
+
+def test_build_dataset_resume_calls_backend_once(spark, tmp_shared):
+    from tunedata.plans.builds import build_dataset
+    probs = spark.createDataFrame([(i, f"Task {i} has 3 steps. Do them. Report.") for i in range(6)],
+                                  "problem_id LONG, text STRING")
+    work = tmp_shared("resume")
+    first = build_dataset(probs, workdir=work).collect()
+    n1 = {s: spark.read.parquet(f"{work}/responses-{s}").count() for s in ("rewrite", "question")}
+    again = build_dataset(probs, workdir=work).collect()
+    n2 = {s: spark.read.parquet(f"{work}/responses-{s}").count() for s in ("rewrite", "question")}
+    # nothing asked twice; the six ambiguous variants are the same text
+    # ("Task some has some steps. ..."), so their question prompt is asked once
+    assert n1 == n2 == {"rewrite": 18, "question": 13}
+    assert sorted((r.record_id, r.position) for r in first) == \
+        sorted((r.record_id, r.position) for r in again)
+    assert sorted(r.position for r in first) == list(range(1, 19))
+
+
+def test_cross_class_with_single_original(spark):
+    from tunedata.operators.preference import cross_class_rejected
+    rows = [(0, "p0", "code0", "Original")] + [(i, f"p{i}", f"q{i}", "Ambiguous") for i in range(1, 30)]
+    df = spark.createDataFrame(rows, "record_id LONG, problem STRING, answer STRING, type STRING")
+    out = {r.record_id: r for r in cross_class_rejected(df, seed=3).collect()}
+    assert len(out) == 30
+    assert all(out[i].rejected == "code0" for i in range(1, 30))   # every other row: the code
+    assert out[0].rejected.startswith("q") and out[0].prompt == "Problem: p0\n\nSolution:"

@@ -210,8 +210,8 @@ def latest_attempt(responses: DataFrame) -> DataFrame:
     attempts only)."""
     # response / status break ties deterministically (a replayed append may
     # leave two rows with the same attempt; recomputation must pick the same)
-    w = Window.partitionBy("request_id").orderBy(
-        F.desc("attempt"), F.asc_nulls_last("response"), F.asc_nulls_last("status"))
+    ties = [F.asc_nulls_last(c) for c in ("response", "status") if c in responses.columns]
+    w = Window.partitionBy("request_id").orderBy(F.desc("attempt"), *ties)
     return (responses.withColumn("_n", F.row_number().over(w))
             .where(F.col("_n") == 1).drop("_n"))
 

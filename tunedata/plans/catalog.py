@@ -201,7 +201,7 @@ _VARIANTS = (f"SELECT doc_id, kind, {S.rule_variant('kind', 'text')} AS variant
 
 def _variants(spark, sf):
     e = P.expand_variants(_stripped(spark, sf))
-    e = e.withColumn("_sents", F.col("text")).withColumn("_sents", G.sentences("text"))
+    e = e.withColumn("_sents", G.sentences("text"))
     v = G.rule_variant(F.col("kind"), F.col("text"), F.col("_sents"))
     return e.select("doc_id", "kind", G.strip(v).alias("variant"))
 
@@ -880,8 +880,8 @@ def q_index_nonempty(spark, sf):
 # ---------------------------------------------------------------------------
 # Incremental generation (Structured Streaming, availableNow)
 # ---------------------------------------------------------------------------
-@register("stream_generate", ORACLE["generate_responses"].replace(
-    "SELECT DISTINCT request_id", "SELECT DISTINCT request_id", 1))
+# same answers as the batch job: every request once, whatever the batching
+@register("stream_generate", ORACLE["generate_responses"])
 def q_stream_generate(spark, sf):
     from tunedata.streaming.generate import stream_generate
     req = _requests(spark, sf).select("request_id", "stage", "kind", "text", "prompt")
