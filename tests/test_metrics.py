@@ -75,3 +75,15 @@ def test_value_counts(spark):
     got = [[(x.value, x.n) for x in r.vc] for r in M.with_value_counts(df, "s", "vc").collect()]
     assert got == [[("a", 1), ("b", 3), ("c", 1)], []]
     assert re.match(r"^\w", "x")
+
+
+def test_perplexities_one_pass_matches_separate(spark):
+    rows = [(i, t, TEXTS[(i + 2) % len(TEXTS)]) for i, t in enumerate(TEXTS)]
+    df = spark.createDataFrame(rows, "k LONG, a STRING, b STRING")
+    both = {r.k: (r.pa, r.pb) for r in M.perplexities(df, "k", {"pa": "a", "pb": "b"}).collect()}
+    sa = {r.k: r.perplexity for r in M.perplexity(df, "k", "a").collect()}
+    sb = {r.k: r.perplexity for r in M.perplexity(df, "k", "b").collect()}
+    assert set(both) == set(sa) == set(sb)
+    for k, (x, y) in both.items():
+        assert (x is None and sa[k] is None) or abs(x - sa[k]) < 1e-9
+        assert (y is None and sb[k] is None) or abs(y - sb[k]) < 1e-9

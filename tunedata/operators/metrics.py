@@ -90,27 +90,39 @@ def with_entropy(df: DataFrame, text: str, out: str = "entropy") -> DataFrame:
 
 
 # --- M4 ----------------------------------------------------------------------
-def bigram_pairs(df: DataFrame, key: str, text: str, max_tokens: int = 1024) -> DataFrame:
-    """(key, p, w, n): every (previous, token) pair of each text's first
-    ``max_tokens`` lower-cased tokens (n = 1; the corpus-wide count is
-    combined map-side by the aggregate that follows)."""
-    t = df.select(key, F.slice(tokens(F.lower(F.col(text))), 1, max_tokens).alias("_t"))
+def bigram_pairs(df: DataFrame, key: str, text: str, max_tokens: int = 1024,
+                 source: str | None = None) -> DataFrame:
+    """(key, [src,] p, w, n): every (previous, token) pair of each text's
+    first ``max_tokens`` lower-cased tokens (n = 1; the corpus-wide count is
+    combined map-side by the aggregate that follows). ``source`` tags the
+    pairs with the column they came from (several models in one pass)."""
+    tag = [F.lit(source).alias("src")] if source is not None else []
+    t = df.select(key, *tag, F.slice(tokens(F.lower(F.col(text))), 1, max_tokens).alias("_t"))
     tc = F.col("_t")
     prev = F.concat(F.array(F.lit(START)), F.slice(tc, 1, F.greatest(F.size(tc) - 1, F.lit(0))))
     zipped = F.when(F.size(tc) > 0, F.arrays_zip(prev.alias("p"), tc.alias("w")))
     # explode_outer + null filter: a plain explode makes Catalyst infer a
     # size(...) > 0 filter and push it (with the tokenizer) below this project
-    ex = t.select(key, F.explode_outer(zipped).alias("_v")).where(F.col("_v").isNotNull())
-    return ex.select(key, F.col("_v.p").alias("p"), F.col("_v.w").alias("w"),
-                     F.lit(1).cast("long").alias("n"))
+    ex = (t.select(key, *[F.col("src")] * bool(tag), F.explode_outer(zipped).alias("_v"))
+          .where(F.col("_v").isNotNull()))
+    return ex.select(key, *[F.col("src")] * bool(tag), F.col("_v.p").alias("p"),
+                     F.col("_v.w").alias("w"), F.lit(1).cast("long").alias("n"))
+
+
+def bigram_model(pairs: DataFrame, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(by, p, w, c) pair counts, (by, p, cp) previous-token totals and
+    (by, v) vocabulary sizes; ``by`` separates models trained in one pass."""
+    by = list(by)
+    c = pairs.groupBy(*by, "p", "w").agg(F.sum("n").alias("c"))
+    cp = c.groupBy(*by, "p").agg(F.sum("c").alias("cp"))
+    v = c.groupBy(*by).agg(F.countDistinct("w").alias("v"))
+    return c, cp, v
 
 
-def bigram_model(pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(p, w, c) pair counts, (p, cp) previous-token totals, one-row (v) vocab size."""
-    c = pairs.groupBy("p", "w").agg(F.sum("n").alias("c"))
-    cp = c.groupBy("p").agg(F.sum("c").alias("cp"))
-    v = c.agg(F.countDistinct("w").alias("v"))
-    return c, cp, v
+def _no_tokens(text: str):
+    # a text has no token iff it has no non-whitespace character (every such
+    # character starts a token), so no second tokenizer pass is needed
+    return ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\s]")
 
 
 def perplexity(df: DataFrame, key: str, text: str, max_tokens: int = 1024,
@@ -132,13 +144,35 @@ def perplexity(df: DataFrame, key: str, text: str, max_tokens: int = 1024,
                 / (F.coalesce(F.col("cp"), F.lit(0)) + F.col("v")))
     per = scored.groupBy(key).agg((F.sum(F.col("n") * nll) / F.sum("n")).alias("_m"))
     got = per.select(key, F.exp("_m").alias(out))
-    # a text has no token iff it has no non-whitespace character (every such
-    # character starts a token), so no second tokenizer pass is needed
-    empty = (df.where(~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\s]"))
-             .select(key, F.lit(None).cast("double").alias(out)))
+    empty = df.where(_no_tokens(text)).select(key, F.lit(None).cast("double").alias(out))
     return got.unionByName(empty)
 
 
+def perplexities(df: DataFrame, key: str, texts: dict[str, str],
+                 max_tokens: int = 1024) -> DataFrame:
+    """Several self-trained perplexities in one pass: ``texts`` maps output
+    column -> text column; each column gets its own model (the column name is
+    part of every model key), all pairs share one set of shuffles."""
+    pairs = None
+    for out, text in texts.items():
+        p = bigram_pairs(df, key, text, max_tokens, source=out)
+        pairs = p if pairs is None else pairs.unionByName(p)
+    c, cp, v = bigram_model(pairs, by=("src",))
+    model = c.join(cp, ["src", "p"]).join(F.broadcast(v), "src")      # v: one row per column
+    scored = pairs.join(model, ["src", "p", "w"])
+    nll = -F.ln((F.col("c") + 1) / (F.col("cp") + F.col("v")))
+    # one aggregate for all columns: a column without tokens gets NULL
+    per = scored.groupBy(key).agg(*[
+        F.exp(F.sum(F.when(F.col("src") == o, F.col("n") * nll))
+              / F.sum(F.when(F.col("src") == o, F.col("n")))).alias(o) for o in texts])
+    all_empty = F.lit(True)
+    for t in texts.values():
+        all_empty = all_empty & _no_tokens(t)
+    empty = df.where(all_empty).select(key, *[F.lit(None).cast("double").alias(o)
+                                              for o in texts])
+    return per.unionByName(empty)
+
+
 # --- M5 / M6 / M7 ------------------------------------------------------------
 def record_metrics(df: DataFrame, key: str = "record_id", problem: str = "problem",
                    answer: str = "answer", max_tokens: int = 1024) -> DataFrame:
@@ -147,9 +181,9 @@ def record_metrics(df: DataFrame, key: str = "record_id", problem: str = "proble
                                      "problem_entropy"), answer, "answer_entropy")
     base = (base.withColumn("problem_entropy", F.round("problem_entropy", 4))
             .withColumn("answer_entropy", F.round("answer_entropy", 4)))
-    pp = perplexity(df, key, problem, max_tokens, out="problem_perplexity")
-    ap = perplexity(df, key, answer, max_tokens, out="answer_perplexity")
-    return (base.join(pp, key, "left").join(ap, key, "left")
+    ppl = perplexities(df, key, {"problem_perplexity": problem, "answer_perplexity": answer},
+                       max_tokens)
+    return (base.join(ppl, key, "left")
             .withColumn("problem_perplexity", F.round("problem_perplexity", 4))
             .withColumn("answer_perplexity", F.round("answer_perplexity", 4)))
 
