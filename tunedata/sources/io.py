@@ -28,10 +28,21 @@ def read_problem_dirs(spark: SparkSession, root: str, filename: str = "question.
     ``\\r\\n`` normalised and stripped as upstream. ``<id>`` may also be the
     ``name=value`` folder a partitioned Spark write creates."""
     base = root.rstrip("/")
-    # recursive listing runs in parallel (no driver-side glob over every
-    # folder); the path filter keeps exactly <root>/<id>/<file>
-    raw = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", filename)
-           .text(base, wholetext=True))
+    # Recursive listing runs as a parallel Spark job (no driver-side glob over
+    # every folder). Its default parallelism is one task per folder (up to
+    # 10,000 tiny tasks); a few tasks per core list the same folders faster.
+    # The path filter keeps exactly <root>/<id>/<file>.
+    conf = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(conf, None)
+    spark.conf.set(conf, str(max(8, 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        raw = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", filename)
+               .text(base, wholetext=True))
+    finally:
+        if before is None:
+            spark.conf.unset(conf)
+        else:
+            spark.conf.set(conf, before)
     path = F.col("_metadata.file_path")
     one_level = path.rlike(r"^.*" + re.escape(base.split("://")[-1]) + r"/[^/]+/[^/]+$")
     folder = F.regexp_extract(path, r"/([^/]+)/[^/]+$", 1)
@@ -42,8 +53,13 @@ def read_problem_dirs(spark: SparkSession, root: str, filename: str = "question.
 
 def write_problem_dirs(df: DataFrame, root: str, key: str = "problem_id",
                        text: str = "text") -> None:
-    """One folder per problem (``<root>/<key>=<id>/part-*.txt``)."""
-    (df.select(key, text).repartition(key).write.mode("overwrite")
+    """One folder per problem (``<root>/<key>=<id>/part-*.txt``).
+
+    An explicit partition count keeps every core writing: with a plain
+    ``repartition(key)`` AQE would coalesce small data into one task that
+    then creates every folder alone."""
+    n = 2 * df.sparkSession.sparkContext.defaultParallelism
+    (df.select(key, text).repartition(n, key).write.mode("overwrite")
      .partitionBy(key).text(root))
 
 
