@@ -46,4 +46,6 @@ def test_python_only_in_generation_hook(spark):
 def test_pruning_reaches_scan(spark):
     df = E.queries()["type_counts"](spark, SF001)
     plan = _plan(df)
-    assert "ReadSchema: struct<conv_id:bigint,turn:bigint,role:string>" in plan
+    assert "ReadSchema: struct<type:string>" in plan          # only the grouped column
+    docs = E.queries()["entropy"](spark, SF001)
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in _plan(docs)

@@ -8,6 +8,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# Derived views are written once per session into the shared checkpoint
+# folder and read back as parquet (a written table cuts the lineage: queries
+# that use a view several times do not recompute its windows and joins).
+# The key includes the source files' size and mtime, so changed inputs are
+# never served from an old copy.
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _signature(sf_dir: str, sources: tuple[str, ...]) -> tuple:
+    sig = []
+    for t in sources:
+        p = f"{sf_dir.rstrip('/')}/{t}.parquet"
+        try:
+            st = os.stat(p)
+            sig.append((t, st.st_size, st.st_mtime_ns))
+        except OSError:                      # not a local path: key by name only
+            sig.append((t,))
+    return tuple(sig)
+
+
+def _written(spark: SparkSession, sf_dir: str, name: str, sources: tuple[str, ...],
+             build) -> DataFrame:
+    from tunedata.session import scratch_path
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name,
+           _signature(sf_dir, sources))
+    path = _WRITTEN.get(key)
+    if path is None:
+        path = scratch_path(spark, f"view-{name}")
+        build().write.mode("overwrite").parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(path)
+
+
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     # lead() by conversation, with windows bounded by turn ranges so a very
     # long conversation is not one task (operators.windows).
@@ -32,6 +67,16 @@ def _type_by_conv() -> F.Column:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(spark, sf_dir, "records", ("conversations",),
+                    lambda: _records(spark, sf_dir))
+
+
+def requests_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(spark, sf_dir, "requests_open", ("conversations",),
+                    lambda: _requests_open(spark, sf_dir))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _turns(spark, sf_dir)
     return x.where((F.col("role") == "user") & (F.col("next_role") == "assistant")).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("record_id"),
@@ -41,7 +86,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def requests_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _requests_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _turns(spark, sf_dir)
     return x.where((F.col("role") == "user")
                    & (F.coalesce(F.col("next_role"), F.lit("")) != "assistant")).select(
@@ -56,6 +101,11 @@ def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(spark, sf_dir, "classed", ("labels", "documents"),
+                    lambda: _classed(spark, sf_dir))
+
+
+def _classed(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return labels.join(docs, "doc_id").select(
