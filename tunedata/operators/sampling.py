@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from tunedata.functions import templates as T
 from tunedata.functions.text import col_, seeded_key
 from tunedata.operators.rank import hash_rank
+from tunedata.session import default_parallelism
 
 ORIGINAL_FLAG = "is_original"
 
@@ -97,6 +98,9 @@ def oversample(df: DataFrame, target: int, key: str, seed: int = 0,
              .select((F.col("id") + 1).alias(sample_id),
                      drawn_rank(seed, F.col("id"), n).alias("_rank")))
     ranked = hash_rank(df, seed, key, name="_rank")
+    # Draws are uniform over ranks. A tiny class with a huge target sends all
+    # draws to few ranks; then the ranked side is tiny and AQE broadcasts it
+    # after its runtime size check (or splits the skewed draw partitions).
     return draws.join(ranked, "_rank").drop("_rank")
 
 
@@ -151,7 +155,7 @@ def write_shuffled(df: DataFrame, path: str, position: str = "position",
                    fmt: str = "json", partitions: int | None = None) -> None:
     """Write rows in ``position`` order: range partitions + local sort (files
     ``part-00000 ...`` concatenate to the permutation)."""
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = partitions or default_parallelism(df.sparkSession)
     out = df.repartitionByRange(n, position).sortWithinPartitions(position)
     out.write.mode("overwrite").option("ignoreNullFields", "false").format(fmt).save(path)
 

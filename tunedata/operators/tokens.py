@@ -121,11 +121,17 @@ def labels_v2(records: DataFrame, vocab: DataFrame, key: str = "record_id",
 
 # --- T6 ----------------------------------------------------------------------
 def pad_batches(df: DataFrame, batch: str = "batch_id", multiple: int = 8,
-                ids: str = "input_ids", labels: str = "labels") -> DataFrame:
+                ids: str = "input_ids", labels: str = "labels",
+                within: Sequence[str] = ()) -> DataFrame:
     """Left-pad every row to the batch width = batch max rounded up to a
-    multiple of ``multiple``; pad id 0, labels -100, mask 0/1."""
+    multiple of ``multiple``; pad id 0, labels -100, mask 0/1.
+
+    ``within``: columns that already contain each batch (e.g. ``mega_id`` from
+    ``length_batches``); the width window then reuses that partitioning
+    instead of shuffling the id arrays again."""
     n = F.size(ids)
-    width = (F.ceil(F.max(n).over(Window.partitionBy(batch)) / F.lit(float(multiple)))
+    part = Window.partitionBy(*within, batch)
+    width = (F.ceil(F.max(n).over(part) / F.lit(float(multiple)))
              * multiple).cast("int")
     pad = F.col("_width") - n
     return (df.withColumn("_width", width).select(
@@ -138,17 +144,19 @@ def pad_batches(df: DataFrame, batch: str = "batch_id", multiple: int = 8,
 
 # --- T7 ----------------------------------------------------------------------
 def length_batches(df: DataFrame, length: str, key: str, seed: int = 42,
-                   batch_size: int = 4, mega: int = 50) -> DataFrame:
+                   batch_size: int = 4, mega: int = 50, keep_mega: bool = False) -> DataFrame:
     """Length-grouped batches: seeded shuffle -> mega-batches of
-    ``mega * batch_size`` rows -> sort by length desc inside -> cut."""
+    ``mega * batch_size`` rows -> sort by length desc inside -> cut.
+    ``keep_mega`` keeps ``mega_id`` (rows stay partitioned by it)."""
     r = hash_rank(df, seed, key, name="_rk")
-    m = F.floor((F.col("_rk") - 1) / F.lit(mega * batch_size))
-    w = Window.partitionBy("_mega").orderBy(F.desc(length), "_rk")
-    return (r.withColumn("_mega", m)
-            .withColumn("_j", F.row_number().over(w))
-            .withColumn("batch_id", (F.col("_mega") * mega
-                                     + F.floor((F.col("_j") - 1) / F.lit(batch_size))).cast("long"))
-            .drop("_rk", "_mega", "_j"))
+    m = F.floor((F.col("_rk") - 1) / F.lit(mega * batch_size)).cast("long")
+    w = Window.partitionBy("mega_id").orderBy(F.desc(length), "_rk")
+    out = (r.withColumn("mega_id", m)
+           .withColumn("_j", F.row_number().over(w))
+           .withColumn("batch_id", (F.col("mega_id") * mega
+                                    + F.floor((F.col("_j") - 1) / F.lit(batch_size))).cast("long"))
+           .drop("_rk", "_j"))
+    return out if keep_mega else out.drop("mega_id")
 
 
 def sequential_batches(df: DataFrame, key: str, seed: int = 42, batch_size: int = 4) -> DataFrame:

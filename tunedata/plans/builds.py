@@ -87,6 +87,7 @@ def build_batches(records: DataFrame, key: str = "record_id", seed: int = 42,
     lab = TK.causal_labels(enc)
     train = R.train_val_split(lab, key, seed).where(F.col("split") == "train").drop("split")
     batched = TK.length_batches(train.withColumn("_len", F.size("input_ids")), "_len", key,
-                                seed, batch_size, mega).drop("_len")
-    return TK.pad_batches(batched).select(key, "batch_id", "width", "input_ids",
-                                          "attention_mask", "labels")
+                                seed, batch_size, mega, keep_mega=True).drop("_len")
+    # batches never cross mega-batches: pad inside the existing partitioning
+    return TK.pad_batches(batched, within=("mega_id",)).select(
+        key, "batch_id", "width", "input_ids", "attention_mask", "labels")

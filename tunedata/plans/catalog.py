@@ -732,9 +732,10 @@ FROM w"""
 @register("pad_batches", _PAD, ("records",))
 def q_pad_batches(spark, sf):
     enc = TK.causal_labels(_encoded(spark, sf, P.concat_v1(), 512))
-    b = TK.length_batches(enc.withColumn("_n", F.size("input_ids")), "_n", "record_id")
-    return TK.pad_batches(b.drop("_n")).select("record_id", "batch_id", "width", "input_ids",
-                                                "attention_mask", "labels")
+    b = TK.length_batches(enc.withColumn("_n", F.size("input_ids")), "_n", "record_id",
+                          keep_mega=True)
+    return TK.pad_batches(b.drop("_n"), within=("mega_id",)).select(
+        "record_id", "batch_id", "width", "input_ids", "attention_mask", "labels")
 
 
 def _waste_sql(batches: str, name: str) -> str:

@@ -16,6 +16,7 @@ from pyspark.sql import types as ST
 
 from tunedata.functions.text import normalize_newlines, strip
 from tunedata.operators.rank import key_rank
+from tunedata.session import default_parallelism
 
 CORRUPT = "_corrupt_record"
 
@@ -34,7 +35,7 @@ def read_problem_dirs(spark: SparkSession, root: str, filename: str = "question.
     # The path filter keeps exactly <root>/<id>/<file>.
     conf = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
     before = spark.conf.get(conf, None)
-    spark.conf.set(conf, str(max(8, 2 * spark.sparkContext.defaultParallelism)))
+    spark.conf.set(conf, str(max(8, 2 * default_parallelism(spark))))
     try:
         raw = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", filename)
                .text(base, wholetext=True))
@@ -58,7 +59,7 @@ def write_problem_dirs(df: DataFrame, root: str, key: str = "problem_id",
     An explicit partition count keeps every core writing: with a plain
     ``repartition(key)`` AQE would coalesce small data into one task that
     then creates every folder alone."""
-    n = 2 * df.sparkSession.sparkContext.defaultParallelism
+    n = 2 * default_parallelism(df.sparkSession)
     (df.select(key, text).repartition(n, key).write.mode("overwrite")
      .partitionBy(key).text(root))
 

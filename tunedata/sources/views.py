@@ -42,8 +42,8 @@ def _signature(sf_dir: str, sources: tuple[str, ...]) -> tuple:
 
 def _written(spark: SparkSession, sf_dir: str, name: str, sources: tuple[str, ...],
              build) -> DataFrame:
-    from tunedata.session import scratch_path
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name,
+    from tunedata.session import app_id, scratch_path
+    key = (app_id(spark), os.path.abspath(sf_dir), name,
            _signature(sf_dir, sources))
     path = _WRITTEN.get(key)
     if path is None:
