@@ -107,3 +107,15 @@ def test_lead_in_group_matches_window(spark):
     w = Window.partitionBy("g").orderBy("o")
     exp = {(r.g, r.o): r.n for r in df.select("g", "o", F.lead("v").over(w).alias("n")).collect()}
     assert got == exp
+
+
+def test_write_shuffled_files_follow_positions(spark, tmp_shared):
+    import glob
+    import json
+    path = tmp_shared("shuffled")
+    df = R.shuffle_positions(_classes(spark, 40, 60), "record_id", seed=8)
+    R.write_shuffled(df, path, partitions=4)
+    seen = []
+    for f in sorted(glob.glob(f"{path}/part-*.json")):
+        seen += [json.loads(line)["position"] for line in open(f)]
+    assert seen == list(range(1, 101))
