@@ -111,7 +111,9 @@ def rule_questions(kind: Column, sents_col: str) -> Column:
 
 
 def question_sentences(sents: Column) -> Column:
-    cleaned = F.transform(sents, lambda s: F.regexp_replace(strip(s), r"[.]+$", ""))
+    """Stripped sentences without trailing periods, blanks dropped (rtrim of
+    '.' on stripped text equals removing a final run of periods)."""
+    cleaned = F.transform(sents, lambda s: F.rtrim(strip(s), F.lit(".")))
     return F.filter(cleaned, lambda s: s != "")
 
 
