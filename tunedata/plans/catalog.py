@@ -80,16 +80,14 @@ SELECT count(*) AS records,
        round(avg(CASE WHEN n > 512 THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS share_over_512,
        CAST(sum(CASE WHEN n > 2048 THEN 1 ELSE 0 END) AS BIGINT) AS over_2048,
        round(avg(CASE WHEN n > 2048 THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS share_over_2048
-FROM (SELECT {_PROFILE_N} AS n FROM problems_as_records) t HAVING count(*) > 0""")
+FROM (SELECT {_PROFILE_N} AS n FROM (SELECT text AS problem, CAST(NULL AS VARCHAR) AS answer
+                                   FROM documents) d) t HAVING count(*) > 0""")
 def q_truncation_report(spark, sf):
     docs = V.problems(spark, sf).select(F.col("text").alias("problem"),
                                         F.lit(None).cast("string").alias("answer"))
     return M.truncation_report(docs)
 
 
-ORACLE["truncation_report"] = ORACLE["truncation_report"].replace(
-    "problems_as_records", "(SELECT text AS problem, CAST(NULL AS VARCHAR) AS answer "
-    "FROM documents)")
 
 _ENTROPY_SQL = f"""
 ent_t AS (SELECT doc_id, unnest({S.toks('lower(text)')}) AS tok FROM problems),
