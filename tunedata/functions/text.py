@@ -19,6 +19,7 @@ WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 # Java regex (Spark) and RE2 (DuckDB).
 TOKEN_PATTERN = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]"
 SENTENCE_PATTERN = r"[^.\n]*[.\n]+|[^.\n]+$"
+FIRST_SENTENCE_PATTERN = r"^(?:[^.\n]*[.\n]+|[^.\n]+$)"
 NUMBER_PATTERN = r"[0-9]+"
 
 
@@ -41,6 +42,12 @@ def tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(col_(c), F.lit(TOKEN_PATTERN), 0)
 
 
+def first_sentence(c: Column | str) -> Column:
+    """``sentences(c)[0]`` without splitting the whole text ('' if empty): the
+    first sentence match of a non-empty text always starts at position 0."""
+    return F.regexp_extract(col_(c), FIRST_SENTENCE_PATTERN, 0)
+
+
 def sentences(c: Column | str) -> Column:
     """Lossless split into sentences: ``array_join(sentences(t), '') == t``."""
     return F.regexp_extract_all(col_(c), F.lit(SENTENCE_PATTERN), 0)

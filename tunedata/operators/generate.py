@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from tunedata.functions import templates as T
-from tunedata.functions.text import NUMBER_PATTERN, col_, sentences, strip
+from tunedata.functions.text import NUMBER_PATTERN, col_, first_sentence, sentences, strip
 
 RESPONSE_SCHEMA = ST.StructType([
     ST.StructField("request_id", ST.StringType()),
@@ -81,17 +81,14 @@ def pending_requests(requests: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 # --- G7 / G8 (rules backend) -------------------------------------------------
-def _with_sentences(df: DataFrame, text: str, out: str = "_sents") -> DataFrame:
-    return df.withColumn(out, sentences(text))
-
-
 def rule_variant(kind: Column, text: Column, sents: Column) -> Column:
     """ambiguous: number runs -> 'some'; inconsistent: add the negation of the
     first sentence; incomplete: drop the last ``least(n-1, max(1, n//3))`` of
-    n sentences. ``sents`` must be a column holding ``sentences(text)``."""
+    n sentences. ``sents`` must be a column holding ``sentences(text)`` (only
+    read for 'incomplete')."""
     n = F.size(sents)
     drop = F.least(n - 1, F.greatest(F.lit(1), F.floor(n / F.lit(3)).cast("int")))
-    first = F.coalesce(strip(F.get(sents, 0)), F.lit(""))
+    first = strip(first_sentence(text))
     return (F.when(kind == "ambiguous", F.regexp_replace(text, NUMBER_PATTERN, "some"))
             .when(kind == "inconsistent", F.concat(text, F.lit("\n" + NEGATION_LEAD), first))
             .when(kind == "incomplete", F.array_join(F.slice(sents, 1, n - drop), "")))
@@ -119,9 +116,14 @@ def question_sentences(sents: Column) -> Column:
 
 def rules_backend(requests: DataFrame, text: str = "text") -> DataFrame:
     """Catalyst stand-in: response per (stage, kind, text)."""
-    staged = _with_sentences(requests, text).withColumn(
+    stage, kind = F.col("stage"), F.col("kind")
+    # full sentence arrays only where an output reads them (an ambiguous
+    # rewrite needs none, an inconsistent one only the first sentence)
+    need = ((stage == "question") | ((stage == "reject") & (kind == "original"))
+            | ((stage == "rewrite") & (kind == "incomplete")))
+    staged = requests.withColumn("_sents", F.when(need, sentences(text))).withColumn(
         "_qs", question_sentences(F.col("_sents")))
-    kind, t, sents = F.col("kind"), F.col(text), F.col("_sents")
+    t, sents = F.col(text), F.col("_sents")
     reject_kind = F.when(kind == "original", F.lit("ambiguous")).otherwise(F.lit("inconsistent"))
     resp = (F.when(F.col("stage") == "rewrite", strip(rule_variant(kind, t, sents)))
             .when(F.col("stage") == "question", rule_questions(kind, "_qs"))
