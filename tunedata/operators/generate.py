@@ -24,7 +24,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
@@ -210,14 +210,17 @@ def responses_at(requests: DataFrame, path: str, backend="rules", text: str = "t
 
 # --- G5 / G6 -----------------------------------------------------------------
 def latest_attempt(responses: DataFrame) -> DataFrame:
-    """One row per request: the highest attempt (a window over one request's
-    attempts only)."""
-    # response / status break ties deterministically (a replayed append may
-    # leave two rows with the same attempt; recomputation must pick the same)
-    ties = [F.asc_nulls_last(c) for c in ("response", "status") if c in responses.columns]
-    w = Window.partitionBy("request_id").orderBy(F.desc("attempt"), *ties)
-    return (responses.withColumn("_n", F.row_number().over(w))
-            .where(F.col("_n") == 1).drop("_n"))
+    """One row per request: the highest attempt.
+
+    An aggregate, not a window: ``max_by`` is combined map-side, so a request
+    with very many attempts is never one task. Ties on the attempt (a replayed
+    append) are broken by response, then status, so recomputation after a
+    lost executor keeps the same row."""
+    cols = responses.columns
+    order = [c for c in ("attempt", "response", "status") if c in cols]
+    best = (responses.groupBy("request_id")
+            .agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_best")))
+    return best.select(*[F.col("_best")[c].alias(c) for c in cols])
 
 
 def repair_empty(responses: DataFrame, requests: DataFrame, backend="rules",
