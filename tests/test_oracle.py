@@ -47,3 +47,15 @@ def test_entry(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert {"record_id", "problem", "answer", "type", "position"} <= set(df.columns)
+
+
+@pytest.mark.parametrize("key", ["balance_downsample", "cross_class_rejected", "length_batches",
+                                 "encode", "perplexity", "index_nonempty", "build_vocab"])
+def test_result_independent_of_shuffle_partitions(spark, key):
+    out = []
+    for parts in ("1", "64"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        df = E.queries()[key](spark, SF001)
+        out.append(Counter(tuple(_norm(x) for x in r) for r in df.collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert out[0] == out[1]
