@@ -87,3 +87,31 @@ def test_perplexities_one_pass_matches_separate(spark):
     for k, (x, y) in both.items():
         assert (x is None and sa[k] is None) or abs(x - sa[k]) < 1e-9
         assert (y is None and sb[k] is None) or abs(y - sb[k]) < 1e-9
+
+
+def test_perplexity_with_separate_corpus(spark):
+    corpus = ["the cat sat", "the dog sat down", "a cat"]
+    scored = ["the cat ran", "zebra", ""]
+    seqs = [_toks(t)[:1024] for t in corpus]
+    pair, prev = Counter(), Counter()
+    for s in seqs:
+        for j, w in enumerate(s):
+            pair[("<s>" if j == 0 else s[j - 1], w)] += 1
+    for (p, _), n in pair.items():
+        prev[p] += n
+    v = len({w for s in seqs for w in s})
+    exp = {}
+    for i, t in enumerate(scored):
+        s = _toks(t)
+        if not s:
+            exp[i] = None
+            continue
+        nll = [-math.log((pair[("<s>" if j == 0 else s[j - 1], w)] + 1)
+                         / (prev["<s>" if j == 0 else s[j - 1]] + v)) for j, w in enumerate(s)]
+        exp[i] = math.exp(sum(nll) / len(nll))
+    df = spark.createDataFrame(list(enumerate(scored)), "k LONG, text STRING")
+    cdf = spark.createDataFrame(list(enumerate(corpus)), "k LONG, text STRING")
+    got = {r.k: r.perplexity for r in M.perplexity(df, "k", "text", corpus=cdf).collect()}
+    assert set(got) == set(exp)
+    for k, e in exp.items():
+        assert (got[k] is None) if e is None else abs(got[k] - e) < 1e-9

@@ -137,9 +137,15 @@ def perplexity(df: DataFrame, key: str, text: str, max_tokens: int = 1024,
     train = pairs if corpus is None else bigram_pairs(
         corpus, corpus_key or key, corpus_text or text, max_tokens)
     c, cp, v = bigram_model(train)
-    how = "inner" if corpus is None else "left"
-    scored = (pairs.join(c.join(cp, "p"), ["p", "w"], how)
-              .crossJoin(F.broadcast(v)))                        # v: one row
+    if corpus is None:
+        # every scored pair is in the model: join the (smaller) model tables
+        # first, so the pair table is shuffled once
+        scored = pairs.join(c.join(cp, "p"), ["p", "w"])
+    else:
+        # an unseen pair can still have a known previous token: look up the
+        # pair count and the previous-token total independently
+        scored = pairs.join(c, ["p", "w"], "left").join(cp, "p", "left")
+    scored = scored.crossJoin(F.broadcast(v))                    # v: one row
     nll = -F.ln((F.coalesce(F.col("c"), F.lit(0)) + 1)
                 / (F.coalesce(F.col("cp"), F.lit(0)) + F.col("v")))
     per = scored.groupBy(key).agg((F.sum(F.col("n") * nll) / F.sum("n")).alias("_m"))
