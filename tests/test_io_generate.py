@@ -155,3 +155,18 @@ def test_cross_class_with_single_original(spark):
     assert len(out) == 30
     assert all(out[i].rejected == "code0" for i in range(1, 30))   # every other row: the code
     assert out[0].rejected.startswith("q") and out[0].prompt == "Problem: p0\n\nSolution:"
+
+
+def test_responses_at_retries_failures_with_next_attempt(spark, tmp_shared):
+    def down(p):
+        raise G.QuotaExceeded("429")
+
+    req = _requests(spark, 3)
+    path = tmp_shared("responses")
+    first = {r.status for r in G.responses_at(req, path, down, retry_wait=0).collect()}
+    assert first == {"quota"}
+    again = G.responses_at(req, path, lambda p: "fine", retry_wait=0).collect()
+    assert {(r.status, r.attempt, r.response) for r in again} == {("ok", 3, "fine")}
+    # nothing pending any more: a third run appends nothing
+    G.responses_at(req, path, down, retry_wait=0)
+    assert spark.read.parquet(path).count() == 6

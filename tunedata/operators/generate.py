@@ -188,6 +188,16 @@ def generate_responses(requests: DataFrame, backend="rules", text: str = "text",
         _python_runner(backend, retry_wait, attempt_base), RESPONSE_SCHEMA)
 
 
+def number_after(new: DataFrame, previous: DataFrame) -> DataFrame:
+    """Attempts of ``new`` continue after each request's last attempt in
+    ``previous`` (a retried request gets attempt n + 1, n + 2, ...)."""
+    last = previous.groupBy("request_id").agg(F.max("attempt").alias("_prev"))
+    return (new.join(last, "request_id", "left")
+            .withColumn("attempt", (F.coalesce(F.col("_prev"), F.lit(0))
+                                    + F.col("attempt")).cast("int"))
+            .drop("_prev").select(*new.columns))
+
+
 def responses_at(requests: DataFrame, path: str, backend="rules", text: str = "text",
                  retry_wait: float = 60.0) -> DataFrame:
     """The persisted response table for ``requests`` at ``path`` (shared
@@ -199,12 +209,17 @@ def responses_at(requests: DataFrame, path: str, backend="rules", text: str = "t
     spark = requests.sparkSession
     try:
         done = spark.read.schema(RESPONSE_SCHEMA).parquet(path)
-        todo = pending_requests(requests, done)
+        done.limit(0).collect()                                  # exists?
     except Exception as e:  # noqa: BLE001 - first run: no table yet
         if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
             raise
-        todo = requests
-    generate_responses(todo, backend, text, retry_wait).write.mode("append").parquet(path)
+        done = None
+    if done is None:
+        new = generate_responses(requests, backend, text, retry_wait)
+    else:
+        todo = pending_requests(requests, done)
+        new = number_after(generate_responses(todo, backend, text, retry_wait), done)
+    new.write.mode("append").parquet(path)
     return latest_attempt(spark.read.schema(RESPONSE_SCHEMA).parquet(path))
 
 
@@ -229,10 +244,7 @@ def repair_empty(responses: DataFrame, requests: DataFrame, backend="rules",
     the new attempt (previous attempt + 1) replaces the old one; every other
     row is kept as it is."""
     current = latest_attempt(responses)
-    empty = current.where(F.col("response") == "").select(
-        "request_id", F.col("attempt").alias("_prev"))
-    todo = requests.join(empty.select("request_id"), "request_id", "left_semi")
-    again = (generate_responses(todo, backend, text, retry_wait).join(empty, "request_id")
-             .withColumn("attempt", (F.col("_prev") + F.col("attempt")).cast("int"))
-             .drop("_prev"))
+    empty = current.where(F.col("response") == "").select("request_id")
+    todo = requests.join(empty, "request_id", "left_semi")
+    again = number_after(generate_responses(todo, backend, text, retry_wait), current)
     return latest_attempt(current.unionByName(again.select(*current.columns)))

@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as ST
 
-from tunedata.operators.generate import RESPONSE_SCHEMA, generate_responses, pending_requests
+from tunedata.operators.generate import (RESPONSE_SCHEMA, generate_responses, number_after,
+                                         pending_requests)
 
 
 def _ensure_table(spark: SparkSession, path: str) -> None:
@@ -34,7 +35,7 @@ def stream_generate(spark: SparkSession, requests_dir: str, schema: ST.StructTyp
     def batch(df: DataFrame, epoch_id: int) -> None:
         done = spark.read.schema(RESPONSE_SCHEMA).parquet(sink)
         todo = pending_requests(df.dropDuplicates(["request_id"]), done)
-        generate_responses(todo, backend).write.mode("append").parquet(sink)
+        number_after(generate_responses(todo, backend), done).write.mode("append").parquet(sink)
 
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
