@@ -119,3 +119,14 @@ def test_write_shuffled_files_follow_positions(spark, tmp_shared):
     for f in sorted(glob.glob(f"{path}/part-*.json")):
         seen += [json.loads(line)["position"] for line in open(f)]
     assert seen == list(range(1, 101))
+
+
+def test_build_preferences_oversample_keys_draws(spark):
+    from tunedata.plans.builds import build_preferences
+    rows = [(i, f"p{i}", f"a{i}", "Original" if i < 5 else "Ambiguous") for i in range(40)]
+    df = spark.createDataFrame(rows, "record_id LONG, problem STRING, answer STRING, type STRING")
+    out = build_preferences(df, ratio=(50, 50), mode="oversample", seed=1).collect()
+    ids = [r.record_id for r in out]
+    assert len(ids) == len(set(ids)) == 70                   # 35 + 35, Originals drawn again
+    assert sum(r.type == "Original" for r in out) == 35
+    assert all(r.rejected.startswith("a") for r in out)
