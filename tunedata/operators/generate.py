@@ -183,6 +183,8 @@ def generate_responses(requests: DataFrame, backend="rules", text: str = "text",
         return out if attempt_base == 1 else out.withColumn("attempt", F.lit(attempt_base))
     if not callable(backend):
         raise ValueError("backend must be 'rules' or a callable prompt -> text")
+    from tunedata.session import ship_package
+    ship_package(requests.sparkSession)
     distinct = requests.select("request_id", "prompt").dropDuplicates(["request_id"])
     return distinct.mapInPandas(
         _python_runner(backend, retry_wait, attempt_base), RESPONSE_SCHEMA)

@@ -3,6 +3,8 @@ shared scratch location every job that writes intermediate data uses."""
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -73,3 +75,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused path under the shared checkpoint folder."""
     root = checkpoint_root(spark)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tunedata`` importable in Python workers (once per application).
+
+    Only Python-backend generation needs this: its ``mapInPandas`` function
+    refers to this package. The zip is built on the driver and distributed by
+    Spark (``addPyFile``), the same way ``--py-files`` ships code.
+    """
+    key = app_id(spark)
+    if key in _SHIPPED:
+        return
+    import tunedata
+    pkg = os.path.dirname(os.path.abspath(tunedata.__file__))
+    build = tempfile.mkdtemp(prefix="tunedata-pkg-")
+    archive = shutil.make_archive(os.path.join(build, "tunedata"), "zip",
+                                  root_dir=os.path.dirname(pkg), base_dir="tunedata")
+    sc = _context(spark)
+    if sc is not None:
+        sc.addPyFile(archive)
+    else:
+        spark.addArtifacts(archive, pyfile=True)
+    _SHIPPED.add(key)
