@@ -130,3 +130,11 @@ def test_build_preferences_oversample_keys_draws(spark):
     assert len(ids) == len(set(ids)) == 70                   # 35 + 35, Originals drawn again
     assert sum(r.type == "Original" for r in out) == 35
     assert all(r.rejected.startswith("a") for r in out)
+
+
+def test_null_type_counts_as_other(spark):
+    df = spark.createDataFrame([(1, "Original"), (2, None), (3, "original"), (4, "Ambiguous")],
+                               "record_id LONG, type STRING")
+    got = {r.record_id: r.is_original for r in R.class_split(df).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: False}      # case-sensitive, null -> other
+    assert [r.record_id for r in R.filter_original(df).collect()] == [1]
