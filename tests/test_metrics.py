@@ -115,3 +115,14 @@ def test_perplexity_with_separate_corpus(spark):
     assert set(got) == set(exp)
     for k, e in exp.items():
         assert (got[k] is None) if e is None else abs(got[k] - e) < 1e-9
+
+
+def test_trained_model_table_scores_like_corpus(spark, tmp_shared):
+    corpus = spark.createDataFrame(list(enumerate(["the cat sat", "the dog sat down", "a cat"])),
+                                   "k LONG, text STRING")
+    df = spark.createDataFrame(list(enumerate(["the cat ran", "zebra", ""])), "k LONG, text STRING")
+    model = M.train_bigram(corpus, "k", "text", path=tmp_shared("bigram"))
+    a = {r.k: r.perplexity for r in M.perplexity(df, "k", "text", model=model).collect()}
+    b = {r.k: r.perplexity for r in M.perplexity(df, "k", "text", corpus=corpus).collect()}
+    assert set(a) == set(b) and a[2] is None and b[2] is None
+    assert abs(a[0] - b[0]) < 1e-9 and abs(a[1] - 9.0) < 1e-9

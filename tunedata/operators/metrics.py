@@ -19,6 +19,8 @@ Scale notes
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,6 +121,35 @@ def bigram_model(pairs: DataFrame, by: tuple[str, ...] = ()) -> tuple[DataFrame,
     return c, cp, v
 
 
+@dataclass(frozen=True)
+class BigramModel:
+    """Count tables of an add-one bigram model: ``pairs(p, w, c)``,
+    ``prevs(p, cp)`` and the one-row ``vocab(v)``."""
+    pairs: DataFrame
+    prevs: DataFrame
+    vocab: DataFrame
+
+
+def train_bigram(corpus: DataFrame, key: str, text: str, max_tokens: int = 1024,
+                 path: str | None = None) -> BigramModel:
+    """Train once, score many times. With ``path`` (a shared folder) the
+    tables are written there and read back, so scoring jobs reuse them
+    instead of re-tokenizing the corpus."""
+    c, cp, v = bigram_model(bigram_pairs(corpus, key, text, max_tokens))
+    if path is None:
+        return BigramModel(c, cp, v)
+    spark = corpus.sparkSession
+    base = path.rstrip("/")
+    for name, df in (("pairs", c), ("prevs", cp), ("vocab", v)):
+        df.write.mode("overwrite").parquet(f"{base}/{name}")
+    return load_bigram(spark, base)
+
+
+def load_bigram(spark, path: str) -> BigramModel:
+    base = path.rstrip("/")
+    return BigramModel(*(spark.read.parquet(f"{base}/{n}") for n in ("pairs", "prevs", "vocab")))
+
+
 def _no_tokens(text: str):
     # a text has no token iff it has no non-whitespace character (every such
     # character starts a token), so no second tokenizer pass is needed
@@ -127,17 +158,21 @@ def _no_tokens(text: str):
 
 def perplexity(df: DataFrame, key: str, text: str, max_tokens: int = 1024,
                corpus: DataFrame | None = None, corpus_key: str | None = None,
-               corpus_text: str | None = None, out: str = "perplexity") -> DataFrame:
+               corpus_text: str | None = None, out: str = "perplexity",
+               model: BigramModel | None = None) -> DataFrame:
     """(key, out): ``exp(mean -ln P(w | p))`` with
     ``P = (c(p,w) + 1) / (c(p,.) + V)``; NULL for a text without tokens.
 
-    The model is trained on ``corpus`` (default: the scored column itself);
-    pairs unseen in the corpus count 0."""
+    The model is ``model`` (see ``train_bigram``), else trained on ``corpus``,
+    else on the scored column itself; pairs unseen in the model count 0."""
     pairs = bigram_pairs(df, key, text, max_tokens)
-    train = pairs if corpus is None else bigram_pairs(
-        corpus, corpus_key or key, corpus_text or text, max_tokens)
-    c, cp, v = bigram_model(train)
-    if corpus is None:
+    if model is not None:
+        c, cp, v = model.pairs, model.prevs, model.vocab
+    else:
+        train = pairs if corpus is None else bigram_pairs(
+            corpus, corpus_key or key, corpus_text or text, max_tokens)
+        c, cp, v = bigram_model(train)
+    if corpus is None and model is None:
         # every scored pair is in the model: join the (smaller) model tables
         # first, so the pair table is shuffled once
         scored = pairs.join(c.join(cp, "p"), ["p", "w"])
