@@ -144,11 +144,15 @@ def pad_batches(df: DataFrame, batch: str = "batch_id", multiple: int = 8,
 
 # --- T7 ----------------------------------------------------------------------
 def length_batches(df: DataFrame, length: str, key: str, seed: int = 42,
-                   batch_size: int = 4, mega: int = 50, keep_mega: bool = False) -> DataFrame:
+                   batch_size: int = 4, mega: int = 50, keep_mega: bool = False,
+                   rank: str | None = None) -> DataFrame:
     """Length-grouped batches: seeded shuffle -> mega-batches of
     ``mega * batch_size`` rows -> sort by length desc inside -> cut.
-    ``keep_mega`` keeps ``mega_id`` (rows stay partitioned by it)."""
-    r = hash_rank(df, seed, key, name="_rk")
+    ``keep_mega`` keeps ``mega_id`` (rows stay partitioned by it); ``rank``
+    names an existing 1-based seeded rank column to use instead of ranking
+    (and shuffling) the rows again."""
+    r = (hash_rank(df, seed, key, name="_rk") if rank is None
+         else df.withColumn("_rk", F.col(rank)))
     m = F.floor((F.col("_rk") - 1) / F.lit(mega * batch_size)).cast("long")
     w = Window.partitionBy("mega_id").orderBy(F.desc(length), "_rk")
     out = (r.withColumn("mega_id", m)

@@ -78,16 +78,28 @@ def build_preferences(records: DataFrame, key: str = "record_id", ratio=(20, 80)
 
 def build_batches(records: DataFrame, key: str = "record_id", seed: int = 42,
                   max_length: int = 2048, vocab_cap: int = 50_000,
-                  batch_size: int = 4, mega: int = 50) -> DataFrame:
-    """Tokenizer variant 4 texts -> padded train batches."""
+                  batch_size: int = 4, mega: int = 50, test_size: float = 0.2) -> DataFrame:
+    """Tokenizer variant 4 texts -> padded train batches.
+
+    The seeded order is ranked once, from the keys alone (small rows), and
+    joined to the encoded rows, which the encoding already partitioned by key.
+    Validation is ranks ``<= ceil(test_size * n)``; the train rows' own rank
+    is the global rank minus that cut (same seed, same order). So the wide id
+    arrays are shuffled only by the encoding and by the mega-batch window,
+    and padding reuses the latter."""
     texts = records.select(key, P.concat_v4().alias("_text"))
     toks = texts.select(key, TK.tokenize("_text").alias("tokens"))
     vocab = TK.build_vocab(toks, "tokens", vocab_cap)
-    enc = TK.encode(toks, F.col("tokens"), vocab, key, max_length, vocab_cap=vocab_cap)
-    lab = TK.causal_labels(enc)
-    train = R.train_val_split(lab, key, seed).where(F.col("split") == "train").drop("split")
-    batched = TK.length_batches(train.withColumn("_len", F.size("input_ids")), "_len", key,
-                                seed, batch_size, mega, keep_mega=True).drop("_len")
+    enc = TK.causal_labels(TK.encode(toks, F.col("tokens"), vocab, key, max_length,
+                                     vocab_cap=vocab_cap))
+    order = R.hash_rank(records.select(key), seed, key, name="_rk")
+    cut = records.agg(F.ceil(F.lit(float(test_size)) * F.count(F.lit(1))).alias("_cut"))
+    train = (enc.join(order, key).crossJoin(F.broadcast(cut))      # cut: one row
+             .where(F.col("_rk") > F.col("_cut"))
+             .withColumn("_trk", F.col("_rk") - F.col("_cut"))
+             .withColumn("_len", F.size("input_ids")))
+    batched = TK.length_batches(train, "_len", key, seed, batch_size, mega, keep_mega=True,
+                                rank="_trk")
     # batches never cross mega-batches: pad inside the existing partitioning
     return TK.pad_batches(batched, within=("mega_id",)).select(
         key, "batch_id", "width", "input_ids", "attention_mask", "labels")
