@@ -730,8 +730,10 @@ FROM w"""
 @register("pad_batches", _PAD, ("records",))
 def q_pad_batches(spark, sf):
     enc = TK.causal_labels(_encoded(spark, sf, P.concat_v1(), 512))
-    b = TK.length_batches(enc.withColumn("_n", F.size("input_ids")), "_n", "record_id",
-                          keep_mega=True)
+    # seeded order from the keys alone, joined to rows already partitioned by key
+    order = R.hash_rank(V.records(spark, sf).select("record_id"), 42, "record_id", name="_rk")
+    b = TK.length_batches(enc.join(order, "record_id").withColumn("_n", F.size("input_ids")),
+                          "_n", "record_id", keep_mega=True, rank="_rk")
     return TK.pad_batches(b.drop("_n"), within=("mega_id",)).select(
         "record_id", "batch_id", "width", "input_ids", "attention_mask", "labels")
 
