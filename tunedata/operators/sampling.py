@@ -111,11 +111,14 @@ def balance(df: DataFrame, key: str, ratio=(40, 60), mode: str = "downsample",
     """Re-balance Original vs. other to ``ratio``, then shuffle.
 
     Adds ``is_original``, ``sample_id`` (rank or draw number inside the class)
-    and ``position`` (seeded permutation of the combined rows)."""
+    and ``position`` (seeded permutation of the combined rows). Sampling and
+    shuffling run on key-only rows; the full rows (``key`` must be unique)
+    are joined back once at the end."""
     flagged = class_split(df, type_)
-    plan = sample_plan(flagged, ratio, mode, cap)
+    keys = flagged.select(key, ORIGINAL_FLAG)
+    plan = sample_plan(keys, ratio, mode, cap)
     if mode == "downsample" or cap == "reference":
-        r = hash_rank(flagged, seed, key, name="sample_id", by=(ORIGINAL_FLAG,))
+        r = hash_rank(keys, seed, key, name="sample_id", by=(ORIGINAL_FLAG,))
         target = F.when(F.col(ORIGINAL_FLAG), F.col("original_target")).otherwise(
             F.col("other_target"))
         chosen = (r.crossJoin(F.broadcast(plan.select("original_target", "other_target")))
@@ -125,13 +128,14 @@ def balance(df: DataFrame, key: str, ratio=(40, 60), mode: str = "downsample",
         p = plan.first()                       # two scalars per class
         parts = []
         for flag, tgt in ((True, p["original_target"]), (False, p["other_target"])):
-            cls = flagged.where(F.col(ORIGINAL_FLAG) == flag)
+            cls = keys.where(F.col(ORIGINAL_FLAG) == flag)
             parts.append(oversample(cls, int(tgt), key, seed))
         chosen = parts[0].unionByName(parts[1])
     skey = F.concat_ws(":", F.col(ORIGINAL_FLAG).cast("int").cast("string"),
                        F.col(key).cast("string"), F.col("sample_id").cast("string"))
-    return shuffle_positions(chosen.withColumn("_skey", skey), "_skey", seed,
-                             position).drop("_skey")
+    placed = shuffle_positions(chosen.withColumn("_skey", skey), "_skey", seed,
+                               position).drop("_skey")
+    return placed.join(flagged.drop(ORIGINAL_FLAG), key)
 
 
 # --- R7 ----------------------------------------------------------------------
