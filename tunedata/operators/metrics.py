@@ -9,12 +9,14 @@ Scale notes
 * Word entropy needs counts per distinct word of one text only: the text's
   token array is sorted and run-length counted with higher-order functions,
   so the metric is a narrow projection (no explode, no shuffle).
-* Perplexity first counts bigrams per text the same way (one row per
-  distinct pair and text), then needs two corpus-wide aggregates with
-  map-side combine (``c(p, w)`` and ``c(p, .)``) and one join of the per-text
+* Perplexity zips each text's first 1024 tokens with their predecessors
+  (native ``arrays_zip``, no lambda), then needs two corpus-wide aggregates
+  with map-side combine (``c(p, w)`` and ``c(p, .)``) and one join of the
   pairs to the model. Hot pairs / hot previous tokens are split by AQE's skew
   join; nothing is collected per key and nothing is broadcast unless Spark's
-  own runtime size check allows it.
+  own runtime size check allows it. ``train_bigram`` writes the model tables
+  once for repeated scoring; ``perplexities`` trains one model per column in
+  a single pass.
 """
 
 from __future__ import annotations
