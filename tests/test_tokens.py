@@ -78,3 +78,12 @@ def test_length_batches_sizes(spark):
 def test_step_budget(spark):
     r = TK.step_budget(spark.range(1000)).first()
     assert (r.rows, r.rows_seen, r.rows_unseen) == (1000, 8000, 0) and r.epochs == 8.0
+
+
+def test_vocab_threshold_with_ties_and_large_cap(spark):
+    toks = spark.createDataFrame([(["a", "a", "a", "d", "d", "c", "c", "b", "b", "e"],)],
+                                 "tokens ARRAY<STRING>")
+    two = [(r.token, r.id) for r in TK.build_vocab(toks, cap=2).orderBy("id").collect()]
+    assert two == [("a", 4), ("b", 5)]                      # cap falls inside the count-2 tie
+    allv = [(r.token, r.id) for r in TK.build_vocab(toks, cap=100).orderBy("id").collect()]
+    assert allv == [("a", 4), ("b", 5), ("c", 6), ("d", 7), ("e", 8)]
