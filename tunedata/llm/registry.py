@@ -6,10 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from pyspark.sql import functions as F
+
+from .common import remainder, table
+from .langid import predict_languages, train_langid
 from .licenses import license_sql, scan_licenses
 from .line_dedup import dedup_lines, line_dedup_sql
 from .mixing import MIX_SQL, mix_sources
+from .toxicity import score_toxicity, train_toxicity
+
+
+def op1_subword_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; learned from four in five of them."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    model = train_langid(docs, ~held_out)
+    return predict_languages(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op10_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document; learned from two in three of the labels."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    model = train_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return score_toxicity(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 def op4_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,12 +51,16 @@ def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_subword_langid": op1_subword_langid,
+    "op10_boosted_toxicity": op10_boosted_toxicity,
     "op4_line_windows": op4_line_windows,
     "op8_license_digests": op8_license_digests,
     "op9_poisson_mix": op9_poisson_mix,
 }
 
 ORACLE: dict[str, str] = {
+    "op1_subword_langid": op1_subword_langid,
+    "op10_boosted_toxicity": op10_boosted_toxicity,
     "op4_line_windows": line_dedup_sql(),
     "op8_license_digests": license_sql(),
     "op9_poisson_mix": MIX_SQL.format(docs="documents"),
