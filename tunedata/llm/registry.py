@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import remainder, table
+from .decontaminate import find_contamination
+from .html_region import extract_text, train_region
 from .langid import predict_languages, train_langid
 from .licenses import license_sql, scan_licenses
 from .line_dedup import dedup_lines, line_dedup_sql
@@ -40,6 +42,19 @@ def op4_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "text", "n_lines", "n_removed")
 
 
+def op5_edit_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that it contains, with up
+    to one edit in twenty characters."""
+    return find_contamination(table(spark, sf_dir, "documents"),
+                              table(spark, sf_dir, "benchmark"))
+
+
+def op7_best_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return extract_text(pages, train_region(pages))
+
+
 def op8_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences of every document, entire and line by line."""
     return scan_licenses(table(spark, sf_dir, "documents"))
@@ -54,6 +69,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_subword_langid": op1_subword_langid,
     "op10_boosted_toxicity": op10_boosted_toxicity,
     "op4_line_windows": op4_line_windows,
+    "op5_edit_matching": op5_edit_matching,
+    "op7_best_region": op7_best_region,
     "op8_license_digests": op8_license_digests,
     "op9_poisson_mix": op9_poisson_mix,
 }
