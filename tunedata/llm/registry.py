@@ -15,6 +15,7 @@ from .langid import predict_languages, train_langid
 from .licenses import license_sql, scan_licenses
 from .line_dedup import dedup_lines, line_dedup_sql
 from .mixing import MIX_SQL, mix_sources
+from .near_dup import near_duplicates
 from .toxicity import score_toxicity, train_toxicity
 
 
@@ -49,6 +50,11 @@ def op5_edit_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
                               table(spark, sf_dir, "benchmark"))
 
 
+def op6_icws_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near copies of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_best_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     pages = table(spark, sf_dir, "pages")
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_boosted_toxicity": op10_boosted_toxicity,
     "op4_line_windows": op4_line_windows,
     "op5_edit_matching": op5_edit_matching,
+    "op6_icws_near_duplicates": op6_icws_near_duplicates,
     "op7_best_region": op7_best_region,
     "op8_license_digests": op8_license_digests,
     "op9_poisson_mix": op9_poisson_mix,
