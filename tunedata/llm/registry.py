@@ -16,6 +16,7 @@ from .licenses import license_sql, scan_licenses
 from .line_dedup import dedup_lines, line_dedup_sql
 from .mixing import MIX_SQL, mix_sources
 from .near_dup import near_duplicates
+from .quality import quality_rules, quality_sql
 from .toxicity import score_toxicity, train_toxicity
 
 
@@ -37,6 +38,11 @@ def op10_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op2_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality verdict on every document."""
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op4_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with later occurrences of three-line windows removed."""
     return dedup_lines(table(spark, sf_dir, "documents")).select(
@@ -74,6 +80,7 @@ def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_subword_langid": op1_subword_langid,
     "op10_boosted_toxicity": op10_boosted_toxicity,
+    "op2_divergence_rules": op2_divergence_rules,
     "op4_line_windows": op4_line_windows,
     "op5_edit_matching": op5_edit_matching,
     "op6_icws_near_duplicates": op6_icws_near_duplicates,
@@ -85,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op1_subword_langid": op1_subword_langid,
     "op10_boosted_toxicity": op10_boosted_toxicity,
+    "op2_divergence_rules": quality_sql(),
     "op4_line_windows": line_dedup_sql(),
     "op8_license_digests": license_sql(),
     "op9_poisson_mix": MIX_SQL.format(docs="documents"),
