@@ -57,11 +57,14 @@ def _segments(texts: Sequence[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, group
 
 
-def word_hashes(texts: Sequence[str | None]) -> list[np.ndarray]:
-    """For each text the hashes of its words in order (a null text has none);
-    words are runs without blanks, tabs and line breaks. Memory beyond the
-    result is a few times SEGMENT, or the longest word."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+def utf8(texts: Sequence[str | None]) -> list[bytes]:
+    return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+
+
+def word_hashes(raw: Sequence[bytes]) -> list[np.ndarray]:
+    """For each UTF-8 text the hashes of its words in order; words are runs
+    without blanks, tabs and line breaks. Memory beyond the result is a few
+    times SEGMENT, or the longest word."""
     parts: list[list[np.ndarray]] = [[] for _ in raw]
     for first, group in _segments(raw):
         data = np.frombuffer(b" ".join([b"", *group, b""]), np.uint8)

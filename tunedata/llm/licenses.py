@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import written
+
 # Canonical spellings of words that licence texts use in two
 # forms (after lower-casing).
 SPELLINGS = [
@@ -164,6 +166,8 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, *,
     before the one shuffle.
     """
     known = license_table(docs.sparkSession) if known is None else known
+    # written first, so that its size is known when the join is planned
+    known = written(known, "license-digests")
     base = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_th"),
                        canonical_lines(F.col(text_col)).alias("_lines"))
     whole = F.array(F.when(F.size("_lines") > 0, entire_digest(F.col("_lines"))))

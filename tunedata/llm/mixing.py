@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import without, written
 
 SEED = "mix-1"
 #: A larger mean is split into equal parts, each with its own uniform number
@@ -75,13 +75,15 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, *,
       null id counts as ''. Null and empty texts are copied like any other.
     * An empty table gives an empty mix. Input columns called ``copy`` or
       ``mix_key`` are replaced.
-    * The rates have one row per source; the join is left to Spark, which
-      broadcasts them only under its size threshold and otherwise splits the
-      shuffled hot source.
+    * The rates have one row per source and are written first, so that their
+      size is known when the join is planned: Spark broadcasts them under its
+      size threshold (texts are then not shuffled by source), and otherwise
+      splits the shuffled hot source.
     """
     docs = without(docs, ["copy", "mix_key"])
-    rates = repetition_rates(docs, weights, key=key, budget=budget).select(
-        "_mix_key", F.col("parts").alias("_mix_parts"), F.col("cdf").alias("_mix_cdf"))
+    rates = written(repetition_rates(docs, weights, key=key, budget=budget).select(
+        "_mix_key", F.col("parts").alias("_mix_parts"), F.col("cdf").alias("_mix_cdf")),
+        "mix-rates")
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     placed = docs.join(rates, F.col(key).eqNullSafe(F.col("_mix_key")))
     copies = F.aggregate(

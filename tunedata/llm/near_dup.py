@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tunedata.session import ship_package
 
-from .arrays import mix, windows, word_hashes
+from .arrays import mix, utf8, windows, word_hashes
 from .common import written
 from .workers import add_columns, runs
 
@@ -49,6 +49,11 @@ def shingles(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(windows(hashes, SHINGLE), return_counts=True)
 
 
+def _words(texts: list[str | None]) -> list[np.ndarray]:
+    """The words of texts in lower case, as hashes."""
+    return word_hashes(utf8([t and t.lower() for t in texts]))
+
+
 def _slot(shingle: np.ndarray) -> np.ndarray:
     return (shingle >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -70,7 +75,7 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
         for batch in batches:
             column = batch["text"].tolist()
             for part in runs(column):
-                slots = [_slot(shingles(h)[0]) for h in word_hashes(column[part]) if len(h)]
+                slots = [_slot(shingles(h)[0]) for h in _words(column[part]) if len(h)]
                 if slots:
                     total += np.bincount(np.concatenate(slots), minlength=len(total))
         yield _segments(total)
@@ -195,7 +200,7 @@ def _signatures(texts: list[str | None], weights: Weights) -> list[tuple]:
         _SAMPLER.append(Sampler())
     seen: dict[str, tuple] = {}
     distinct = list(dict.fromkeys(texts))
-    for text, h in zip(distinct, word_hashes(distinct)):
+    for text, h in zip(distinct, _words(distinct)):
         draws = _SAMPLER[0].draw(*weights.weighted(h))
         seen[text] = (band_keys(draws), (draws >> np.uint64(32)).astype(np.uint32).view(np.int32))
     return [seen[t] for t in texts]
@@ -251,7 +256,7 @@ def verified_links(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
             ta, tb = batch["ta"].to_pylist(), batch["tb"].to_pylist()
             keep = []
             for part in runs(tb):
-                ha, hb = word_hashes(ta[part]), word_hashes(tb[part])
+                ha, hb = _words(ta[part]), _words(tb[part])
                 keep += [weighted_jaccard(w.weighted(x), w.weighted(y)) >= SIMILARITY
                          for x, y in zip(ha, hb)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))

@@ -16,6 +16,7 @@ from .licenses import license_sql, scan_licenses
 from .line_dedup import dedup_lines, line_dedup_sql
 from .mixing import MIX_SQL, mix_sources
 from .near_dup import near_duplicates
+from .ngram_bloom import lm_scores
 from .quality import quality_rules, quality_sql
 from .toxicity import score_toxicity, train_toxicity
 
@@ -43,6 +44,11 @@ def op2_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log-probability of every document; six in seven are learned from."""
+    return lm_scores(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 7) == 2)
+
+
 def op4_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with later occurrences of three-line windows removed."""
     return dedup_lines(table(spark, sf_dir, "documents")).select(
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_subword_langid": op1_subword_langid,
     "op10_boosted_toxicity": op10_boosted_toxicity,
     "op2_divergence_rules": op2_divergence_rules,
+    "op3_bloom_lm": op3_bloom_lm,
     "op4_line_windows": op4_line_windows,
     "op5_edit_matching": op5_edit_matching,
     "op6_icws_near_duplicates": op6_icws_near_duplicates,
