@@ -1,5 +1,9 @@
 """A training corpus from ``documents``: the stages in ``STAGES``, one after the
-other, each written as Parquet and read again as the next one's input."""
+other, each written as Parquet and read again as the next one's input.
+
+Every stage works on all rows that the one before it kept and returns the
+columns of ``documents`` (the last adds ``copy`` and ``mix_key``).
+"""
 
 from __future__ import annotations
 
@@ -7,8 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunedata.llm.common import table, written
+from tunedata.llm.decontaminate import find_contamination
+from tunedata.llm.langid import predict_languages, train_langid
 from tunedata.llm.line_dedup import dedup_lines
 from tunedata.llm.mixing import mix_sources
+from tunedata.llm.near_dup import first_of_each_class
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which no language can be told go: null texts, texts without
+    a letter and those under the fitted confidence."""
+    model = train_langid(docs, F.lit(True))
+    named = predict_languages(docs, model, keep=docs.columns, prefix="_langid_")
+    return named.filter(~F.col("_langid_rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,13 +37,34 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for c in docs.columns])
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays, that with the smallest
+    id."""
+    return first_of_each_class(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain an item of ``benchmark`` go."""
+    keyed = docs.withColumn("_leak_text", F.xxhash64("text"))
+    hits = find_contamination(keyed, table(spark, sf_dir, "benchmark"),
+                              keep=["doc_id", "_leak_text"])
+    # written first: its size then decides how it is joined
+    hits = written(hits.select(F.col("doc_id").alias("_leak_id"),
+                               F.col("_leak_text").alias("_leak_hash")).distinct(), "pipeline-leaks")
+    return keyed.join(hits, keyed["doc_id"].eqNullSafe(hits["_leak_id"])
+                      & (keyed["_leak_text"] == hits["_leak_hash"]), "left_anti").drop("_leak_text")
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each source with the same expected number of rows, shuffled."""
     return mix_sources(docs)
 
 
 STAGES = [
+    ("language_id", language_id),
     ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
     ("mix", mix),
 ]
 
@@ -40,8 +76,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = written(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

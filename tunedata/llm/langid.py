@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 from tunedata.session import ship_package
 
 from .arrays import mix
+from .common import written
 from .workers import add_columns
 
 BITS = 14
 DIM = 16
 #: Bound of the sample: rows taken per language in the mean (hash-chosen).
-ROWS_PER_LANG = 500
+ROWS_PER_LANG = 300
 #: A language needs this many labelled rows in the sample to be learned.
 MIN_ROWS = 3
 EPOCHS = 4
@@ -103,7 +104,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def _examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each sampled text as sparse counts: entire, and up to three of its lines
+    """Each sampled text as sparse counts (bytes): entire, and up to three of its lines
     (spread evenly) as texts of their own, so that short texts are learned."""
     for pdf in batches:
         out = []
@@ -115,7 +116,8 @@ def _examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for rows in subwords(piece):
                     n += np.bincount(rows, minlength=1 << BITS)
                 at = np.flatnonzero(n)
-                out.append((lang, order, part, at.astype(np.int32), n[at].astype(np.float32)))
+                out.append((lang, order, part, at.astype("<u2").tobytes(),
+                            np.minimum(n[at], 2 ** 31).astype("<u4").tobytes()))
         yield pd.DataFrame(out, columns=["lang", "order", "part", "at", "n"])
 
 
@@ -152,7 +154,9 @@ def train_langid(docs: DataFrame, allowed: Column, *, lang_col: str = "lang",
     With no such row the model knows no language and calls all texts ``und``.
     """
     rows = docs.filter(allowed & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rates = (rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n_rows")))
+    # written first, so that its size is known when the join is planned
+    rates = written(rows.groupBy(F.col(lang_col).alias("lang"))
+                    .agg(F.count(F.lit(1)).alias("n_rows")), "langid-rates")
     order = F.xxhash64(F.lit("langid"), F.col(id_col), F.col(text_col))
     picked = (rows.select(F.col(lang_col).alias("lang"), order.alias("order"),
                           F.col(text_col).alias("text"))
@@ -162,7 +166,7 @@ def train_langid(docs: DataFrame, allowed: Column, *, lang_col: str = "lang",
               .filter(F.col("text").rlike(r"\p{L}")).select("lang", "order", "text"))
     ship_package(docs.sparkSession)
     got = picked.mapInPandas(
-        _examples, "lang string, order long, part int, at array<int>, n array<float>").toPandas()
+        _examples, "lang string, order long, part int, at binary, n binary").toPandas()
     return fit(got)
 
 
@@ -176,9 +180,9 @@ def fit(got: pd.DataFrame) -> LangModel:
     train, kept = [], []
     for lang, order, part, at, n in got.itertuples(index=False):
         if lang in index and len(at):
-            n = np.asarray(n, float)
+            at, n = np.frombuffer(at, "<u2"), np.frombuffer(n, "<u4")
             (kept if order % 5 == 0 else train).append(
-                (index[lang], np.asarray(at), n / n.sum(), part == 0))
+                (index[lang], at, (n / n.sum()).astype(np.float32), part == 0))
     if not langs:
         return LangModel([], np.zeros((1 << BITS, 0)), 1.0, 0.0)
     table = _descend([x[:3] for x in train or kept], len(langs), EPOCHS)
