@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF001
+from tunedata.plans.catalog import ORACLE, QUERIES
 
 TABLES = "documents labels conversations benchmark pages".split()
 NO_ORACLE = {"generation_status"}
@@ -29,14 +30,14 @@ def con():
 
 
 def test_every_key_has_oracle_or_reason():
-    assert set(E.queries()) - set(E.oracle_sql()) == NO_ORACLE
+    assert set(QUERIES) - set(ORACLE) == NO_ORACLE
 
 
-@pytest.mark.parametrize("key", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("key", sorted(ORACLE))
 def test_matches_duckdb(spark, con, key):
-    df = E.queries()[key](spark, SF001)
+    df = QUERIES[key](spark, SF001)
     rows = Counter(tuple(_norm(x) for x in r) for r in df.collect())
-    rel = con.sql(E.oracle_sql()[key])
+    rel = con.sql(ORACLE[key])
     assert sorted(df.columns) == sorted(rel.columns)
     idx = [rel.columns.index(c) for c in df.columns]
     orows = Counter(tuple(_norm(r[i]) for i in idx) for r in rel.fetchall())
@@ -55,7 +56,7 @@ def test_result_independent_of_shuffle_partitions(spark, key):
     out = []
     for parts in ("1", "64"):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
-        df = E.queries()[key](spark, SF001)
+        df = QUERIES[key](spark, SF001)
         out.append(Counter(tuple(_norm(x) for x in r) for r in df.collect()))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert out[0] == out[1]

@@ -2,8 +2,8 @@
 generation hook, pushdown/pruning reach the scan."""
 import pytest
 
-import __spark_entry__ as E
 from conftest import SF001
+from tunedata.plans.catalog import QUERIES
 
 # bounded single-partition steps: rank-offset tables (<= 65,536 buckets),
 # vocabulary ids (<= cap rows), one-row aggregates
@@ -29,23 +29,23 @@ def _single_partition_ok(plan: str) -> bool:
                                  "build_dataset", "build_batches", "encode", "perplexity",
                                  "length_batches", "cross_class_rejected"])
 def test_no_data_sized_single_partition(spark, key):
-    df = E.queries()[key](spark, SF001)
+    df = QUERIES[key](spark, SF001)
     assert _single_partition_ok(_plan(df)), _plan(df)
 
 
 def test_python_only_in_generation_hook(spark):
-    for key, fn in E.queries().items():
+    for key, fn in QUERIES.items():
         if key in ("generation_status",):
             continue
         plan = _plan(fn(spark, SF001))
         for marker in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas"):
             assert marker not in plan, (key, marker)
-    assert "MapInPandas" in _plan(E.queries()["generation_status"](spark, SF001))
+    assert "MapInPandas" in _plan(QUERIES["generation_status"](spark, SF001))
 
 
 def test_pruning_reaches_scan(spark):
-    df = E.queries()["type_counts"](spark, SF001)
+    df = QUERIES["type_counts"](spark, SF001)
     plan = _plan(df)
     assert "ReadSchema: struct<type:string>" in plan          # only the grouped column
-    docs = E.queries()["entropy"](spark, SF001)
+    docs = QUERIES["entropy"](spark, SF001)
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in _plan(docs)
