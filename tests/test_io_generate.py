@@ -35,7 +35,7 @@ def test_problem_dirs_skip_missing_and_strip(spark, tmp_shared):
     IO.write_problem_dirs(spark.createDataFrame(
         [("1", " \t q \r\n"), ("2", "a\r\n\r\nb")], "problem_id STRING, text STRING"), root)
     os.makedirs(os.path.join(root, "problem_id=3"))            # folder without a file
-    got = {r.problem_id: r.text for r in IO.read_problem_dirs(spark, root, "*.txt").collect()}
+    got = {r.problem_id: r.text for r in IO.read_problem_dirs(spark, root, "*.txt", partitioned=True).collect()}
     assert got == {"1": "q", "2": "a\n\nb"}
 
 

@@ -30,6 +30,7 @@ from pyspark.sql import types as ST
 
 from tunedata.functions import templates as T
 from tunedata.functions.text import NUMBER_PATTERN, col_, first_sentence, sentences, strip
+from tunedata.session import materialize, table_exists
 
 RESPONSE_SCHEMA = ST.StructType([
     ST.StructField("request_id", ST.StringType()),
@@ -173,9 +174,12 @@ def _python_runner(fn: Callable[[str], str], retry_wait: float, attempt_base: in
 
 
 def generate_responses(requests: DataFrame, backend="rules", text: str = "text",
-                       retry_wait: float = 60.0, attempt_base: int = 1) -> DataFrame:
+                       retry_wait: float = 60.0, attempt_base: int = 1,
+                       parallelism: int | None = None) -> DataFrame:
     """One response row per distinct ``request_id``. Only the columns the
-    backend reads are shuffled by the de-duplication."""
+    backend reads are shuffled by the de-duplication. ``parallelism``: number
+    of tasks that call a client (calls are slow and their bytes few, so the
+    partition count by size would be too small)."""
     if backend == "rules":
         distinct = requests.select("request_id", "stage", "kind", text).dropDuplicates(
             ["request_id"])
@@ -186,14 +190,18 @@ def generate_responses(requests: DataFrame, backend="rules", text: str = "text",
     from tunedata.session import ship_package
     ship_package(requests.sparkSession)
     distinct = requests.select("request_id", "prompt").dropDuplicates(["request_id"])
+    if parallelism:
+        distinct = distinct.repartition(parallelism, "request_id")
     return distinct.mapInPandas(
         _python_runner(backend, retry_wait, attempt_base), RESPONSE_SCHEMA)
 
 
 def number_after(new: DataFrame, previous: DataFrame) -> DataFrame:
     """Attempts of ``new`` continue after each request's last attempt in
-    ``previous`` (a retried request gets attempt n + 1, n + 2, ...)."""
-    last = previous.groupBy("request_id").agg(F.max("attempt").alias("_prev"))
+    ``previous`` (a retried request gets attempt n + 1, n + 2, ...). Only
+    failed or empty attempts can precede a retry, so only those are read."""
+    again = (F.coalesce(F.col("status"), F.lit("ok")) != "ok") | (F.col("response") == "")
+    last = previous.where(again).groupBy("request_id").agg(F.max("attempt").alias("_prev"))
     return (new.join(last, "request_id", "left")
             .withColumn("attempt", (F.coalesce(F.col("_prev"), F.lit(0))
                                     + F.col("attempt")).cast("int"))
@@ -209,22 +217,35 @@ def responses_at(requests: DataFrame, path: str, backend="rules", text: str = "t
     backend is called once per request: every later consumer (joins back,
     ranks, several passes) reads the table instead of re-running the model."""
     spark = requests.sparkSession
-    try:
-        done = spark.read.schema(RESPONSE_SCHEMA).parquet(path)
-        done.limit(0).collect()                                  # exists?
-    except Exception as e:  # noqa: BLE001 - first run: no table yet
-        if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
-            raise
-        done = None
-    if done is None:
+    if not table_exists(spark, path):
         new = generate_responses(requests, backend, text, retry_wait)
     else:
+        done = spark.read.schema(RESPONSE_SCHEMA).parquet(path)
         todo = pending_requests(requests, done)
         new = number_after(generate_responses(todo, backend, text, retry_wait), done)
     new.write.mode("append").parquet(path)
     return latest_attempt(spark.read.schema(RESPONSE_SCHEMA).parquet(path))
 
 
+def repaired_at(requests: DataFrame, path: str, backend="rules", repairs: int = 1,
+                text: str = "text", retry_wait: float = 60.0) -> DataFrame:
+    """``responses_at``, then up to ``repairs`` rounds in which requests whose
+    latest response is '' are asked again; every attempt is appended to the
+    table at ``path``."""
+    spark = requests.sparkSession
+    current = responses_at(requests, path, backend, text, retry_wait)
+    for _ in range(repairs):
+        empty = current.where(F.col("response") == "").select("request_id")
+        if not empty.take(1):
+            break
+        todo = materialize(requests.join(empty, "request_id", "left_semi"), "repairs")
+        done = spark.read.schema(RESPONSE_SCHEMA).parquet(path)
+        again = number_after(generate_responses(todo, backend, text, retry_wait), done)
+        materialize(again, "repaired").write.mode("append").parquet(path)
+        current = latest_attempt(spark.read.schema(RESPONSE_SCHEMA).parquet(path))
+    return current
+
+
 # --- G5 / G6 -----------------------------------------------------------------
 def latest_attempt(responses: DataFrame) -> DataFrame:
     """One row per request: the highest attempt.

@@ -9,14 +9,14 @@ Scale notes
 * Word entropy needs counts per distinct word of one text only: the text's
   token array is sorted and run-length counted with higher-order functions,
   so the metric is a narrow projection (no explode, no shuffle).
-* Perplexity zips each text's first 1024 tokens with their predecessors
-  (native ``arrays_zip``, no lambda), then needs two corpus-wide aggregates
-  with map-side combine (``c(p, w)`` and ``c(p, .)``) and one join of the
-  pairs to the model. Hot pairs / hot previous tokens are split by AQE's skew
-  join; nothing is collected per key and nothing is broadcast unless Spark's
-  own runtime size check allows it. ``train_bigram`` writes the model tables
-  once for repeated scoring; ``perplexities`` trains one model per column in
-  a single pass.
+* Perplexity tokenizes each text once: its (previous, token) pairs are
+  counted in the row by sorting (no shuffle) and written, and both the model
+  and the scores start from that table. The model is two corpus-wide
+  aggregates with map-side combine (``c(p, w)`` and ``c(p, .)``). Pairs that
+  make up ``HEAD_SHARE`` of all pairs, of which there is a bounded number, are
+  looked up by broadcast; the others by a shuffle join that has no hot key
+  left. ``train_bigram`` writes the model tables for repeated scoring;
+  ``perplexities`` trains one model per column in a single pass.
 """
 
 from __future__ import annotations
@@ -28,8 +28,13 @@ from pyspark.sql import functions as F
 
 from tunedata.functions.text import col_, tokens
 from tunedata.operators.prompts import concat_profile
+from tunedata.session import materialize
 
 START = "<s>"
+#: A pair with this share of all pairs is in the broadcast head: at most
+#: 1 / HEAD_SHARE pairs, of tokens of at most HEAD_TOKEN_BYTES each.
+HEAD_SHARE = 2e-5
+HEAD_TOKEN_BYTES = 256
 
 
 def with_value_counts(df: DataFrame, sorted_arr: str, out: str) -> DataFrame:
@@ -80,10 +85,13 @@ def truncation_report(df: DataFrame, problem: str = "problem", answer: str = "an
 
 
 # --- M3 ----------------------------------------------------------------------
-def with_entropy(df: DataFrame, text: str, out: str = "entropy") -> DataFrame:
+def with_entropy(df: DataFrame, text: str, out: str = "entropy",
+                 lowered: str | None = None) -> DataFrame:
     """Add ``-sum(p * ln(p + 1e-10))`` over the lower-cased words of ``text``
-    ('' -> 0). Narrow: sort + run lengths per row, no shuffle."""
-    sorted_ = df.withColumn(f"_{out}_s", F.sort_array(tokens(F.lower(F.col(text)))))
+    ('' -> 0). Narrow: sort + run lengths per row, no shuffle. ``lowered``
+    names a column that already holds those words."""
+    words = F.col(lowered) if lowered else tokens(F.lower(F.col(text)))
+    sorted_ = df.withColumn(f"_{out}_s", F.sort_array(words))
     counted = with_value_counts(sorted_, f"_{out}_s", f"_{out}_vc").withColumn(
         f"_{out}_n", F.size(f"_{out}_s"))
     total = F.col(f"_{out}_n")
@@ -95,22 +103,47 @@ def with_entropy(df: DataFrame, text: str, out: str = "entropy") -> DataFrame:
 
 # --- M4 ----------------------------------------------------------------------
 def bigram_pairs(df: DataFrame, key: str, text: str, max_tokens: int = 1024,
-                 source: str | None = None) -> DataFrame:
-    """(key, [src,] p, w, n): every (previous, token) pair of each text's
-    first ``max_tokens`` lower-cased tokens (n = 1; the corpus-wide count is
-    combined map-side by the aggregate that follows). ``source`` tags the
-    pairs with the column they came from (several models in one pass)."""
+                 source: str | None = None, lowered: str | None = None) -> DataFrame:
+    """(key, [src,] p, w, n): the distinct (previous, token) pairs of each
+    text's first ``max_tokens`` lower-cased tokens with their number in the
+    text. ``source`` tags the pairs with the column they came from (several
+    models in one pass); ``lowered`` names a column that holds the tokens."""
     tag = [F.lit(source).alias("src")] if source is not None else []
-    t = df.select(key, *tag, F.slice(tokens(F.lower(F.col(text))), 1, max_tokens).alias("_t"))
+    words = F.col(lowered) if lowered else tokens(F.lower(F.col(text)))
+    t = df.select(key, *tag, F.slice(words, 1, max_tokens).alias("_t"))
     tc = F.col("_t")
     prev = F.concat(F.array(F.lit(START)), F.slice(tc, 1, F.greatest(F.size(tc) - 1, F.lit(0))))
-    zipped = F.when(F.size(tc) > 0, F.arrays_zip(prev.alias("p"), tc.alias("w")))
+    zipped = F.when(F.size(tc) > 0, F.sort_array(F.arrays_zip(prev.alias("p"), tc.alias("w"))))
+    counted = with_value_counts(t.withColumn("_z", zipped), "_z", "_vc")
     # explode_outer + null filter: a plain explode makes Catalyst infer a
     # size(...) > 0 filter and push it (with the tokenizer) below this project
-    ex = (t.select(key, *[F.col("src")] * bool(tag), F.explode_outer(zipped).alias("_v"))
+    ex = (counted.select(key, *[F.col("src")] * bool(tag), F.explode_outer("_vc").alias("_v"))
           .where(F.col("_v").isNotNull()))
-    return ex.select(key, *[F.col("src")] * bool(tag), F.col("_v.p").alias("p"),
-                     F.col("_v.w").alias("w"), F.lit(1).cast("long").alias("n"))
+    return ex.select(key, *[F.col("src")] * bool(tag), F.col("_v.value.p").alias("p"),
+                     F.col("_v.value.w").alias("w"), F.col("_v.n").cast("long").alias("n"))
+
+
+def _model_lookup(pairs: DataFrame, model: DataFrame, on: list[str]) -> DataFrame:
+    """``pairs`` with ``c`` and ``cp`` of their model row (null if unseen);
+    ``model`` is a written table (on, c, cp)."""
+    total = F.broadcast(model.agg(F.sum("c").alias("_all")))
+    in_head = ((F.col("c") >= HEAD_SHARE * F.col("_all"))
+               & (F.octet_length("p") <= HEAD_TOKEN_BYTES) & (F.octet_length("w") <= HEAD_TOKEN_BYTES))
+    marked = model.crossJoin(total).withColumn("_head", in_head).drop("_all")
+    head = marked.where("_head").select(*on, F.col("c").alias("_hc"), F.col("cp").alias("_hcp"))
+    tail = marked.where("not _head").select(
+        *[F.col(c).alias(f"_t_{c}") for c in on], F.col("c").alias("_tc"), F.col("cp").alias("_tcp"))
+    found = pairs.join(F.broadcast(head), on, "left")
+    # a row found in the head needs no partner: its key only spreads it out
+    spread = F.concat(F.lit("\u0001"), F.pmod(F.xxhash64(*pairs.columns), F.lit(65_536)).cast("string"))
+    keyed = found.withColumn("_jw", F.when(F.col("_hc").isNull(), F.col("w")).otherwise(spread))
+    cond = keyed["_jw"] == tail["_t_w"]
+    for c in on:
+        if c != "w":
+            cond = cond & (keyed[c] == tail[f"_t_{c}"])
+    return (keyed.join(tail, cond, "left")
+            .select(*[keyed[c] for c in pairs.columns], F.coalesce("_hc", "_tc").alias("c"),
+                    F.coalesce("_hcp", "_tcp").alias("cp")))
 
 
 def bigram_model(pairs: DataFrame, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -167,21 +200,20 @@ def perplexity(df: DataFrame, key: str, text: str, max_tokens: int = 1024,
 
     The model is ``model`` (see ``train_bigram``), else trained on ``corpus``,
     else on the scored column itself; pairs unseen in the model count 0."""
-    pairs = bigram_pairs(df, key, text, max_tokens)
+    pairs = materialize(bigram_pairs(df, key, text, max_tokens), "bigram-pairs")
+    own = corpus is None and model is None
     if model is not None:
         c, cp, v = model.pairs, model.prevs, model.vocab
     else:
         train = pairs if corpus is None else bigram_pairs(
             corpus, corpus_key or key, corpus_text or text, max_tokens)
         c, cp, v = bigram_model(train)
-    if corpus is None and model is None:
-        # every scored pair is in the model: join the (smaller) model tables
-        # first, so the pair table is shuffled once
-        scored = pairs.join(c.join(cp, "p"), ["p", "w"])
-    else:
-        # an unseen pair can still have a known previous token: look up the
-        # pair count and the previous-token total independently
-        scored = pairs.join(c, ["p", "w"], "left").join(cp, "p", "left")
+    table = materialize(c.join(cp, "p"), "bigram-model")
+    scored = _model_lookup(pairs, table, ["p", "w"])
+    if not own:
+        # an unseen pair can still have a known previous token
+        prevs = cp.select("p", F.col("cp").alias("_cp2"))
+        scored = scored.join(prevs, "p", "left").withColumn("cp", F.coalesce("cp", "_cp2"))
     scored = scored.crossJoin(F.broadcast(v))                    # v: one row
     nll = -F.ln((F.coalesce(F.col("c"), F.lit(0)) + 1)
                 / (F.coalesce(F.col("cp"), F.lit(0)) + F.col("v")))
@@ -191,18 +223,20 @@ def perplexity(df: DataFrame, key: str, text: str, max_tokens: int = 1024,
     return got.unionByName(empty)
 
 
-def perplexities(df: DataFrame, key: str, texts: dict[str, str],
-                 max_tokens: int = 1024) -> DataFrame:
+def perplexities(df: DataFrame, key: str, texts: dict[str, str], max_tokens: int = 1024,
+                 lowered: dict[str, str] | None = None) -> DataFrame:
     """Several self-trained perplexities in one pass: ``texts`` maps output
     column -> text column; each column gets its own model (the column name is
-    part of every model key), all pairs share one set of shuffles."""
+    part of every model key), all pairs share one set of shuffles. ``lowered``
+    maps output column -> column that holds its tokens."""
     pairs = None
     for out, text in texts.items():
-        p = bigram_pairs(df, key, text, max_tokens, source=out)
+        p = bigram_pairs(df, key, text, max_tokens, source=out, lowered=(lowered or {}).get(out))
         pairs = p if pairs is None else pairs.unionByName(p)
+    pairs = materialize(pairs, "bigram-pairs")
     c, cp, v = bigram_model(pairs, by=("src",))
-    model = c.join(cp, ["src", "p"]).join(F.broadcast(v), "src")      # v: one row per column
-    scored = pairs.join(model, ["src", "p", "w"])
+    table = materialize(c.join(cp, ["src", "p"]), "bigram-model")
+    scored = _model_lookup(pairs, table, ["src", "p", "w"]).join(F.broadcast(v), "src")   # v: one row per column
     nll = -F.ln((F.col("c") + 1) / (F.col("cp") + F.col("v")))
     # one aggregate for all columns: a column without tokens gets NULL
     per = scored.groupBy(key).agg(*[
@@ -220,12 +254,16 @@ def perplexities(df: DataFrame, key: str, texts: dict[str, str],
 def record_metrics(df: DataFrame, key: str = "record_id", problem: str = "problem",
                    answer: str = "answer", max_tokens: int = 1024) -> DataFrame:
     """key, problem, answer + entropy and perplexity of both (rounded 4)."""
-    base = with_entropy(with_entropy(df.select(key, problem, answer), problem,
-                                     "problem_entropy"), answer, "answer_entropy")
+    # each column is tokenized once; entropy and pairs read the written arrays
+    words = materialize(df.select(key, problem, answer,
+                                  tokens(F.lower(F.col(problem))).alias("_pt"),
+                                  tokens(F.lower(F.col(answer))).alias("_at")), "metric-tokens")
+    base = with_entropy(with_entropy(words, problem, "problem_entropy", "_pt"),
+                        answer, "answer_entropy", "_at").drop("_pt", "_at")
     base = (base.withColumn("problem_entropy", F.round("problem_entropy", 4))
             .withColumn("answer_entropy", F.round("answer_entropy", 4)))
-    ppl = perplexities(df, key, {"problem_perplexity": problem, "answer_perplexity": answer},
-                       max_tokens)
+    ppl = perplexities(words, key, {"problem_perplexity": problem, "answer_perplexity": answer},
+                       max_tokens, {"problem_perplexity": "_pt", "answer_perplexity": "_at"})
     return (base.join(ppl, key, "left")
             .withColumn("problem_perplexity", F.round("problem_perplexity", 4))
             .withColumn("answer_perplexity", F.round("answer_perplexity", 4)))

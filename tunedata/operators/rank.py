@@ -9,11 +9,15 @@ the order key is cut into buckets that are monotone in the order:
    counts over the (bounded) bucket table -> ``offset`` per bucket;
 3. ``rank = offset + row_number() over (partitionBy(by, bucket) orderBy key)``.
 
-The offset table has at most ``16 ** hex_chars`` rows per ``by`` group, so it
-is broadcast by construction; the row-number window runs on ``#buckets``
-parallel partitions, each ``1 / #buckets`` of the rows. The result is a pure
-function of the data (independent of partitioning) and equals
-``row_number() over (partition by <by> order by <key>, <tiebreak>)``.
+The offsets are joined on the columns that the row-number window is
+partitioned by, so both share one shuffle of the rows (Spark broadcasts the
+offsets instead only when they are small). The window runs on ``#buckets``
+parallel partitions. The result is a pure function of the data (independent of
+partitioning) and equals
+``row_number() over (partition by <by> order by <key> nulls last, <tiebreak>)``.
+
+``range_rank`` does the same for any order, with the range partitions of Spark
+as buckets, so their number follows the size of the data.
 """
 
 from __future__ import annotations
@@ -24,8 +28,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunedata.functions.text import col_, seeded_key
+from tunedata.session import materialize
 
 HEX_CHARS = 4            # 65,536 buckets; offset table <= 65,536 rows per group
+NULL_BUCKET = "~"        # after every hex prefix: rows with a null key come last
 KEY_BUCKETS = 256        # quantile buckets for numeric keys
 
 
@@ -34,9 +40,12 @@ def ranked(df: DataFrame, bucket: Column, order: Sequence[Column | str],
     """Add 1-based ``name`` = position of the row in ``order`` within ``by``.
 
     ``bucket`` must be monotone in ``order`` and have a small, bounded number
-    of values; ``by`` columns must be non-null and of low cardinality.
+    of values, none of them null; a null in a ``by`` column is an error.
     """
     by = list(by)
+    for c in by:
+        bucket = F.when(F.col(c).isNull(), F.raise_error(F.lit(f"null in rank group {c}"))).otherwise(
+            bucket)
     tmp = df.withColumn("_rk_b", bucket)
     counts = tmp.groupBy(*by, "_rk_b").agg(F.count(F.lit(1)).alias("_rk_n"))
     before = (Window.partitionBy(*by).orderBy("_rk_b")
@@ -44,7 +53,7 @@ def ranked(df: DataFrame, bucket: Column, order: Sequence[Column | str],
     offsets = counts.select(*by, "_rk_b",
                             F.coalesce(F.sum("_rk_n").over(before), F.lit(0)).alias("_rk_off"))
     within = Window.partitionBy(*by, "_rk_b").orderBy(*[col_(c) for c in order])
-    return (tmp.join(F.broadcast(offsets), [*by, "_rk_b"])
+    return (tmp.join(offsets, [*by, "_rk_b"])
             .withColumn(name, (F.col("_rk_off") + F.row_number().over(within)).cast("long"))
             .drop("_rk_b", "_rk_off"))
 
@@ -54,10 +63,21 @@ def hash_rank(df: DataFrame, seed: int | str, key: Column | str, name: str = "ra
     """Seeded pseudo-random rank: order by ``md5('<seed>:<key>')``, then ``key``.
 
     Same numbers as DuckDB
-    ``row_number() over (order by md5(seed || ':' || key), key)``.
+    ``row_number() over (order by md5(seed || ':' || key), key)``; rows with a
+    null key are kept and come last.
     """
     k = seeded_key(seed, key)
-    return ranked(df, F.substring(k, 1, hex_chars), [k, col_(key)], name, by)
+    bucket = F.coalesce(F.substring(k, 1, hex_chars), F.lit(NULL_BUCKET))
+    return ranked(df, bucket, [k, col_(key)], name, by)
+
+
+def range_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """Rank by any order (``order`` must tell all rows apart, or equal rows be
+    interchangeable). Rows are range-partitioned and written once, so that the
+    buckets stay the same in every later read; pass key-only rows."""
+    dealt = materialize(df.repartitionByRange(*order).withColumn("_rr_b", F.spark_partition_id()),
+                        "range-rank")
+    return ranked(dealt, F.col("_rr_b"), order, name).drop("_rr_b")
 
 
 def _search_tree(c: Column, bounds: list, lo: int, hi: int) -> Column:
@@ -76,10 +96,12 @@ def key_rank(df: DataFrame, key: str, name: str = "rank", by: Sequence[str] = ()
     Bucket bounds are ``buckets - 1`` approximate quantiles of the key (one
     small aggregate, read once so both uses see the same bounds); the bucket
     of a row is found with a depth-log2(buckets) comparison tree that stays in
-    generated code. Skewed key ranges still give even buckets.
+    generated code. Skewed key ranges still give even buckets; null keys come
+    last.
     """
     qs = [i / buckets for i in range(1, buckets)]
     row = df.agg(F.percentile_approx(F.col(key), qs, 10000).alias("q")).first()
     bounds = sorted(set(v for v in (row["q"] or []) if v is not None))
-    bucket = _search_tree(F.col(key), bounds, 0, len(bounds))
+    bucket = F.when(F.col(key).isNull(), F.lit(len(bounds) + 1)).otherwise(
+        _search_tree(F.col(key), bounds, 0, len(bounds)))
     return ranked(df, bucket, [key], name, by)

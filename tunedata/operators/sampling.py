@@ -28,6 +28,8 @@ from tunedata.operators.rank import hash_rank
 from tunedata.session import default_parallelism
 
 ORIGINAL_FLAG = "is_original"
+#: draws that share one copy of a drawn row
+DRAWS_PER_COPY = 1000
 
 
 # --- R1 / R2 -----------------------------------------------------------------
@@ -56,7 +58,9 @@ def sample_plan(df: DataFrame, ratio=(40, 60), mode: str = "downsample",
                 cap: str = "ours", flag: str = ORIGINAL_FLAG) -> DataFrame:
     """One row: class sizes, total and per-class targets."""
     if mode not in ("downsample", "oversample"):
-        raise ValueError("Invalid sampling_mode. Choose 'oversample' or 'downsample'.")
+        raise ValueError(f"mode must be 'downsample' or 'oversample', got {mode!r}")
+    if cap not in ("ours", "reference"):
+        raise ValueError(f"cap must be 'ours' or 'reference', got {cap!r}")
     f0, f1 = _check_ratio(ratio)
     pick = F.greatest if (mode == "oversample" and cap != "reference") else F.least
     counts = df.agg(F.count_if(F.col(flag)).alias("n_original"),
@@ -94,14 +98,25 @@ def oversample(df: DataFrame, target: int, key: str, seed: int = 0,
         return downsample(df, target, key, seed, rank=sample_id)
     spark = df.sparkSession
     parts = max(1, min(target // 1_000_000 + 1, 100_000))
+    copies = _copies(target, n)
     draws = (spark.range(0, target, 1, parts)
              .select((F.col("id") + 1).alias(sample_id),
-                     drawn_rank(seed, F.col("id"), n).alias("_rank")))
-    ranked = hash_rank(df, seed, key, name="_rank")
-    # Draws are uniform over ranks. A tiny class with a huge target sends all
-    # draws to few ranks; then the ranked side is tiny and AQE broadcasts it
-    # after its runtime size check (or splits the skewed draw partitions).
-    return draws.join(ranked, "_rank").drop("_rank")
+                     drawn_rank(seed, F.col("id"), n).alias("_rank"))
+             .withColumn("_copy", _copy_of(F.col(sample_id), copies)))
+    ranked = hash_rank(df, seed, key, name="_rank").withColumn(
+        "_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    return draws.join(ranked, ["_rank", "_copy"]).drop("_rank", "_copy")
+
+
+def _copies(target: int, n: int) -> int:
+    """Copies of each of ``n`` rows among which ``target`` draws are dealt, so
+    that a tiny class with a huge target is not a few hot join keys; all copies
+    together are about ``target / DRAWS_PER_COPY`` rows, or ``n``."""
+    return max(1, -(-target // max(n, 1) // DRAWS_PER_COPY))
+
+
+def _copy_of(sample_id: Column, copies: int) -> Column:
+    return F.pmod(sample_id, F.lit(copies)).cast("int")
 
 
 # --- R6 / R9 -----------------------------------------------------------------
@@ -116,6 +131,7 @@ def balance(df: DataFrame, key: str, ratio=(40, 60), mode: str = "downsample",
     are joined back once at the end."""
     flagged = class_split(df, type_)
     keys = flagged.select(key, ORIGINAL_FLAG)
+    copies = {True: 1, False: 1}
     plan = sample_plan(keys, ratio, mode, cap)
     if mode == "downsample" or cap == "reference":
         r = hash_rank(keys, seed, key, name="sample_id", by=(ORIGINAL_FLAG,))
@@ -127,15 +143,24 @@ def balance(df: DataFrame, key: str, ratio=(40, 60), mode: str = "downsample",
     else:
         p = plan.first()                       # two scalars per class
         parts = []
-        for flag, tgt in ((True, p["original_target"]), (False, p["other_target"])):
+        for flag, tgt, n in ((True, p["original_target"], p["n_original"]),
+                             (False, p["other_target"], p["n_other"])):
             cls = keys.where(F.col(ORIGINAL_FLAG) == flag)
             parts.append(oversample(cls, int(tgt), key, seed))
+            copies[flag] = _copies(int(tgt), n)
         chosen = parts[0].unionByName(parts[1])
     skey = F.concat_ws(":", F.col(ORIGINAL_FLAG).cast("int").cast("string"),
                        F.col(key).cast("string"), F.col("sample_id").cast("string"))
     placed = shuffle_positions(chosen.withColumn("_skey", skey), "_skey", seed,
                                position).drop("_skey")
-    return placed.join(flagged.drop(ORIGINAL_FLAG), key)
+    # a row drawn very often is one hot key: its class is copied as for the draws
+    copy = F.when(F.col(ORIGINAL_FLAG), _copy_of(F.col("sample_id"), copies[True])).otherwise(
+        _copy_of(F.col("sample_id"), copies[False]))
+    last = F.when(F.col(ORIGINAL_FLAG), F.lit(copies[True] - 1)).otherwise(F.lit(copies[False] - 1))
+    full = (flagged.withColumn("_copy", F.explode(F.sequence(F.lit(0), last)))
+            .drop(ORIGINAL_FLAG) if max(copies.values()) > 1
+            else flagged.withColumn("_copy", F.lit(0)).drop(ORIGINAL_FLAG))
+    return placed.withColumn("_copy", copy).join(full, [key, "_copy"]).drop("_copy")
 
 
 # --- R7 ----------------------------------------------------------------------

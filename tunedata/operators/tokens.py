@@ -5,15 +5,14 @@ Stand-in for a pretrained BPE tokenizer: word/punctuation tokens
 corpus, with the reference's truncation / masking / padding semantics.
 
 Scale notes
-* ``build_vocab`` is a map-side-combined ``groupBy(token)``; a histogram of
-  the count values yields the count threshold of the ``cap``-th token, so only
-  ~``cap`` candidates reach the final ``orderBy().limit(cap)`` merge. The
-  vocabulary has a proven bound of ``cap`` rows and is broadcast when
-  ``cap <= BROADCAST_VOCAB``.
+* ``build_vocab`` is a map-side-combined ``groupBy(token)`` and a distributed
+  rank by (count, token); no token is dropped unless the caller sets ``cap``.
 * ``encode`` truncates **before** exploding, so at most ``max_length`` rows per
-  record are joined; the regrouping ``collect_list`` is partially aggregated
-  per task (the tokens of one record never leave their task before being
-  packed into one array), so the shuffle moves one array per record.
+  record are joined. A vocabulary of up to ``BROADCAST_BYTES`` (measured) is
+  broadcast; the regrouping ``collect_list`` is then partially aggregated in
+  the task that exploded the record. A larger one is looked up in two parts:
+  its most frequent tokens (bounded bytes) by broadcast, the others by a
+  shuffle join to which the rows already resolved come spread out evenly.
 * Batch windows (``pad_batches``, ``length_batches``) are partitioned by batch
   or mega-batch ids, i.e. at most ``batch_size`` / ``mega * batch_size`` rows.
 """
@@ -27,10 +26,12 @@ from pyspark.sql import functions as F
 
 from tunedata.functions import templates as T
 from tunedata.functions.text import col_, tokens as _tokens
-from tunedata.operators.rank import hash_rank
+from tunedata.operators.rank import hash_rank, range_rank
+from tunedata.session import materialize
 
-MAX_VOCAB = 2_000_000
-BROADCAST_VOCAB = 1_000_000
+BROADCAST_BYTES = 32 << 20
+HEAD_TOKENS = 50_000
+HEAD_TOKEN_BYTES = 256       # longer tokens are never in the broadcast head
 
 
 def tokenize(c: Column | str) -> Column:
@@ -39,52 +40,67 @@ def tokenize(c: Column | str) -> Column:
 
 
 # --- T2 ----------------------------------------------------------------------
-def build_vocab(corpus_tokens: DataFrame, column: str = "tokens", cap: int = 50_000) -> DataFrame:
-    """token -> id by (count desc, token); ids 0-3 are pad/unk/bos/eos."""
-    if not 0 < cap <= MAX_VOCAB:
-        raise ValueError(f"vocabulary cap must be in 1..{MAX_VOCAB}")
-    counts = (corpus_tokens.select(F.explode(F.col(column)).alias("token"))
-              .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
-    # Threshold first: the histogram of count values (one row per distinct
-    # count, at most sqrt(2 * tokens) rows) gives the count t of the cap-th
-    # token; only tokens with count >= t (cap + ties at t) reach the top-k,
-    # so its final merge holds ~cap rows, not partitions * cap.
-    hist = counts.groupBy("count").agg(F.count(F.lit(1)).alias("_k"))
-    cum = hist.withColumn("_cum", F.sum("_k").over(
-        Window.orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, 0)))
-    t = cum.agg(F.coalesce(F.max(F.when(F.col("_cum") >= cap, F.col("count"))),
-                           F.min("count")).alias("_t"))
-    cand = counts.join(F.broadcast(t), F.col("count") >= F.col("_t")).drop("_t")
-    top = cand.orderBy(F.desc("count"), "token").limit(cap)
-    w = Window.orderBy(F.desc("count"), "token")      # <= cap rows
-    return top.select("token", (F.row_number().over(w) + (T.EOS_ID)).cast("int").alias("id"),
-                      "count")
-
-
-def _vocab_side(vocab: DataFrame, cap: int) -> DataFrame:
+def build_vocab(corpus_tokens: DataFrame, column: str = "tokens",
+                cap: int | None = None) -> DataFrame:
+    """token -> id by (count desc, token); ids 0-3 are pad/unk/bos/eos.
+
+    All tokens of the corpus by default; ``cap`` keeps the most frequent ones.
+    The result is a written table."""
+    if cap is not None and cap <= 0:
+        raise ValueError("vocabulary cap must be positive")
+    counts = materialize(corpus_tokens.select(F.explode(F.col(column)).alias("token"))
+                         .groupBy("token").agg(F.count(F.lit(1)).alias("count")), "vocab-counts")
+    ranks = range_rank(counts, [F.desc("count"), F.asc("token")], "_rk")
+    if cap is not None:
+        ranks = ranks.where(F.col("_rk") <= cap)
+    return materialize(ranks.select("token", (F.col("_rk") + T.EOS_ID).cast("int").alias("id"),
+                                    "count"), "vocab")
+
+
+def _token_ids(rows: DataFrame, vocab: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """``rows`` with ``id`` of their ``token`` (null if unknown)."""
     v = vocab.select("token", "id")
-    return F.broadcast(v) if cap <= BROADCAST_VOCAB else v
+    size = v.agg(F.sum(F.octet_length("token") + F.lit(24))).first()[0] or 0
+    if size <= broadcast_bytes:
+        return rows.join(F.broadcast(v), "token", "left")
+    # HEAD_TOKENS tokens of at most HEAD_TOKEN_BYTES: a bounded broadcast
+    in_head = ((F.col("id") <= HEAD_TOKENS + T.EOS_ID)
+               & (F.octet_length("token") <= HEAD_TOKEN_BYTES))
+    head = v.where(in_head).select("token", F.col("id").alias("_hid"))
+    tail = v.where(~in_head).select(F.col("token").alias("_tk"), F.col("id").alias("_tid"))
+    found = rows.join(F.broadcast(head), "token", "left")
+    spread = F.concat(F.lit("\u0001"), F.pmod(F.xxhash64(*rows.columns), F.lit(65_536)).cast("string"))
+    # a resolved row needs no partner: its key only spreads it over the tasks
+    keyed = found.withColumn("_jk", F.when(F.col("_hid").isNull(), F.col("token")).otherwise(spread))
+    return (keyed.join(tail, keyed["_jk"] == tail["_tk"], "left")
+            .withColumn("id", F.coalesce("_hid", "_tid")).drop("_jk", "_tk", "_hid", "_tid"))
 
 
 # --- T3 ----------------------------------------------------------------------
 def encode(df: DataFrame, token_array: Column, vocab: DataFrame, key: str,
            max_length: int, add_eos: bool = False, carry: Sequence[str] = (),
-           out: str = "input_ids", vocab_cap: int = 50_000) -> DataFrame:
+           out: str = "input_ids", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(key, *carry, out=array<int>) with ``out`` the first ``max_length`` ids
-    (unknown token -> 1). ``carry`` columns must be small scalars: they ride
-    along each token row."""
+    (unknown token -> 1). With ``add_eos`` every row ends with the end id,
+    which counts towards ``max_length``. ``carry`` columns must be small
+    scalars: they ride along each token row. Two rows with one key are an
+    error, found while the arrays are built."""
     carry = list(carry)
-    ex = df.select(key, *carry, F.posexplode_outer(F.slice(token_array, 1, max_length))
-                   .alias("_pos", "token"))
-    j = ex.join(_vocab_side(vocab, vocab_cap), "token", "left")
+    cut = F.slice(token_array, 1, max_length - 1 if add_eos else max_length)
+    rows = df.select(key, *carry, cut.alias("_cut"))
+    ex = rows.select(key, *carry, F.size("_cut").alias("_size"),
+                     F.posexplode_outer("_cut").alias("_pos", "token"))
+    j = _token_ids(ex, vocab, broadcast_bytes)
     item = F.when(F.col("_pos").isNotNull(),
                   F.struct("_pos", F.coalesce(F.col("id"), F.lit(T.UNK_ID)).alias("id")))
     g = j.groupBy(key).agg(*[F.any_value(c).alias(c) for c in carry],
-                           F.sort_array(F.collect_list(item)).alias("_p"))
-    ids = F.transform("_p", lambda x: x["id"])
+                           F.sort_array(F.collect_list(item)).alias("_p"),
+                           F.count(F.lit(1)).alias("_rows"), F.max("_size").alias("_size"))
+    unique = F.col("_rows") == F.greatest(F.col("_size"), F.lit(1))
+    ids = F.when(unique, F.transform("_p", lambda x: x["id"])).otherwise(
+        F.raise_error(F.lit(f"encode: several rows share one {key}")))
     if add_eos:
-        ids = F.when(F.size(ids) < max_length,
-                     F.concat(ids, F.array(F.lit(T.EOS_ID)))).otherwise(ids)
+        ids = F.concat(ids, F.array(F.lit(T.EOS_ID)))
     return g.select(key, *carry, ids.alias(out))
 
 
@@ -145,16 +161,17 @@ def pad_batches(df: DataFrame, batch: str = "batch_id", multiple: int = 8,
 # --- T7 ----------------------------------------------------------------------
 def length_batches(df: DataFrame, length: str, key: str, seed: int = 42,
                    batch_size: int = 4, mega: int = 50, keep_mega: bool = False,
-                   rank: str | None = None) -> DataFrame:
+                   rank: str | None = None, within: Sequence[str] = ()) -> DataFrame:
     """Length-grouped batches: seeded shuffle -> mega-batches of
     ``mega * batch_size`` rows -> sort by length desc inside -> cut.
     ``keep_mega`` keeps ``mega_id`` (rows stay partitioned by it); ``rank``
     names an existing 1-based seeded rank column to use instead of ranking
-    (and shuffling) the rows again."""
+    (and shuffling) the rows again; ``within``: columns whose values are
+    batched apart (``rank`` counts within them)."""
     r = (hash_rank(df, seed, key, name="_rk") if rank is None
          else df.withColumn("_rk", F.col(rank)))
     m = F.floor((F.col("_rk") - 1) / F.lit(mega * batch_size)).cast("long")
-    w = Window.partitionBy("mega_id").orderBy(F.desc(length), "_rk")
+    w = Window.partitionBy(*within, "mega_id").orderBy(F.desc(length), "_rk")
     out = (r.withColumn("mega_id", m)
            .withColumn("_j", F.row_number().over(w))
            .withColumn("batch_id", (F.col("mega_id") * mega

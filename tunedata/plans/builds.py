@@ -6,7 +6,7 @@ W1 ``build_dataset``      problems -> variants -> clarifying questions ->
 W2 ``build_preferences``  balance Original vs other -> complete records ->
                           preference pairs with cross-class rejected answers
 W3 ``build_batches``      instruction text -> tokens -> corpus vocabulary ->
-                          ids + labels -> train split -> length-grouped,
+                          ids + labels -> train / validation -> length-grouped,
                           left-padded batches
 """
 
@@ -21,14 +21,19 @@ from tunedata.operators import prompts as P
 from tunedata.operators import sampling as R
 from tunedata.operators import tokens as TK
 from tunedata.operators.preference import cross_class_rejected
-from tunedata.session import scratch_path
+from tunedata.session import materialize, scratch_path
 
 
 def build_dataset(problems: DataFrame, originals: DataFrame | None = None,
                   key: str = "problem_id", text: str = "text", kinds=T.KINDS,
-                  backend="rules", seed: int = 0, workdir: str | None = None) -> DataFrame:
+                  backend="rules", seed: int = 0, workdir: str | None = None,
+                  repairs: int = 1) -> DataFrame:
     """(record_id, problem, answer, type, position).
 
+    Empty answers of the backend are asked again up to ``repairs`` times per
+    run and stage; a request that stays empty or fails gives no record (its
+    last attempt stays in the response table, and a rerun asks again).
+
     ``record_id`` is ``<kind>:<problem id>`` for generated rows and
     ``original:<id>`` for rows of ``originals`` (record_id, problem, answer).
 
@@ -42,7 +47,7 @@ def build_dataset(problems: DataFrame, originals: DataFrame | None = None,
     work = (workdir or scratch_path(spark, "build-dataset")).rstrip("/")
     probs = P.strip_text(problems.select(F.col(key).alias("problem_id"), F.col(text).alias("text")))
     rewrite = G.request_table(P.rewrite_prompt(P.expand_variants(probs, kinds)), "rewrite")
-    r1 = G.responses_at(rewrite, f"{work}/responses-rewrite", backend)
+    r1 = G.repaired_at(rewrite, f"{work}/responses-rewrite", backend, repairs)
     ok1 = r1.where((F.col("status") == "ok") & (F.length("response") > 0))
     variants = (rewrite.select("request_id", "problem_id", "kind")
                 .join(ok1.select("request_id", F.col("response").alias("text")), "request_id")
@@ -50,8 +55,9 @@ def build_dataset(problems: DataFrame, originals: DataFrame | None = None,
     ask = P.question_prompt(variants).withColumn(
         "problem", P.unrender("prompt", "kind", T.QUESTION_TEMPLATES))
     qa = G.request_table(ask, "question")
-    r2 = G.responses_at(qa, f"{work}/responses-question", backend)
-    ok2 = r2.where(F.col("status") == "ok").select("request_id", F.col("response").alias("answer"))
+    r2 = G.repaired_at(qa, f"{work}/responses-question", backend, repairs)
+    ok2 = r2.where((F.col("status") == "ok") & (F.length("response") > 0)).select(
+        "request_id", F.col("response").alias("answer"))
     gen = qa.select("request_id", "problem_id", "kind", "problem").join(ok2, "request_id")
     records = gen.select(
         F.concat(F.col("kind"), F.lit(":"), F.col("problem_id").cast("string")).alias("record_id"),
@@ -68,6 +74,8 @@ def build_dataset(problems: DataFrame, originals: DataFrame | None = None,
 def build_preferences(records: DataFrame, key: str = "record_id", ratio=(20, 80),
                       mode: str = "downsample", seed: int = 0) -> DataFrame:
     balanced = R.balance(records, key, ratio, mode, seed)
+    # written once: the pairing reads it three times
+    balanced = materialize(balanced, "balanced")
     cols = [key, "problem", "answer", "type"]
     if mode == "oversample":
         # the same record may be drawn several times: key the draws
@@ -76,30 +84,46 @@ def build_preferences(records: DataFrame, key: str = "record_id", ratio=(20, 80)
     return cross_class_rejected(balanced.select(*cols), key, seed)
 
 
-def build_batches(records: DataFrame, key: str = "record_id", seed: int = 42,
-                  max_length: int = 2048, vocab_cap: int = 50_000,
-                  batch_size: int = 4, mega: int = 50, test_size: float = 0.2) -> DataFrame:
-    """Tokenizer variant 4 texts -> padded train batches.
+def _variant(records: DataFrame, variant: int, key: str) -> tuple[DataFrame, list[str], int]:
+    """Tokens of each record under tokenizer variant 1-4, with the columns its
+    labels need, and its length limit."""
+    if variant == 2:
+        rows = records.select(key, TK.tokenize("problem").alias("_p"), TK.tokenize("answer").alias("_a"))
+        return rows.select(key, F.concat("_p", "_a").alias("tokens"),
+                           F.least(F.size("_p"), F.lit(512)).alias("s"),
+                           F.least(F.size("_a"), F.lit(512)).alias("a")), ["s", "a"], 2048
+    text = {1: P.concat_v1, 3: P.concat_v3, 4: P.concat_v4}[variant]()
+    texts = records.select(key, text.alias("_text"))
+    return texts.select(key, TK.tokenize("_text").alias("tokens")), [], 2048 if variant == 4 else 512
+
+
+def build_batches(records: DataFrame, key: str = "record_id", seed: int = 42, variant: int = 4,
+                  batch_size: int = 4, mega: int = 50, test_size: float = 0.2,
+                  vocab_cap: int | None = None) -> DataFrame:
+    """Texts of tokenizer ``variant`` 1-4 -> padded batches of both halves:
+    ``split`` is 'train' or 'validation', ``batch_id`` counts within it.
 
     The seeded order is ranked once, from the keys alone (small rows), and
     joined to the encoded rows, which the encoding already partitioned by key.
-    Validation is ranks ``<= ceil(test_size * n)``; the train rows' own rank
-    is the global rank minus that cut (same seed, same order). So the wide id
+    Validation is ranks ``<= ceil(test_size * n)``; a train row's own rank is
+    the global rank minus that cut (same seed, same order). So the wide id
     arrays are shuffled only by the encoding and by the mega-batch window,
     and padding reuses the latter."""
-    texts = records.select(key, P.concat_v4().alias("_text"))
-    toks = texts.select(key, TK.tokenize("_text").alias("tokens"))
+    if variant not in (1, 2, 3, 4):
+        raise ValueError(f"variant must be 1, 2, 3 or 4, got {variant!r}")
+    toks, carry, limit = _variant(records, variant, key)
     vocab = TK.build_vocab(toks, "tokens", vocab_cap)
-    enc = TK.causal_labels(TK.encode(toks, F.col("tokens"), vocab, key, max_length,
-                                     vocab_cap=vocab_cap))
+    enc = TK.encode(toks, F.col("tokens"), vocab, key, limit, carry=carry)
+    enc = TK.answer_only_labels(enc).drop("s", "a") if variant == 2 else TK.causal_labels(enc)
     order = R.hash_rank(records.select(key), seed, key, name="_rk")
     cut = records.agg(F.ceil(F.lit(float(test_size)) * F.count(F.lit(1))).alias("_cut"))
-    train = (enc.join(order, key).crossJoin(F.broadcast(cut))      # cut: one row
-             .where(F.col("_rk") > F.col("_cut"))
-             .withColumn("_trk", F.col("_rk") - F.col("_cut"))
-             .withColumn("_len", F.size("input_ids")))
-    batched = TK.length_batches(train, "_len", key, seed, batch_size, mega, keep_mega=True,
-                                rank="_trk")
+    validation = F.col("_rk") <= F.col("_cut")
+    rows = (enc.join(order, key).crossJoin(F.broadcast(cut))      # cut: one row
+            .withColumn("split", F.when(validation, "validation").otherwise("train"))
+            .withColumn("_own", F.when(validation, F.col("_rk")).otherwise(F.col("_rk") - F.col("_cut")))
+            .withColumn("_len", F.size("input_ids")))
+    batched = TK.length_batches(rows, "_len", key, seed, batch_size, mega, keep_mega=True,
+                                rank="_own", within=("split",))
     # batches never cross mega-batches: pad inside the existing partitioning
-    return TK.pad_batches(batched, within=("mega_id",)).select(
-        key, "batch_id", "width", "input_ids", "attention_mask", "labels")
+    return TK.pad_batches(batched, within=("split", "mega_id")).select(
+        key, "split", "batch_id", "width", "input_ids", "attention_mask", "labels")

@@ -368,20 +368,32 @@ def q_generate_responses(spark, sf):
 
 
 def flaky_backend(prompt: str) -> str:
-    """Stand-in client for failure capture: deterministic quota errors,
-    blocks and crashes by prompt hash; otherwise echoes the prompt length."""
-    import zlib
-    h = zlib.crc32(prompt.encode("utf-8")) % 10
-    if h == 0:
+    """Stand-in client for failure capture: deterministic blocks, quota errors
+    and crashes by the first hex digit of the prompt's md5; otherwise echoes
+    the prompt length."""
+    import hashlib
+    h = hashlib.md5(prompt.encode("utf-8")).hexdigest()[0]
+    if h == "0":
         raise G.Blocked("prompt_feedback: block_reason=SAFETY")
-    if h == 1:
+    if h == "1":
         raise G.QuotaExceeded("429 quota exceeded")
-    if h == 2:
+    if h == "2":
         raise RuntimeError("500 internal error")
     return f"answer of {len(prompt)} characters"
 
 
-@register("generation_status")
+@register("generation_status", f"""
+SELECT request_id,
+       CASE WHEN h NOT IN ('0', '1', '2')
+            THEN 'answer of ' || CAST(length(prompt) AS VARCHAR) || ' characters' END AS response,
+       CASE h WHEN '0' THEN 'blocked' WHEN '1' THEN 'quota' WHEN '2' THEN 'error' ELSE 'ok' END
+         AS status,
+       CASE h WHEN '1' THEN 2 ELSE 1 END AS attempt,
+       CASE h WHEN '0' THEN 'prompt_feedback: block_reason=SAFETY'
+              WHEN '1' THEN '429 quota exceeded'
+              WHEN '2' THEN 'RuntimeError: 500 internal error' END AS error
+FROM (SELECT DISTINCT request_id, prompt, substr(md5(prompt), 1, 1) AS h FROM ({_REQ}) q) x""",
+          ("problems",))
 def q_generation_status(spark, sf):
     return G.generate_responses(_requests(spark, sf), backend=flaky_backend, retry_wait=0.0)
 
@@ -423,13 +435,13 @@ def q_repair_empty(spark, sf):
 SELECT CAST(record_id AS VARCHAR) AS request_id,
        CASE WHEN conv_id_even THEN answer ELSE '' END AS response,
        CASE WHEN conv_id_even THEN 2 ELSE 1 END AS attempt
-FROM (SELECT record_id, answer, (record_id // 1000) % 2 = 0 AS conv_id_even FROM records) r""",
+FROM (SELECT record_id, answer, (record_id // 4294967296) % 2 = 0 AS conv_id_even FROM records) r""",
           ("records",))
 def q_latest_attempt(spark, sf):
     r = V.records(spark, sf)
     first = r.select(F.col("record_id").cast("string").alias("request_id"),
                      F.lit("").alias("response"), F.lit(1).alias("attempt"))
-    second = (r.where((F.floor(F.col("record_id") / 1000) % 2) == 0)
+    second = (r.where((F.shiftright("record_id", 32) % 2) == 0)
               .select(F.col("record_id").cast("string").alias("request_id"),
                       F.col("answer").alias("response"), F.lit(2).alias("attempt")))
     return G.latest_attempt(first.unionByName(second))
@@ -613,19 +625,18 @@ def q_cross_class_rejected(spark, sf):
 # ---------------------------------------------------------------------------
 # Vocabulary, encoding, labels, batches
 # ---------------------------------------------------------------------------
-VOCAB_CAP = 50_000
 _VOCAB = f"""
 SELECT token, CAST(row_number() OVER (ORDER BY count DESC, token) + 3 AS INTEGER) AS id, count
 FROM (SELECT token, count(*) AS count
       FROM (SELECT unnest({S.toks('problem')}) AS token FROM records
             UNION ALL SELECT unnest({S.toks('answer')}) FROM records) t
-      GROUP BY token ORDER BY count DESC, token LIMIT {VOCAB_CAP}) c"""
+      GROUP BY token) c"""
 
 
 def _vocab(spark, sf):
     r = V.records(spark, sf)
     corpus = r.select(F.concat(TK.tokenize("problem"), TK.tokenize("answer")).alias("tokens"))
-    return TK.build_vocab(corpus, "tokens", VOCAB_CAP)
+    return TK.build_vocab(corpus, "tokens")
 
 
 @register("build_vocab", _VOCAB, ("records",))
@@ -664,6 +675,13 @@ _CAUSAL = ("SELECT record_id, ids AS input_ids, ids AS labels, "
            "list_transform(ids, lambda x: 1) AS attention_mask FROM enc")
 
 
+@register("encode_eos", f"WITH {encode_sql('problem || answer', 511)} "
+          f"SELECT record_id, list_append(ids, {T.EOS_ID}) AS input_ids FROM enc", ("records",))
+def q_encode_eos(spark, sf):
+    r = V.records(spark, sf).select("record_id", P.concat_v1().alias("_text"))
+    return TK.encode(r, TK.tokenize("_text"), _vocab(spark, sf), "record_id", 512, add_eos=True)
+
+
 @register("labels_v1", f"WITH {encode_sql('problem || answer', 512)} {_CAUSAL}", ("records",))
 def q_labels_v1(spark, sf):
     return TK.causal_labels(_encoded(spark, sf, P.concat_v1(), 512))
@@ -836,7 +854,7 @@ FROM problems""", ("problems",))
 def q_read_problem_dirs(spark, sf):
     root = scratch_path(spark, "problem-dirs")
     IO.write_problem_dirs(V.problems(spark, sf).withColumnRenamed("doc_id", "problem_id"), root)
-    got = IO.read_problem_dirs(spark, root, "*.txt")
+    got = IO.read_problem_dirs(spark, root, "*.txt", partitioned=True)
     return got.select(F.col("problem_id").cast("long").alias("problem_id"), "text")
 
 
@@ -850,7 +868,7 @@ def q_jsonl_roundtrip(spark, sf):
 @register("json_array_scan", "SELECT record_id, problem, answer, type FROM records", ("records",))
 def q_json_array_scan(spark, sf):
     path = scratch_path(spark, "json-array")
-    IO.write_json_arrays(V.records(spark, sf), path, "record_id", rows_per_file=100)
+    IO.write_json_arrays(V.records(spark, sf), path, "record_id", bytes_per_file=64 << 10)
     return IO.read_json_array(spark, f"{path}/*", RECORD_SCHEMA)
 
 
@@ -937,29 +955,53 @@ def q_build_preferences(spark, sf):
     return W.build_preferences(V.records(spark, sf))
 
 
-def _batches_sql() -> str:
+_VARIANTS = {
+    1: (S.toks("problem || answer"), 512), 2: (_V2_TOKS, 2048),
+    3: (S.toks("problem || answer || type"), 512), 4: (S.toks(V4_SQL), 2048),
+}
+
+
+def _batches_sql(variant: int) -> str:
+    toks, limit = _VARIANTS[variant]
     vocab = f"""
 SELECT token, CAST(row_number() OVER (ORDER BY count DESC, token) + 3 AS INTEGER) AS id, count
-FROM (SELECT token, count(*) AS count
-      FROM (SELECT unnest({S.toks(V4_SQL)}) AS token FROM records) t
-      GROUP BY token ORDER BY count DESC, token LIMIT {VOCAB_CAP}) c"""
-    enc = encode_sql(V4_SQL, 2048).replace(_VOCAB, vocab)
+FROM (SELECT token, count(*) AS count FROM (SELECT unnest({toks}) AS token FROM records) t
+      GROUP BY token) c"""
+    enc = encode_sql("", limit, toks, _V2_SA if variant == 2 else "").replace(_VOCAB, vocab)
+    labels = "ids" if variant != 2 else (
+        "list_transform(ids, lambda x, i: CASE WHEN i - 1 >= s AND i - 1 < s + a THEN x "
+        "ELSE -100 END)")
+    own = ("SELECT record_id, ids, lab, len(ids) AS n FROM sp WHERE split = '{}'")
+    halves = " UNION ALL ".join(
+        f"SELECT record_id, ids, lab, n, batch_id, '{half}' AS split FROM "
+        f"({length_batch_sql('(' + own.format(half) + ')', 'record_id', 'n')}) {half}_b"
+        for half in ("train", "validation"))
     return f"""
 WITH {enc},
-sp AS (SELECT record_id, ids, len(ids) AS n FROM (
-         SELECT *, CASE WHEN {S.hash_rank(42, 'record_id')} <= ceil(0.2::DOUBLE * count(*) OVER ())
-                   THEN 'validation' ELSE 'train' END AS split FROM enc) s WHERE split = 'train'),
-b AS ({length_batch_sql('sp', 'record_id', 'n')}),
-w AS (SELECT *, CAST(ceil(max(n) OVER (PARTITION BY batch_id) / 8.0::DOUBLE) * 8 AS INTEGER)
+lb AS (SELECT enc.record_id, ids, {labels} AS lab FROM enc JOIN t ON enc.record_id = t.record_id),
+sp AS (SELECT *, CASE WHEN {S.hash_rank(42, 'record_id')} <= ceil(0.2::DOUBLE * count(*) OVER ())
+              THEN 'validation' ELSE 'train' END AS split FROM lb),
+b AS ({halves}),
+w AS (SELECT *, CAST(ceil(max(n) OVER (PARTITION BY split, batch_id) / 8.0::DOUBLE) * 8 AS INTEGER)
               AS width FROM b)
-SELECT record_id, batch_id, width,
+SELECT record_id, split, batch_id, width,
        list_concat(list_transform(range(width - n), lambda x: 0), ids) AS input_ids,
        list_concat(list_transform(range(width - n), lambda x: 0),
                    list_transform(ids, lambda x: 1)) AS attention_mask,
-       list_concat(list_transform(range(width - n), lambda x: -100), ids) AS labels
+       list_concat(list_transform(range(width - n), lambda x: -100), lab) AS labels
 FROM w"""
 
 
-@register("build_batches", _batches_sql(), ("records",))
+@register("build_batches", _batches_sql(4), ("records",))
 def q_build_batches(spark, sf):
     return W.build_batches(V.records(spark, sf))
+
+
+def _register_batches(variant: int) -> None:
+    @register(f"build_batches_v{variant}", _batches_sql(variant), ("records",))
+    def q(spark, sf):
+        return W.build_batches(V.records(spark, sf), variant=variant)
+
+
+for _v in _VARIANTS:
+    _register_batches(_v)

@@ -4,11 +4,13 @@ shared scratch location every job that writes intermediate data uses."""
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
@@ -53,14 +55,19 @@ def app_id(spark: SparkSession) -> str:
 def checkpoint_root(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Read from the session; only when nothing is configured (local tests) a
-    private folder is created and registered as the checkpoint dir.
+    Read from the session; only when nothing is configured and the master is
+    local (tests) a private folder is created and registered as the checkpoint
+    dir. On a cluster a folder of the driver's machine would lose rows, so
+    there a missing setting is an error.
     """
     sc = _context(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and sc is not None:
         root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[[^,\]]*(,\s*\d+)?\])?$", master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
         root = tempfile.mkdtemp(prefix="tunedata-ckpt-")
         if sc is not None:
             sc.setCheckpointDir(root)
@@ -77,6 +84,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: later steps start
+    from the files instead of the work that made them."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything can be read at ``path``; other errors are raised."""
+    try:
+        spark.read.format("binaryFile").load(path).limit(0).collect()
+        return True
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+
+
 _SHIPPED: set[str] = set()
 
 

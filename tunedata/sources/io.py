@@ -15,19 +15,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from tunedata.functions.text import normalize_newlines, strip
-from tunedata.operators.rank import key_rank
-from tunedata.session import default_parallelism
+from tunedata.operators.rank import range_rank
+from tunedata.session import default_parallelism, table_exists
 
 CORRUPT = "_corrupt_record"
 
 
 # --- S1 ----------------------------------------------------------------------
-def read_problem_dirs(spark: SparkSession, root: str, filename: str = "question.txt") -> DataFrame:
+def read_problem_dirs(spark: SparkSession, root: str, filename: str = "question.txt",
+                      partitioned: bool = False) -> DataFrame:
     """``<root>/<id>/<filename>`` -> (problem_id, text), one file per task.
 
     Folders without the file are skipped by the glob; the text is read whole,
-    ``\\r\\n`` normalised and stripped as upstream. ``<id>`` may also be the
-    ``name=value`` folder a partitioned Spark write creates."""
+    ``\\r\\n`` normalised and stripped as upstream. The id is the decoded
+    folder name; with ``partitioned`` the folders are the ``name=value`` ones of
+    a partitioned Spark write, and the id is the value."""
     base = root.rstrip("/")
     # Recursive listing runs as a parallel Spark job (no driver-side glob over
     # every folder). Its default parallelism is one task per folder (up to
@@ -44,11 +46,16 @@ def read_problem_dirs(spark: SparkSession, root: str, filename: str = "question.
             spark.conf.unset(conf)
         else:
             spark.conf.set(conf, before)
-    path = F.col("_metadata.file_path")
-    one_level = path.rlike(r"^.*" + re.escape(base.split("://")[-1]) + r"/[^/]+/[^/]+$")
-    folder = F.regexp_extract(path, r"/([^/]+)/[^/]+$", 1)
-    pid = F.regexp_replace(folder, r"^[^=]*=", "")
-    return raw.where(one_level).select(pid.alias("problem_id"),
+    # file_path is URL-encoded ('+' stands for itself there); the root is not,
+    # unless it was given as a URL
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    plain = re.sub(r"^[a-z][a-z0-9+.-]*:(//[^/]*)?", "", base)
+    parts = F.split(path, "/")
+    one_level = F.concat_ws("/", F.slice(parts, 1, F.size(parts) - 2)).endswith(plain)
+    folder = F.element_at(parts, -2)
+    if partitioned:
+        folder = F.regexp_replace(folder, r"^[^=]*=", "")
+    return raw.where(one_level).select(folder.alias("problem_id"),
                                        strip(normalize_newlines("value")).alias("text"))
 
 
@@ -103,18 +110,19 @@ def read_json_array(spark: SparkSession, path: str, schema: ST.StructType | None
     return (r.schema(schema) if schema is not None else r).json(path)
 
 
-def write_json_arrays(df: DataFrame, path: str, key: str, rows_per_file: int = 10_000) -> None:
-    """Write rows as JSON-array files of about ``rows_per_file`` rows: rows are
-    hashed into ``ceil(n / rows_per_file)`` buckets (each bounded) and each
-    bucket becomes one array document sorted by ``key``, in its own folder
-    ``<path>/bucket=<b>/`` (read back with ``read_json_array(path + '/*')``)."""
-    n = df.count()
-    files = max(1, -(-n // rows_per_file))
-    b = F.pmod(F.xxhash64(F.col(key)), F.lit(files))
-    doc = (df.select(b.alias("_b"), F.struct(F.col(key).alias("k"),
-                                             F.to_json(F.struct(*df.columns),
-                                                       {"ignoreNullFields": "false"}).alias("j"))
-                     .alias("_e"))
+def write_json_arrays(df: DataFrame, path: str, key: str,
+                      bytes_per_file: int = 16 << 20) -> None:
+    """Write rows as JSON-array files of about ``bytes_per_file`` bytes: rows
+    are hashed into buckets by the measured bytes of all rows, and each bucket
+    becomes one array document sorted by ``key``, in its own folder
+    ``<path>/bucket=<b>/`` (read back with ``read_json_array(path + '/*')``).
+    The form is the same at every size; a document holds whole rows, so one
+    row over the limit makes a document of its own size."""
+    line = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    total = df.select(F.octet_length(line).alias("n")).agg(F.sum("n")).first()[0] or 0
+    files = max(1, -(-total // bytes_per_file))
+    b = F.pmod(F.xxhash64(F.col(key), line), F.lit(files))
+    doc = (df.select(b.alias("_b"), F.struct(F.col(key).alias("k"), line.alias("j")).alias("_e"))
            .groupBy("_b").agg(F.sort_array(F.collect_list("_e")).alias("_a")))
     text = F.concat(F.lit("["), F.array_join(F.transform("_a", lambda e: e["j"]), ","), F.lit("]"))
     # one folder per bucket, one row (= one document) per folder
@@ -127,14 +135,12 @@ def append_dataset(spark: SparkSession, path: str, rows: DataFrame, key: str,
                    fmt: str = "parquet") -> DataFrame:
     """Add ``rows`` whose ``key`` is not yet in the dataset at ``path``
     (created if missing), then return the whole dataset. Idempotent: a rerun
-    with the same rows adds nothing."""
-    try:
+    with the same rows adds nothing, rows with a null key included."""
+    new = rows
+    if table_exists(spark, path):
         existing = spark.read.format(fmt).schema(rows.schema).load(path)
-        new = rows.join(existing.select(key), key, "left_anti")
-    except Exception as e:  # noqa: BLE001 - first write: nothing there yet
-        if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
-            raise
-        new = rows
+        have = existing.select(F.col(key).alias("_have")).distinct()
+        new = rows.join(have, rows[key].eqNullSafe(have["_have"]), "left_anti")
     new.write.mode("append").format(fmt).save(path)
     return spark.read.format(fmt).schema(rows.schema).load(path)
 
@@ -143,7 +149,15 @@ def append_dataset(spark: SparkSession, path: str, rows: DataFrame, key: str,
 def index_nonempty(df: DataFrame, order_key: str, output: str = "output",
                    index: str = "idx") -> DataFrame:
     """0-based ``index`` in ``order_key`` order, assigned *before* rows with a
-    missing or empty ``output`` are dropped (so numbering has gaps)."""
-    r = key_rank(df, order_key, name="_rk")
-    return (r.withColumn(index, F.col("_rk") - 1).drop("_rk")
-            .where(F.col(output).isNotNull() & (F.length(output) > 0)))
+    missing or empty ``output`` are dropped (so numbering has gaps).
+
+    The ranks are worked out on the keys alone, in range partitions whose
+    number follows the data, and joined back; two rows with one key are an
+    error, a null key comes last."""
+    once = F.when(F.count(F.lit(1)) == 1, F.lit(0)).otherwise(
+        F.raise_error(F.lit(f"index_nonempty: several rows share one {order_key}")))
+    keys = df.groupBy(F.col(order_key).alias("_key")).agg(once.alias("_once"))
+    ranks = range_rank(keys.select("_key", "_once"), [F.asc_nulls_last("_key")], "_rk").select(
+        "_key", (F.col("_rk") - 1).alias(index))
+    kept = df.where(F.col(output).isNotNull() & (F.length(output) > 0))
+    return kept.join(ranks, kept[order_key].eqNullSafe(ranks["_key"])).drop("_key")

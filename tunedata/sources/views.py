@@ -8,8 +8,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,31 +18,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: record_id = conv_id * TURNS + turn: no conversation has so many turns
+TURNS = 2 ** 32
+
 # Derived views are written once per session into the shared checkpoint
 # folder and read back as parquet (a written table cuts the lineage: queries
 # that use a view several times do not recompute its windows and joins).
-# The key includes the source files' size and mtime, so changed inputs are
-# never served from an old copy.
+# The key holds path, length and modification time of every source file as
+# Spark itself lists them, on any file system, so a changed input is never
+# served from an old copy.
 _WRITTEN: dict[tuple, str] = {}
 
 
-def _signature(sf_dir: str, sources: tuple[str, ...]) -> tuple:
+def _signature(spark: SparkSession, sf_dir: str, sources: tuple[str, ...]) -> tuple:
     sig = []
     for t in sources:
-        p = f"{sf_dir.rstrip('/')}/{t}.parquet"
-        try:
-            st = os.stat(p)
-            sig.append((t, st.st_size, st.st_mtime_ns))
-        except OSError:                      # not a local path: key by name only
-            sig.append((t,))
+        files = (table(spark, sf_dir, t)
+                 .select("_metadata.file_path", "_metadata.file_size",
+                         "_metadata.file_modification_time").distinct())
+        # one number for all files, however many there are
+        row = files.agg(F.count(F.lit(1)).alias("n"), F.sum("file_size").alias("size"),
+                        F.bit_xor(F.xxhash64(*files.columns)).alias("h")).first()
+        sig.append((t, row["n"], row["size"], row["h"]))
     return tuple(sig)
 
 
 def _written(spark: SparkSession, sf_dir: str, name: str, sources: tuple[str, ...],
              build) -> DataFrame:
     from tunedata.session import app_id, scratch_path
-    key = (app_id(spark), os.path.abspath(sf_dir), name,
-           _signature(sf_dir, sources))
+    key = (app_id(spark), sf_dir.rstrip("/"), name, _signature(spark, sf_dir, sources))
     path = _WRITTEN.get(key)
     if path is None:
         path = scratch_path(spark, f"view-{name}")
@@ -79,7 +81,7 @@ def requests_open(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _turns(spark, sf_dir)
     return x.where((F.col("role") == "user") & (F.col("next_role") == "assistant")).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("record_id"),
+        (F.col("conv_id") * TURNS + F.col("turn")).alias("record_id"),
         F.col("text").alias("problem"),
         F.col("next_text").alias("answer"),
         _type_by_conv().alias("type"),
@@ -90,7 +92,7 @@ def _requests_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _turns(spark, sf_dir)
     return x.where((F.col("role") == "user")
                    & (F.coalesce(F.col("next_role"), F.lit("")) != "assistant")).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("record_id"),
+        (F.col("conv_id") * TURNS + F.col("turn")).alias("record_id"),
         F.col("text").alias("input"),
         F.lit("").alias("output"),
     )
@@ -117,7 +119,7 @@ def _classed(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The same views as DuckDB SQL (CTE bodies), used by the oracle queries.
 SQL_VIEWS = {
     "records": """
-SELECT conv_id * 1000 + turn AS record_id, text AS problem, next_text AS answer,
+SELECT conv_id * 4294967296 + turn AS record_id, text AS problem, next_text AS answer,
        CASE conv_id % 4 WHEN 0 THEN 'Original' WHEN 1 THEN 'Ambiguous'
                         WHEN 2 THEN 'Inconsistent' ELSE 'Incomplete' END AS type
 FROM (SELECT conv_id, turn, role, text,
@@ -126,7 +128,7 @@ FROM (SELECT conv_id, turn, role, text,
       FROM conversations) x
 WHERE role = 'user' AND next_role = 'assistant'""",
     "requests_open": """
-SELECT conv_id * 1000 + turn AS record_id, text AS input, '' AS output
+SELECT conv_id * 4294967296 + turn AS record_id, text AS input, '' AS output
 FROM (SELECT conv_id, turn, role, text,
              lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role
       FROM conversations) x
