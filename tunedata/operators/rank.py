@@ -40,22 +40,21 @@ def ranked(df: DataFrame, bucket: Column, order: Sequence[Column | str],
     """Add 1-based ``name`` = position of the row in ``order`` within ``by``.
 
     ``bucket`` must be monotone in ``order`` and have a small, bounded number
-    of values, none of them null; a null in a ``by`` column is an error.
+    of values, none of them null; null is a group of its own in ``by``.
     """
     by = list(by)
-    for c in by:
-        bucket = F.when(F.col(c).isNull(), F.raise_error(F.lit(f"null in rank group {c}"))).otherwise(
-            bucket)
-    tmp = df.withColumn("_rk_b", bucket)
-    counts = tmp.groupBy(*by, "_rk_b").agg(F.count(F.lit(1)).alias("_rk_n"))
-    before = (Window.partitionBy(*by).orderBy("_rk_b")
+    # a struct is never null itself, and null fields in it are equal
+    group = F.struct(*by).alias("_rk_g") if by else F.lit(0).alias("_rk_g")
+    tmp = df.select("*", group, bucket.alias("_rk_b"))
+    keys = ["_rk_g", "_rk_b"] if by else ["_rk_b"]
+    counts = tmp.groupBy("_rk_g", "_rk_b").agg(F.count(F.lit(1)).alias("_rk_n"))
+    before = (Window.partitionBy(*keys[:-1]).orderBy("_rk_b")
               .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(*by, "_rk_b",
-                            F.coalesce(F.sum("_rk_n").over(before), F.lit(0)).alias("_rk_off"))
-    within = Window.partitionBy(*by, "_rk_b").orderBy(*[col_(c) for c in order])
-    return (tmp.join(offsets, [*by, "_rk_b"])
+    offsets = counts.select(*keys, F.coalesce(F.sum("_rk_n").over(before), F.lit(0)).alias("_rk_off"))
+    within = Window.partitionBy(*keys).orderBy(*[col_(c) for c in order])
+    return (tmp.join(offsets, keys)
             .withColumn(name, (F.col("_rk_off") + F.row_number().over(within)).cast("long"))
-            .drop("_rk_b", "_rk_off"))
+            .drop("_rk_g", "_rk_b", "_rk_off"))
 
 
 def hash_rank(df: DataFrame, seed: int | str, key: Column | str, name: str = "rank",
