@@ -22,7 +22,7 @@ from tunedata.session import materialize, table_exists
 
 #: The response table is partitioned by the first hex digits of the request id;
 #: a batch reads only the partitions of its own requests.
-PREFIX_CHARS = 2
+PREFIX_CHARS = 1
 
 
 def stream_generate(spark: SparkSession, requests_dir: str, schema: ST.StructType,
