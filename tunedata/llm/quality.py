@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, let, words, written
+from .common import SPACE_CLASS, SPACES, written
 
 #: A word is common if it makes up this share of the words of its language, so
 #: no language has more than 1 / COMMON_SHARE of them.
@@ -20,8 +20,8 @@ COMMON_SHARE = 0.004
 #: A language is a reference if it has this share of all words, so there are no
 #: more than 1 / LANG_SHARE references.
 LANG_SHARE = 0.005
-#: Punctuation that does not count at the ends of a word.
-EDGE = ".,;:!?\"'()[]{}|*#$%&"
+#: Punctuation that is taken out of the words that are compared.
+PUNCTUATION = r"[.,;:!?\"'()\[\]{}|*#$%&]+"
 BUCKETS = 8192
 MIN_WORDS = 50
 #: Limits of the distances, and what short documents get on top:
@@ -52,38 +52,71 @@ def _class_counts(docs: DataFrame, text: Column) -> DataFrame:
     return out.withColumn("_n_all", F.length("_t0").cast("long"))
 
 
-def _repeat_words(w: Column) -> Column:
-    """Words covered by three-word windows that occur twice or more; windows
-    are told apart by 64-bit hashes within one text."""
-    def covered(ordered: Column) -> Column:
-        last = F.size(ordered) - 1
-        same = lambda s, i: (((i > 0) & (ordered[F.greatest(i - 1, F.lit(0))]["h"] == s["h"]))
-                             | ((i < last) & (ordered[F.least(i + 1, last)]["h"] == s["h"])))
-        spots = F.transform(F.filter(ordered, same), lambda s: s["i"])
-        return F.size(F.array_distinct(F.flatten(
-            F.transform(spots, lambda p: F.array(p, p + 1, p + 2)))))
+def _split(trimmed: Column) -> Column:
+    """The words of a text without white space at its ends."""
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(
+        F.split(trimmed, SPACE_CLASS))
 
-    def count(h: Column) -> Column:
-        ordered = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(
-            let(ordered, covered))
 
-    hashes = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))),
-                         lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]))
-    return F.when(F.size(w) < 3, F.lit(0)).otherwise(let(hashes, count)).cast("long")
+def _trimmed(text: Column) -> Column:
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
 
 
-def _runs(common: Column) -> Column:
-    """array<struct<w, c>>: the distinct values of an array with their counts."""
-    def count(s: Column) -> Column:
-        firsts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0))),
-                          lambda i: (i == 0) | (s[i] != s[F.greatest(i - 1, F.lit(0))]))
-        return F.when(F.size(s) == 0, F.array().cast("array<struct<w:string,c:int>>")).otherwise(
-            let(firsts, lambda f: F.transform(f, lambda i, k: F.struct(
-                s[i].alias("w"),
-                (F.coalesce(F.get(f, k + 1), F.size(s)) - i).cast("int").alias("c")))))
+def _compared_words(text: Column) -> Column:
+    """Lower-case words without punctuation."""
+    return _split(F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), PUNCTUATION, ""),
+                          F.lit(SPACES)))
 
-    return let(F.sort_array(common), count)
+
+def _with_repeats(df: DataFrame) -> DataFrame:
+    """Add ``n_repeat_words``: words of ``_w`` covered by three-word windows
+    that occur twice or more.
+
+    Each step is a column of its own, so that it is worked out once. Only texts
+    in which two windows have one hash go on: there windows are sorted as
+    numbers made of a hash (high bits) and the place (low bits), and neighbours
+    with one hash count if their words are equal.
+    """
+    w, h, s = F.col("_w"), F.col("_h"), F.col("_s")
+    last = F.size(w) - 3
+    out = df.withColumn("_h", F.when(last >= 0, F.transform(
+        F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+        lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]))))
+    out = out.withColumn("_twice", F.size(F.array_distinct(h)) < F.size(h))
+    out = out.withColumn("_bits", F.length(F.bin(F.size(w).cast("long"))))
+    out = out.withColumn("_low", F.expr("shiftleft(1L, _bits) - 1"))
+    packed = F.transform(h, lambda x, i: x.bitwiseAND(F.bitwise_not(F.col("_low")))
+                         .bitwiseOR(i.cast("long")))
+    out = out.withColumn("_s", F.when(F.col("_twice"), F.sort_array(packed)))
+
+    def place(x: Column) -> Column:
+        return x.bitwiseAND(F.col("_low")).cast("int")
+
+    def same(x: Column, y: Column) -> Column:
+        a, b = place(x), place(y)
+        return (x.bitwiseXOR(y).bitwiseAND(F.bitwise_not(F.col("_low"))) == 0) & (
+            (w[a] == w[b]) & (w[a + 1] == w[b + 1]) & (w[a + 2] == w[b + 2]))
+
+    end = F.size(s) - 1
+    spots = F.filter(s, lambda x, i: ((i > 0) & same(x, s[F.greatest(i - 1, F.lit(0))]))
+                     | ((i < end) & same(x, s[F.least(i + 1, end)])))
+    covered = F.size(F.array_distinct(F.flatten(F.transform(
+        spots, lambda x: F.array(place(x), place(x) + 1, place(x) + 2)))))
+    return out.withColumn("n_repeat_words", F.when(F.col("_twice"), covered).otherwise(F.lit(0))
+                          .cast("long")).drop("_h", "_twice", "_bits", "_low", "_s")
+
+
+def _with_runs(df: DataFrame, sorted_col: str, out: str) -> DataFrame:
+    """Add ``out``: array<struct<w, c>>, the distinct values of the sorted
+    array ``sorted_col`` with their counts."""
+    s = F.col(sorted_col)
+    firsts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0))),
+                      lambda i: (i < F.size(s)) & ((i == 0) | (F.get(s, i) != F.get(s, i - 1))))
+    first = F.col("_first")
+    return df.withColumn("_first", firsts).withColumn(out, F.transform(
+        first, lambda i, k: F.struct(
+            F.get(s, i).alias("w"),
+            (F.coalesce(F.get(first, k + 1), F.size(s)) - i).cast("int").alias("c")))).drop("_first")
 
 
 def common_words(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -95,7 +128,7 @@ def common_words(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "te
     buckets are then counted one by one, so no shuffle holds the vocabulary.
     """
     tokens = docs.filter(F.col(lang_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), F.explode(_bare_words(F.col(text_col))).alias("word"))
+        F.col(lang_col).alias("lang"), F.explode(_compared_words(F.col(text_col))).alias("word")).filter(F.col("word") != "")
     bucket = F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int")
     buckets = written(tokens.groupBy("lang", bucket.alias("bucket"))
                       .agg(F.count(F.lit(1)).alias("n")), "quality-buckets")
@@ -136,19 +169,21 @@ def document_features(docs: DataFrame, vocabulary: list[str], *, keep: list[str]
     text = F.col(text_col)
     out = _class_counts(docs.select(*keep, F.col(lang_col).alias("_lang"), text.alias("_text")),
                         F.col("_text"))
-    w = words(F.col("_text"))
-    filled = F.filter(F.split(F.col("_t0"), "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
-    low = _bare_words(F.col("_text"))
+    out = out.withColumn("_w", _split(_trimmed(F.col("_text"))))
+    out = _with_repeats(out)
+    out = out.withColumn("_filled", F.filter(
+        F.split(F.col("_t0"), "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]")))
+    low = _compared_words(F.col("_text"))
     common = F.filter(low, lambda x: x.isin(vocabulary)) if vocabulary else F.slice(low, 1, 0)
+    out = _with_runs(out.withColumn("_sorted", F.sort_array(common)), "_sorted", "_common")
     return out.select(
-        *keep, F.col("_lang").alias("_lang"),
-        F.size(w).cast("long").alias("n_words"),
+        *keep, "_lang", F.size("_w").cast("long").alias("n_words"),
         (F.col("_n_all") - F.col("_n_spaces")).alias("word_chars"),
         F.col("_n_symbols").alias("n_symbols"),
-        let(filled, lambda s: F.size(s) - F.size(F.array_distinct(s))).cast("long").alias("n_dup_lines"),
-        let(w, _repeat_words).alias("n_repeat_words"),
+        (F.size("_filled") - F.size(F.array_distinct("_filled"))).cast("long").alias("n_dup_lines"),
+        "n_repeat_words",
         F.array(*[F.col(f"_n_{c}") for c, _ in CLASSES], F.col("_n_rest")).alias("_classes"),
-        F.col("_n_all"), _runs(common).alias("_common"))
+        "_n_all", "_common")
 
 
 def _terms(n_words: Column, vocab: Column | None, q: Column) -> Column:
@@ -160,12 +195,6 @@ def _terms(n_words: Column, vocab: Column | None, q: Column) -> Column:
         F.element_at(q, F.array_position(vocab, s["w"]).cast("int")).alias("q")))
 
 
-def _bare_words(text: Column) -> Column:
-    """Lower-case words without punctuation at their ends."""
-    return F.filter(F.transform(words(F.lower(text)), lambda w: F.btrim(w, F.lit(EDGE))),
-                    lambda w: w != F.lit(""))
-
-
 def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", lang_col: str = "lang",
                   text_col: str = "text") -> DataFrame:
     """One row per input row: the id, ``n_words``, ``word_chars``,
@@ -241,8 +270,7 @@ def quality_sql(docs: str = "documents") -> str:
     counts += f", length(t{n}) AS k{n}, length(t0) AS n_all"
     split = "regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+')"
     listed = f"list_filter({split}, lambda x: x <> '')"
-    bare = (f"list_filter(list_transform({split.format('lower(t0)')}, "
-            f"lambda x: trim(x, {_quoted(EDGE)})), lambda x: x <> '')")
+    bare = listed.format(f"regexp_replace(lower(t0), {_quoted(PUNCTUATION)}, '', 'g')")
     js = ("CASE WHEN p > 0 THEN 0.5 * p * log2(2 * p / (p + q)) "
           "+ CASE WHEN q > 0 THEN 0.5 * q * log2(2 * q / (p + q)) ELSE 0 END - 0.5 * q ELSE 0 END")
     unpivot = " UNION ALL ".join(
