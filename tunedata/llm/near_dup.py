@@ -9,20 +9,17 @@ connected texts form a class.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunedata.session import ship_package
-
 from .arrays import mix, utf8, windows, word_hashes
 from .common import written
+from .sketch import count_slots
 from .workers import add_columns, runs
 
 SHINGLE = 5
@@ -36,8 +33,6 @@ LEAST_SHARE = 0.6
 PIVOTS = 3
 #: Document frequencies are counted in a sketch of 2^SKETCH_BITS counters.
 SKETCH_BITS = 21
-SEGMENT_BITS = 15
-FAN_IN = 64
 #: idf = 1 + IDF_SLOPE * log(N / df) / log(N): passages that many documents
 #: share weigh less, while 0.8 means nearly what it means for plain shingles.
 IDF_SLOPE = 0.25
@@ -58,63 +53,11 @@ def _slot(shingle: np.ndarray) -> np.ndarray:
     return (shingle >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-# ---- document frequencies ---------------------------------------------------
-
 def document_frequencies(texts: DataFrame) -> np.ndarray:
     """Sketch of the document frequencies of the shingles of all ``texts``
-    (column ``text``), of fixed size: shingles with one slot share a count.
-
-    Each task counts into its own array and hands on its non-zero segments,
-    compressed; segments are added up by FAN_IN at a time, however many tasks
-    there are.
-    """
-    ship_package(texts.sparkSession)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            column = batch["text"].tolist()
-            for part in runs(column):
-                slots = [_slot(shingles(h)[0]) for h in _words(column[part]) if len(h)]
-                if slots:
-                    total += np.bincount(np.concatenate(slots), minlength=len(total))
-        yield _segments(total)
-
-    schema = "seg int, data binary"
-    parts = texts.select("text").mapInPandas(count, schema).withColumn(
-        "part", F.spark_partition_id())
-    parts = written(parts, "df-sketch")
-    while True:
-        tasks = (parts.agg(F.max("part")).first()[0] or 0) + 1
-        parts = parts.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int"))
-        parts = (parts.groupBy("seg", "part").applyInPandas(_added, "seg int, data binary, part int"))
-        if tasks <= FAN_IN:
-            break
-        parts = written(parts, "df-sketch")
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    width = 1 << SEGMENT_BITS
-    for r in parts.collect():                      # 2^SKETCH_BITS counters at most
-        out[r["seg"] * width: (r["seg"] + 1) * width] = _unpacked(r["data"])
-    return out
-
-
-def _segments(total: np.ndarray) -> pd.DataFrame:
-    rows = total.reshape(-1, 1 << SEGMENT_BITS)
-    return pd.DataFrame([(i, zlib.compress(r.tobytes(), 1)) for i, r in enumerate(rows)
-                         if r.any()], columns=["seg", "data"])
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), np.int64)
-
-
-def _added(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(1 << SEGMENT_BITS, np.int64)
-    for data in pdf["data"]:
-        total += _unpacked(data)
-    return pd.DataFrame({"seg": pdf["seg"].iloc[:1].to_numpy(),
-                         "data": [zlib.compress(total.tobytes(), 1)],
-                         "part": pdf["part"].iloc[:1].to_numpy()})
+    (column ``text``): shingles with one slot share a count."""
+    return count_slots(texts.select("text"), SKETCH_BITS, lambda column: [
+        _slot(shingles(h)[0]) for h in _words(column) if len(h)])
 
 
 # ---- weights, draws and similarity -------------------------------------------
@@ -253,10 +196,10 @@ def verified_links(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
         for batch in batches:
-            ta, tb = batch["ta"].to_pylist(), batch["tb"].to_pylist()
             keep = []
-            for part in runs(tb):
-                ha, hb = _words(ta[part]), _words(tb[part])
+            for part, tb in runs(batch["tb"]):
+                ta = batch["ta"].slice(part.start, len(tb)).to_pylist()
+                ha, hb = _words(ta), _words(tb)
                 keep += [weighted_jaccard(w.weighted(x), w.weighted(y)) >= SIMILARITY
                          for x, y in zip(ha, hb)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -314,8 +257,10 @@ def duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id",
     pairs = written(candidate_pairs(nodes), "neardup-pairs")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(
         pairs.select(F.col("b").alias("node"))).distinct()
-    texts = written(worded.select("node", "text").join(wanted, "node", "left_semi")
-                    .dropDuplicates(["node"]), "neardup-texts")
+    # copies are dropped before the shuffle; the join keeps its form (and the
+    # texts their one shuffle) however few texts are wanted
+    texts = written(worded.select("node", "text").dropDuplicates(["node"])
+                    .join(wanted.hint("shuffle_hash"), "node", "left_semi"), "neardup-texts")
     label = components(written(verified_links(pairs, texts, weights), "neardup-verified"))
     grouped = own.join(label, "node", "left").select(
         "node", "_id", F.coalesce("label", "node").alias("label"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,17 +16,20 @@ from tunedata.session import ship_package
 BATCH_CHARS = 4 << 20
 
 
-def runs(texts: list[str | None], limit: int = BATCH_CHARS) -> Iterator[slice]:
-    """Consecutive runs of texts with about ``limit`` characters in each."""
+def runs(column: pa.Array) -> Iterator[tuple[slice, list[str | None]]]:
+    """Consecutive pieces of an Arrow column of texts, of about BATCH_CHARS
+    bytes each (or one text), with their texts as Python strings."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     start, size = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t or "")
-        if i > start and size + n > limit:
-            yield slice(start, i)
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and size + n > BATCH_CHARS:
+            yield slice(start, i), column.slice(start, i - start).to_pylist()
             start, size = i, 0
         size += n
-    if start < len(texts):
-        yield slice(start, len(texts))
+    if start < len(sizes):
+        yield slice(start, len(sizes)), column.slice(start).to_pylist()
 
 
 def add_columns(df: DataFrame, text_col: str, keep: list[str], added: str,
@@ -44,9 +48,8 @@ def add_columns(df: DataFrame, text_col: str, keep: list[str], added: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            for part in runs(texts):
-                rows = work(texts[part])
+            for part, texts in runs(batch.column(batch.num_columns - 1)):
+                rows = work(texts)
                 piece = batch.slice(part.start, part.stop - part.start)
                 columns = [piece.column(i) for i in range(piece.num_columns - 1)]
                 columns += [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
