@@ -22,12 +22,12 @@ ERROR_RATE = 0.05
 #: Items are searched in blocks of about so many characters, one block in each
 #: worker's memory (and broadcast) at a time.
 BLOCK_CHARS = 4 << 20
-_BLANKS = re.compile(r"\s+")
+_BETWEEN_WORDS = re.compile(r"[\W_]+")
 
 
 def normal(text: str | None) -> str:
-    """Lower case, white space as single blanks, none at the ends."""
-    return _BLANKS.sub(" ", (text or "").lower()).strip()
+    """Lower-case letters and digits; all between them is one blank."""
+    return _BETWEEN_WORDS.sub(" ", (text or "").lower()).strip()
 
 
 def budget(item: str, rate: float = ERROR_RATE) -> int:
@@ -134,9 +134,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     columns (the id by default), ``item_id``, ``distance`` (edits of the best
     place) and ``max_distance`` (``rate`` per character of the item).
 
-    * Texts and items are compared in lower case, white space as one blank.
-      Documents without an item give no row; null and empty texts have none.
-    * Null or blank items are never found, a null item id counts as no item.
+    * Texts and items are compared in lower case, with one blank for all white
+      space and punctuation between letters and digits. Documents without an item give no row; null and empty texts have none.
+    * Null items and items without a letter or digit are never found, a null item id counts as no item.
       Of items that share an id the best match counts.
     * Long texts are searched whole. Repeated rows each give their rows. An
       empty table on either side gives an empty result; other columns are not
