@@ -23,13 +23,13 @@ from .arrays import mix
 from .common import written
 from .workers import add_columns
 
-BITS = 14
+BITS = 18
 DIM = 16
 #: Bound of the sample: rows taken per language in the mean (hash-chosen).
 ROWS_PER_LANG = 300
 #: A language needs this many labelled rows in the sample to be learned.
 MIN_ROWS = 3
-EPOCHS = 4
+EPOCHS = 8
 CHUNK = 1 << 17
 _SPACE = np.uint32(32)
 _LETTER: list[np.ndarray] = []
@@ -78,24 +78,29 @@ def has_letter(text: str | None) -> bool:
 
 @dataclass
 class LangModel:
-    """``table``: embeddings times the linear layer, one row per hash bucket."""
+    """``table``: embeddings times the linear layer, one row per hash bucket,
+    and whether training saw the bucket."""
 
     langs: list[str]
     table: np.ndarray
+    seen: np.ndarray
     temperature: float
     threshold: float
+    least_seen: float
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, calibrated probability, rejected)."""
         if not self.langs or not has_letter(text):
             return "und", 0.0, True
-        total, n = np.zeros(len(self.langs)), 0
+        total, n, seen = np.zeros(len(self.langs)), 0, 0
         for rows in subwords(text):
-            total += self.table[rows].sum(axis=0)
+            total += self.table[rows].sum(axis=0, dtype=float)
+            seen += int(self.seen[rows].sum())
             n += len(rows)
         p = softmax(total / max(n, 1) / self.temperature)
         best = int(p.argmax())
-        return self.langs[best], float(p[best]), bool(p[best] < self.threshold)
+        strange = p[best] < self.threshold or seen < self.least_seen * n
+        return self.langs[best], float(p[best]), bool(strange)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -114,9 +119,9 @@ def _examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part, piece in enumerate([text, *picks]):
                 n = np.zeros(1 << BITS, np.int64)
                 for rows in subwords(piece):
-                    n += np.bincount(rows, minlength=1 << BITS)
+                    np.add.at(n, rows, 1)
                 at = np.flatnonzero(n)
-                out.append((lang, order, part, at.astype("<u2").tobytes(),
+                out.append((lang, order, part, at.astype("<u4").tobytes(),
                             np.minimum(n[at], 2 ** 31).astype("<u4").tobytes()))
         yield pd.DataFrame(out, columns=["lang", "order", "part", "at", "n"])
 
@@ -124,8 +129,8 @@ def _examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _descend(examples: list, n_langs: int, epochs: int) -> np.ndarray:
     """Plain stochastic gradient descent, one example a step."""
     rng = np.random.default_rng(7)
-    emb = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM))
-    lin = np.zeros((DIM, n_langs))
+    emb = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
+    lin = np.zeros((DIM, n_langs), np.float32)
     steps, done = max(epochs * len(examples), 1), 0
     for _ in range(epochs):
         for i in rng.permutation(len(examples)):
@@ -180,23 +185,32 @@ def fit(got: pd.DataFrame) -> LangModel:
     train, kept = [], []
     for lang, order, part, at, n in got.itertuples(index=False):
         if lang in index and len(at):
-            at, n = np.frombuffer(at, "<u2"), np.frombuffer(n, "<u4")
+            at, n = np.frombuffer(at, "<u4"), np.frombuffer(n, "<u4")
             (kept if order % 5 == 0 else train).append(
                 (index[lang], at, (n / n.sum()).astype(np.float32), part == 0))
     if not langs:
-        return LangModel([], np.zeros((1 << BITS, 0)), 1.0, 0.0)
+        return LangModel([], np.zeros((1 << BITS, 0)), np.zeros(1 << BITS, bool), 1.0, 0.0, 0.0)
     table = _descend([x[:3] for x in train or kept], len(langs), EPOCHS)
     held = kept or train
+    seen = np.zeros(1 << BITS, bool)
+    for _, at, _, _ in train or kept:
+        seen[at] = True
+    table[~seen] = 0                     # what nothing was learned of says nothing
     logits = np.array([share @ table[at] for _, at, share, _ in held]).reshape(-1, len(langs))
     gold = np.array([y for y, *_ in held], int)
     loss = lambda t: -np.log(softmax(logits / t)[np.arange(len(gold)), gold] + 1e-12).mean()
     temperature = float(min(np.geomspace(0.05, 20, 61), key=loss))
     p = softmax(logits / temperature)
     right = p[(p.argmax(axis=1) == gold) & np.array([x[3] for x in held])].max(axis=1, initial=0)
-    # reject what is less sure than nearly all rightly named texts, never a
-    # text whose language is likelier than not
+    # rejected is what is less sure than nearly all rightly named texts, but
+    # nothing surer than half way from chance to even odds (texts in several
+    # languages stay); and what has fewer subwords
+    # seen in training than half way from chance to nearly all labelled texts
     floor = float(np.quantile(right, 0.002)) if len(right) else 0.0
-    return LangModel(langs, table, temperature, min(max(floor, 1.2 / len(langs)), 0.5))
+    shares = [share[seen[at]].sum() for _, at, share, entire in held if entire]
+    least_seen = (float(seen.mean()) + float(np.quantile(shares, 0.002))) / 2 if shares else 0.0
+    return LangModel(langs, table, seen, temperature,
+                     min(max(floor, 1.2 / len(langs)), (1 / len(langs) + 0.5) / 2), least_seen)
 
 
 def predict_languages(docs: DataFrame, model: LangModel, *, text_col: str = "text",
@@ -205,7 +219,8 @@ def predict_languages(docs: DataFrame, model: LangModel, *, text_col: str = "tex
     ``score`` and ``rejected``, each name after ``prefix``, for each row.
 
     * A null text, or one without a letter, is ``und`` with score 0, rejected.
-    * ``rejected``: the calibrated probability is under the fitted threshold.
+    * ``rejected``: the calibrated probability, or the share of subwords that
+      training has seen, is under its fitted threshold.
     * Long texts are read whole, in chunks. Repeated rows each get a row; ties
       go to the language that sorts first; an empty table gives no rows.
       Columns outside ``keep`` are not read, whatever they are called.
