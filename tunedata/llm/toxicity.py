@@ -48,8 +48,7 @@ SECOND_PERSON = frozenset("""
 """.split())
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-_MASKED = re.compile(r"(?<!\S)(?=\S*[^\W\d_])(?=\S*[\d@$!|*_.+-])[\w@$!|*.+-]{3,24}(?!\S)")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][ .\-_*]){2,}[^\W\d_](?!\S)")
+_SIGN_BEFORE_LETTER = re.compile(r"[\d@$!|*+]+(?=[^\W\d_])")
 _STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 # Signs that stand for letters.
 _SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
@@ -70,39 +69,128 @@ def _plain(token: str) -> str:
     return re.sub(r"[\W\d_]+", "", token.lower().translate(_SIGNS))
 
 
+def _masked(text: str) -> list[str]:
+    """Tokens of up to 24 characters with a sign or digit before a letter, at
+    the front or after a letter."""
+    out, last = [], -1
+    for m in _SIGN_BEFORE_LETTER.finditer(text):
+        a = m.start()
+        if a < last or (a and not (text[a - 1].isspace() or text[a - 1].isalpha())):
+            continue
+        first, last = a, m.end()
+        while first and not text[first - 1].isspace() and a - first < 24:
+            first -= 1
+        while last < len(text) and not text[last].isspace() and last - first <= 24:
+            last += 1
+        if 3 <= last - first <= 24:
+            out.append(text[first:last])
+    return out
+
+
+def _stretched(text: str) -> list[str]:
+    """Words with a letter three times or more in a row, without the repeats."""
+    out, last = [], -1
+    for m in _STRETCHED.finditer(text):
+        a, b = m.span()
+        if a < last:
+            continue
+        while a and text[a - 1].isalpha():
+            a -= 1
+        while b < len(text) and text[b].isalpha():
+            b += 1
+        last = b
+        out.append(_STRETCHED.sub(r"\1", text[a:b]))
+    return out
+
+
+def _spaced(words: list[str], singles: list[int]) -> list[str]:
+    """Runs of three or more one-letter words, each run put together."""
+    out, run = [], 0
+    for k in range(len(singles)):
+        if k + 1 == len(singles) or singles[k + 1] != singles[k] + 1:
+            if k - run >= 2:
+                out.append("".join(words[i] for i in singles[run: k + 1]))
+            run = k + 1
+    return out
+
+
+#: What is known of a word, kept for the words met last: (learned weight,
+#: stem weight, insult, second person, one letter), or None for a word without
+#: any of it.
+_KNOWN: dict[str, tuple | None] = {}
+_KEPT_WORDS = 400_000
+_USED: list[Lexicon] = []
+
+
+def _use(lexicon: Lexicon) -> None:
+    """What is known of words holds for one lexicon."""
+    if not _USED or _USED[0] != lexicon:
+        _USED[:] = [lexicon]
+        _KNOWN.clear()
+
+
+def _look_up(w: str, lexicon: Lexicon) -> tuple | None:
+    stem = 0.0
+    if lexicon.stems and len(w) > STEM[0]:
+        stem = max((lexicon.stems.get(w[:k], 0.0) for k in STEM if k < len(w)), default=0.0)
+    found = (lexicon.words.get(w, 0.0), stem, w in INSULTS, w in SECOND_PERSON, len(w) == 1)
+    if len(_KNOWN) >= _KEPT_WORDS:
+        _KNOWN.clear()
+    _KNOWN[w] = found = found if any(found) else None
+    return found
+
+
+def _upper(text: str) -> int:
+    low = text.lower()
+    if low == text:
+        return 0
+    a, b = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (text, low))
+    # the lower case of a few letters has another length
+    return int((a != b).sum()) if len(a) == len(b) else sum(map(str.isupper, text))
+
+
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     """The dense features of an entire text; all 0 for a null or empty one."""
     text = text or ""
     found = _WORD.findall(text)
-    words = [w.lower() for w in found]
+    words = " ".join(found).lower().split(" ") if found else []
     n = max(len(words), 1)
-    learned = [lexicon.words[w] for w in words if w in lexicon.words]
-    hits = [i for i, w in enumerate(words) if w in INSULTS or w in lexicon.words]
-    insults = sum(w in INSULTS for w in words)
+    learned: list[float] = []
     stems: list[float] = []
-    if lexicon.stems:
-        for w in words:
-            if len(w) > STEM[0]:
-                best = max((lexicon.stems.get(w[:k], 0.0) for k in STEM if k < len(w)),
-                           default=0.0)
-                if best:
-                    stems.append(best)
-    you = [i for i, w in enumerate(words) if w in SECOND_PERSON]
+    hits: list[int] = []
+    you: list[int] = []
+    singles: list[int] = []
+    insults = 0
+    for i, w in enumerate(words):
+        known = _KNOWN[w] if w in _KNOWN else _look_up(w, lexicon)
+        if known is None:
+            continue
+        weight, stem, insult, second, single = known
+        if weight:
+            learned.append(weight)
+        if stem:
+            stems.append(stem)
+        if weight or insult:
+            hits.append(i)
+        insults += insult
+        if second:
+            you.append(i)
+        if single:
+            singles.append(i)
     near = _near(hits, you)
-    masked = [t for t in _MASKED.findall(text) if any(c.isalpha() for c in t)]
-    spaced = _SPACED.findall(text)
-    plain = [_plain(t) for t in masked] + [_plain(t) for t in spaced]
-    plain += [_STRETCHED.sub(r"\1", w) for w in words if _STRETCHED.search(w)]
-    unmasked = sum(p in INSULTS or p in lexicon.words for p in plain)
-    letters = sum(len(w) for w in found)
-    upper = sum(map(str.isupper, text)) if text != text.lower() else 0
+    masked = _masked(text)
+    spaced = _spaced(words, singles)
+    plain = [_plain(t) for t in masked] + spaced
+    long = _stretched(text.lower())
+    unmasked = sum(p in INSULTS or p in lexicon.words for p in plain + long)
+    letters = sum(map(len, found))
     return [
         float(np.log1p(len(words))), insults / n, float(insults), sum(learned) / n,
         float(len(learned)), max([*learned, *stems], default=0.0), sum(stems) / n,
-        float(len(stems)), near / n, len(you) / n, upper / max(letters, 1),
-        sum(w.isupper() and len(w) > 1 for w in found) / n, text.count("!") / n,
-        text.count("?") / n, (text.count("!!") + text.count("??")) / n, len(masked) / n,
-        len(spaced) / n, (len(plain) - len(masked) - len(spaced)) / n, float(unmasked)]
+        float(len(stems)), near / n, len(you) / n, _upper(text) / max(letters, 1),
+        sum(map(str.isupper, found)) / n, text.count("!") / n, text.count("?") / n,
+        (text.count("!!") + text.count("??")) / n, len(masked) / n, len(spaced) / n,
+        len(long) / n, float(unmasked)]
 
 
 def _near(hits: list[int], you: list[int]) -> int:
@@ -207,6 +295,7 @@ class ToxicityModel:
     rates: np.ndarray
 
     def scores(self, texts: Iterable[str | None]) -> np.ndarray:
+        _use(self.lexicon)
         x = np.array([features(t, self.lexicon) for t in texts]).reshape(-1, len(FEATURES))
         if self.trees is None:
             return np.zeros(len(x))
@@ -245,24 +334,29 @@ def _lexicon(rows: DataFrame) -> Lexicon:
 def train_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column, *,
                    id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
                    sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
-    """Fit on at most ``sample_rows`` labelled rows (``allowed`` is a condition
-    on ``id_col`` of ``labels``); a document with several labels counts as
+    """Fit on about ``sample_rows`` labelled rows, or all if fewer (``allowed`` is
+    a condition on ``id_col`` of ``labels``); a document with several labels counts as
     toxic if one of them says so. Without labels of both kinds the model scores
     0 for every text."""
-    chosen = (labels.filter(allowed & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
-              .groupBy(F.col(id_col).alias("_id"))
-              .agg(F.max((F.col(label_col) > 0).cast("int")).alias("y"))
-              .withColumn("order", F.xxhash64(F.lit("toxicity"), F.col("_id")))
-              .orderBy("order", "_id").limit(sample_rows))
-    # at most sample_rows rows of two longs and an int
-    rows = written(docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id"))
-                   .select("order", "y", F.coalesce(F.col(text_col), F.lit("")).alias("text")),
-                   "toxicity-sample")
-    part = F.pmod(F.shiftright("order", 8), F.lit(2))
+    usable = labels.filter(allowed & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
+    rate = sample_rows / max(usable.count(), 1)
+    order = F.xxhash64(F.lit("toxicity"), F.col(id_col))
+    chosen = (usable.filter(F.pmod(order, F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.lit(rate))
+              .groupBy(F.col(id_col).alias("_id"), order.alias("order"))
+              .agg(F.max((F.col(label_col) > 0).cast("int")).alias("y")))
+    # about sample_rows rows of two longs and an int
+    texts = docs.select(F.col(id_col).alias("_did"),
+                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = written(texts.join(F.broadcast(chosen), F.col("_did") == F.col("_id"))
+                   .select("order", "y", "text"), "toxicity-sample")
+    part = F.pmod(F.shiftright("order", 32), F.lit(2))
     lexicon = _lexicon(rows.filter(part == 0))
     names = ", ".join(f"f{i} double" for i in range(len(FEATURES)))
-    got = add_columns(rows.filter(part == 1), "text", ["order", "y"], names,
-                      lambda texts: [tuple(features(t, lexicon)) for t in texts]).toPandas()
+    def work(texts: list[str | None]) -> list[tuple]:
+        _use(lexicon)
+        return [tuple(features(t, lexicon)) for t in texts]
+
+    got = add_columns(rows.filter(part == 1), "text", ["order", "y"], names, work).toPandas()
     return fit(lexicon, got)
 
 
