@@ -10,8 +10,7 @@ Scale notes
   token array is sorted and run-length counted with higher-order functions,
   so the metric is a narrow projection (no explode, no shuffle).
 * Perplexity tokenizes each text once: its (previous, token) pairs are
-  counted in the row by sorting (no shuffle) and written, and both the model
-  and the scores start from that table. The model is two corpus-wide
+  written, and both the model and the scores start from that table. The model is two corpus-wide
   aggregates with map-side combine (``c(p, w)`` and ``c(p, .)``). Pairs that
   make up ``HEAD_SHARE`` of all pairs, of which there is a bounded number, are
   looked up by broadcast; the others by a shuffle join that has no hot key
@@ -104,34 +103,36 @@ def with_entropy(df: DataFrame, text: str, out: str = "entropy",
 # --- M4 ----------------------------------------------------------------------
 def bigram_pairs(df: DataFrame, key: str, text: str, max_tokens: int = 1024,
                  source: str | None = None, lowered: str | None = None) -> DataFrame:
-    """(key, [src,] p, w, n): the distinct (previous, token) pairs of each
-    text's first ``max_tokens`` lower-cased tokens with their number in the
-    text. ``source`` tags the pairs with the column they came from (several
-    models in one pass); ``lowered`` names a column that holds the tokens."""
+    """(key, [src,] p, w, n): every (previous, token) pair of each text's
+    first ``max_tokens`` lower-cased tokens (n = 1; the corpus-wide count is
+    combined map-side by the aggregate that follows). ``source`` tags the
+    pairs with the column they came from (several models in one pass);
+    ``lowered`` names a column that holds the tokens."""
     tag = [F.lit(source).alias("src")] if source is not None else []
     words = F.col(lowered) if lowered else tokens(F.lower(F.col(text)))
     t = df.select(key, *tag, F.slice(words, 1, max_tokens).alias("_t"))
     tc = F.col("_t")
     prev = F.concat(F.array(F.lit(START)), F.slice(tc, 1, F.greatest(F.size(tc) - 1, F.lit(0))))
-    zipped = F.when(F.size(tc) > 0, F.sort_array(F.arrays_zip(prev.alias("p"), tc.alias("w"))))
-    counted = with_value_counts(t.withColumn("_z", zipped), "_z", "_vc")
+    zipped = F.when(F.size(tc) > 0, F.arrays_zip(prev.alias("p"), tc.alias("w")))
     # explode_outer + null filter: a plain explode makes Catalyst infer a
     # size(...) > 0 filter and push it (with the tokenizer) below this project
-    ex = (counted.select(key, *[F.col("src")] * bool(tag), F.explode_outer("_vc").alias("_v"))
+    ex = (t.select(key, *[F.col("src")] * bool(tag), F.explode_outer(zipped).alias("_v"))
           .where(F.col("_v").isNotNull()))
-    return ex.select(key, *[F.col("src")] * bool(tag), F.col("_v.value.p").alias("p"),
-                     F.col("_v.value.w").alias("w"), F.col("_v.n").cast("long").alias("n"))
+    return ex.select(key, *[F.col("src")] * bool(tag), F.col("_v.p").alias("p"),
+                     F.col("_v.w").alias("w"), F.lit(1).cast("long").alias("n"))
 
 
-def _model_lookup(pairs: DataFrame, model: DataFrame, on: list[str]) -> DataFrame:
-    """``pairs`` with ``c`` and ``cp`` of their model row (null if unseen);
-    ``model`` is a written table (on, c, cp)."""
-    total = F.broadcast(model.agg(F.sum("c").alias("_all")))
+def _model_lookup(pairs: DataFrame, counts: DataFrame, prevs: DataFrame, on: list[str]) -> DataFrame:
+    """``pairs`` with ``c`` and ``cp`` of the model (null if unseen), from
+    ``counts`` (on, c; written) and ``prevs`` (on without w, cp)."""
+    total = F.broadcast(counts.agg(F.sum("c").alias("_all")))
     in_head = ((F.col("c") >= HEAD_SHARE * F.col("_all"))
                & (F.octet_length("p") <= HEAD_TOKEN_BYTES) & (F.octet_length("w") <= HEAD_TOKEN_BYTES))
-    marked = model.crossJoin(total).withColumn("_head", in_head).drop("_all")
-    head = marked.where("_head").select(*on, F.col("c").alias("_hc"), F.col("cp").alias("_hcp"))
-    tail = marked.where("not _head").select(
+    marked = counts.crossJoin(total).withColumn("_head", in_head).drop("_all")
+    by = [c for c in on if c != "w"]
+    head = marked.where("_head").join(prevs, by).select(
+        *on, F.col("c").alias("_hc"), F.col("cp").alias("_hcp"))
+    tail = marked.where("not _head").join(prevs, by).select(
         *[F.col(c).alias(f"_t_{c}") for c in on], F.col("c").alias("_tc"), F.col("cp").alias("_tcp"))
     found = pairs.join(F.broadcast(head), on, "left")
     # a row found in the head needs no partner: its key only spreads it out
@@ -148,10 +149,11 @@ def _model_lookup(pairs: DataFrame, model: DataFrame, on: list[str]) -> DataFram
 
 def bigram_model(pairs: DataFrame, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(by, p, w, c) pair counts, (by, p, cp) previous-token totals and
-    (by, v) vocabulary sizes; ``by`` separates models trained in one pass."""
+    (by, v) vocabulary sizes; ``by`` separates models trained in one pass. The
+    pair counts are written once; the totals, written too, and sizes start from them."""
     by = list(by)
-    c = pairs.groupBy(*by, "p", "w").agg(F.sum("n").alias("c"))
-    cp = c.groupBy(*by, "p").agg(F.sum("c").alias("cp"))
+    c = materialize(pairs.groupBy(*by, "p", "w").agg(F.sum("n").alias("c")), "bigram-counts")
+    cp = materialize(c.groupBy(*by, "p").agg(F.sum("c").alias("cp")), "bigram-prevs")
     v = c.groupBy(*by).agg(F.countDistinct("w").alias("v"))
     return c, cp, v
 
@@ -208,8 +210,7 @@ def perplexity(df: DataFrame, key: str, text: str, max_tokens: int = 1024,
         train = pairs if corpus is None else bigram_pairs(
             corpus, corpus_key or key, corpus_text or text, max_tokens)
         c, cp, v = bigram_model(train)
-    table = materialize(c.join(cp, "p"), "bigram-model")
-    scored = _model_lookup(pairs, table, ["p", "w"])
+    scored = _model_lookup(pairs, c, cp, ["p", "w"])
     if not own:
         # an unseen pair can still have a known previous token
         prevs = cp.select("p", F.col("cp").alias("_cp2"))
@@ -235,8 +236,7 @@ def perplexities(df: DataFrame, key: str, texts: dict[str, str], max_tokens: int
         pairs = p if pairs is None else pairs.unionByName(p)
     pairs = materialize(pairs, "bigram-pairs")
     c, cp, v = bigram_model(pairs, by=("src",))
-    table = materialize(c.join(cp, ["src", "p"]), "bigram-model")
-    scored = _model_lookup(pairs, table, ["src", "p", "w"]).join(F.broadcast(v), "src")   # v: one row per column
+    scored = _model_lookup(pairs, c, cp, ["src", "p", "w"]).join(F.broadcast(v), "src")   # v: one row per column
     nll = -F.ln((F.col("c") + 1) / (F.col("cp") + F.col("v")))
     # one aggregate for all columns: a column without tokens gets NULL
     per = scored.groupBy(key).agg(*[
