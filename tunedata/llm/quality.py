@@ -20,8 +20,8 @@ COMMON_SHARE = 0.004
 #: A language is a reference if it has this share of all words, so there are no
 #: more than 1 / LANG_SHARE references.
 LANG_SHARE = 0.005
-#: Punctuation that is taken out of the words that are compared.
-PUNCTUATION = r"[.,;:!?\"'()\[\]{}|*#$%&]+"
+#: What separates the words that are compared: white space and punctuation.
+SEPARATORS = r"[\x20\x09-\x0D.,;:!?\"'()\[\]{}|*#$%&]+"
 BUCKETS = 8192
 MIN_WORDS = 50
 #: Limits of the distances, and what short documents get on top:
@@ -63,9 +63,8 @@ def _trimmed(text: Column) -> Column:
 
 
 def _compared_words(text: Column) -> Column:
-    """Lower-case words without punctuation."""
-    return _split(F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), PUNCTUATION, ""),
-                          F.lit(SPACES)))
+    """Lower-case words between white space and punctuation, and perhaps ''."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS)
 
 
 def _with_repeats(df: DataFrame) -> DataFrame:
@@ -173,7 +172,11 @@ def document_features(docs: DataFrame, vocabulary: list[str], *, keep: list[str]
     out = _with_repeats(out)
     out = out.withColumn("_filled", F.filter(
         F.split(F.col("_t0"), "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]")))
-    low = _compared_words(F.col("_text"))
+    low = F.col("_lw")
+    out = out.withColumn("_lw", _compared_words(F.col("_text")))
+    # separators come in runs, so only the ends can be empty
+    n_low = F.size(low) - (F.element_at(low, 1) == "").cast("int") - (
+        (F.size(low) > 1) & (F.element_at(low, -1) == "")).cast("int")
     common = F.filter(low, lambda x: x.isin(vocabulary)) if vocabulary else F.slice(low, 1, 0)
     out = _with_runs(out.withColumn("_sorted", F.sort_array(common)), "_sorted", "_common")
     return out.select(
@@ -183,15 +186,15 @@ def document_features(docs: DataFrame, vocabulary: list[str], *, keep: list[str]
         (F.size("_filled") - F.size(F.array_distinct("_filled"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
         F.array(*[F.col(f"_n_{c}") for c, _ in CLASSES], F.col("_n_rest")).alias("_classes"),
-        "_n_all", "_common")
+        "_n_all", n_low.cast("double").alias("_n_low"), "_common")
 
 
-def _terms(n_words: Column, vocab: Column | None, q: Column) -> Column:
+def _terms(n: Column, vocab: Column | None, q: Column) -> Column:
     """The words of a row with their share here (p) and in a language (q)."""
     if vocab is None:
         return F.array().cast("array<struct<p:double,q:double>>")
     return F.transform("_common", lambda s: F.struct(
-        (s["c"] / n_words).alias("p"),
+        (s["c"] / n).alias("p"),
         F.element_at(q, F.array_position(vocab, s["w"]).cast("int")).alias("q")))
 
 
@@ -205,7 +208,8 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", lang_col: str = "l
     * ``base_failed``: under 50 words, or more than half of them in repeated
       three-word windows. Such documents are not kept; others are kept if both
       distances are within their limits.
-    * Null and empty texts have 0 words and distances null. Without any
+    * Null and empty texts have 0 words; they and texts of punctuation alone
+      have distances null. Without any
       reference language the distances are null and only the base decides.
     * A null language is no reference but gets a verdict. Ties between
       languages go to the one that sorts first. Long texts are read whole,
@@ -226,14 +230,14 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", lang_col: str = "l
     sums = {r["_lang"]: r for r in feats.filter(F.col("_lang").isin(langs)).groupBy("_lang").agg(
         *[F.sum(F.col("_classes")[i]).alias(f"c{i}") for i in range(n_classes)]).collect()}
     verdicts = []
-    n_words = F.col("n_words").cast("double")
+    n_words, n_low = F.col("n_words").cast("double"), F.col("_n_low")
     vocab = F.array(*[F.lit(v) for v in vocabulary]) if vocabulary else None
     for lang in langs:
         qs = [share.get((lang, v), 0.0) for v in vocabulary]
         q_array = F.array(*[F.lit(q) for q in qs])
-        terms = _terms(n_words, vocab, q_array)
+        terms = _terms(n_low, vocab, q_array)
         in_common = F.aggregate("_common", F.lit(0), lambda acc, s: acc + s["c"])
-        other = ((n_words - in_common) / n_words, F.lit(max(1.0 - sum(qs), 0.0)))
+        other = ((n_low - in_common) / n_low, F.lit(max(1.0 - sum(qs), 0.0)))
         mass = [int(sums[lang][f"c{i}"]) for i in range(n_classes)]
         classes = [(F.col("_classes")[i] / F.col("_n_all"), F.lit(mass[i] / sum(mass)))
                    for i in range(n_classes)]
@@ -244,7 +248,7 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", lang_col: str = "l
         "struct<w:double,lang:string,c:double>")
     base_failed = ((F.col("n_words") < MIN_WORDS)
                    | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    judged = feats.withColumn("_best", F.when(F.col("n_words") > 0, best))
+    judged = feats.withColumn("_best", F.when(n_low > 0, best))
     near = ((F.col("_best.w") <= MAX_WORD_DISTANCE + WORD_SLACK / F.sqrt(n_words))
             & (F.col("_best.c") <= MAX_CLASS_DISTANCE + CLASS_SLACK / F.sqrt(n_words)))
     return judged.select(
@@ -270,15 +274,16 @@ def quality_sql(docs: str = "documents") -> str:
     counts += f", length(t{n}) AS k{n}, length(t0) AS n_all"
     split = "regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+')"
     listed = f"list_filter({split}, lambda x: x <> '')"
-    bare = listed.format(f"regexp_replace(lower(t0), {_quoted(PUNCTUATION)}, '', 'g')")
+    bare = f"list_filter(regexp_split_to_array(lower(t0), {_quoted(SEPARATORS)}), lambda x: x <> '')"
     js = ("CASE WHEN p > 0 THEN 0.5 * p * log2(2 * p / (p + q)) "
           "+ CASE WHEN q > 0 THEN 0.5 * q * log2(2 * q / (p + q)) ELSE 0 END - 0.5 * q ELSE 0 END")
     unpivot = " UNION ALL ".join(
         f"SELECT f.doc_id, r.lang, f.k{i} / f.n_all AS p, r.s{i} / r.s AS q FROM feats f, refs r "
-        "WHERE f.n_words > 0" for i in range(n + 1))
+        "WHERE f.n_low > 0" for i in range(n + 1))
     return f"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t0 FROM {docs}),
-{taken}feats AS (SELECT doc_id, lang, len({listed.format('t0')}) AS n_words, {counts} FROM c{n}),
+{taken}feats AS (SELECT doc_id, lang, len({listed.format('t0')}) AS n_words, len({bare}) AS n_low,
+       {counts} FROM c{n}),
 tok AS (SELECT doc_id, lang, unnest({bare}) AS word FROM d),
 tot AS (SELECT lang, count(*) AS total FROM tok WHERE lang IS NOT NULL GROUP BY lang),
 big AS (SELECT * FROM tot WHERE total >= {LANG_SHARE} * (SELECT sum(total) FROM tot)),
@@ -294,11 +299,11 @@ rest AS (SELECT lang, greatest(1 - sum(q), 0) AS q FROM q GROUP BY lang),
 have AS (SELECT doc_id, t.word, count(*) AS c FROM tok t JOIN vocab v ON t.word = v.word GROUP BY 1, 2),
 inc AS (SELECT doc_id, sum(c) AS c FROM have GROUP BY 1),
 wt AS (
-  SELECT h.doc_id, q.lang, h.c / f.n_words AS p, q.q FROM have h JOIN q ON h.word = q.word
+  SELECT h.doc_id, q.lang, h.c / f.n_low AS p, q.q FROM have h JOIN q ON h.word = q.word
     JOIN feats f ON f.doc_id = h.doc_id
   UNION ALL
-  SELECT f.doc_id, r.lang, (f.n_words - coalesce(i.c, 0)) / f.n_words AS p, r.q
-  FROM feats f CROSS JOIN rest r LEFT JOIN inc i ON i.doc_id = f.doc_id WHERE f.n_words > 0),
+  SELECT f.doc_id, r.lang, (f.n_low - coalesce(i.c, 0)) / f.n_low AS p, r.q
+  FROM feats f CROSS JOIN rest r LEFT JOIN inc i ON i.doc_id = f.doc_id WHERE f.n_low > 0),
 wd AS (SELECT doc_id, lang, sqrt(greatest(0.5 + sum({js}), 0)) AS w FROM wt GROUP BY 1, 2),
 refs AS (SELECT lang, {', '.join(f'sum(k{i}) AS s{i}' for i in range(n + 1))}, sum(n_all) AS s
          FROM feats WHERE lang IN (SELECT lang FROM langs) GROUP BY lang),
