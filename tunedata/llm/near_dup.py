@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import mix, utf8, windows, word_hashes
@@ -29,7 +29,8 @@ DRAWS = ROWS * BANDS
 #: Candidates whose share of equal draws is below this are not compared in
 #: full: 3.7 standard deviations under SIMILARITY.
 LEAST_SHARE = 0.6
-#: So many most central texts of a bucket are compared to all others in it.
+#: So many most central texts of a bucket are compared to all others in it
+#: first, and then the texts that these do not connect.
 PIVOTS = 3
 #: Document frequencies are counted in a sketch of 2^SKETCH_BITS counters.
 SKETCH_BITS = 21
@@ -151,14 +152,24 @@ def _signatures(texts: list[str | None], weights: Weights) -> list[tuple]:
 
 # ---- candidates, links and classes -------------------------------------------
 
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of nodes to compare, from ``node``, ``bands``,
-    ``draws``.
+def _alike(x: Column, y: Column) -> Column:
+    """Whether two texts have enough equal draws to be compared in full."""
+    equal = F.aggregate(F.zip_with(x, y, lambda a, b: (a == b).cast("int")),
+                        F.lit(0), lambda acc, n: acc + n)
+    return equal >= int(LEAST_SHARE * DRAWS)
+
+
+def candidate_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Distinct pairs (a < b) of nodes to compare first, from ``node``,
+    ``bands``, ``draws``; the rows (``key``, ``node``) that are left, and all
+    nodes that share a bucket.
 
     In each bucket (band key) with several texts the PIVOTS most central ones
     are paired with all others: linear in the bucket, and complete up to
     PIVOTS + 1 texts. Central is a text that meets many others over all its
     bands: in a group of edited copies that is the text they were made from.
+    What is left are the texts of larger buckets but their pivots;
+    ``remaining_pairs`` has the pairs among them.
     """
     rows = nodes.select("node", F.explode("bands").alias("key"))
     shared = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
@@ -172,9 +183,8 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
                                                 F.count(F.lit(1)).alias("n"))
                         .filter("n > 1").select("key", F.col("p.node").alias("pivot")),
                         "neardup-pivots")
-        left = left.join(pivot, "key").filter(F.col("node") != F.col("pivot"))
-        if k < PIVOTS - 1:
-            left = written(left, "neardup-left")
+        left = written(left.join(pivot, "key").filter(F.col("node") != F.col("pivot")),
+                       "neardup-left")
         found = left.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
         pairs = found if pairs is None else pairs.unionByName(found)
         left = left.drop("pivot")
@@ -182,9 +192,38 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
     draws = nodes.select("node", "draws")
     both = (pairs.join(draws.select(F.col("node").alias("a"), F.col("draws").alias("da")), "a")
             .join(draws.select(F.col("node").alias("b"), F.col("draws").alias("db")), "b"))
-    equal = F.aggregate(F.zip_with("da", "db", lambda x, y: (x == y).cast("int")),
-                        F.lit(0), lambda acc, x: acc + x)
-    return both.filter(equal >= int(LEAST_SHARE * DRAWS)).select("a", "b")
+    return (both.filter(_alike(F.col("da"), F.col("db"))).select("a", "b"),
+            left.select("key", "node"), central.select("node"))
+
+
+def remaining_pairs(left: DataFrame, label: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of rows ``left`` in a bucket that the links found
+    so far (``node``, ``label``) do not connect.
+
+    Connected texts are one class already, so only pairs across classes can
+    change one. In each bucket the texts outside its largest class are paired
+    with all texts of other classes: none is left out, and a bucket that the
+    pivots connected but for a few texts stays linear.
+    """
+    own = written(left.join(label, "node", "left").select(
+        "key", "node", F.coalesce("label", "node").alias("label")), "neardup-open")
+    largest = written(own.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+                      .groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"),
+                                          F.count(F.lit(1)).alias("classes"))
+                      .filter("classes > 1").select("key", F.col("m.label").alias("largest")),
+                      "neardup-largest")
+    rows = written(own.join(largest, "key").join(nodes.select("node", "draws"), "node"),
+                   "neardup-apart")
+    odd = rows.filter("label != largest").select(
+        "key", F.col("node").alias("other"), F.col("label").alias("other_label"),
+        F.col("draws").alias("other_draws"))
+    # a pair of two odd texts comes up twice unless one order is taken
+    once = (F.col("label") == F.col("largest")) | (F.col("node") < F.col("other"))
+    met = rows.join(odd, "key").filter(
+        (F.col("label") != F.col("other_label")) & once
+        & _alike(F.col("draws"), F.col("other_draws")))
+    return met.select(F.least("node", "other").alias("a"),
+                      F.greatest("node", "other").alias("b")).distinct()
 
 
 def verified_links(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
@@ -254,14 +293,19 @@ def duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id",
     signed = add_columns(worded, "text", ["node"], "bands array<long>, draws array<int>",
                          lambda texts: _signatures(texts, weights.value))
     nodes = written(signed.dropDuplicates(["node"]), "neardup-draws")
-    pairs = written(candidate_pairs(nodes), "neardup-pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(
-        pairs.select(F.col("b").alias("node"))).distinct()
+    first_pairs, left, shared = candidate_pairs(nodes)
+    pairs = written(first_pairs, "neardup-pairs")
     # copies are dropped before the shuffle; the join keeps its form (and the
     # texts their one shuffle) however few texts are wanted
     texts = written(worded.select("node", "text").dropDuplicates(["node"])
-                    .join(wanted.hint("shuffle_hash"), "node", "left_semi"), "neardup-texts")
-    label = components(written(verified_links(pairs, texts, weights), "neardup-verified"))
+                    .join(shared.hint("shuffle_hash"), "node", "left_semi"), "neardup-texts")
+    links = written(verified_links(pairs, texts, weights), "neardup-verified")
+    label = components(links)
+    more = written(remaining_pairs(left, label, nodes).join(pairs, ["a", "b"], "left_anti"),
+                   "neardup-pairs")
+    more_links = written(verified_links(more, texts, weights), "neardup-verified")
+    if more_links.limit(1).count():
+        label = components(links.unionByName(more_links))
     grouped = own.join(label, "node", "left").select(
         "node", "_id", F.coalesce("label", "node").alias("label"))
     first = grouped.groupBy("label").agg(F.min(F.struct("_id", "node")).alias("first"),
