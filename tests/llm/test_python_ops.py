@@ -341,6 +341,27 @@ def test_pages(spark):
     assert extract_text(df.limit(0), model).count() == 0
 
 
+def test_pages_with_names_of_menus(spark):
+    marked = [(i, "u", PAGE % ("<article>", "</article>")) for i in range(5)]
+    body = "<h1>Title</h1><p>One two three four five six</p>"
+    text = "Title\nOne two three four five six"
+    wrapped = [f'<body><nav>Menu</nav><div class="{c}"><article>{body}</article></div><footer>us</footer>'
+               for c in ("content has-sidebar", "no-sidebar", "page with-comments", "search-layout", "search")]
+    parts = [f'<article><{e}>{body}</{e.split()[0]}></article>'
+             for e in ('div class="article-header"', 'section class="related-work"',
+                       'section id="popular-science"')]
+    raw = [f"<article>{x}{body}</article>" for x in ("<svg/>", "<object>", "<noscript>", '<svg a="b" />')]
+    cut = [f'<article>{body}<div class="{c}">Read this too</div></article>'
+           for c in ("related", "related-posts", "share_buttons", "ad-container", "x cookie-notice")]
+    cut += [f"<article>{body}{x}</article>" for x in (
+        "<svg><text>a</text></svg>", "<noscript>no</noscript>", '<div class="related"><article>More</article></div>')]
+    pages = wrapped + parts + raw + cut
+    df = spark.createDataFrame(marked + [(10 + i, "u", p) for i, p in enumerate(pages)],
+                               "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_text(df, train_region(df.filter("page_id < 10"))).collect()}
+    assert {p: got[10 + i] for i, p in enumerate(pages)} == dict.fromkeys(pages, text)
+
+
 def test_best_region_like_brute_force():
     rng = random.Random(5)
     for _ in range(300):

@@ -48,6 +48,18 @@ CHROME_NAMES = re.compile(r"""(?x)(?<![a-z0-9])(?:
     header|footer|site-footer|colophon|copyright|share|sharing|social|related|recommended|
     recommendations|trending|popular|comments?|commentlist|comment-list|respond|replies|disqus|
     popup|modal|overlay|pagination|pager|skip-link|search|toolbar|tags|tagcloud)(?![a-z0-9])""")
+# Parts that leave such a name what it is ('related-posts'); with
+# any other part it names something else ('related-work', 'article-header').
+CHROME_PARTS = frozenset("""
+    a area articles bar blocks block bottom box btn button buttons center code col column container
+    content contents footer form global group header holder icon icons id inline inner item items
+    js left link links list main media message mobile module news notice outer page pages panel policy
+    posts primary region right row secondary section site slot stories strip text title top
+    unit user view wrap wrapper
+""".split())
+_NAME_PART = re.compile(r"[-\d]+")
+# 'has-sidebar' and the like say what else is on the page
+_SAYS = re.compile(r"(?:has|have|no|with|without)-")
 
 _PIECE = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
     |<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+)>""",
@@ -69,26 +81,41 @@ class Run:
     words: int | None
 
 
-def _is_chrome(name: str, attributes: str, inside: int) -> bool:
+def _chrome_name(value: str) -> bool:
+    """Whether one of the names in a class or id is that of a menu, a notice,
+    an advert or the like."""
+    for name in value.replace("_", "-").split():
+        if CHROME_NAMES.search(name) and not _SAYS.match(name):
+            rest = _NAME_PART.split(CHROME_NAMES.sub("", name))
+            if all(part in CHROME_PARTS for part in rest if part):
+                return True
+    return False
+
+
+def _is_chrome(name: str, attributes: str, inside: int) -> str:
+    """'fixed' for an element that is no main text by its kind, role or state,
+    'named' for a form or one by its class or id alone, else ''."""
     if name in CHROME or (name == "header" and not inside):
-        return True
+        return "named" if name == "form" else "fixed"
     if name in MAIN or name in ("html", "body"):
         inner = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(attributes)}
-        return name == "article" and bool(re.search(r"(?<![a-z])(comment|advert|promo|ad)",
-                                                    inner.get("class", "")))
+        return "fixed" if name == "article" and re.search(
+            r"(?<![a-z])(comment|advert|promo|ad)", inner.get("class", "")) else ""
+    named = ""
     for key, value in _ATTR.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if (key == "hidden" or (key == "aria-hidden" and value == "true")
-                or (key == "role" and value in CHROME_ROLES)
-                or (key in ("class", "id") and name not in HEADINGS
-                    and CHROME_NAMES.search(value.replace("_", "-")))):
-            return True
-    return False
+                or (key == "role" and value in CHROME_ROLES)):
+            return "fixed"
+        if key in ("class", "id") and name not in HEADINGS and _chrome_name(value):
+            named = "named"
+    return named
 
 
-def _tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
-    """(start, end, closing, name, attributes) of tags and comments (name '')."""
-    at = 0
+def _tags(page: str) -> Iterator[tuple[int, int, bool, str, str, bool]]:
+    """(start, end, closing, name, attributes, raw) of tags and comments (name
+    ''); the next tag after a raw one is its closing tag, if there is any."""
+    at, unclosed = 0, set()
     while True:
         at = page.find("<", at)
         if at < 0:
@@ -98,20 +125,29 @@ def _tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
             at += 1
             continue
         name = (m[2] or "").lower()
-        yield at, m.end(), bool(m[1]), name, m[3] or ""
-        at = m.end()
-        if name in RAW and not m[1]:
-            close = re.compile(rf"</{re.escape(name)}\s*[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = close.start() if close else (len(page) if name in ("script", "style") else at)
+        start, at, close = at, m.end(), None
+        raw = name in RAW and not m[1]
+        if raw and name not in ("script", "style") and (m[3] or "").rstrip().endswith("/"):
+            raw = False
+        if raw and name not in unclosed:
+            close = re.compile(rf"</{re.escape(name)}(?![^\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
+            if close is None:
+                unclosed.add(name)
+        # what never closes holds nothing, but for code
+        raw = raw and (close is not None or name in ("script", "style"))
+        yield start, at, bool(m[1]), name, m[3] or "", raw
+        if raw:
+            at = close.start() if close else len(page)
 
 
 def runs(page: str) -> tuple[list[Run], bool]:
     """The page as a sequence of words and tags outside menus, notices and the
     like, and whether it marks its main element."""
-    marked = any(name in MAIN and not closing for _, _, closing, name, _ in _tags(page))
+    marked = any(name in MAIN and not closing for _, _, closing, name, _, _ in _tags(page))
     out: list[Run] = []
     last, block, inside, link, item = 0, 0, 0, 0, "p"
-    skipped, depth, raw = "", 0, ""
+    skipped, depth, raw, named = "", 0, "", False
+    opened: set[str] = set()
 
     def place() -> str:
         return ("in" if inside else "out") if marked else "any"
@@ -123,7 +159,7 @@ def runs(page: str) -> tuple[list[Run], bool]:
                 n = len(text.split())
                 out.append(Run(("word", place(), item, link > 0), block, text, n))
 
-    for start, end, closing, name, attributes in _tags(page):
+    for start, end, closing, name, attributes, holds in _tags(page):
         flush(start)
         last = end
         if name == "":
@@ -139,22 +175,29 @@ def runs(page: str) -> tuple[list[Run], bool]:
                     skipped = ""
                     block += 1
                 continue
-            # an unclosed menu ends where the main element begins, or the page ends
-            if not (name in MAIN and not closing and skipped in ("head", "nav", "header")):
+            # an unclosed menu ends where the main element begins, or the page
+            # ends; and what only its name calls a menu is none if it holds the
+            # page's first main element
+            if not (name in MAIN and not closing and (
+                    skipped in ("head", "nav", "header")
+                    or (named and name not in opened
+                        and not _is_chrome(name, attributes, inside)))):
                 if not (name in MAIN and closing and inside):
                     continue
             skipped, depth = "", 0
             block += 1
-        if not closing and name in RAW:
-            raw = name
+        if name in RAW:
+            raw = name if holds else ""
             continue
-        if not closing and name not in VOID and _is_chrome(name, attributes, inside):
+        chrome = "" if closing or name in VOID else _is_chrome(name, attributes, inside)
+        if chrome:
             if not attributes.rstrip().endswith("/"):
-                skipped, depth = name, 1
+                skipped, depth, named = name, 1, chrome == "named"
             out.append(Run(("chrome", place()), block, "", None))
             block += 1
             continue
         if name in MAIN:
+            opened.add(name)
             inside = max(inside + (-1 if closing else 1), 0)
         elif name == "a":
             link = max(link + (-1 if closing else 1), 0)
