@@ -13,7 +13,7 @@ from conftest import SF01
 from edge_rows import LONG, edge_docs, empty_docs, rows
 from pyspark.sql import functions as F
 
-from tunedata.llm import near_dup, ngram_bloom
+from tunedata.llm import near_dup, ngram_bloom, toxicity
 from tunedata.llm.arrays import utf8, windows, word_hashes
 from tunedata.llm.decontaminate import budget, find_contamination, myers, normal, pieces
 from tunedata.llm.html_region import best_region, extract_text, train_region
@@ -409,3 +409,19 @@ def test_toxicity_edge_rows(spark):
 def test_isotonic_like_definition():
     x, y = isotonic(np.array([1., 2, 3, 4, 5, 5]), np.array([0., 1, 0, 1, 1, 0]))
     assert list(np.interp([1, 2, 3, 4, 5], x, y)) == pytest.approx([0, .5, .5, 2 / 3, 2 / 3])
+
+
+def test_masked_words():
+    lexicon = toxicity.Lexicon({"blarg": 3.0}, {})
+
+    def found(text):
+        toxicity._use(lexicon)
+        x = dict(zip(toxicity.FEATURES, toxicity.features(text, lexicon)))
+        return x["masked"] > 0, x["unmasked"]
+
+    for word in ("a$$ a55 idi-ot mor.on mor_on 1diot b@stard sh1t bla-rg b1arg! (a$$) a$$. a55! "
+                 "idi-ot, mor.on! bl4rg").split():
+        known = word != "b1arg!"
+        assert found(f"such {word} here") == (True, float(known)), word
+    for text in ("well-known end.", "idiot!", "idiot.", "a shit, b", "see file_name v2 now", "Stop!"):
+        assert found(text)[1] == 0, text

@@ -49,6 +49,7 @@ SECOND_PERSON = frozenset("""
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _SIGN_BEFORE_LETTER = re.compile(r"[\d@$!|*+]+(?=[^\W\d_])")
+_SIGN_IN_WORD = re.compile(r"[.\-_]+(?=[^\W\d_])|[\d@$!|*+]+(?![^\W_])")
 _STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 # Signs that stand for letters.
 _SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
@@ -87,6 +88,34 @@ def _masked(text: str) -> list[str]:
     return out
 
 
+def _joined(text: str, masked: list[str], lexicon: Lexicon) -> list[str]:
+    """Tokens of up to 24 characters, besides those ``masked``, with a sign or
+    digit at the end of a word or a dot, hyphen or underscore between letters,
+    put together; only insults and learned words, as those signs are mostly
+    punctuation."""
+    out, last, seen = [], -1, set(masked)
+    for m in _SIGN_IN_WORD.finditer(text):
+        a = m.start()
+        if a < last or not a or not text[a - 1].isalpha():
+            continue
+        first, last = a, m.end()
+        while first and not text[first - 1].isspace() and a - first < 24:
+            first -= 1
+        while last < len(text) and not text[last].isspace() and last - first <= 24:
+            last += 1
+        token = text[first:last]
+        if not 3 <= last - first <= 24 or token in seen:
+            continue
+        # the last marks of a token may be letters, or end a sentence
+        for t in (token, token.rstrip("!*+|.,;:?\"')]")):
+            p = _plain(t)
+            if p in INSULTS or p in lexicon.words:
+                if any(c in "$@|!*+.-_" or c.isdigit() for c in t):
+                    out.append(p)
+                break
+    return out
+
+
 def _stretched(text: str) -> list[str]:
     """Words with a letter three times or more in a row, without the repeats."""
     out, last = [], -1
@@ -179,8 +208,9 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
             singles.append(i)
     near = _near(hits, you)
     masked = _masked(text)
+    joined = _joined(text, masked, lexicon)
     spaced = _spaced(words, singles)
-    plain = [_plain(t) for t in masked] + spaced
+    plain = [_plain(t) for t in masked] + joined + spaced
     long = _stretched(text.lower())
     unmasked = sum(p in INSULTS or p in lexicon.words for p in plain + long)
     letters = sum(map(len, found))
@@ -189,7 +219,7 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
         float(len(learned)), max([*learned, *stems], default=0.0), sum(stems) / n,
         float(len(stems)), near / n, len(you) / n, _upper(text) / max(letters, 1),
         sum(map(str.isupper, found)) / n, text.count("!") / n, text.count("?") / n,
-        (text.count("!!") + text.count("??")) / n, len(masked) / n, len(spaced) / n,
+        (text.count("!!") + text.count("??")) / n, (len(masked) + len(joined)) / n, len(spaced) / n,
         len(long) / n, float(unmasked)]
 
 
