@@ -62,3 +62,15 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` without columns that are called like a new column (in any case)."""
     taken = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+
+
+def fresh(names: list[str], *wanted: str) -> list[str]:
+    """A name for each of ``wanted`` that none of ``names`` equals in any case:
+    the wanted one, with underscores added until it is free."""
+    taken, out = {n.lower() for n in names}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import remainder, table
 from .decontaminate import find_contamination
+from .fim import FIM_SQL, fim_restore, fim_transform
+from .hard_negatives import HARD_NEGATIVE_SQL, hard_negatives
 from .html_region import extract_text, train_region
 from .langid import predict_languages, train_langid
 from .licenses import license_sql, scan_licenses
@@ -82,6 +84,21 @@ def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op11_angular_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector; a seventh of the labels is
+    changed first."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
+def op12_sparse_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document as cut for fill-in-middle and as rebuilt."""
+    cut = fim_transform(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                      F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fim_restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_subword_langid": op1_subword_langid,
     "op2_divergence_rules": op2_divergence_rules,
@@ -93,6 +110,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_digests": op8_license_digests,
     "op9_poisson_mix": op9_poisson_mix,
     "op10_boosted_toxicity": op10_boosted_toxicity,
+    "op11_angular_negatives": op11_angular_negatives,
+    "op12_sparse_fim": op12_sparse_fim,
 }
 
 ORACLE: dict[str, str] = {
@@ -100,4 +119,6 @@ ORACLE: dict[str, str] = {
     "op4_line_windows": line_dedup_sql(),
     "op8_license_digests": license_sql(),
     "op9_poisson_mix": MIX_SQL.format(docs="documents"),
+    "op11_angular_negatives": HARD_NEGATIVE_SQL,
+    "op12_sparse_fim": FIM_SQL,
 }
