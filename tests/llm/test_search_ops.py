@@ -1,6 +1,7 @@
 """Fill-in-middle, hard negatives and the shingle join against brute force."""
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -9,7 +10,7 @@ from conftest import SF01
 from edge_rows import LONG, edge_docs, empty_docs, rows
 from pyspark.sql import functions as F
 
-from tunedata.llm import fim, hard_negatives as hn
+from tunedata.llm import fim, hard_negatives as hn, shingle_join as sj
 
 # ---- fill-in-middle -----------------------------------------------------------
 
@@ -161,3 +162,119 @@ def test_negatives_query(spark):
     e = spark.read.parquet(f"{SF01}/embeddings.parquet").collect()
     given = [(r.vec_id, (r.label + 1) % 10 if r.vec_id % 7 == 0 else r.label, r.embedding) for r in e]
     assert Counter(map(tuple, QUERIES["op11_angular_negatives"](spark, SF01).collect())) == plain_negatives(given)
+
+
+# ---- shingle join --------------------------------------------------------------
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def plain_set(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    return frozenset(tuple(w[k:k + 4]) for k in range(max(1, len(w) - 3))) if w else frozenset()
+
+
+def plain_components(given):
+    """(id, text) rows; every pair of different sets is compared."""
+    sets = sorted({plain_set(t) for _, t in given} - {frozenset()}, key=lambda s: sorted(s))
+    up = list(range(len(sets)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 100 * min(len(a), len(b)) >= 85 * max(len(a), len(b)):
+                both = len(a & b)
+                if 100 * both >= 85 * (len(a) + len(b) - both):
+                    up[top(i)] = top(j)
+    at = {s: top(i) for i, s in enumerate(sets)}
+    least = {}
+    for i, t in given:
+        s = plain_set(t)
+        if s and i is not None:
+            least[at[s]] = min(i, least.get(at[s], i))
+    return Counter((i, len(plain_set(t)), least.get(at[plain_set(t)]) if plain_set(t) else i) for i, t in given)
+
+
+def drifted(rng, base, vocabulary, edits):
+    out = list(base)
+    for k in rng.sample(range(len(out)), edits):
+        out[k] = rng.choice(vocabulary)
+    return " ".join(out)
+
+
+def families(seed):
+    """Copies at all distances around the threshold, a passage that many texts
+    share, chains in which only neighbours link, and unrelated texts."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    passage = rng.choices(vocabulary, k=60)
+    out = []
+    for size, words in ((150, 120), (60, 200), (8, 30), (8, 9), (2, 5)):
+        base = rng.choices(vocabulary, k=words)
+        out += [drifted(rng, base, vocabulary, rng.randrange(0, max(2, words // 15))) for _ in range(size)]
+    chain = rng.choices(vocabulary, k=150)
+    for _ in range(40):
+        out.append(" ".join(chain))
+        for k in rng.sample(range(150), 3):
+            chain[k] = rng.choice(vocabulary)
+    out += [" ".join(rng.choices(vocabulary, k=rng.randrange(5, 40)) + passage) for _ in range(120)]
+    out += [" ".join(rng.choices(vocabulary, k=rng.randrange(1, 12))) for _ in range(80)]
+    out += [out[3]] * 30 + [out[3].upper().replace(" ", "\n\t")] * 2
+    rng.shuffle(out)
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("group,queries", [(32, 256), (3, 4)])
+def test_components_equal_brute_force(spark, monkeypatch, group, queries):
+    monkeypatch.setattr(sj, "GROUP_SETS", group)
+    monkeypatch.setattr(sj, "QUERIES", queries)
+    given = families(group)
+    df = spark.createDataFrame(given, "doc_id long, text string").repartition(4)
+    got = Counter(map(tuple, sj.shingle_links(df).collect()))
+    assert got == plain_components(given)
+    assert len({r[2] for r in got}) > 200
+
+
+def test_components_edge_rows(spark):
+    given = [(i, t) for i, t, *_ in rows()] + [(9, LONG + " end"), (11, None), (None, "ONE")]
+    docs = edge_docs(spark).select("doc_id", "text", *[F.lit("x").alias(c) for c in (
+        "id", "digest", "n", "probe", "least", "token", "at", "grp", "label", "component_id")])
+    more = spark.createDataFrame(given[-3:], "doc_id long, text string").select(
+        "*", *[F.lit("x").alias(c) for c in docs.columns[2:]])
+    got = Counter(map(tuple, sj.shingle_links(docs.unionByName(more)).collect()))
+    assert got == plain_components(given)
+    assert sj.shingle_links(empty_docs(spark)).collect() == []
+
+
+def test_candidates_of_a_family_grow_with_its_texts(spark):
+    """Texts opened per group follow the family, not its square."""
+    made = []
+    for size in (100, 400):
+        rng = random.Random(5)
+        vocabulary = [f"w{i}" for i in range(100_000)]
+        base = rng.choices(vocabulary, k=150)
+        given = [(i, drifted(rng, base, vocabulary, rng.randrange(1, 14))) for i in range(size)]
+        counted = []
+
+        def counting(candidates, sets, groups, plain=sj.opened_links):
+            counted.append(candidates.count())
+            return plain(candidates, sets, groups)
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(sj, "opened_links", counting)
+            got = sj.shingle_links(spark.createDataFrame(given, "doc_id long, text string")).collect()
+        assert Counter(map(tuple, got)) == plain_components(given)
+        made.append(sum(counted))
+    assert made[0] <= 100 and made[1] <= 400
+
+
+def test_group_bound_leaves_sets_closed():
+    sets = [np.arange(a, a + 100, dtype=np.uint64) for a in (0, 3, 6)]
+    group = sj.Group([b"a", b"b", b"c"], sets)
+    assert group.links(np.arange(5, 105, dtype=np.uint64)).tolist() == [True, True, True]
+    assert group.links(np.arange(90, 190, dtype=np.uint64)).tolist() == [False] * 3
+    assert group.links(np.arange(7, 107, dtype=np.uint64)).tolist() == [True, True, True]
+    assert group.links(np.arange(9, 109, dtype=np.uint64)).tolist() == [False, True, True]
+    assert group.parts() == [b"a"] * 3

@@ -19,6 +19,7 @@ from .mixing import MIX_SQL, mix_sources
 from .near_dup import near_duplicates
 from .ngram_bloom import lm_scores
 from .quality import quality_rules, quality_sql
+from .shingle_join import shingle_links
 from .toxicity import score_toxicity, train_toxicity
 
 
@@ -99,6 +100,11 @@ def op12_sparse_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(fim_restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
+def op13_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of linked documents that every document belongs to."""
+    return shingle_links(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_subword_langid": op1_subword_langid,
     "op2_divergence_rules": op2_divergence_rules,
@@ -112,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_boosted_toxicity": op10_boosted_toxicity,
     "op11_angular_negatives": op11_angular_negatives,
     "op12_sparse_fim": op12_sparse_fim,
+    "op13_token_groups": op13_token_groups,
 }
 
 ORACLE: dict[str, str] = {
