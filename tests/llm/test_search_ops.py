@@ -10,7 +10,7 @@ from conftest import SF01
 from edge_rows import LONG, edge_docs, empty_docs, rows
 from pyspark.sql import functions as F
 
-from tunedata.llm import fim, hard_negatives as hn, shingle_join as sj
+from tunedata.llm import fim, grouped, hard_negatives as hn, shingle_join as sj
 
 # ---- fill-in-middle -----------------------------------------------------------
 
@@ -229,8 +229,8 @@ def families(seed):
 
 @pytest.mark.parametrize("group,queries", [(32, 256), (3, 4)])
 def test_components_equal_brute_force(spark, monkeypatch, group, queries):
-    monkeypatch.setattr(sj, "GROUP_SETS", group)
-    monkeypatch.setattr(sj, "QUERIES", queries)
+    monkeypatch.setattr(grouped, "GROUP_ITEMS", group)
+    monkeypatch.setattr(grouped, "QUERIES", queries)
     given = families(group)
     df = spark.createDataFrame(given, "doc_id long, text string").repartition(4)
     got = Counter(map(tuple, sj.shingle_links(df).collect()))
@@ -272,9 +272,9 @@ def test_candidates_of_a_family_grow_with_its_texts(spark):
 
 def test_group_bound_leaves_sets_closed():
     sets = [np.arange(a, a + 100, dtype=np.uint64) for a in (0, 3, 6)]
-    group = sj.Group([b"a", b"b", b"c"], sets)
+    group = sj.Group(sets)
     assert group.links(np.arange(5, 105, dtype=np.uint64)).tolist() == [True, True, True]
     assert group.links(np.arange(90, 190, dtype=np.uint64)).tolist() == [False] * 3
     assert group.links(np.arange(7, 107, dtype=np.uint64)).tolist() == [True, True, True]
     assert group.links(np.arange(9, 109, dtype=np.uint64)).tolist() == [False, True, True]
-    assert group.parts() == [b"a"] * 3
+    assert group.parts([b"a", b"b", b"c"]) == [b"a"] * 3

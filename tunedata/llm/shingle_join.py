@@ -14,11 +14,9 @@ large family of copies from being compared pair by pair.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,19 +24,18 @@ from tunedata.session import ship_package
 
 from .arrays import windows, word_hashes
 from .common import written
+from .grouped import compared, grouped, members
 from .near_dup import components
 from .sketch import count_slots
 from .workers import add_columns
 
 SHINGLE = 4
 PERCENT = 85
-#: A group has so many sets at most, and so many shingles (or one set).
-GROUP_SETS, GROUP_TOKENS = 32, 1 << 16
-#: So many sets at most are compared to one group in one go.
-QUERIES = 256
 #: Slots of the count sketch that orders shingles. It decides how many
 #: candidates there are, never which links are found.
 SKETCH_BITS = 21
+#: Texts of sets that are compared are told by so many slots first.
+TEXT_SLOTS = 1 << 20
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -69,6 +66,14 @@ def index_length(n):
     return n - F.ceil(F.lit(2.0 * PERCENT) * n / (100 + PERCENT) - F.lit(1e-9)).cast("int") + 1
 
 
+def shared_length(n):
+    """So many common shingles (one at least) are asked for before a set is
+    compared at all; ``probe`` is longer than ``probe_length`` by as many, so
+    that sets which link share them in it (the k-th common shingle of two such
+    sets is at most k - 1 places behind the first prefix)."""
+    return n // 20
+
+
 def _signed(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     """``id``, ``digest`` of the text, ``n``, ``node`` (the set's id, null if
     empty), ``probe`` (its rarest shingles, rarest first) and ``least`` (its
@@ -79,7 +84,8 @@ def _signed(docs: DataFrame, levels: np.ndarray) -> DataFrame:
         seen: dict[str | None, tuple] = {}
         distinct = list(dict.fromkeys(texts))
         for text, s in zip(distinct, shingle_sets(distinct)):
-            order = np.argsort(sent.value[_slots(s)], kind="stable")[: probe_length(len(s))]
+            length = probe_length(len(s)) + max(shared_length(len(s)) - 1, 0)
+            order = np.argsort(sent.value[_slots(s)], kind="stable")[:length]
             seen[text] = (len(s), set_id(s), s[order].view(np.int64) if len(s) else [],
                           int(s[0].view(np.int64)) if len(s) else None)
         return [seen[t] for t in texts]
@@ -93,8 +99,8 @@ def _signed(docs: DataFrame, levels: np.ndarray) -> DataFrame:
 class Group:
     """Sets of a group: their union and which of them hold each of its shingles."""
 
-    def __init__(self, nodes: list[bytes], sets: list[np.ndarray]) -> None:
-        self.nodes, self.sets = nodes, sets
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sets = sets
         self.sizes = np.array([len(s) for s in sets])
         self.union, at = np.unique(np.concatenate(sets), return_inverse=True)
         self.holds = np.zeros((len(sets), len(self.union)), bool)
@@ -110,62 +116,30 @@ class Group:
         both = self.holds[:, at].sum(axis=1)
         return 100 * both >= PERCENT * (len(tokens) + self.sizes - both)
 
-    def parts(self) -> list[bytes]:
-        """For each set the smallest node that links inside the group connect
-        it with."""
+    def parts(self, nodes: list[bytes]) -> list[bytes]:
+        """For each set the smallest of ``nodes`` that links inside the group
+        connect it with."""
         label = list(range(len(self.sets)))
         for i, s in enumerate(self.sets):
             joined = {label[j] for j in np.flatnonzero(self.links(s)).tolist()} | {label[i]}
             if len(joined) > 1:
                 label = [min(joined) if x in joined else x for x in label]
         least: dict[int, bytes] = {}
-        for x, node in zip(label, self.nodes):
+        for x, node in zip(label, nodes):
             least[x] = min(least.get(x, node), node)
         return [least[x] for x in label]
 
 
-def _unpack(data: bytes, sizes: list[int]) -> list[np.ndarray]:
-    return np.split(np.frombuffer(data, np.uint64), np.cumsum(sizes)[:-1])
-
-
-def similar_groups(sets: DataFrame) -> DataFrame:
-    """``grp``, ``nodes``, ``sizes``, ``tokens`` and ``labels`` of groups of
-    sets with the same smallest hash, in order of their size."""
-    ship_package(sets.sparkSession)
-    order = ["least", "n", "node"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, held, least, size = [], [], None, 0
-        for batch in batches:
-            out = []
-            for node, low, tokens in zip(*(batch.column(c).to_pylist() for c in ("node", "least", "tokens"))):
-                if nodes and (low != least or len(nodes) == GROUP_SETS or size + len(tokens) > 8 * GROUP_TOKENS):
-                    out.append(_group_row(nodes, held))
-                    nodes, held, size = [], [], 0
-                nodes.append(node)
-                held.append(np.frombuffer(tokens, np.uint64))
-                least, size = low, size + len(tokens)
-            if out:
-                yield _group_batch(out)
-        if nodes:
-            yield _group_batch([_group_row(nodes, held)])
-
-    dealt = sets.select("node", "least", "n", "tokens").repartitionByRange(*order).sortWithinPartitions(*order)
-    return dealt.mapInArrow(run, _GROUP_SCHEMA)
-
-
-_GROUP_SCHEMA = "grp binary, nodes array<binary>, sizes array<int>, tokens binary, labels array<binary>"
+def _tokens(item: bytes) -> np.ndarray:
+    return np.frombuffer(item, np.uint64)
 
 
-def _group_row(nodes: list[bytes], sets: list[np.ndarray]) -> tuple:
-    labels = Group(nodes, sets).parts() if len(nodes) > 1 else nodes
-    return nodes[0], nodes, [len(s) for s in sets], b"".join(s.tobytes() for s in sets), labels
+def _group(items: list[bytes]) -> Group:
+    return Group([_tokens(i) for i in items])
 
 
-def _group_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.binary())]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
-                                      ["grp", "nodes", "sizes", "tokens", "labels"])
+def _labels(nodes: list[bytes], items: list[bytes], _: list) -> list[bytes]:
+    return _group(items).parts(nodes) if len(nodes) > 1 else nodes
 
 
 # ---- candidates and links -------------------------------------------------------
@@ -230,37 +204,8 @@ def open_candidates(rows: DataFrame, member: DataFrame) -> DataFrame:
 
 def opened_links(candidates: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame:
     """``a``, ``b``: one link from the query to each connected part of the group
-    that it links with. A group that many sets are compared to is copied once
-    per QUERIES of them."""
-    found = written(candidates, "shingle-candidates")
-    per = found.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("copies"))
-    query = (found.join(per, "grp")
-             .withColumn("copy", F.pmod(F.xxhash64("query"), F.col("copies")).cast("int"))
-             .join(sets.select(F.col("node").alias("query"), "n", "tokens"), "query")
-             .select("grp", "copy", F.lit(1).alias("kind"), F.array("query").alias("nodes"),
-                     F.array("n").alias("sizes"), "tokens",
-                     F.array("query").alias("labels")))
-    group = (groups.join(per, "grp")
-             .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-             .select("grp", "copy", F.lit(0).alias("kind"), "nodes", "sizes", "tokens", "labels"))
-    dealt = (group.unionByName(query).repartition("grp", "copy")
-             .sortWithinPartitions("grp", "copy", "kind"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, labels = None, []
-        for batch in batches:
-            a, b = [], []
-            for kind, nodes, sizes, tokens, parts in zip(*(batch.column(i).to_pylist() for i in range(2, 7))):
-                if kind == 0:
-                    group, labels = Group(nodes, _unpack(tokens, sizes)), parts
-                    continue
-                met = np.flatnonzero(group.links(np.frombuffer(tokens, np.uint64))).tolist()
-                one = {labels[i]: group.nodes[i] for i in met if group.nodes[i] != nodes[0]}
-                a += nodes * len(one)
-                b += one.values()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-    return dealt.mapInArrow(run, "a binary, b binary")
+    that it links with."""
+    return compared(candidates, sets, groups, _group, lambda g, item: g.links(_tokens(item)))
 
 
 def _relabelled(member: DataFrame, links: DataFrame) -> DataFrame:
@@ -275,14 +220,18 @@ def _relabelled(member: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _live_rows(nodes: DataFrame) -> DataFrame:
-    """``token``, ``node``, ``n``, ``at`` for the shingles of ``probe`` that two
-    sets share, one of them among those it is found by."""
+    """``token``, ``node``, ``n``, ``at``, ``k`` for the shingles of ``probe``
+    that ``k`` > 1 sets share, of sets that share enough of them to link."""
     rows = nodes.select("node", "n", F.posexplode("probe").alias("at", "token"))
-    live = (rows.groupBy("token").agg(
-        F.count(F.lit(1)).alias("k"),
-        F.max(F.col("at") < index_length(F.col("n"))).alias("found"))
-        .filter("k > 1 AND found").select("token", "k"))
-    return rows.join(live.hint("shuffle_hash"), "token")
+    live = rows.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    shared = written(rows.join(live.hint("shuffle_hash"), "token"), "shingle-shared")
+    # the other set may be the shorter one and have that much less in its probe
+    other = F.ceil(F.col("n") * (PERCENT / 100) - 1e-9)
+    need = F.greatest(F.floor(other / 20), F.lit(1))
+    enough = (shared.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.any_value("n").alias("n"))
+              .filter(F.col("c") >= need).select("node"))
+    found = shared.filter(F.col("at") < F.expr(f"n - ceil({PERCENT} * n / 100 - 1e-9) + 1"))
+    return found.join(written(enough, "shingle-enough"), "node")
 
 
 def shingle_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -312,15 +261,21 @@ def shingle_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     central = written(live.groupBy("node").agg(F.sum("k").alias("central")), "shingle-central")
     wanted = written(nodes.join(central, "node").select("node", "n", "least", "digest"), "shingle-wanted")
     # one text for each set that is compared; the whole set is made again from
-    # it, as writing all sets would take more room than the texts
-    texts = (rows.select("digest", "text").join(wanted.select("digest").hint("shuffle_hash"), "digest", "left_semi")
+    # it, as writing all sets would take more room than the texts. Most other
+    # texts go before the shuffle, by slots of which there are TEXT_SLOTS at most
+    slot = F.pmod(F.xxhash64("digest"), F.lit(TEXT_SLOTS))
+    slots = written(wanted.select(slot.alias("slot")).distinct(), "shingle-slots")
+    near_texts = (rows.select("digest", "text", slot.alias("slot"))
+                  .join(F.broadcast(slots), "slot", "left_semi").drop("slot"))
+    texts = (near_texts.join(wanted.select("digest").hint("shuffle_hash"), "digest", "left_semi")
              .dropDuplicates(["digest"]))
-    tokens = add_columns(texts, "text", ["digest"], "tokens binary",
+    tokens = add_columns(texts, "text", ["digest"], "item binary",
                          lambda column: [(s.tobytes(),) for s in shingle_sets(column)])
     sets = written(wanted.join(tokens, "digest").drop("digest"), "shingle-sets")
-    groups = written(similar_groups(sets), "shingle-groups")
-    member = written(groups.select("grp", F.explode(F.arrays_zip("nodes", "labels")).alias("m")).select(
-        F.col("m.nodes").alias("node"), "grp", F.col("m.labels").alias("label")), "shingle-member")
+    # similar sets mostly have the same smallest hash
+    groups = written(grouped(sets.withColumn("label", F.col("node")), ["least", "n", "node"], _labels),
+                     "shingle-groups")
+    member = written(members(groups), "shingle-member")
     near = written(opened_links(pivot_candidates(live, member, central), sets, groups), "shingle-links")
     member = _relabelled(member, near)
     rest = written(opened_links(open_candidates(live, member), sets, groups), "shingle-links")
