@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .arrays import mix, utf8, windows, word_hashes
 from .common import written
+from .grouped import compared, grouped, members
 from .sketch import count_slots
 from .workers import add_columns, runs
 
@@ -169,7 +170,7 @@ def candidate_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     PIVOTS + 1 texts. Central is a text that meets many others over all its
     bands: in a group of edited copies that is the text they were made from.
     What is left are the texts of larger buckets but their pivots;
-    ``remaining_pairs`` has the pairs among them.
+    ``remaining_links`` has the links among them.
     """
     rows = nodes.select("node", F.explode("bands").alias("key"))
     shared = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
@@ -196,14 +197,52 @@ def candidate_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             left.select("key", "node"), central.select("node"))
 
 
-def remaining_pairs(left: DataFrame, label: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of rows ``left`` in a bucket that the links found
-    so far (``node``, ``label``) do not connect.
+class WeightedGroup:
+    """Weighted sets of a group: the weight of each shingle of their union in
+    each of them."""
+
+    def __init__(self, items: list[bytes]) -> None:
+        sets = [_unpack(i) for i in items]
+        self.union, at = np.unique(np.concatenate([t for t, _ in sets]), return_inverse=True)
+        self.weights = np.zeros((len(sets), len(self.union)))
+        self.weights[np.repeat(np.arange(len(sets)), [len(t) for t, _ in sets]), at] = np.concatenate(
+            [w for _, w in sets])
+        self.totals = np.array([w.sum() for _, w in sets])
+
+    def similar(self, item: bytes) -> np.ndarray:
+        """Which sets reach SIMILARITY to the set ``item``."""
+        tokens, weights = _unpack(item)
+        at = np.minimum(np.searchsorted(self.union, tokens), len(self.union) - 1)
+        hit = self.union[at] == tokens
+        low = np.minimum(self.weights[:, at[hit]], weights[hit]).sum(axis=1)
+        return low / (weights.sum() + self.totals - low) >= SIMILARITY
+
+
+def _unpack(item: bytes) -> tuple[np.ndarray, np.ndarray]:
+    half = len(item) // 2
+    return np.frombuffer(item[:half], np.uint64), np.frombuffer(item[half:], float)
+
+
+def _weighted_sets(texts: list[str | None], weights: Weights) -> list[tuple]:
+    out = []
+    for h in _words(texts):
+        s, w = weights.weighted(h)
+        out.append((s.tobytes() + w.tobytes(), s.view(np.int64), w, float(w.sum())))
+    return out
+
+
+def remaining_links(left: DataFrame, label: DataFrame, texts: DataFrame, weights) -> DataFrame:
+    """Links (``a``, ``b``) between the rows ``left`` in a bucket that the links
+    found so far (``node``, ``label``) do not connect; one from a text to each
+    label that it links with in a group.
 
     Connected texts are one class already, so only pairs across classes can
-    change one. In each bucket the texts outside its largest class are paired
-    with all texts of other classes: none is left out, and a bucket that the
-    pivots connected but for a few texts stays linear.
+    change one, and one text of such a pair is outside the bucket's largest
+    class. Those texts are compared to the texts of the bucket in groups, never
+    pair by pair. Most need not be: what no other open text shares cannot be
+    common, so two texts with the weights W and the shared part S of them reach
+    SIMILARITY only if each W is at most the other's *reach*,
+    S + S / SIMILARITY - W.
     """
     own = written(left.join(label, "node", "left").select(
         "key", "node", F.coalesce("label", "node").alias("label")), "neardup-open")
@@ -212,18 +251,34 @@ def remaining_pairs(left: DataFrame, label: DataFrame, nodes: DataFrame) -> Data
                                           F.count(F.lit(1)).alias("classes"))
                       .filter("classes > 1").select("key", F.col("m.label").alias("largest")),
                       "neardup-largest")
-    rows = written(own.join(largest, "key").join(nodes.select("node", "draws"), "node"),
-                   "neardup-apart")
-    odd = rows.filter("label != largest").select(
-        "key", F.col("node").alias("other"), F.col("label").alias("other_label"),
-        F.col("draws").alias("other_draws"))
-    # a pair of two odd texts comes up twice unless one order is taken
-    once = (F.col("label") == F.col("largest")) | (F.col("node") < F.col("other"))
-    met = rows.join(odd, "key").filter(
-        (F.col("label") != F.col("other_label")) & once
-        & _alike(F.col("draws"), F.col("other_draws")))
-    return met.select(F.least("node", "other").alias("a"),
-                      F.greatest("node", "other").alias("b")).distinct()
+    rows = written(own.join(largest, "key"), "neardup-apart")
+    nodes = rows.groupBy("node").agg(F.min("key").alias("first"), F.any_value("label").alias("label"))
+    sets = written(add_columns(
+        texts.join(nodes.select("node"), "node"), "text", ["node"],
+        "item binary, tokens array<long>, weights array<double>, total double",
+        lambda column: _weighted_sets(column, weights.value)), "neardup-open-sets")
+    shingle = sets.select("node", F.explode(F.arrays_zip("tokens", "weights")).alias("s")).select(
+        "node", F.col("s.tokens").alias("token"), F.col("s.weights").alias("weight"))
+    common = shingle.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token")
+    shared = shingle.join(common.hint("shuffle_hash"), "token", "left_semi").groupBy("node").agg(
+        F.sum("weight").alias("shared"))
+    slack = 1 + 1e-9
+    reach = (F.col("shared") * (1 + 1 / SIMILARITY) - F.col("total")) * slack
+    live = written(sets.join(shared, "node").filter(F.col("shared") * slack >= SIMILARITY * F.col("total"))
+                   .join(nodes, "node").select("node", "item", "label", "first", "total",
+                                               reach.alias("reach")), "neardup-reach")
+    groups = written(grouped(live, ["first", "reach", "node"]), "neardup-groups")
+    bounds = (rows.join(live.select("node", "total", "reach"), "node")
+              .join(members(groups).select("node", "grp"), "node"))
+    bounds = written(bounds, "neardup-bounds")
+    group = bounds.groupBy("key", F.col("grp").alias("to")).agg(
+        F.min("total").alias("lightest"), F.max("reach").alias("farthest"),
+        F.min("label").alias("low"), F.max("label").alias("high"))
+    apart = (F.col("label") != F.col("low")) | (F.col("label") != F.col("high"))
+    candidates = (bounds.filter("label != largest").join(group, "key")
+                  .filter(apart & (F.col("lightest") <= F.col("reach")) & (F.col("total") <= F.col("farthest")))
+                  .select(F.col("node").alias("query"), F.col("to").alias("grp")).distinct())
+    return compared(candidates, live, groups, WeightedGroup, lambda g, item: g.similar(item))
 
 
 def verified_links(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
@@ -301,9 +356,7 @@ def duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id",
                     .join(shared.hint("shuffle_hash"), "node", "left_semi"), "neardup-texts")
     links = written(verified_links(pairs, texts, weights), "neardup-verified")
     label = components(links)
-    more = written(remaining_pairs(left, label, nodes).join(pairs, ["a", "b"], "left_anti"),
-                   "neardup-pairs")
-    more_links = written(verified_links(more, texts, weights), "neardup-verified")
+    more_links = written(remaining_links(left, label, texts, weights), "neardup-verified")
     if more_links.limit(1).count():
         label = components(links.unionByName(more_links))
     grouped = own.join(label, "node", "left").select(
