@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tunedata.functions import templates as T
 from tunedata.operators import metrics as M
 from tunedata.operators import prompts as P
+from tunedata.operators import subword as SW
 from tunedata.operators import tokens as TK
 from tunedata.plans import sql as S
 from tunedata.sources import views as V
@@ -714,6 +715,90 @@ def q_labels_v2(spark, sf):
     return TK.labels_v2(V.records(spark, sf), _vocab(spark, sf))
 
 
+# --- T1-T5 with the subwords of a public vocabulary ---------------------------
+def subword_sql(table: str, key: str, text: str, limit: int | None = None) -> str:
+    """CTE chain -> sub(key, ids, ends): ids of the subwords in order and the
+    bytes of the text up to the end of each. ``ends`` compare to the bytes
+    before a border as code points do. The engine's patterns cannot look
+    ahead: the last white space before other text is marked first."""
+    path = SW.RANKS_PATH.removeprefix("file://")
+    mark = "chr(57344)"
+    pattern = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SW.SPACE}\p{{L}}\p{{N}}\x{{e000}}]+"
+               rf"|[{SW.SPACE}]+")
+    return f"""
+sub_rank AS (SELECT hex(from_base64(piece)) AS piece, id
+             FROM read_csv('{path}', columns = {{'piece': 'VARCHAR', 'id': 'INTEGER'}},
+                           delim = ' ', header = false, quote = '', escape = '')),
+sub_text AS (SELECT {key} AS k, regexp_extract_all(
+                 regexp_replace({text}, {S.lit(f'([{SW.SPACE}])([^{SW.SPACE}])')},
+                                {mark} || '\\1\\2', 'g'), {S.lit(pattern)}, 0) AS ps FROM {table}),
+sub_piece AS (SELECT k, unnest(ps) AS p, generate_subscripts(ps, 1) AS pos FROM sub_text),
+sub_word AS (SELECT p, hex(encode(p)) AS h FROM (SELECT DISTINCT p FROM sub_piece) d),
+sub_merge(p, parts, step) AS (
+    SELECT p, list_transform(range(0, len(h) // 2), lambda i: h[2 * i + 1:2 * i + 2]), 0 FROM sub_word
+    UNION ALL
+    SELECT p, list_concat(parts[1:i - 1], [parts[i] || parts[i + 1]], parts[i + 2:]), step + 1
+    FROM (SELECT p, parts, step, arg_min(i, id * 10000000000 + i) AS i
+          FROM (SELECT p, parts, step, unnest(range(1, len(parts))) AS i FROM sub_merge) c
+          JOIN sub_rank ON piece = parts[i] || parts[i + 1]
+          GROUP BY p, parts, step) b),
+sub_done AS (SELECT p, arg_max(parts, step) AS parts FROM sub_merge GROUP BY p),
+sub_token AS (SELECT k, pos, unnest(parts) AS h, generate_subscripts(parts, 1) AS j
+              FROM sub_piece JOIN sub_done USING (p)),
+sub_end AS (SELECT k, pos, j, id, CAST(sum(len(h) // 2) OVER (PARTITION BY k ORDER BY pos, j) AS BIGINT) AS e,
+                   row_number() OVER (PARTITION BY k ORDER BY pos, j) AS n
+            FROM sub_token JOIN sub_rank ON piece = h),
+sub AS (SELECT t.k, coalesce(ids, []) AS ids, coalesce(ends, []) AS ends
+        FROM sub_text t LEFT JOIN (SELECT k, list(id ORDER BY n) AS ids, list(e ORDER BY n) AS ends
+                                   FROM sub_end {f'WHERE n <= {limit}' if limit else ''} GROUP BY k) g
+        ON t.k IS NOT DISTINCT FROM g.k)"""
+
+
+def _ranks(spark):
+    return SW.load_ranks(SW.read_ranks(spark))
+
+
+def _subwords(spark, sf):
+    return SW.encode(V.problems(spark, sf), F.col("text"), _ranks(spark), ["doc_id"])
+
+
+@register("subword_encode", f"WITH RECURSIVE {subword_sql('problems', 'doc_id', 'text')} "
+          "SELECT k AS doc_id, ids AS input_ids FROM sub", ("problems",))
+def q_subword_encode(spark, sf):
+    return _subwords(spark, sf).select("doc_id", "input_ids")
+
+
+@register("subword_uses", f"""
+WITH RECURSIVE {subword_sql('problems', 'doc_id', 'text')},
+use AS (SELECT id, CAST(sum(n) AS BIGINT) AS uses, count(*) AS rows_with
+        FROM (SELECT k, id, count(*) AS n FROM sub_end GROUP BY k, id) x GROUP BY id)
+SELECT r.id, r.piece, coalesce(uses, 0) AS uses, coalesce(rows_with, 0) AS rows_with
+FROM sub_rank r LEFT JOIN use ON r.id = use.id""", ("problems",))
+def q_subword_uses(spark, sf):
+    return SW.token_uses(_subwords(spark, sf), SW.read_ranks(spark), "doc_id")
+
+
+@register("subword_roundtrip", f"""
+WITH RECURSIVE {subword_sql('problems', 'doc_id', 'text')}
+SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_tokens, md5(text) AS text_md5
+FROM problems JOIN sub ON doc_id = k""", ("problems",))
+def q_subword_roundtrip(spark, sf):
+    back = SW.decode(_subwords(spark, sf).select("doc_id", "input_ids"), _ranks(spark))
+    return back.select("doc_id", F.size("input_ids").alias("n_tokens"), F.md5("text").alias("text_md5"))
+
+
+@register("labels_v2_offsets", f"""
+WITH RECURSIVE {subword_sql('records', 'record_id', 'problem || answer', 2048)}
+SELECT record_id, ids AS input_ids,
+       list_transform(ids, lambda x, i: CASE WHEN ends[i] > strlen(problem) THEN x ELSE -100 END) AS labels,
+       list_transform(ids, lambda x: 1) AS attention_mask,
+       CAST(len(list_filter(range(1, len(ids) + 1), lambda i:
+            ends[i] > strlen(problem) AND i > 1 AND ends[i - 1] < strlen(problem))) AS INTEGER) AS straddles
+FROM records JOIN sub ON record_id = k""", ("records",))
+def q_labels_v2_offsets(spark, sf):
+    return SW.answer_labels(V.records(spark, sf), _ranks(spark))
+
+
 def length_batch_sql(table: str, key: str, length: str, seed=42, bs=4, mega=50) -> str:
     return f"""
 SELECT * EXCLUDE (rk, mega, j), mega * {mega} + (j - 1) // {bs} AS batch_id
