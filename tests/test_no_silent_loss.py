@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tunedata import session
 from tunedata.functions import templates as T
 from tunedata.operators import generate as G
+from tunedata.operators import lookup
 from tunedata.operators import metrics as M
 from tunedata.operators import preference as D
 from tunedata.operators import sampling as R
@@ -278,7 +279,7 @@ def test_perplexity_tail_lookup(spark, monkeypatch):
                                "k INT, text STRING")
     key = lambda d: {r.k: round(r.perplexity, 9) for r in d.collect()}
     want = key(M.perplexity(df, "k", "text"))
-    monkeypatch.setattr(M, "HEAD_SHARE", 2.0)           # nothing is in the head
+    monkeypatch.setattr(lookup, "HEAD_SHARE", 2.0)           # nothing is in the head
     assert key(M.perplexity(df, "k", "text")) == want
 
 

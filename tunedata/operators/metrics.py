@@ -9,12 +9,12 @@ Scale notes
 * Word entropy needs counts per distinct word of one text only: the text's
   token array is sorted and run-length counted with higher-order functions,
   so the metric is a narrow projection (no explode, no shuffle).
-* Perplexity tokenizes each text once: its (previous, token) pairs are
-  written, and both the model and the scores start from that table. The model is two corpus-wide
-  aggregates with map-side combine (``c(p, w)`` and ``c(p, .)``). Pairs that
-  make up ``HEAD_SHARE`` of all pairs, of which there is a bounded number, are
-  looked up by broadcast; the others by a shuffle join that has no hot key
-  left. ``train_bigram`` writes the model tables for repeated scoring;
+* Perplexity tokenizes each text once: its different (previous, token) pairs
+  are counted in the row and written, and both the model and the scores start
+  from that table. The model is two corpus-wide aggregates with map-side
+  combine (``c(p, w)`` and ``c(p, .)``), a loss for each different pair, and a
+  join to the texts' pairs that holds no hot key (``lookup.hot_lookup``).
+  ``train_bigram`` writes the model tables for repeated scoring;
   ``perplexities`` trains one model per column in a single pass.
 """
 
@@ -26,14 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunedata.functions.text import col_, tokens
+from tunedata.operators.lookup import hot_lookup
 from tunedata.operators.prompts import concat_profile
 from tunedata.session import materialize
 
 START = "<s>"
-#: A pair with this share of all pairs is in the broadcast head: at most
-#: 1 / HEAD_SHARE pairs, of tokens of at most HEAD_TOKEN_BYTES each.
-HEAD_SHARE = 2e-5
-HEAD_TOKEN_BYTES = 256
 
 
 def with_value_counts(df: DataFrame, sorted_arr: str, out: str) -> DataFrame:
@@ -103,61 +100,49 @@ def with_entropy(df: DataFrame, text: str, out: str = "entropy",
 # --- M4 ----------------------------------------------------------------------
 def bigram_pairs(df: DataFrame, key: str, text: str, max_tokens: int = 1024,
                  source: str | None = None, lowered: str | None = None) -> DataFrame:
-    """(key, [src,] p, w, n): every (previous, token) pair of each text's
-    first ``max_tokens`` lower-cased tokens (n = 1; the corpus-wide count is
-    combined map-side by the aggregate that follows). ``source`` tags the
-    pairs with the column they came from (several models in one pass);
-    ``lowered`` names a column that holds the tokens."""
+    """(key, [src,] p, w, n): the different (previous, token) pairs of each
+    text's first ``max_tokens`` lower-cased tokens and their counts, counted
+    within the row before anything is shuffled. ``source`` tags the pairs with
+    the column they came from (several models in one pass); ``lowered`` names a
+    column that holds the tokens."""
     tag = [F.lit(source).alias("src")] if source is not None else []
     words = F.col(lowered) if lowered else tokens(F.lower(F.col(text)))
     t = df.select(key, *tag, F.slice(words, 1, max_tokens).alias("_t"))
-    tc = F.col("_t")
-    prev = F.concat(F.array(F.lit(START)), F.slice(tc, 1, F.greatest(F.size(tc) - 1, F.lit(0))))
-    zipped = F.when(F.size(tc) > 0, F.arrays_zip(prev.alias("p"), tc.alias("w")))
-    # explode_outer + null filter: a plain explode makes Catalyst infer a
-    # size(...) > 0 filter and push it (with the tokenizer) below this project
-    ex = (t.select(key, *[F.col("src")] * bool(tag), F.explode_outer(zipped).alias("_v"))
+    pairs = F.transform("_t", lambda w, i: F.struct(
+        F.when(i == 0, F.lit(START)).otherwise(F.get("_t", i - 1)).alias("p"), w.alias("w")))
+    counted = with_value_counts(t.withColumn("_s", F.sort_array(pairs)), "_s", "_c")
+    # a plain explode() makes Catalyst infer a filter on the array's size and push
+    # it, with all that makes the array, below the projections
+    ex = (counted.select(key, *[F.col("src")] * bool(tag), F.explode_outer("_c").alias("_v"))
           .where(F.col("_v").isNotNull()))
-    return ex.select(key, *[F.col("src")] * bool(tag), F.col("_v.p").alias("p"),
-                     F.col("_v.w").alias("w"), F.lit(1).cast("long").alias("n"))
-
-
-def _model_lookup(pairs: DataFrame, counts: DataFrame, prevs: DataFrame, on: list[str]) -> DataFrame:
-    """``pairs`` with ``c`` and ``cp`` of the model (null if unseen), from
-    ``counts`` (on, c; written) and ``prevs`` (on without w, cp)."""
-    total = F.broadcast(counts.agg(F.sum("c").alias("_all")))
-    in_head = ((F.col("c") >= HEAD_SHARE * F.col("_all"))
-               & (F.octet_length("p") <= HEAD_TOKEN_BYTES) & (F.octet_length("w") <= HEAD_TOKEN_BYTES))
-    marked = counts.crossJoin(total).withColumn("_head", in_head).drop("_all")
-    by = [c for c in on if c != "w"]
-    head = marked.where("_head").join(prevs, by).select(
-        *on, F.col("c").alias("_hc"), F.col("cp").alias("_hcp"))
-    tail = marked.where("not _head").join(prevs, by).select(
-        *[F.col(c).alias(f"_t_{c}") for c in on], F.col("c").alias("_tc"), F.col("cp").alias("_tcp"))
-    found = pairs.join(F.broadcast(head), on, "left")
-    # a row found in the head needs no partner: its key only spreads it out
-    spread = F.concat(F.lit("\u0001"), F.pmod(F.xxhash64(*pairs.columns), F.lit(65_536)).cast("string"))
-    keyed = found.withColumn("_jw", F.when(F.col("_hc").isNull(), F.col("w")).otherwise(spread))
-    cond = keyed["_jw"] == tail["_t_w"]
-    for c in on:
-        if c != "w":
-            cond = cond & (keyed[c] == tail[f"_t_{c}"])
-    return (keyed.join(tail, cond, "left")
-            .select(*[keyed[c] for c in pairs.columns], F.coalesce("_hc", "_tc").alias("c"),
-                    F.coalesce("_hcp", "_tcp").alias("cp")))
+    return ex.select(key, *[F.col("src")] * bool(tag), F.col("_v.value.p").alias("p"),
+                     F.col("_v.value.w").alias("w"), F.col("_v.n").cast("long").alias("n"))
 
 
 def bigram_model(pairs: DataFrame, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(by, p, w, c) pair counts, (by, p, cp) previous-token totals and
-    (by, v) vocabulary sizes; ``by`` separates models trained in one pass. The
-    pair counts are written once; the totals, written too, and sizes start from them."""
+    """(by, p, w, c, rows) pair counts and in how many rows of ``pairs`` they
+    are, (by, p, cp) previous-token totals and (by, v) vocabulary sizes; ``by``
+    separates models trained in one pass. The pair counts are written once; the
+    totals, written too, and sizes start from them."""
     by = list(by)
-    c = materialize(pairs.groupBy(*by, "p", "w").agg(F.sum("n").alias("c")), "bigram-counts")
+    c = materialize(pairs.groupBy(*by, "p", "w").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("rows")),
+                    "bigram-counts")
     cp = materialize(c.groupBy(*by, "p").agg(F.sum("c").alias("cp")), "bigram-prevs")
     v = c.groupBy(*by).agg(F.countDistinct("w").alias("v"))
     return c, cp, v
 
 
+def _pair_losses(counts: DataFrame, prevs: DataFrame, vocab: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, p, w, rows, nll) of every pair of a model, written: one row a pair,
+    however often it occurs."""
+    by = list(by)
+    size = F.broadcast(vocab)                                     # a row for each of ``by``
+    sized = hot_lookup(counts, prevs, [*by, "p"], "cp", ["cp"])
+    sized = sized.join(size, by) if by else sized.crossJoin(size)
+    nll = -F.ln((F.col("c") + 1) / (F.col("cp") + F.col("v")))
+    return materialize(sized.select(*by, "p", "w", "rows", nll.alias("nll")), "bigram-losses")
+
+
 @dataclass(frozen=True)
 class BigramModel:
     """Count tables of an add-one bigram model: ``pairs(p, w, c)``,
@@ -210,15 +195,14 @@ def perplexity(df: DataFrame, key: str, text: str, max_tokens: int = 1024,
         train = pairs if corpus is None else bigram_pairs(
             corpus, corpus_key or key, corpus_text or text, max_tokens)
         c, cp, v = bigram_model(train)
-    scored = _model_lookup(pairs, c, cp, ["p", "w"])
+    # a given model's pairs are common in the scored texts as in its own
+    scored = hot_lookup(pairs, _pair_losses(c, cp, v), ["p", "w"], "rows", ["nll"])
     if not own:
         # an unseen pair can still have a known previous token
-        prevs = cp.select("p", F.col("cp").alias("_cp2"))
-        scored = scored.join(prevs, "p", "left").withColumn("cp", F.coalesce("cp", "_cp2"))
-    scored = scored.crossJoin(F.broadcast(v))                    # v: one row
-    nll = -F.ln((F.coalesce(F.col("c"), F.lit(0)) + 1)
-                / (F.coalesce(F.col("cp"), F.lit(0)) + F.col("v")))
-    per = scored.groupBy(key).agg((F.sum(F.col("n") * nll) / F.sum("n")).alias("_m"))
+        scored = hot_lookup(scored, cp, ["p"], "cp", ["cp"]).crossJoin(F.broadcast(v))   # v: one row
+        unseen = F.ln(F.coalesce(F.col("cp"), F.lit(0)) + F.col("v"))
+        scored = scored.withColumn("nll", F.coalesce("nll", unseen))
+    per = scored.groupBy(key).agg((F.sum(F.col("n") * F.col("nll")) / F.sum("n")).alias("_m"))
     got = per.select(key, F.exp("_m").alias(out))
     empty = df.where(_no_tokens(text)).select(key, F.lit(None).cast("double").alias(out))
     return got.unionByName(empty)
@@ -236,8 +220,8 @@ def perplexities(df: DataFrame, key: str, texts: dict[str, str], max_tokens: int
         pairs = p if pairs is None else pairs.unionByName(p)
     pairs = materialize(pairs, "bigram-pairs")
     c, cp, v = bigram_model(pairs, by=("src",))
-    scored = _model_lookup(pairs, c, cp, ["src", "p", "w"]).join(F.broadcast(v), "src")   # v: one row per column
-    nll = -F.ln((F.col("c") + 1) / (F.col("cp") + F.col("v")))
+    scored = hot_lookup(pairs, _pair_losses(c, cp, v, ("src",)), ["src", "p", "w"], "rows", ["nll"])
+    nll = F.col("nll")
     # one aggregate for all columns: a column without tokens gets NULL
     per = scored.groupBy(key).agg(*[
         F.exp(F.sum(F.when(F.col("src") == o, F.col("n") * nll))

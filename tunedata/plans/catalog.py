@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunedata.functions import templates as T
+from tunedata.operators import kneser_ney as KN
 from tunedata.operators import metrics as M
 from tunedata.operators import prompts as P
 from tunedata.operators import subword as SW
@@ -131,6 +132,49 @@ def q_perplexity(spark, sf):
     return p.select("doc_id", F.round("perplexity", 4).alias("perplexity"))
 
 
+_KN_MODEL = f"""
+kn_t AS (SELECT doc_id, list_concat(['<s>', '<s>'], {S.toks('lower(text)')}) AS t
+         FROM documents WHERE text IS NOT NULL),
+kn_g AS (SELECT unnest(list_transform(range(3, len(t) + 1), lambda i:
+             {{'u': t[i - 2], 'v': t[i - 1], 'w': t[i]}})) AS g FROM kn_t),
+kn_3 AS (SELECT g.u AS u, g.v AS v, g.w AS w, count(*) AS c FROM kn_g GROUP BY 1, 2, 3),
+kn_b3 AS (SELECT u, v, sum(c) AS total, count(*) AS types FROM kn_3 GROUP BY u, v),
+kn_2 AS (SELECT v, w, count(*) AS c FROM kn_3 GROUP BY v, w),
+kn_b2 AS (SELECT v, sum(c) AS total, count(*) AS types FROM kn_2 GROUP BY v),
+kn_1 AS (SELECT w, count(*) AS c FROM kn_2 GROUP BY w),
+kn_d AS (SELECT (SELECT count(*) FILTER (c = 1) / (count(*) FILTER (c = 1) + 2 * count(*) FILTER (c = 2)) FROM kn_1) AS d1,
+                (SELECT count(*) FILTER (c = 1) / (count(*) FILTER (c = 1) + 2 * count(*) FILTER (c = 2)) FROM kn_2) AS d2,
+                (SELECT count(*) FILTER (c = 1) / (count(*) FILTER (c = 1) + 2 * count(*) FILTER (c = 2)) FROM kn_3) AS d3,
+                (SELECT sum(c) FROM kn_1) AS total, (SELECT count(*) FROM kn_1) AS words)"""
+
+
+@register("perplexity_kn", f"""
+WITH {_KN_MODEL},
+q_t AS (SELECT record_id, list_concat(['<s>', '<s>'], {S.toks("lower(problem || ' ' || answer)")}) AS t FROM records),
+q_g AS (SELECT record_id, unnest(list_transform(range(3, len(t) + 1), lambda i:
+            {{'u': t[i - 2], 'v': t[i - 1], 'w': t[i]}})) AS g FROM q_t),
+q_1 AS (SELECT record_id, g.u AS u, g.v AS v, g.w AS w,
+               greatest(coalesce(kn_1.c, 0) - d1, 0) / kn_d.total + d1 * words / kn_d.total / (words + 1) AS p1,
+               d2, d3
+        FROM q_g LEFT JOIN kn_1 ON kn_1.w = g.w CROSS JOIN kn_d),
+q_2 AS (SELECT q_1.*, CASE WHEN b.total IS NULL THEN p1 ELSE greatest(coalesce(c.c, 0) - d2, 0) / b.total
+                      + d2 * b.types / b.total * p1 END AS p2
+        FROM q_1 LEFT JOIN kn_b2 b ON b.v = q_1.v LEFT JOIN kn_2 c ON c.v = q_1.v AND c.w = q_1.w),
+q_3 AS (SELECT record_id, CASE WHEN b.total IS NULL THEN p2 ELSE greatest(coalesce(c.c, 0) - d3, 0) / b.total
+                          + d3 * b.types / b.total * p2 END AS p3
+        FROM q_2 LEFT JOIN kn_b3 b ON b.u = q_2.u AND b.v = q_2.v
+        LEFT JOIN kn_3 c ON c.u = q_2.u AND c.v = q_2.v AND c.w = q_2.w)
+SELECT r.record_id, round(x.perplexity, 4) AS perplexity
+FROM records r LEFT JOIN (SELECT record_id, exp(avg(-ln(p3))) AS perplexity FROM q_3 GROUP BY record_id) x
+ON r.record_id = x.record_id""", ("records",))
+def q_perplexity_kn(spark, sf):
+    """Records by a model of all documents."""
+    model = KN.train(KN.text_trigrams(V.problems(spark, sf), "doc_id", "text"))
+    texts = V.records(spark, sf).select("record_id", F.concat_ws(" ", "problem", "answer").alias("text"))
+    p = KN.perplexity_kn(texts, "record_id", "text", model)
+    return p.select("record_id", F.round("perplexity", 4).alias("perplexity"))
+
+
 @register("type_counts", "SELECT type, count(*) AS n FROM records GROUP BY type", ("records",))
 def q_type_counts(spark, sf):
     return M.type_counts(V.records(spark, sf))
