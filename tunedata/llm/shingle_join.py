@@ -34,6 +34,8 @@ PERCENT = 85
 #: Slots of the count sketch that orders shingles. It decides how many
 #: candidates there are, never which links are found.
 SKETCH_BITS = 21
+#: How often sets that share too few shingles are left out.
+ROUNDS = 3
 #: Texts of sets that are compared are told by so many slots first.
 TEXT_SLOTS = 1 << 20
 
@@ -221,17 +223,24 @@ def _relabelled(member: DataFrame, links: DataFrame) -> DataFrame:
 
 def _live_rows(nodes: DataFrame) -> DataFrame:
     """``token``, ``node``, ``n``, ``at``, ``k`` for the shingles of ``probe``
-    that ``k`` > 1 sets share, of sets that share enough of them to link."""
-    rows = nodes.select("node", "n", F.posexplode("probe").alias("at", "token"))
-    live = rows.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    shared = written(rows.join(live.hint("shuffle_hash"), "token"), "shingle-shared")
+    that ``k`` > 1 sets share, of sets that share enough of them to link.
+
+    Sets go that share too few, and then shingles that none but those shared:
+    ROUNDS times, as chance leaves fewer and fewer of them.
+    """
+    rows = nodes.select("no", "n", F.posexplode("probe").alias("at", "token"))
     # the other set may be the shorter one and have that much less in its probe
     other = F.ceil(F.col("n") * (PERCENT / 100) - 1e-9)
     need = F.greatest(F.floor(other / 20), F.lit(1))
-    enough = (shared.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.any_value("n").alias("n"))
-              .filter(F.col("c") >= need).select("node"))
-    found = shared.filter(F.col("at") < F.expr(f"n - ceil({PERCENT} * n / 100 - 1e-9) + 1"))
-    return found.join(written(enough, "shingle-enough"), "node")
+    for _ in range(ROUNDS):
+        live = rows.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+        shared = written(rows.join(live.hint("shuffle_hash"), "token"), "shingle-shared")
+        enough = (shared.groupBy("no").agg(F.count(F.lit(1)).alias("c"), F.any_value("n").alias("n"))
+                  .filter(F.col("c") >= need).select("no"))
+        kept = written(shared.join(enough, "no"), "shingle-enough")
+        rows = kept.drop("k")
+    return (kept.filter(F.col("at") < F.expr(f"n - ceil({PERCENT} * n / 100 - 1e-9) + 1"))
+            .join(nodes.select("no", "node"), "no").drop("no"))
 
 
 def shingle_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,8 +264,9 @@ def shingle_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     counts = count_slots(rows.select("text"), SKETCH_BITS, lambda column: [
         _slots(s) for s in shingle_sets(column) if len(s)])
     signed = written(_signed(rows, np.log2(np.maximum(counts, 1)).astype(np.uint8)), "shingle-signed")
-    nodes = written(signed.filter(F.col("node").isNotNull()).drop("id").dropDuplicates(["node"]),
-                    "shingle-nodes")
+    # written at once, so the numbers stay the same; they are half a node long
+    nodes = written(signed.filter(F.col("node").isNotNull()).drop("id").dropDuplicates(["node"])
+                    .withColumn("no", F.monotonically_increasing_id()), "shingle-nodes")
     live = written(_live_rows(nodes), "shingle-live")
     central = written(live.groupBy("node").agg(F.sum("k").alias("central")), "shingle-central")
     wanted = written(nodes.join(central, "node").select("node", "n", "least", "digest"), "shingle-wanted")
