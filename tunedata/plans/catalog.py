@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunedata.functions import templates as T
+from tunedata.operators import anchors as AN
 from tunedata.operators import kneser_ney as KN
 from tunedata.operators import metrics as M
 from tunedata.operators import prompts as P
 from tunedata.operators import subword as SW
 from tunedata.operators import tokens as TK
 from tunedata.plans import sql as S
+from tunedata.sources import variant as VA
 from tunedata.sources import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -238,6 +240,33 @@ def q_unrender_prompt(spark, sf):
     return P.unrender_prompt(q).select("doc_id", "kind", "problem")
 
 
+# --- P6 without a given template ---------------------------------------------
+_ALL_TEMPLATES = [("rewrite", k, *T.split_template(t)) for k, t in T.REWRITE_TEMPLATES.items()] + [
+    ("question", k, *T.split_template(t)) for k, t in T.QUESTION_TEMPLATES.items()]
+
+
+def _all_prompts(spark, sf):
+    e = P.expand_variants(_stripped(spark, sf))
+    r = P.rewrite_prompt(e).withColumn("stage", F.lit("rewrite"))
+    return r.unionByName(P.question_prompt(e).withColumn("stage", F.lit("question")))
+
+
+@register("learn_templates", f"""
+WITH n AS (SELECT count(DISTINCT text) AS prompts FROM ({_STRIPPED}) s)
+SELECT prefix, suffix, prompts FROM n, (VALUES {", ".join(
+    f"({S.lit(a)}, {S.lit(b)})" for _, _, a, b in _ALL_TEMPLATES)}) t(prefix, suffix)""", ("problems",))
+def q_learn_templates(spark, sf):
+    return AN.learn_templates(_all_prompts(spark, sf))
+
+
+@register("learned_slots", f"""
+SELECT doc_id, stage, kind, text AS slot FROM ({_STRIPPED}) s,
+       (VALUES {", ".join(f"({S.lit(a)}, {S.lit(b)})" for a, b, _, _ in _ALL_TEMPLATES)}) t(stage, kind)""", ("problems",))
+def q_learned_slots(spark, sf):
+    prompts = _all_prompts(spark, sf)
+    return AN.slots(prompts, AN.learn_templates(prompts)).select("doc_id", "stage", "kind", "slot")
+
+
 _VARIANTS = (f"SELECT doc_id, kind, {S.rule_variant('kind', 'text')} AS variant "
              f"FROM (SELECT doc_id, unnest({S.KINDS}) AS kind, text FROM ({_STRIPPED}) s) e")
 
@@ -994,6 +1023,81 @@ def q_jsonl_roundtrip(spark, sf):
     return IO.valid_rows(IO.read_jsonl(spark, path, RECORD_SCHEMA))
 
 
+# nine forms of a line, as files that grew over time hold them
+_DRIFTED = {
+    0: ("ok", "problem", "string", "answer", "string", "type", "string"),
+    1: ("ok", "problem", "string", "answer", "string", "'Incomplete'", "missing"),
+    2: ("ok", "problem", "string", "answer", "string", "NULL", "null"),
+    3: ("ok", "problem", "string", "NULL", "null", "type", "string"),
+    4: ("ok", "problem", "string", "answer", "string", "type", "string"),
+    5: ("corrupt", "NULL", None, "NULL", None, "NULL", None),
+    6: ("not_object", "NULL", None, "NULL", None, "NULL", None),
+    7: ("ok", "'12'", "other", "'true'", "other", "NULL", "null"),
+    8: ("ok", "problem", "string", "NULL", "missing", "type", "string"),
+}
+
+
+def _drifted_lines(spark, sf):
+    r = V.records(spark, sf)
+    m, lit = F.col("record_id") % len(_DRIFTED), F.lit
+    p, a, t = F.col("problem"), F.col("answer"), F.col("type")
+    none = lit(None).cast("string")
+
+    def line(**fields):
+        return F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]), {"ignoreNullFields": "false"})
+    forms = [line(problem=p, answer=a, type=t), line(input=p, output=a), line(problem=p, answer=a, type=none),
+             line(input=p, output=none, type=t),
+             line(problem=p, answer=a, type=t, extra=F.struct(F.col("record_id").alias("id"))),
+             F.concat(lit('{"problem": "'), F.col("record_id")), F.concat(lit("["), F.col("record_id"), lit("]")),
+             line(problem=lit(12), answer=lit(True), type=none), line(input=lit("x"), problem=p, type=t)]
+    value = F.when(m == 0, forms[0])
+    for i, f in enumerate(forms[1:], 1):
+        value = value.when(m == i, f)
+    path = scratch_path(spark, "drifted-lines")
+    r.select(value.alias("value")).write.text(path)
+    return VA.variant_lines(spark, path)
+
+
+def _by_form(values, quote=True) -> str:
+    arms = [f"WHEN {i} THEN {('NULL' if v is None else S.lit(v)) if quote else v}" for i, v in values.items()]
+    return f"CASE record_id % {len(_DRIFTED)} " + " ".join(arms) + " END"
+
+
+@register("variant_ingest", f"""
+SELECT {_by_form({i: f[0] for i, f in _DRIFTED.items()})} AS status,
+       CASE record_id % {len(_DRIFTED)} WHEN 5 THEN '{{"problem": "' || record_id WHEN 6 THEN '[' || record_id || ']' END AS value,
+       {_by_form({i: f[1] for i, f in _DRIFTED.items()}, False)} AS problem,
+       {_by_form({i: f[2] for i, f in _DRIFTED.items()})} AS problem_state,
+       {_by_form({i: f[3] for i, f in _DRIFTED.items()}, False)} AS answer,
+       {_by_form({i: f[4] for i, f in _DRIFTED.items()})} AS answer_state,
+       {_by_form({i: f[5] for i, f in _DRIFTED.items()}, False)} AS type,
+       {_by_form({i: f[6] for i, f in _DRIFTED.items()})} AS type_state
+FROM records""", ("records",))
+def q_variant_ingest(spark, sf):
+    return VA.ingest(_drifted_lines(spark, sf), defaults={"type": "Incomplete"})
+
+
+@register("variant_complete", f"""
+SELECT {_by_form({i: f[1] for i, f in _DRIFTED.items()}, False)} AS problem,
+       {_by_form({i: f[3] for i, f in _DRIFTED.items()}, False)} AS answer
+FROM records WHERE record_id % {len(_DRIFTED)} NOT IN (5, 6, 8)""", ("records",))
+def q_variant_complete(spark, sf):
+    return VA.complete(VA.ingest(_drifted_lines(spark, sf))).select("problem", "answer")
+
+
+_KEYS = {0: "problem STRING, answer STRING, type STRING", 1: "input STRING, output STRING",
+         2: "problem STRING, answer STRING, type NULL", 3: "input STRING, output NULL, type STRING",
+         4: "problem STRING, answer STRING, type STRING, extra OBJECT",
+         7: "problem BIGINT, answer BOOLEAN, type NULL", 8: "input STRING, problem STRING, type STRING"}
+
+
+@register("variant_drift", f"""
+SELECT split_part(k, ' ', 1) AS key, split_part(k, ' ', 2) AS kind, count(*) AS lines
+FROM (SELECT unnest(string_split({_by_form(_KEYS)}, ', ')) AS k FROM records) x GROUP BY ALL""", ("records",))
+def q_variant_drift(spark, sf):
+    return VA.drift(_drifted_lines(spark, sf))
+
+
 @register("json_array_scan", "SELECT record_id, problem, answer, type FROM records", ("records",))
 def q_json_array_scan(spark, sf):
     path = scratch_path(spark, "json-array")
