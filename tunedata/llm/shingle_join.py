@@ -35,7 +35,7 @@ PERCENT = 85
 #: candidates there are, never which links are found.
 SKETCH_BITS = 21
 #: How often sets that share too few shingles are left out.
-ROUNDS = 3
+ROUNDS = 2
 #: Texts of sets that are compared are told by so many slots first.
 TEXT_SLOTS = 1 << 20
 
@@ -151,15 +151,27 @@ def _close(n: Column, size: Column) -> Column:
     return 100 * F.least(n, size) >= PERCENT * F.greatest(n, size)
 
 
-def _enough(n: Column, at: Column, size: Column) -> Column:
-    """Whether a set of ``n`` shingles whose first common one is numbered
-    ``at`` can link with one of ``size`` or more."""
-    return (100 + PERCENT) * (n - at) >= PERCENT * (n + size)
+def _least(n: Column) -> Column:
+    """The fewest shingles of a set that links with one of ``n``."""
+    return F.ceil(n * (PERCENT / 100) - 1e-9).cast("int")
+
+
+def _need(n: Column) -> Column:
+    """So many shingles of its ``probe`` a set of ``n`` shares with any that it
+    links with: the other may be the shorter one, with a shorter probe."""
+    return F.greatest(F.floor(_least(n) / 20).cast("int"), F.lit(1))
+
+
+def _enough(n: Column, at: Column, size: Column, before: Column | int = 0) -> Column:
+    """Whether a set of ``n`` shingles can link with one of ``size`` or more, if
+    all common ones but ``before`` stand at ``at`` or behind."""
+    return (100 + PERCENT) * (n - at + before) >= PERCENT * (n + size)
 
 
 def pivot_candidates(rows: DataFrame, member: DataFrame, central: DataFrame) -> DataFrame:
     """``query``, ``grp``: each set with the group of the most central set that
     each of its shingles leads to. One row a shingle, however common."""
+    rows = rows.filter(F.col("at") <= F.col("n") - _least(F.col("n")))
     index = rows.filter(F.col("at") < index_length(F.col("n")))
     pivot = (index.join(central, "node").groupBy("token")
              .agg(F.max(F.struct("central", "node", "n")).alias("p"))
@@ -173,8 +185,8 @@ def pivot_candidates(rows: DataFrame, member: DataFrame, central: DataFrame) ->
 
 
 def open_candidates(rows: DataFrame, member: DataFrame) -> DataFrame:
-    """``query``, ``grp``: each set with every group that its rarest shingles
-    lead to, unless one label connects the set with the whole group.
+    """``query``, ``grp``: each set with every group that enough of its rarest
+    shingles lead to, unless one label connects the set with the whole group.
 
     A common shingle mostly leads to sets of one label. Sets of that label are
     joined to the other groups of the shingle alone, so a large family is not
@@ -182,7 +194,8 @@ def open_candidates(rows: DataFrame, member: DataFrame) -> DataFrame:
     """
     labelled = written(rows.join(member, "node").select("token", "node", "n", "at", "grp", "label"),
                        "shingle-rows")
-    index = (labelled.filter(F.col("at") < index_length(F.col("n"))).groupBy("token", "grp")
+    more = F.greatest(F.floor(F.col("n") / 20).cast("int") - 1, F.lit(0))
+    index = (labelled.filter(F.col("at") < index_length(F.col("n")) + more).groupBy("token", "grp")
              .agg(F.min("n").alias("low"), F.max("n").alias("high"),
                   F.min("label").alias("first"), F.max("label").alias("last")))
     index = written(index, "shingle-index")
@@ -196,12 +209,15 @@ def open_candidates(rows: DataFrame, member: DataFrame) -> DataFrame:
             .withColumn("odd", F.explode(F.when(odd, F.array(F.lit(True), F.lit(False)))
                                          .otherwise(F.array(F.lit(False)))))
             .select("token", "odd", F.col("grp").alias("to"), "low", "high", "first", "last"))
-    least = F.greatest(F.col("low"), F.ceil(F.col("n") * (PERCENT / 100) - 1e-9).cast("int"))
+    n = F.col("n")
+    least = F.greatest(F.col("low"), _least(n))
     apart = (F.col("label") != F.col("first")) | (F.col("label") != F.col("last"))
-    cond = (apart & (F.col("low") <= F.col("n")) & (100 * F.col("high") >= PERCENT * F.col("n"))
-            & _enough(F.col("n"), F.col("at"), least))
-    return probes.join(both, ["token", "odd"]).filter(cond).select(
-        F.col("node").alias("query"), F.col("to").alias("grp")).distinct()
+    cond = (apart & (F.col("low") <= n) & (100 * F.col("high") >= PERCENT * n)
+            & _enough(n, F.col("at"), least, _need(n) - 1))
+    # a shingle leads to a group once, so rows are common shingles
+    met = (probes.join(both, ["token", "odd"]).filter(cond).groupBy("node", "to")
+           .agg(F.count(F.lit(1)).alias("c"), F.any_value("n").alias("n")))
+    return met.filter(F.col("c") >= _need(n)).select(F.col("node").alias("query"), F.col("to").alias("grp"))
 
 
 def opened_links(candidates: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame:
@@ -229,18 +245,14 @@ def _live_rows(nodes: DataFrame) -> DataFrame:
     ROUNDS times, as chance leaves fewer and fewer of them.
     """
     rows = nodes.select("no", "n", F.posexplode("probe").alias("at", "token"))
-    # the other set may be the shorter one and have that much less in its probe
-    other = F.ceil(F.col("n") * (PERCENT / 100) - 1e-9)
-    need = F.greatest(F.floor(other / 20), F.lit(1))
     for _ in range(ROUNDS):
         live = rows.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
         shared = written(rows.join(live.hint("shuffle_hash"), "token"), "shingle-shared")
         enough = (shared.groupBy("no").agg(F.count(F.lit(1)).alias("c"), F.any_value("n").alias("n"))
-                  .filter(F.col("c") >= need).select("no"))
+                  .filter(F.col("c") >= _need(F.col("n"))).select("no"))
         kept = written(shared.join(enough, "no"), "shingle-enough")
         rows = kept.drop("k")
-    return (kept.filter(F.col("at") < F.expr(f"n - ceil({PERCENT} * n / 100 - 1e-9) + 1"))
-            .join(nodes.select("no", "node"), "no").drop("no"))
+    return kept.join(nodes.select("no", "node"), "no").drop("no")
 
 
 def shingle_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
