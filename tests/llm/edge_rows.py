@@ -6,7 +6,10 @@ PASSAGE = "the first shared line of a passage\nthe second shared line\nand a thi
 LONG = " ".join(f"word{i % 701} the of and" for i in range(60_000))
 #: Extra columns, called like columns that operators add or use inside.
 EXTRA = ["score", "rejected", "copy", "mix_key", "n_lines", "n_removed", "digest", "node",
-         "class_id", "n_words", "kept", "word", "h", "n", "c", "key", "order", "lang_pred"]
+         "class_id", "n_words", "kept", "word", "h", "n", "c", "key", "order", "lang_pred",
+         "_id", "_th", "_th2", "_spans", "row", "id", "hash", "_mix_key", "_mix_cdf", "_mix_pos", "_mix_id",
+         "_mix_parts", "_fid", "_fnode", "_neardup_node", "_leak_text", "_leak_id", "leak_id", "leak_hash",
+         "_langid_score", "_langid_rejected", "_worker_text", "first", "label", "grp", "total", "token"]
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
     T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()),

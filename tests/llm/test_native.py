@@ -144,6 +144,16 @@ def test_mix_edge_rows(spark):
     assert mix_sources(empty_docs(spark)).count() == 0
 
 
+def test_mix_spreads_rows_without_an_id(spark):
+    df = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source"),
+                                  F.col("id").cast("string").alias("text"))
+    out = mix_sources(df)
+    n = out.count()
+    assert 0.9 * 4000 < n < 1.1 * 4000
+    assert out.select("mix_key").distinct().count() == n
+    assert 0.55 * 4000 < out.select("text").distinct().count() < 0.72 * 4000      # 1 - 1/e of them
+
+
 def test_quality_base_like_brute_force(spark):
     texts = ["the a b " * 20, "One two three. " * 30 + "x|y #tag 50%", "a\nb\na\n\n \na", "w " * 49,
              " ".join(f"u{i}" for i in range(80)), "é\U0001F600 ñ\x0bz", ""]
@@ -189,9 +199,10 @@ def test_oracles_match(spark):
 
     from tunedata.llm.registry import ORACLE, QUERIES
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF001}/documents.parquet')")
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF001}/{t}.parquet')")
     assert set(ORACLE) == {"op2_divergence_rules", "op4_line_windows", "op8_license_digests",
-                           "op9_poisson_mix"}
+                           "op9_poisson_mix", "op11_angular_negatives", "op12_sparse_fim"}
     for key, sql in ORACLE.items():
         df = QUERIES[key](spark, SF001)
         rel = con.sql(sql)

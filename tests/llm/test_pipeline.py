@@ -3,7 +3,7 @@ import random
 from collections import Counter
 
 import pytest
-from edge_rows import PASSAGE, SCHEMA, edge_docs, empty_docs
+from edge_rows import EXTRA, PASSAGE, SCHEMA, edge_docs, empty_docs
 from pyspark.sql import functions as F
 from test_native import brute_dedup, brute_poisson
 from test_python_ops import brute_classes, edited
@@ -100,7 +100,7 @@ def test_run_is_the_stages(spark, given):
     folder, _ = given
     out = P.run(spark, folder)
     assert out.columns == [*SCHEMA.fieldNames(), "copy", "mix_key"] and out.count() > 50
-    assert {"pipeline", *(f"op{n}" for n in range(1, 11))} == {
+    assert {"pipeline", *(f"op{n}" for n in range(1, 14))} == {
         k.split("_")[0] for k in E.queries() if k == "pipeline" or k.startswith("op")}
 
 
@@ -115,5 +115,8 @@ def test_pipeline_edge_rows(spark, given):
         if start.columns == SCHEMA.fieldNames():
             assert docs.count() == 0
         else:
-            assert set(docs.columns) >= set(SCHEMA.fieldNames())
+            # every column is kept, whatever it is called
+            assert set(docs.columns) == set(start.columns) and {
+                docs.filter(F.col(f"`{c}`") != "clash").count() for c in EXTRA
+                if c not in ("copy", "mix_key", "n_lines", "n_removed")} == {0}
             assert docs.filter(F.col("text").isNull()).count() == 0

@@ -64,6 +64,17 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct. Work goes on beside it under names
+    that none of them can clash with; ``unpacked`` gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def unpacked(row: str, names: list[str]) -> list[Column]:
+    """The columns ``names`` of a struct made by ``packed``."""
+    return [F.col(row).getField(c).alias(c) for c in names]
+
+
 def fresh(names: list[str], *wanted: str) -> list[str]:
     """A name for each of ``wanted`` that none of ``names`` equals in any case:
     the wanted one, with underscores added until it is free."""

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, let, without, written
+from .common import SPACES, let, packed, unpacked, without, written
 
 WINDOW = 3
 
@@ -42,8 +42,8 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id",
     """``_id``, ``_th`` (hash of the text) and ``_spans``: the line spans that
     later occurrences of repeated windows cover in that document."""
     occ = written(docs.select(
-        F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_th"),
-        F.explode(_windows(F.col(text_col))).alias("w"))
+        F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("_th"),
+        F.explode(_windows(F.col(f"`{text_col}`"))).alias("w"))
         .select("_id", "_th", "w.*"), "line-windows")
     place = F.struct("_id", "_th", "p0")
     # partial aggregation first: a window that a third of all rows share is one
@@ -73,10 +73,10 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id",
     """
     docs = without(docs, ["n_lines", "n_removed"])
     spans = repeated_spans(docs, id_col=id_col, text_col=text_col)
-    text = F.col(text_col)
-    keyed = docs.withColumn("_th2", F.xxhash64(text))
-    both = keyed.join(spans, F.col(id_col).eqNullSafe(F.col("_id"))
-                      & (F.col("_th2") == F.col("_th")), "left")
+    text = F.col("text")
+    keyed = docs.select(packed(docs).alias("row"), F.col(f"`{id_col}`").alias("id"),
+                        F.col(f"`{text_col}`").alias("text"), F.xxhash64(f"`{text_col}`").alias("hash"))
+    both = keyed.join(spans, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_th")), "left")
     gone = F.array_distinct(F.flatten(F.transform(
         "_spans", lambda s: F.sequence(s["p0"], s["p2"]))))
 
@@ -90,7 +90,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id",
     n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
     removed = F.when(F.col("_spans").isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long")
     return both.select(
-        *[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
+        *[new.alias(c) if c == text_col else x for c, x in zip(docs.columns, unpacked("row", docs.columns))],
         n_lines.alias("n_lines"), removed.alias("n_removed"))
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import without, written
+from .common import packed, unpacked, without, written
 
 SEED = "mix-1"
 #: A larger mean is split into equal parts, each with its own uniform number
@@ -71,8 +71,9 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, *,
 
     * Rows are dealt out by ``mix_key`` and sorted by it inside each partition,
       so the files of the result are a random permutation of all copies.
-    * Rows that share an id get the same count (each row its own copies); a
-      null id counts as ''. Null and empty texts are copied like any other.
+    * Rows that share an id get the same count (each row its own copies); for a
+      null id the whole row's hash is drawn with, so equal rows share theirs.
+      Null and empty texts are copied like any other.
     * An empty table gives an empty mix. Input columns called ``copy`` or
       ``mix_key`` are replaced.
     * The rates have one row per source and are written first, so that their
@@ -84,8 +85,13 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, *,
     rates = written(repetition_rates(docs, weights, key=key, budget=budget).select(
         "_mix_key", F.col("parts").alias("_mix_parts"), F.col("cdf").alias("_mix_cdf")),
         "mix-rates")
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    placed = docs.join(rates, F.col(key).eqNullSafe(F.col("_mix_key")))
+    # a null id says nothing: the whole row stands for it, so that such rows are
+    # drawn and placed apart
+    whole = F.concat(F.lit("null:"), F.xxhash64(packed(docs)).cast("string"))
+    base = docs.select(packed(docs).alias("row"), F.col(f"`{key}`").alias("_mix_source"),
+                       F.coalesce(F.col(f"`{id_col}`").cast("string"), whole).alias("_mix_id"))
+    ident = F.col("_mix_id")
+    placed = base.join(rates, F.col("_mix_source").eqNullSafe(F.col("_mix_key")))
     copies = F.aggregate(
         F.sequence(F.lit(1), F.col("_mix_parts")), F.lit(0),
         lambda acc, part: acc + F.size(F.filter(
@@ -96,12 +102,12 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, *,
                         lambda part: uniform(seed, ident, part.cast("string")))
     counted = placed.withColumn("_mix_u", draws).withColumn("_mix_n", copies)
     copied = counted.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        "row", "_mix_id",
         F.posexplode(F.array_repeat(F.lit(0), F.col("_mix_n"))).alias("_mix_pos", "_mix_zero"))
     mixed = copied.withColumn("copy", F.col("_mix_pos") + 1).withColumn(
         "mix_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), ident,
                                      F.col("copy").cast("string"))))
-    return (mixed.drop("_mix_pos", "_mix_zero")
+    return (mixed.select(*unpacked("row", docs.columns), "copy", "mix_key")
             .repartition("mix_key").sortWithinPartitions("mix_key"))
 
 

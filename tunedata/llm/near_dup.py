@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import mix, utf8, windows, word_hashes
-from .common import written
+from .common import packed, unpacked, written
 from .grouped import compared, grouped, members
 from .sketch import count_slots
 from .workers import add_columns, runs
@@ -328,8 +328,8 @@ def components(links: DataFrame) -> DataFrame:
 def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``_id``, ``node`` (digest of the text, null for a text without a word)
     and ``text`` of every row: exact copies share a node."""
-    text = F.col(text_col)
-    return docs.select(F.col(id_col).alias("_id"), F.when(
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.col(f"`{id_col}`").alias("_id"), F.when(
         text.rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.md5(text))).alias("node"), text.alias("text"))
 
 
@@ -395,11 +395,10 @@ def first_of_each_class(docs: DataFrame, *, id_col: str = "doc_id",
     classes = duplicate_classes(docs, id_col=id_col, text_col=text_col)
     stay = classes.select(F.col("first._id").alias("_fid"),
                           F.col("first.node").alias("_fnode")).distinct()
-    text = F.col(text_col)
-    keyed = docs.withColumn("_neardup_node", F.when(
-        text.rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.md5(text))))
-    worded = keyed.filter(F.col("_neardup_node").isNotNull())
-    kept = (worded.join(stay, (F.col("_neardup_node") == F.col("_fnode"))
-                        & F.col(id_col).eqNullSafe(F.col("_fid")), "left_semi")
-            .dropDuplicates(["_neardup_node"]))
-    return kept.unionByName(keyed.filter(F.col("_neardup_node").isNull())).drop("_neardup_node")
+    text = F.col(f"`{text_col}`")
+    keyed = docs.select(packed(docs).alias("row"), F.col(f"`{id_col}`").alias("id"), F.when(
+        text.rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.md5(text))).alias("node"))
+    worded = keyed.filter(F.col("node").isNotNull())
+    kept = (worded.join(stay, (F.col("node") == F.col("_fnode")) & F.col("id").eqNullSafe(F.col("_fid")),
+                        "left_semi").dropDuplicates(["node"]))
+    return kept.unionByName(keyed.filter(F.col("node").isNull())).select(*unpacked("row", docs.columns))

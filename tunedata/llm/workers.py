@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tunedata.session import ship_package
 
+from .common import fresh
+
 #: A batch of texts handed on to numpy holds about so many characters at most
 #: (or one text), however many rows an Arrow batch has.
 BATCH_CHARS = 4 << 20
@@ -38,10 +40,11 @@ def add_columns(df: DataFrame, text_col: str, keep: list[str], added: str,
     ``added`` columns (a schema string) that ``work`` makes from the texts, one
     tuple a row."""
     ship_package(df.sparkSession)
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("_worker_text"))
+    [own] = fresh(keep, "text")
+    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias(own))
     extra = df.sparkSession.createDataFrame([], added).schema
     types = [_arrow(f.dataType) for f in extra]
-    schema = source.drop("_worker_text").schema
+    schema = source.drop(own).schema
     for f in extra:
         schema = schema.add(f)
     names = [f.name for f in schema]
