@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunedata.llm.common import table, written
+from tunedata.llm.common import packed, table, unpacked, written
 from tunedata.llm.decontaminate import find_contamination
 from tunedata.llm.langid import predict_languages, train_langid
 from tunedata.llm.line_dedup import dedup_lines
@@ -22,8 +22,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which no language can be told go: null texts, texts without
     a letter and those under the fitted confidence."""
     model = train_langid(docs, F.lit(True))
-    named = predict_languages(docs, model, keep=docs.columns, prefix="_langid_")
-    return named.filter(~F.col("_langid_rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # a prefix that makes names unlike all others
+    prefix = "_langid_" + "_" * max(len(c) for c in docs.columns)
+    named = predict_languages(docs, model, keep=docs.columns, prefix=prefix)
+    return named.filter(~F.col(f"{prefix}rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,14 +47,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain an item of ``benchmark`` go."""
-    keyed = docs.withColumn("_leak_text", F.xxhash64("text"))
-    hits = find_contamination(keyed, table(spark, sf_dir, "benchmark"),
-                              keep=["doc_id", "_leak_text"])
+    keyed = docs.select(packed(docs).alias("row"), "doc_id", "text", F.xxhash64("text").alias("hash"))
+    hits = find_contamination(keyed, table(spark, sf_dir, "benchmark"), keep=["doc_id", "hash"])
     # written first: its size then decides how it is joined
-    hits = written(hits.select(F.col("doc_id").alias("_leak_id"),
-                               F.col("_leak_text").alias("_leak_hash")).distinct(), "pipeline-leaks")
-    return keyed.join(hits, keyed["doc_id"].eqNullSafe(hits["_leak_id"])
-                      & (keyed["_leak_text"] == hits["_leak_hash"]), "left_anti").drop("_leak_text")
+    hits = written(hits.select(F.col("doc_id").alias("leak_id"), F.col("hash").alias("leak_hash")).distinct(),
+                   "pipeline-leaks")
+    return keyed.join(hits, F.col("doc_id").eqNullSafe(F.col("leak_id")) & (F.col("hash") == F.col("leak_hash")),
+                      "left_anti").select(*unpacked("row", docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
