@@ -11,8 +11,9 @@ Backends
   question -> ``rule_questions``, reject -> a worse answer of the opposite
   modality. They reproduce the data flow, not the model's quality.
 * any Python callable ``fn(prompt) -> str``: applied with ``mapInPandas`` over
-  Arrow batches of distinct requests; ``QuotaExceeded`` is retried once after
-  ``retry_wait`` seconds, ``Blocked`` is recorded without retry, any other
+  Arrow batches of distinct requests; a request refused by ``QuotaExceeded`` is
+  put off and asked once more ``retry_wait`` seconds after all others, outside
+  any task, ``Blocked`` is recorded without retry, any other
   exception is recorded as ``error``. Feedback text never poses as an answer:
   only ``status = 'ok'`` rows carry a response.
 
@@ -139,26 +140,18 @@ def rules_backend(requests: DataFrame, text: str = "text") -> DataFrame:
 
 
 # --- G3 / G4 -----------------------------------------------------------------
-def _python_runner(fn: Callable[[str], str], retry_wait: float, attempt_base: int):
+def _python_runner(fn: Callable[[str], str], attempt: int):
     import pandas as pd
 
     def call(prompt: str):
         try:
-            return fn(prompt), "ok", 1, None
-        except QuotaExceeded:
-            time.sleep(retry_wait)
-            try:
-                return fn(prompt), "ok", 2, None
-            except QuotaExceeded as e:
-                return None, "quota", 2, str(e) or "quota exceeded"
-            except Blocked as e:
-                return None, "blocked", 2, str(e) or "blocked"
-            except Exception as e:  # noqa: BLE001 - recorded per row
-                return None, "error", 2, f"{type(e).__name__}: {e}"
+            return fn(prompt), "ok", None
+        except QuotaExceeded as e:
+            return None, "quota", str(e) or "quota exceeded"
         except Blocked as e:
-            return None, "blocked", 1, str(e) or "blocked"
-        except Exception as e:  # noqa: BLE001
-            return None, "error", 1, f"{type(e).__name__}: {e}"
+            return None, "blocked", str(e) or "blocked"
+        except Exception as e:  # noqa: BLE001 - recorded per row
+            return None, "error", f"{type(e).__name__}: {e}"
 
     def run(batches):
         for pdf in batches:
@@ -167,8 +160,8 @@ def _python_runner(fn: Callable[[str], str], retry_wait: float, attempt_base: in
                 "request_id": pdf["request_id"],
                 "response": [r[0] for r in rows],
                 "status": [r[1] for r in rows],
-                "attempt": [attempt_base + r[2] - 1 for r in rows],
-                "error": [r[3] for r in rows],
+                "attempt": attempt,
+                "error": [r[2] for r in rows],
             })
     return run
 
@@ -179,7 +172,13 @@ def generate_responses(requests: DataFrame, backend="rules", text: str = "text",
     """One response row per distinct ``request_id``. Only the columns the
     backend reads are shuffled by the de-duplication. ``parallelism``: number
     of tasks that call a client (calls are slow and their bytes few, so the
-    partition count by size would be too small)."""
+    partition count by size would be too small).
+
+    A client's answers are written as they come, so it is called once for each
+    attempt, however often the result is read. Requests that it refuses for
+    their quota are put off: no task waits for them. Once all others are
+    answered, and ``retry_wait`` seconds later, they are asked again together,
+    spread over all tasks."""
     if backend == "rules":
         distinct = requests.select("request_id", "stage", "kind", text).dropDuplicates(
             ["request_id"])
@@ -190,10 +189,19 @@ def generate_responses(requests: DataFrame, backend="rules", text: str = "text",
     from tunedata.session import ship_package
     ship_package(requests.sparkSession)
     distinct = requests.select("request_id", "prompt").dropDuplicates(["request_id"])
-    if parallelism:
-        distinct = distinct.repartition(parallelism, "request_id")
-    return distinct.mapInPandas(
-        _python_runner(backend, retry_wait, attempt_base), RESPONSE_SCHEMA)
+
+    def ask(some: DataFrame, attempt: int, name: str) -> DataFrame:
+        if parallelism:
+            some = some.repartition(parallelism, "request_id")
+        return materialize(some.mapInPandas(_python_runner(backend, attempt), RESPONSE_SCHEMA), name)
+
+    first = ask(distinct, attempt_base, "responses-first")
+    refused = first.where("status = 'quota'").select("request_id")
+    if not refused.limit(1).count():
+        return first
+    time.sleep(retry_wait)                          # of the driver: no executor is held
+    again = ask(distinct.join(refused, "request_id", "left_semi"), attempt_base + 1, "responses-again")
+    return first.where("status <> 'quota'").unionByName(again)
 
 
 def number_after(new: DataFrame, previous: DataFrame) -> DataFrame:

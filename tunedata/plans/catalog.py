@@ -21,6 +21,7 @@ from tunedata.operators import prompts as P
 from tunedata.operators import subword as SW
 from tunedata.operators import tokens as TK
 from tunedata.plans import sql as S
+from tunedata.sources import folders as FO
 from tunedata.sources import variant as VA
 from tunedata.sources import views as V
 
@@ -1129,6 +1130,28 @@ def q_index_nonempty(spark, sf):
     return IO.index_nonempty(g, "record_id").select("idx", "record_id", "output")
 
 
+# real files of given names, with siblings that are not asked for
+@register("named_folders", ORACLE["read_problem_dirs"])
+def q_named_folders(spark, sf):
+    root = scratch_path(spark, "named-folders")
+    p = V.problems(spark, sf)
+    FO.write_named(p, root, "doc_id", "text", "question.txt")
+    FO.write_named(p.select("doc_id", F.lit("not a question").alias("text")), root, "doc_id", "text", "notes.txt")
+    got = IO.read_problem_dirs(spark, root, "question.txt")
+    return got.select(F.col("problem_id").cast("long").alias("problem_id"), "text")
+
+
+@register("export_folders", f"""
+SELECT CAST(idx AS VARCHAR) AS id, 'modified_question.txt' AS name, output AS text FROM (
+  SELECT record_id, output, row_number() OVER (ORDER BY record_id) - 1 AS idx FROM {_GEN_OUT} g) x
+WHERE output IS NOT NULL AND length(output) > 0""", ("records", "requests_open"))
+def q_export_folders(spark, sf):
+    root = scratch_path(spark, "exported-folders")
+    r = V.records(spark, sf).select("record_id", F.col("answer").alias("output"))
+    FO.export_nonempty(r.unionByName(V.requests_open(spark, sf).select("record_id", "output")), root, "record_id")
+    return FO.read_named(spark, root)
+
+
 # ---------------------------------------------------------------------------
 # Incremental generation (Structured Streaming, availableNow)
 # ---------------------------------------------------------------------------

@@ -33,11 +33,11 @@ _WRITTEN: dict[tuple, str] = {}
 def _signature(spark: SparkSession, sf_dir: str, sources: tuple[str, ...]) -> tuple:
     sig = []
     for t in sources:
-        files = (table(spark, sf_dir, t)
-                 .select("_metadata.file_path", "_metadata.file_size",
-                         "_metadata.file_modification_time").distinct())
+        # a row a file: the reader lists files and does not open them
+        files = (spark.read.format("binaryFile").load(f"{sf_dir.rstrip('/')}/{t}.parquet")
+                 .select("path", "length", "modificationTime"))
         # one number for all files, however many there are
-        row = files.agg(F.count(F.lit(1)).alias("n"), F.sum("file_size").alias("size"),
+        row = files.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("size"),
                         F.bit_xor(F.xxhash64(*files.columns)).alias("h")).first()
         sig.append((t, row["n"], row["size"], row["h"]))
     return tuple(sig)

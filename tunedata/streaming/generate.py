@@ -3,7 +3,8 @@
 Requests arriving as files are answered once: each micro-batch de-duplicates
 its own request ids, anti-joins them against the response table already
 written (the table is the state, so no state store grows with the data), runs
-the backend and appends. ``trigger(availableNow=True)`` drains what is there
+the backend and appends. Every row group of the table has a Bloom filter of its
+ids, so a small batch reads the row groups that can hold its own. ``trigger(availableNow=True)`` drains what is there
 and stops; the checkpoint records which input files were consumed, so a rerun
 over the same input adds nothing. A replayed batch after a failure is also
 harmless: the anti-join skips what a committed write already holds.
@@ -20,34 +21,54 @@ from tunedata.operators.generate import (RESPONSE_SCHEMA, generate_responses, nu
 from tunedata.session import materialize, table_exists
 
 
-#: The response table is partitioned by the first hex digits of the request id;
-#: a batch reads only the partitions of its own requests.
-PREFIX_CHARS = 1
+#: A batch of so many requests at most reads the response table through its
+#: Bloom filters; a larger one meets nearly every row group anyway.
+SOUGHT_IDS = 256
+
+
+def _with_blooms(writer):
+    """Parquet with a Bloom filter of the request ids in every row group."""
+    return (writer.option("parquet.bloom.filter.enabled#request_id", "true")
+            .option("parquet.bloom.filter.adaptive.enabled", "true")
+            .option("parquet.block.size", str(16 << 20)))
+
+
+def answered_among(spark: SparkSession, sink: str, asked: DataFrame) -> DataFrame:
+    """The rows of the response table at ``sink`` that can concern ``asked``.
+
+    The ids of a small batch are sent to the scan: it skips the row groups
+    whose range or Bloom filter holds none of them. A large batch reads the
+    table's ids and joins."""
+    done = spark.read.schema(RESPONSE_SCHEMA).parquet(sink)
+    ids = [r["request_id"] for r in asked.select("request_id").limit(SOUGHT_IDS + 1).collect()]
+    if len(ids) > SOUGHT_IDS:
+        return done
+    return done.where(F.col("request_id").isin(ids)) if ids else done.limit(0)
 
 
 def stream_generate(spark: SparkSession, requests_dir: str, schema: ST.StructType,
                     sink: str, checkpoint: str, backend="rules",
                     max_files_per_trigger: int | None = None) -> int:
-    """Answer every new request under ``requests_dir`` (parquet) into ``sink``
-    (partitioned by ``prefix``). Returns the number of micro-batches run."""
-    prefix = F.substring("request_id", 1, PREFIX_CHARS)
-    table = ST.StructType([*RESPONSE_SCHEMA.fields, ST.StructField("prefix", ST.StringType())])
-    ran = 0
+    """Answer every new request under ``requests_dir`` (parquet) into ``sink``.
+    Returns the number of micro-batches run."""
+    ran, exists = 0, table_exists(spark, sink)
+    threshold = "spark.sql.parquet.pushdown.inFilterThreshold"
 
     def batch(df: DataFrame, epoch_id: int) -> None:
-        nonlocal ran
+        nonlocal ran, exists
         ran += 1
-        asked = materialize(df.dropDuplicates(["request_id"]).withColumn("prefix", prefix),
-                            "stream-batch")
-        if table_exists(spark, sink):
-            # at most 16 ** PREFIX_CHARS values
-            mine = [r["prefix"] for r in asked.select("prefix").distinct().collect()]
-            done = spark.read.schema(table).parquet(sink).where(F.col("prefix").isin(mine))
+        session = df.sparkSession
+        session.conf.set(threshold, str(SOUGHT_IDS))       # of the stream's own session
+        asked = materialize(df.dropDuplicates(["request_id"]), "stream-batch")
+        if exists:
+            done = answered_among(session, sink, asked)
             new = number_after(generate_responses(pending_requests(asked, done), backend), done)
         else:
             new = generate_responses(asked, backend)
-        (new.withColumn("prefix", prefix).repartition("prefix").write.mode("append")
-         .partitionBy("prefix").parquet(sink))
+        # files with narrow ranges of ids, as many as the rows fill
+        _with_blooms(new.repartitionByRange("request_id").sortWithinPartitions("request_id")
+                     .write.mode("append")).parquet(sink)
+        exists = True
 
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
