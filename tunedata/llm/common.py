@@ -30,6 +30,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys are told by so many slots in ``among``: a broadcast of bounded size.
+SLOTS = 1 << 20
+
+
+def among(df: DataFrame, key: str, wanted: DataFrame, name: str | None = None) -> DataFrame:
+    """The rows of ``df`` whose ``key`` may be one of ``wanted`` (column
+    ``name``, by default ``key``), and few others while those are fewer than
+    SLOTS. Nothing is shuffled: most rows go before a join or a comparison."""
+    def slot(c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    slots = written(wanted.select(slot(name or key).alias("slot")).distinct(), "slots")
+    return (df.withColumn("slot", slot(key)).join(F.broadcast(slots), "slot", "left_semi")
+            .drop("slot"))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` worked out once per row.
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tunedata.session import ship_package
 
-from .common import written
+from .common import among, written
 
 #: A group has so many items at most, and so many bytes (or one item).
 GROUP_ITEMS, GROUP_BYTES = 32, 1 << 19
@@ -89,14 +89,18 @@ def compared(candidates: DataFrame, items: DataFrame, groups: DataFrame,
     """
     ship_package(items.sparkSession)
     found = written(candidates, "grouped-candidates")
-    per = found.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("copies"))
-    query = (found.join(per, "grp")
-             .withColumn("copy", F.pmod(F.xxhash64("query"), F.col("copies")).cast("int"))
-             .join(items.select(F.col("node").alias("query"), "item"), "query")
+    # written, so that their size is known: few groups have many candidates
+    hot = written(found.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("copies"))
+                  .filter("copies > 1"), "grouped-copies")
+    copies = F.coalesce("copies", F.lit(1))
+    query = (found.join(hot, "grp", "left")
+             .withColumn("copy", F.pmod(F.xxhash64("query"), copies).cast("int"))
+             .join(among(items.select(F.col("node").alias("query"), "item"), "query", found), "query")
              .select("grp", "copy", F.lit(1).alias("kind"), F.array("query").alias("nodes"),
                      F.array("item").alias("items"), F.array("query").alias("labels")))
-    group = (groups.join(per, "grp")
-             .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    # a group that no candidate names is passed over
+    group = (among(groups, "grp", found).join(hot, "grp", "left")
+             .withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
              .select("grp", "copy", F.lit(0).alias("kind"), "nodes", "items", "labels"))
     dealt = (group.unionByName(query).repartition("grp", "copy")
              .sortWithinPartitions("grp", "copy", "kind"))

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from tunedata.session import ship_package
 
 from .arrays import windows, word_hashes
-from .common import written
-from .grouped import compared, grouped, members
+from .common import among, written
+from .grouped import GROUP_ITEMS, compared, grouped, members
 from .near_dup import components
 from .sketch import count_slots
 from .workers import add_columns
@@ -36,8 +36,6 @@ PERCENT = 85
 SKETCH_BITS = 21
 #: How often sets that share too few shingles are left out.
 ROUNDS = 2
-#: Texts of sets that are compared are told by so many slots first.
-TEXT_SLOTS = 1 << 20
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -162,16 +160,17 @@ def _need(n: Column) -> Column:
     return F.greatest(F.floor(_least(n) / 20).cast("int"), F.lit(1))
 
 
-def _enough(n: Column, at: Column, size: Column, before: Column | int = 0) -> Column:
-    """Whether a set of ``n`` shingles can link with one of ``size`` or more, if
-    all common ones but ``before`` stand at ``at`` or behind."""
-    return (100 + PERCENT) * (n - at + before) >= PERCENT * (n + size)
+def _enough(n: Column, at: Column, size: Column) -> Column:
+    """Whether a set of ``n`` shingles whose first common one is numbered
+    ``at`` can link with one of ``size`` or more."""
+    return (100 + PERCENT) * (n - at) >= PERCENT * (n + size)
 
 
 def pivot_candidates(rows: DataFrame, member: DataFrame, central: DataFrame) -> DataFrame:
     """``query``, ``grp``: each set with the group of the most central set that
-    each of its shingles leads to. One row a shingle, however common."""
-    rows = rows.filter(F.col("at") <= F.col("n") - _least(F.col("n")))
+    each of its shingles leads to, for shingles of more sets than a group holds.
+    One row a shingle, however common; families that fit a group need none."""
+    rows = rows.filter((F.col("at") <= F.col("n") - _least(F.col("n"))) & (F.col("k") > GROUP_ITEMS))
     index = rows.filter(F.col("at") < index_length(F.col("n")))
     pivot = (index.join(central, "node").groupBy("token")
              .agg(F.max(F.struct("central", "node", "n")).alias("p"))
@@ -185,17 +184,17 @@ def pivot_candidates(rows: DataFrame, member: DataFrame, central: DataFrame) ->
 
 
 def open_candidates(rows: DataFrame, member: DataFrame) -> DataFrame:
-    """``query``, ``grp``: each set with every group that enough of its rarest
-    shingles lead to, unless one label connects the set with the whole group.
+    """``query``, ``grp``: each set with every group that its rarest shingles
+    lead to, unless one label connects the set with the whole group.
 
     A common shingle mostly leads to sets of one label. Sets of that label are
     joined to the other groups of the shingle alone, so a large family is not
     joined to itself.
     """
+    rows = rows.filter(F.col("at") <= F.col("n") - _least(F.col("n")))
     labelled = written(rows.join(member, "node").select("token", "node", "n", "at", "grp", "label"),
                        "shingle-rows")
-    more = F.greatest(F.floor(F.col("n") / 20).cast("int") - 1, F.lit(0))
-    index = (labelled.filter(F.col("at") < index_length(F.col("n")) + more).groupBy("token", "grp")
+    index = (labelled.filter(F.col("at") < index_length(F.col("n"))).groupBy("token", "grp")
              .agg(F.min("n").alias("low"), F.max("n").alias("high"),
                   F.min("label").alias("first"), F.max("label").alias("last")))
     index = written(index, "shingle-index")
@@ -213,11 +212,9 @@ def open_candidates(rows: DataFrame, member: DataFrame) -> DataFrame:
     least = F.greatest(F.col("low"), _least(n))
     apart = (F.col("label") != F.col("first")) | (F.col("label") != F.col("last"))
     cond = (apart & (F.col("low") <= n) & (100 * F.col("high") >= PERCENT * n)
-            & _enough(n, F.col("at"), least, _need(n) - 1))
-    # a shingle leads to a group once, so rows are common shingles
-    met = (probes.join(both, ["token", "odd"]).filter(cond).groupBy("node", "to")
-           .agg(F.count(F.lit(1)).alias("c"), F.any_value("n").alias("n")))
-    return met.filter(F.col("c") >= _need(n)).select(F.col("node").alias("query"), F.col("to").alias("grp"))
+            & _enough(n, F.col("at"), least))
+    return probes.join(both, ["token", "odd"]).filter(cond).select(
+        F.col("node").alias("query"), F.col("to").alias("grp")).distinct()
 
 
 def opened_links(candidates: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame:
@@ -283,13 +280,9 @@ def shingle_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     central = written(live.groupBy("node").agg(F.sum("k").alias("central")), "shingle-central")
     wanted = written(nodes.join(central, "node").select("node", "n", "least", "digest"), "shingle-wanted")
     # one text for each set that is compared; the whole set is made again from
-    # it, as writing all sets would take more room than the texts. Most other
-    # texts go before the shuffle, by slots of which there are TEXT_SLOTS at most
-    slot = F.pmod(F.xxhash64("digest"), F.lit(TEXT_SLOTS))
-    slots = written(wanted.select(slot.alias("slot")).distinct(), "shingle-slots")
-    near_texts = (rows.select("digest", "text", slot.alias("slot"))
-                  .join(F.broadcast(slots), "slot", "left_semi").drop("slot"))
-    texts = (near_texts.join(wanted.select("digest").hint("shuffle_hash"), "digest", "left_semi")
+    # it, as writing all sets would take more room than the texts
+    texts = (among(rows.select("digest", "text"), "digest", wanted)
+             .join(wanted.select("digest").hint("shuffle_hash"), "digest", "left_semi")
              .dropDuplicates(["digest"]))
     tokens = add_columns(texts, "text", ["digest"], "item binary",
                          lambda column: [(s.tobytes(),) for s in shingle_sets(column)])
