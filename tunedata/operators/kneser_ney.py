@@ -11,8 +11,7 @@ probabilities of every context, seen or not, sum to 1.
 
 All tables are aggregates with map-side combine, written once. Scores are
 worked out for each different trigram, by left joins that hold no hot key
-(``lookup.hot_lookup``), and then brought to the texts' trigrams, of which
-every text has each once.
+(``lookup.hot_lookup``), and then brought to the texts' trigrams by another.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tunedata.functions.text import tokens
 from tunedata.operators.lookup import hot_lookup
-from tunedata.operators.metrics import START, with_value_counts
+from tunedata.operators.metrics import START
 from tunedata.session import materialize
 
 #: The discount of an order of which no count is 1 (n1 / (n1 + 2 n2) is 0 or
@@ -33,21 +32,20 @@ PLAIN_DISCOUNT = 0.5
 
 
 def text_trigrams(df: DataFrame, key: str, text: str, max_tokens: int | None = None) -> DataFrame:
-    """(key, u, v, w, n): the different trigrams of each text's lower-cased
-    tokens (the first two have start marks before them) and their counts. Counted
-    within the row, before anything is shuffled."""
+    """(key, u, v, w, n): every trigram of each text's lower-cased tokens (the
+    first two have start marks before them; n = 1)."""
     words = tokens(F.lower(F.col(text)))
     words = F.slice(words, 1, max_tokens) if max_tokens is not None else words
-    t = df.select(F.col(key).alias("key"), F.concat(F.array(F.lit(START), F.lit(START)), words).alias("t"))
-    n = F.size("t")
-    grams = F.transform(F.slice("t", 3, F.greatest(n - 2, F.lit(0))), lambda w, i: F.struct(
-        F.get("t", i).alias("u"), F.get("t", i + 1).alias("v"), w.alias("w")))
-    counted = with_value_counts(t.withColumn("s", F.sort_array(grams)), "s", "c")
-    # a plain explode() makes Catalyst infer a filter on its size and push it,
-    # with all that makes the array, below the projections
-    g = counted.select("key", F.explode_outer("c").alias("g")).where(F.col("g").isNotNull())
-    return g.select(F.col("key").alias(key), "g.value.u", "g.value.v", "g.value.w",
-                    F.col("g.n").cast("long").alias("n"))
+    t = df.select(F.col(key).alias("key"), words.alias("t"))
+    tc, n = F.col("t"), F.size("t")
+    start = F.array(F.lit(START), F.lit(START))
+    zipped = F.when(n > 0, F.arrays_zip(
+        F.slice(F.concat(start, tc), 1, n).alias("u"), F.slice(F.concat(start, tc), 2, n).alias("v"),
+        tc.alias("w")))
+    # explode_outer + null filter: a plain explode makes Catalyst infer a filter
+    # on the array and push it, with the tokenizer, below this project
+    g = t.select("key", F.explode_outer(zipped).alias("g")).where(F.col("g").isNotNull())
+    return g.select(F.col("key").alias(key), "g.u", "g.v", "g.w", F.lit(1).cast("long").alias("n"))
 
 
 @dataclass(frozen=True)

@@ -9,9 +9,8 @@ Scale notes
 * Word entropy needs counts per distinct word of one text only: the text's
   token array is sorted and run-length counted with higher-order functions,
   so the metric is a narrow projection (no explode, no shuffle).
-* Perplexity tokenizes each text once: its different (previous, token) pairs
-  are counted in the row and written, and both the model and the scores start
-  from that table. The model is two corpus-wide aggregates with map-side
+* Perplexity tokenizes each text once: its (previous, token) pairs are
+  written, and both the model and the scores start from that table. The model is two corpus-wide aggregates with map-side
   combine (``c(p, w)`` and ``c(p, .)``), a loss for each different pair, and a
   join to the texts' pairs that holds no hot key (``lookup.hot_lookup``).
   ``train_bigram`` writes the model tables for repeated scoring;
@@ -100,23 +99,23 @@ def with_entropy(df: DataFrame, text: str, out: str = "entropy",
 # --- M4 ----------------------------------------------------------------------
 def bigram_pairs(df: DataFrame, key: str, text: str, max_tokens: int = 1024,
                  source: str | None = None, lowered: str | None = None) -> DataFrame:
-    """(key, [src,] p, w, n): the different (previous, token) pairs of each
-    text's first ``max_tokens`` lower-cased tokens and their counts, counted
-    within the row before anything is shuffled. ``source`` tags the pairs with
-    the column they came from (several models in one pass); ``lowered`` names a
-    column that holds the tokens."""
+    """(key, [src,] p, w, n): every (previous, token) pair of each text's
+    first ``max_tokens`` lower-cased tokens (n = 1; texts repeat few pairs, and
+    sorting a text's pairs to count them costs more than it saves). ``source``
+    tags the pairs with the column they came from (several models in one pass);
+    ``lowered`` names a column that holds the tokens."""
     tag = [F.lit(source).alias("src")] if source is not None else []
     words = F.col(lowered) if lowered else tokens(F.lower(F.col(text)))
     t = df.select(key, *tag, F.slice(words, 1, max_tokens).alias("_t"))
-    pairs = F.transform("_t", lambda w, i: F.struct(
-        F.when(i == 0, F.lit(START)).otherwise(F.get("_t", i - 1)).alias("p"), w.alias("w")))
-    counted = with_value_counts(t.withColumn("_s", F.sort_array(pairs)), "_s", "_c")
-    # a plain explode() makes Catalyst infer a filter on the array's size and push
-    # it, with all that makes the array, below the projections
-    ex = (counted.select(key, *[F.col("src")] * bool(tag), F.explode_outer("_c").alias("_v"))
+    tc = F.col("_t")
+    prev = F.concat(F.array(F.lit(START)), F.slice(tc, 1, F.greatest(F.size(tc) - 1, F.lit(0))))
+    zipped = F.when(F.size(tc) > 0, F.arrays_zip(prev.alias("p"), tc.alias("w")))
+    # explode_outer + null filter: a plain explode makes Catalyst infer a
+    # size(...) > 0 filter and push it (with the tokenizer) below this project
+    ex = (t.select(key, *[F.col("src")] * bool(tag), F.explode_outer(zipped).alias("_v"))
           .where(F.col("_v").isNotNull()))
-    return ex.select(key, *[F.col("src")] * bool(tag), F.col("_v.value.p").alias("p"),
-                     F.col("_v.value.w").alias("w"), F.col("_v.n").cast("long").alias("n"))
+    return ex.select(key, *[F.col("src")] * bool(tag), F.col("_v.p").alias("p"),
+                     F.col("_v.w").alias("w"), F.lit(1).cast("long").alias("n"))
 
 
 def bigram_model(pairs: DataFrame, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
