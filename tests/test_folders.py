@@ -74,3 +74,13 @@ def test_export_numbers_before_it_drops(spark, tmp_shared):
     FO.export_nonempty(df, root, "k")
     got = {(r.id, r.name, r.text) for r in FO.read_named(spark, root).collect()}
     assert got == {("1", "modified_question.txt", "two"), ("3", "modified_question.txt", "five")}
+
+
+def test_small_texts_are_written_by_many_tasks(spark, tmp_shared, monkeypatch):
+    """Rows of a few bytes were put into one task that made every folder alone."""
+    dealt = []
+    real = type(spark.range(0)).repartition
+    monkeypatch.setattr(type(spark.range(0)), "repartition", lambda df, *a: dealt.append(a) or real(df, *a))
+    monkeypatch.setattr(FO, "FOLDERS_PER_TASK", 100)
+    FO.write_named(spark.range(5000).withColumn("text", F.lit("x")), tmp_shared("folders"))
+    assert dealt and isinstance(dealt[-1][0], int) and dealt[-1][0] >= 50

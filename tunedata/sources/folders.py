@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceWriter, InputPartition,
                                     WriterCommitMessage)
 
-from tunedata.session import ship_package
+from tunedata.session import default_parallelism, ship_package
 from tunedata.sources.io import index_nonempty
 
 FORMAT = "named_folders"
-#: Folders that one task reads.
+#: Folders that one task reads or writes.
 FOLDERS_PER_TASK = 1_000
 
 
@@ -136,12 +136,15 @@ def write_named(df: DataFrame, root: str, id_: str = "id", text: str = "text",
     found before anything is written."""
     rows = df.select(F.col(id_).cast("string").alias("id"), F.lit(name).alias("name"),
                      F.col(text).cast("string").alias("text"))
-    twice = rows.groupBy("id").count().where("count > 1 OR id IS NULL").limit(1).collect()
-    if twice:
-        raise ValueError(f"write_named: id {twice[0]['id']!r} is null or names several rows")
+    twice = F.when((F.col("count") > 1) | F.col("id").isNull(), F.struct("id"))
+    seen = rows.groupBy("id").count().agg(F.first(twice, ignorenulls=True).alias("twice"), F.sum("count").alias("n")).first()
+    if seen["twice"] is not None:
+        raise ValueError(f"write_named: id {seen['twice']['id']!r} is null or names several rows")
     _registered(df.sparkSession)
-    # dealt out by id: as many tasks as the session shuffles with make folders
-    rows.repartition("id").write.format(FORMAT).mode("append").save(root)
+    # dealt out by id, in tasks of so many folders: an explicit number, as Spark
+    # would put rows of few bytes into one task that makes all folders alone
+    tasks = max(2 * default_parallelism(df.sparkSession), -(-(seen["n"] or 0) // FOLDERS_PER_TASK))
+    rows.repartition(tasks, "id").write.format(FORMAT).mode("append").save(root)
 
 
 def export_nonempty(df: DataFrame, root: str, order_key: str, output: str = "output",
