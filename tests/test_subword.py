@@ -131,3 +131,18 @@ def test_pattern_takes_every_character(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     for r in df.select("text", SW.pieces("text").alias("p")).collect():
         assert "".join(r.p) == r.text and all(re.search(r"(?s).", p) for p in r.p)
+
+
+def test_a_piece_is_looked_up_once_for_all_texts():
+    """Every occurrence went through Python on its own."""
+    import pyarrow as pa
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, "\u00e9".encode(): 257}
+    encoder = SW.Encoder(ranks)
+    asked, real = [], encoder.piece
+    encoder.piece = lambda p: asked.append(p) or real(p)
+    rows = [["ab", "\u00e9a"] * 2, None, [], ["ab"], ["c", "ab", "ab"]]
+    ids, starts, ends = (x.to_pylist() for x in encoder.texts(pa.array(rows, pa.list_(pa.string())), 4))
+    assert sorted(asked) == ["ab", "c", "\u00e9a"]
+    assert ids == [[256, 257, 97, 256], [], [], [256], [99, 256, 256]]
+    assert starts == [[0, 2, 3, 4], [], [], [0], [0, 1, 3]]
+    assert ends == [[2, 3, 4, 6], [], [], [2], [1, 3, 5]]

@@ -16,7 +16,9 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -132,17 +134,41 @@ class Encoder:
                 self.kept[piece] = found
         return found
 
-    def text(self, parts: list[str] | None, limit: int | None) -> tuple[list[int], list[int], list[int]]:
-        ids, starts, ends, at = [], [], [], 0
-        for p in parts or []:
-            own, cover = self.piece(p)
-            ids += own
-            starts += [at + a for a, _ in cover]
-            ends += [at + b for _, b in cover]
-            at += len(p)
-            if limit is not None and len(ids) >= limit:
-                return ids[:limit], starts[:limit], ends[:limit]
-        return ids, starts, ends
+    def texts(self, parts: pa.Array, limit: int | None) -> list[pa.Array]:
+        """Ids, starts and ends of the tokens of texts given as their pieces.
+
+        A different piece is looked up once for all texts; its occurrences are
+        filled in from there."""
+        sizes = _sizes(parts)
+        coded = parts.flatten().dictionary_encode()
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        different = coded.dictionary.to_pylist()
+        found = [self.piece(p) for p in different]
+        n = np.array([len(ids) for ids, _ in found], np.int64)
+        ids = np.array([x for own, _ in found for x in own], np.int32)
+        cover = np.array([x for _, own in found for x in own], np.int64).reshape(-1, 2)
+        chars = np.array([len(p) for p in different], np.int64)[which]
+        count = n[which]                                     # tokens of each piece
+        token = np.arange(count.sum()) + np.repeat((np.cumsum(n) - n)[which] - np.cumsum(count) + count, count)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        before = _bounds(chars)[_bounds(sizes)[:-1]]         # code points of the texts before
+        at = np.repeat(_bounds(chars)[:-1] - before[row], count)
+        bounds = _bounds(count)[_bounds(sizes)]
+        out = [ids[token], cover[token, 0] + at, cover[token, 1] + at]
+        if limit is not None:
+            of = np.diff(bounds)
+            keep = np.arange(len(token)) - np.repeat(bounds[:-1], of) < limit
+            out, bounds = [x[keep] for x in out], _bounds(np.minimum(of, limit))
+        return [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(x.astype(np.int32)))
+                for x in out]
+
+
+def _sizes(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _bounds(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
 
 
 def encode(df: DataFrame, text: Column, ranks: dict[bytes, int], keep: list[str],
@@ -166,8 +192,7 @@ def encode(df: DataFrame, text: Column, ranks: dict[bytes, int], keep: list[str]
         for batch in batches:
             for i in range(0, batch.num_rows, 64):           # texts may be long
                 some = batch.slice(i, 64)
-                rows = [encoder.text(p, max_length) for p in some.column(some.num_columns - 1).to_pylist()]
-                added = [pa.array([r[k] for r in rows], pa.list_(pa.int32())) for k in range(3)]
+                added = encoder.texts(some.column(some.num_columns - 1), max_length)
                 yield pa.RecordBatch.from_arrays(some.columns[:-1] + added, [f.name for f in schema])
 
     return source.mapInArrow(run, schema)
@@ -182,18 +207,33 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "input_ids", out:
     schema = df.select(*keep).schema.add(out, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
+        known = np.array(sorted(sent.value), np.int64)
+        tokens = pa.array([sent.value[i] for i in known.tolist()], pa.large_binary())
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 some = batch.slice(i, 64)
-                texts = [None if row is None else b"".join(table[x] for x in row).decode("utf-8", "replace")
-                         for row in some.column(some.schema.get_field_index(ids)).to_pylist()]
+                texts = _joined(some.column(some.schema.get_field_index(ids)), known, tokens)
                 yield pa.RecordBatch.from_arrays(some.columns + [pa.array(texts, pa.string())],
                                                  [f.name for f in schema])
 
     return df.select(*keep).mapInArrow(run, schema)
 
 
+def _joined(rows: pa.Array, known: np.ndarray, tokens: pa.Array) -> list[str | None]:
+    """The texts of rows of ids: the bytes of all their tokens in one piece, cut."""
+    flat = rows.flatten()
+    wanted = flat.to_numpy(zero_copy_only=False)
+    at = np.searchsorted(known, wanted)
+    if flat.null_count or not np.array_equal(known[np.minimum(at, len(known) - 1)], wanted):
+        raise KeyError("an id is not in the vocabulary")
+    taken = tokens.take(pa.array(at, pa.int64()))
+    ends = _bounds(pc.binary_length(taken).to_numpy(zero_copy_only=False))[_bounds(_sizes(rows))]
+    data = taken.buffers()[2]
+    data = data.to_pybytes() if data is not None else b""
+    return [data[a:b].decode("utf-8", "replace") if there else None
+            for a, b, there in zip(ends[:-1], ends[1:], rows.is_valid().to_pylist())]
+
+
 def token_uses(encoded: DataFrame, ranks: DataFrame, key: str, ids: str = "input_ids") -> DataFrame:
     """``id``, ``piece``, ``uses`` and ``rows_with`` of every vocabulary entry,
     unused ones included. Counted per row first, so a common token is one row
