@@ -1,10 +1,12 @@
 """What a step shuffles and writes stays small beside the texts it works on."""
 
+import pathlib
 import random
 
 from pyspark.sql import types as ST
 
 from tunedata.operators import anchors as AN
+from tunedata.sources import io as IO
 
 
 def test_templates_are_learned_without_writing_texts(spark, monkeypatch):
@@ -23,3 +25,23 @@ def test_templates_are_learned_without_writing_texts(spark, monkeypatch):
     got = AN.learn_templates(spark.createDataFrame([(r,) for r in rows], "prompt string"))
     assert {tuple(r) for r in got.collect()} == {(head, tail, 80), (long, "!" + "y" * 280, 80)}
     assert not any(f.dataType == ST.StringType() for n, s in written.items() if n != "anchors-templates" for f in s)
+
+
+def test_problem_folders_start_no_process_for_a_file(spark, tmp_shared):
+    """Names and contents are those of Spark's own partitioned text writer,
+    which starts processes for each local file (0.02 s); tasks write directly."""
+    ids = ["1", "a b", "x=1", "p+q", "50%25", "ü", "q?*", "s/t", "", None, "two", "two"]
+    df = spark.createDataFrame([(k, None if k == "x=1" else f"text of {k}\r\n") for k in ids],
+                               "problem_id string, text string")
+    ours, theirs = tmp_shared("ours"), tmp_shared("theirs")
+    for _ in range(2):                                    # the second run replaces the first
+        IO.write_problem_dirs(df, ours)
+    df.repartition(1).write.partitionBy("problem_id").text(theirs)
+
+    def found(root):
+        base = pathlib.Path(root)
+        assert (base / "_SUCCESS").exists()
+        return {f.parent.name: b"".join(sorted(g.read_bytes() for g in f.parent.glob("*.txt")))
+                for f in base.glob("*/*.txt")}
+    assert {k: sorted(v) for k, v in found(ours).items()} == {k: sorted(v) for k, v in found(theirs).items()}
+    assert not list(pathlib.Path(ours).glob("**/.*.crc"))  # not made by Spark's writer

@@ -27,6 +27,7 @@ from tunedata.session import default_parallelism, ship_package
 from tunedata.sources.io import index_nonempty
 
 FORMAT = "named_folders"
+LINES_FORMAT = "partitioned_lines"
 #: Folders that one task reads or writes.
 FOLDERS_PER_TASK = 1_000
 
@@ -116,6 +117,78 @@ class NamedFolders(DataSource):
         return _Writer(dict(self.options))
 
 
+#: What Spark's own writer escapes in the name of a partition's folder.
+_ESCAPED = {chr(c) for c in range(1, 32)} | set('"#%\'*/:=?\\{[]^') | {chr(127)}
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
+def partition_folder(key: str, value: str | None) -> str:
+    """``key=value`` as Spark names the folder of a partition."""
+    def escaped(name):
+        return "".join(f"%{ord(c):02X}" if c in _ESCAPED else c for c in name)
+    return f"{escaped(key)}={escaped(value) if value else NO_VALUE}"
+
+
+class _LinesWriter(DataSourceWriter):
+    """A text file for each folder among a task's rows, which come sorted by
+    folder; a line for each row."""
+
+    def __init__(self, options: dict) -> None:
+        self.path = options["path"].rstrip("/")
+        self.key = options["key"]
+        self.job = uuid.uuid4().hex
+
+    def write(self, rows: Iterator) -> WriterCommitMessage:
+        from itertools import groupby
+
+        from pyspark import TaskContext
+        system, root = _open(self.path)
+        task = TaskContext.get().partitionId()
+        for name, lines in groupby(rows, key=lambda r: partition_folder(self.key, r["value"])):
+            folder = f"{root}/{name}"
+            system.create_dir(folder, recursive=True)
+            part = f"{folder}/_{uuid.uuid4().hex}"
+            with system.open_output_stream(part) as f:
+                for r in lines:
+                    f.write((r["text"] or "").encode("utf-8", "surrogatepass") + b"\n")
+            # the same name if the task runs again
+            system.move(part, f"{folder}/part-{task:05d}-{self.job}.txt")
+        return WriterCommitMessage()
+
+    def commit(self, messages: list) -> None:
+        system, root = _open(self.path)
+        system.create_dir(root, recursive=True)
+        system.open_output_stream(f"{root}/_SUCCESS").close()
+
+
+class PartitionedLines(DataSource):
+    """Options: ``path`` and ``key``, the name of the partition column."""
+
+    @classmethod
+    def name(cls) -> str:
+        return LINES_FORMAT
+
+    def schema(self) -> str:
+        return "value string, text string"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _LinesWriter(dict(self.options))
+
+
+def write_partitioned_lines(df: DataFrame, root: str, key: str, text: str, tasks: int) -> None:
+    """What ``partitionBy(key).text(root)`` writes in place of what is there, in
+    ``tasks`` tasks: ``<root>/<key>=<value>/part-*.txt``, a line a row."""
+    from pyarrow import fs
+    system, base = _open(root)
+    if system.get_file_info([base])[0].type == fs.FileType.Directory:
+        system.delete_dir_contents(base)
+    ship_package(df.sparkSession)
+    df.sparkSession.dataSource.register(PartitionedLines)
+    rows = df.select(F.col(key).cast("string").alias("value"), F.col(text).alias("text"))
+    (rows.repartition(tasks, "value").sortWithinPartitions("value").write.format(LINES_FORMAT)
+     .option("key", key).mode("append").save(root))
+
+
 def _registered(spark: SparkSession) -> SparkSession:
     ship_package(spark)
     spark.dataSource.register(NamedFolders)

@@ -65,8 +65,16 @@ def write_problem_dirs(df: DataFrame, root: str, key: str = "problem_id",
 
     An explicit partition count keeps every core writing: with a plain
     ``repartition(key)`` AQE would coalesce small data into one task that
-    then creates every folder alone."""
+    then creates every folder alone.
+
+    On local and mounted folders tasks write their files themselves
+    (``folders.write_partitioned_lines``): Spark's writer starts several
+    processes a file there, and its driver moves one file after the other."""
     n = 2 * default_parallelism(df.sparkSession)
+    if re.match(r"file:|/", root):
+        from tunedata.sources.folders import write_partitioned_lines
+        write_partitioned_lines(df, root, key, text, n)
+        return
     (df.select(key, text).repartition(n, key).write.mode("overwrite")
      .partitionBy(key).text(root))
 
