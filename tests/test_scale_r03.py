@@ -3,10 +3,15 @@
 import pathlib
 import random
 
+from pyspark.sql import DataFrameWriter
+from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from tunedata.operators import anchors as AN
+from tunedata.operators import generate as G
+from tunedata.operators import prompts as P
 from tunedata.sources import io as IO
+from tunedata.streaming import generate as SG
 
 
 def test_templates_are_learned_without_writing_texts(spark, monkeypatch):
@@ -45,3 +50,48 @@ def test_problem_folders_start_no_process_for_a_file(spark, tmp_shared):
                 for f in base.glob("*/*.txt")}
     assert {k: sorted(v) for k, v in found(ours).items()} == {k: sorted(v) for k, v in found(theirs).items()}
     assert not list(pathlib.Path(ours).glob("**/.*.crc"))  # not made by Spark's writer
+
+
+def _plans(monkeypatch, writer):
+    """The plans of all tables that are written."""
+    seen = []
+
+    def recording(self, path, *a, own=writer.parquet, **k):
+        seen.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return own(self, path, *a, **k)
+    monkeypatch.setattr(writer, "parquet", recording)
+    return seen
+
+
+def _asked(spark, n=400):
+    df = spark.range(n).select(F.col("id").alias("problem_id"), F.concat(
+        F.lit("Problem "), F.col("id") % 300, F.lit(". It has 2 parts.")).alias("text"), F.lit("ambiguous").alias("kind"))
+    return G.request_table(P.rewrite_prompt(df), "rewrite")
+
+
+def test_requests_are_told_apart_by_their_ids(spark, tmp_shared, monkeypatch):
+    req = _asked(spark)
+    path = tmp_shared("responses")
+    seen = _plans(monkeypatch, DataFrameWriter)
+    got = G.repaired_at(req, path)
+    assert not any("max_by" in p for p in seen + [got._jdf.queryExecution().executedPlan().toString()])
+    assert got.count() == 300 == got.select("request_id").distinct().count()
+    # a blank answer is asked again, all others stay
+    answer = lambda p: "" if "Problem 7." in p else "fine"
+    path = tmp_shared("blank")
+    got = {r.request_id: (r.response, r.attempt) for r in G.repaired_at(req, path, answer, repairs=2).collect()}
+    assert sorted(got.values()) == [("", 3)] + [("fine", 1)] * 299
+
+
+def test_a_stream_shuffles_texts_once(spark, tmp_shared, monkeypatch):
+    req = _asked(spark).select("request_id", "stage", "kind", "text", "prompt")
+    src, sink, ck = (tmp_shared(n) for n in ("src", "sink", "ck"))
+    req.write.parquet(src)
+    seen = _plans(monkeypatch, DataFrameWriter)
+    SG.stream_generate(spark, src, req.schema, sink, ck)
+    assert len(seen) == 1 and seen[0].count("Exchange") == 1       # no table of the batch beside the answers
+    req.withColumn("request_id", F.concat("request_id", F.lit("x"))).unionByName(req).write.mode("append").parquet(src)
+    SG.stream_generate(spark, src, req.schema, sink, ck)
+    out = spark.read.parquet(sink)
+    assert out.count() == 600 == out.select("request_id").distinct().count()
+    assert out.select(F.max("attempt")).first()[0] == 1

@@ -168,9 +168,10 @@ def _python_runner(fn: Callable[[str], str], attempt: int):
 
 def generate_responses(requests: DataFrame, backend="rules", text: str = "text",
                        retry_wait: float = 60.0, attempt_base: int = 1,
-                       parallelism: int | None = None) -> DataFrame:
+                       parallelism: int | None = None, unique: bool = False) -> DataFrame:
     """One response row per distinct ``request_id``. Only the columns the
-    backend reads are shuffled by the de-duplication. ``parallelism``: number
+    backend reads are shuffled by the de-duplication, which ``unique`` leaves
+    out: no two requests share an id. ``parallelism``: number
     of tasks that call a client (calls are slow and their bytes few, so the
     partition count by size would be too small).
 
@@ -180,15 +181,16 @@ def generate_responses(requests: DataFrame, backend="rules", text: str = "text",
     answered, and ``retry_wait`` seconds later, they are asked again together,
     spread over all tasks."""
     if backend == "rules":
-        distinct = requests.select("request_id", "stage", "kind", text).dropDuplicates(
-            ["request_id"])
+        distinct = requests.select("request_id", "stage", "kind", text)
+        distinct = distinct if unique else distinct.dropDuplicates(["request_id"])
         out = rules_backend(distinct, text)
         return out if attempt_base == 1 else out.withColumn("attempt", F.lit(attempt_base))
     if not callable(backend):
         raise ValueError("backend must be 'rules' or a callable prompt -> text")
     from tunedata.session import ship_package
     ship_package(requests.sparkSession)
-    distinct = requests.select("request_id", "prompt").dropDuplicates(["request_id"])
+    distinct = requests.select("request_id", "prompt")
+    distinct = distinct if unique else distinct.dropDuplicates(["request_id"])
 
     def ask(some: DataFrame, attempt: int, name: str) -> DataFrame:
         if parallelism:
@@ -207,15 +209,26 @@ def generate_responses(requests: DataFrame, backend="rules", text: str = "text",
 def number_after(new: DataFrame, previous: DataFrame) -> DataFrame:
     """Attempts of ``new`` continue after each request's last attempt in
     ``previous`` (a retried request gets attempt n + 1, n + 2, ...). Only
-    failed or empty attempts can precede a retry, so only those are read."""
+    failed or empty attempts can precede a retry, so only those are read, and
+    written, so that a few of them are joined without a shuffle of ``new``."""
     again = (F.coalesce(F.col("status"), F.lit("ok")) != "ok") | (F.col("response") == "")
-    last = previous.where(again).groupBy("request_id").agg(F.max("attempt").alias("_prev"))
+    last = materialize(previous.where(again).groupBy("request_id").agg(F.max("attempt").alias("_prev")), "last-attempts")
     return (new.join(last, "request_id", "left")
             .withColumn("attempt", (F.coalesce(F.col("_prev"), F.lit(0))
                                     + F.col("attempt")).cast("int"))
             .drop("_prev").select(*new.columns))
 
 
+def one_of_each(requests: DataFrame) -> DataFrame:
+    """One row per ``request_id``, found by the ids alone: only rows whose id
+    occurs again are shuffled as a whole (all, if ids that do are many).
+    ``requests`` is read three times."""
+    twice = materialize(requests.groupBy("request_id").agg(F.count(F.lit(1)).alias("_n"))
+                        .where("_n > 1").select("request_id"), "repeated-requests")
+    again = requests.join(twice, "request_id", "left_semi").dropDuplicates(["request_id"])
+    return requests.join(twice, "request_id", "left_anti").unionByName(again.select(*requests.columns))
+
+
 def responses_at(requests: DataFrame, path: str, backend="rules", text: str = "text",
                  retry_wait: float = 60.0) -> DataFrame:
     """The persisted response table for ``requests`` at ``path`` (shared
@@ -226,7 +239,10 @@ def responses_at(requests: DataFrame, path: str, backend="rules", text: str = "t
     ranks, several passes) reads the table instead of re-running the model."""
     spark = requests.sparkSession
     if not table_exists(spark, path):
-        new = generate_responses(requests, backend, text, retry_wait)
+        columns = ["request_id", "stage", "kind", text] if backend == "rules" else ["request_id", "prompt"]
+        (generate_responses(one_of_each(requests.select(*columns)), backend, text, retry_wait, unique=True)
+         .write.mode("append").parquet(path))
+        return spark.read.schema(RESPONSE_SCHEMA).parquet(path)       # one row a request
     else:
         done = spark.read.schema(RESPONSE_SCHEMA).parquet(path)
         todo = pending_requests(requests, done)
@@ -248,9 +264,11 @@ def repaired_at(requests: DataFrame, path: str, backend="rules", repairs: int =
             break
         todo = materialize(requests.join(empty, "request_id", "left_semi"), "repairs")
         done = spark.read.schema(RESPONSE_SCHEMA).parquet(path)
-        again = number_after(generate_responses(todo, backend, text, retry_wait), done)
-        materialize(again, "repaired").write.mode("append").parquet(path)
-        current = latest_attempt(spark.read.schema(RESPONSE_SCHEMA).parquet(path))
+        again = materialize(number_after(generate_responses(todo, backend, text, retry_wait), done), "repaired")
+        again.write.mode("append").parquet(path)
+        # the new attempts are the latest ones; all other rows stay
+        current = current.join(again.select("request_id"), "request_id", "left_anti").select(
+            *again.columns).unionByName(again)
     return current
 
 

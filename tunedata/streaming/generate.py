@@ -59,15 +59,24 @@ def stream_generate(spark: SparkSession, requests_dir: str, schema: ST.StructTyp
         ran += 1
         session = df.sparkSession
         session.conf.set(threshold, str(SOUGHT_IDS))       # of the stream's own session
-        asked = materialize(df.dropDuplicates(["request_id"]), "stream-batch")
+        asked = df
         if exists:
-            done = answered_among(session, sink, asked)
-            new = number_after(generate_responses(pending_requests(asked, done), backend), done)
-        else:
-            new = generate_responses(asked, backend)
+            # by their ids alone: which requests are new, and of which the last attempt failed
+            ids = materialize(df.select("request_id").distinct(), "stream-batch")
+            seen = answered_among(session, sink, ids).select("request_id", "status", "attempt", F.when(
+                F.col("response") == "", "").alias("response"))
+            seen = materialize(seen.join(ids, "request_id", "left_semi"), "stream-seen")
+            asked = pending_requests(df, seen)
+        # texts are shuffled once: dealt out by ranges of ids, which also brings copies together
+        columns = ["request_id", "stage", "kind", "text"] if backend == "rules" else ["request_id", "prompt"]
+        asked = asked.select(*columns).repartitionByRange("request_id").dropDuplicates(["request_id"])
+        new = generate_responses(asked, backend, unique=True)
+        if exists:
+            new = number_after(new, seen)
+        if backend != "rules":                             # written as they came, so dealt out again
+            new = new.repartitionByRange("request_id")
         # files with narrow ranges of ids, as many as the rows fill
-        _with_blooms(new.repartitionByRange("request_id").sortWithinPartitions("request_id")
-                     .write.mode("append")).parquet(sink)
+        _with_blooms(new.sortWithinPartitions("request_id").write.mode("append")).parquet(sink)
         exists = True
 
     reader = spark.readStream.schema(schema)
