@@ -52,6 +52,7 @@ def build_dataset(problems: DataFrame, originals: DataFrame | None = None,
     variants = (rewrite.select("request_id", "problem_id", "kind")
                 .join(ok1.select("request_id", F.col("response").alias("text")), "request_id")
                 .drop("request_id"))
+    variants = materialize(variants, "variants")          # read four times below
     ask = P.question_prompt(variants).withColumn(
         "problem", P.unrender("prompt", "kind", T.QUESTION_TEMPLATES))
     qa = G.request_table(ask, "question")
