@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import SF01
+from conftest import SF001, SF01
 from edge_rows import LONG, edge_docs, empty_docs, rows
 from pyspark.sql import functions as F
 
@@ -109,6 +109,42 @@ def test_base_scores(spark, monkeypatch, share):
         assert sum(r.score for r in held) > 0.9 * sum(r.base_score for r in held)
 
 
+def brute_pairs(docs):
+    """Scores by exact counts of all words and pairs, none of them cut."""
+    low = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+    toks = [(crc("" if i is None else i, 7) == 2, [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(low)), b""])
+            for i, t in docs]
+    word, pair = Counter(), Counter()
+    for held, t in toks:
+        if not held:
+            word.update(t)
+            pair.update(zip([b"", *t[:-1]], t))        # a start stands as often as an end
+    n, v = sum(word.values()), len(word)
+    wins = sum(c for (a, b), c in pair.items() if word[a] > 1 and (c - 1) / (word[a] - 1) > (word[b] - 1) / (n - 1))
+    w = min(wins / n, 0.9)
+
+    def p(a, b):
+        one = (word[b] + 1) / (n + v + 1)
+        return w * pair[a, b] / word[a] + (1 - w) * one if word[a] else one
+    return [sum(math.log10(p(a, b)) for a, b in zip([b"", *t[:-1]], t)) for _, t in toks]
+
+
+def test_rare_words_and_pairs_are_counted(spark, monkeypatch):
+    """With this share nothing is held: every word and pair is looked up."""
+    monkeypatch.setattr(ngram_bloom, "HELD_SHARE", 1.0)
+    monkeypatch.setattr(ngram_bloom, "CHUNK_BYTES", 20_000)
+    monkeypatch.setattr(ngram_bloom, "RANGE_BYTES", 50_000)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()]
+    docs += [(10 ** 6 + i, "") for i in range(3)] + [(7, "two rows of one id"), (None, None), (None, "Zyx zyx")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.score) for r in ngram_bloom.lm_scores(df, held).collect())
+    want = sorted((i is None, i or 0, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) + 1, s)
+                  for (i, t), s in zip(docs, brute_pairs(docs), strict=True))
+    for a, b in zip(got, want, strict=True):
+        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], rel=1e-3)
+
+
 def test_bloom_levels():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 2 ** 64, 20_000, dtype=np.uint64)

@@ -3,15 +3,16 @@
 The counts of words and word pairs are quantised on a log scale, and an n-gram
 of level j is put into one Bloom filter j times, as (n-gram, 1) to (n-gram, j).
 Workers get the filter by broadcast and find a count by repeated membership
-probes; interpolated shares of pair and word, and for rare words the mean of
-their mass, give the probability of each token.
+probes; interpolated shares of pair and word give the probability of each
+token.
 
 An n-gram is held if it makes up HELD_SHARE of the training tokens. No more
 than 1 / HELD_SHARE n-grams of an order can, whatever the size of the corpus,
-which bounds the filter; the mass of all rarer words is measured exactly and
-shared out among them. Beside it the exact add-one unigram score of every text
-is computed: counts of held words travel with the filter, those of the rarer
-words, which grow with the corpus, are joined.
+which bounds the filter. The exact counts of all rarer words and pairs, which
+grow with the corpus, are looked up by shuffles: texts are dealt into chunks, a
+chunk asks for each of its different rare n-grams once, asks are grouped by
+ranges of the hash and answered with the sums of their training occurrences.
+Beside it the exact add-one unigram score of every text is computed.
 """
 
 from __future__ import annotations
@@ -44,6 +45,13 @@ HASHES = 8
 #: Pairs are first counted in a sketch of 2^SKETCH_BITS slots: a pair in a slot
 #: under the limit cannot reach it.
 SKETCH_BITS = 20
+#: A chunk holds about so many bytes of texts (or one text), a range of hashes
+#: the asks of about so many.
+CHUNK_BYTES = 8 << 20
+RANGE_BYTES = 16 << 20
+#: A rare text's ratios of pair and word are kept on a log scale of base
+#: 2^(1 / RATIO_STEPS) until the pairs' weight is known.
+RATIO_STEPS = 256
 _END = np.uint64(0x5851F42D4C957F2D)
 _START = np.uint64(0x14057B7EF767814F)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
@@ -59,7 +67,11 @@ def token_hashes(texts: list[str | None]) -> list[np.ndarray]:
 
 def pair_hashes(h: np.ndarray) -> np.ndarray:
     """Hashes of (token before, token); before the first stands a start sign."""
-    return mix(_before(h) * _PAIR + h)
+    return _pair(_before(h), h)
+
+
+def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(first * _PAIR + second)
 
 
 def _before(h: np.ndarray) -> np.ndarray:
@@ -134,25 +146,18 @@ class BloomModel:
     n_tokens: int
     types: int
     least: float
-    rare: float            # mean count of a word that is not held
-    pair_weight: float
+    wins: float            # training tokens that a held pair foretells better than the word
     head: np.ndarray
     head_counts: np.ndarray
 
-    def log10(self, texts: list[np.ndarray]) -> np.ndarray:
-        """log10 P(token | token before) of all tokens of the texts."""
-        h = np.concatenate(texts)
-        before = np.concatenate([_before(x) for x in texts])
-        distinct, where = np.unique(np.concatenate((h, before)), return_inverse=True)
-        word = count_of(self.bloom.levels(distinct), self.least)
-        p_word = np.where(word > 0, word + 1, self.rare + 1) / (self.n_tokens + self.types + 1.0)
-        pairs, at = np.unique(mix(before * _PAIR + h), return_inverse=True)
-        pair = count_of(self.bloom.levels(pairs), self.least)[at]
-        first = where[len(h):]
-        before_n = np.maximum(word[first], pair)     # both are quantised
-        share = np.divide(pair, before_n, out=np.zeros(len(h)), where=word[first] > 0)
-        weight = np.where(word[first] > 0, self.pair_weight, 0.0)
-        return np.log10(weight * share + (1 - weight) * p_word[where[: len(h)]])
+    @property
+    def rarer(self) -> bool:
+        """Whether there can be n-grams that are not held."""
+        return self.least > 1
+
+    def weight(self, wins: float) -> float:
+        """The pairs' weight, from the training tokens that their pair foretells better."""
+        return float(min(wins / max(self.n_tokens, 1), 0.9))
 
     def counts(self, h: np.ndarray) -> np.ndarray:
         """The exact counts of held words; 0 for others."""
@@ -168,33 +173,50 @@ def pair_slot(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def _held_pairs(train: DataFrame, least: float) -> pd.DataFrame:
+def rare_grams(model: BloomModel, h: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens' words and which pairs are not held."""
+    distinct, at = np.unique(pairs, return_inverse=True)
+    return model.counts(h) == 0, ~model.bloom.has(distinct, 1)[at]
+
+
+def _candidates(head: np.ndarray, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """First and second token of the pairs of held words; a pair that is held
+    has no rarer words. (The start sign stands as often as the end token.)"""
+    tokens = token_hashes(texts)
+    h, first = np.concatenate(tokens), np.concatenate([_before(t) for t in tokens])
+    held = head[np.minimum(np.searchsorted(head, h), len(head) - 1)] == h if len(head) else np.zeros(len(h), bool)
+    ends = np.cumsum([len(t) for t in tokens]) - 1
+    keep = held & _shifted(held, np.concatenate(([0], ends[:-1] + 1)), held[ends])
+    return first[keep], h[keep]
+
+
+def _held_pairs(train: DataFrame, least: float, head: np.ndarray) -> pd.DataFrame:
     """``h``, ``first`` and ``second`` (hashes of its tokens) and exact count
-    ``n`` of each pair with ``least`` or more occurrences."""
+    ``n`` of each pair with ``least`` or more occurrences; ``head``: the held words."""
+    context = train.sparkSession.sparkContext
+    words = context.broadcast(head)                               # 1 / HELD_SHARE hashes at most
     counted = count_slots(train, SKETCH_BITS, lambda column: [
-        pair_slot(pair_hashes(h)) for h in token_hashes(column)])
+        pair_slot(_pair(*_candidates(words.value, column)))])
     heavy = np.packbits(counted >= least)
-    shared = train.sparkSession.sparkContext.broadcast(heavy)     # 2^SKETCH_BITS bits
+    shared = context.broadcast(heavy)                             # 2^SKETCH_BITS bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             for _, column in runs(batch.column(0)):
-                texts = token_hashes(column)
-                h = np.concatenate([pair_hashes(x) for x in texts])
-                first = np.concatenate([_before(x) for x in texts])
-                second = np.concatenate(texts)
-                keep = bits[pair_slot(h)]
-                pairs, at, n = np.unique(h[keep], return_index=True, return_counts=True)
+                first, second = _candidates(words.value, column)
+                h = _pair(first, second)
+                keep = np.flatnonzero(bits[pair_slot(h)])
+                _, at, n = np.unique(h[keep], return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(pairs.view(np.int64)), pa.array(first[keep][at].view(np.int64)),
-                     pa.array(second[keep][at].view(np.int64)), pa.array(n.astype(np.int64))],
-                    ["h", "first", "second", "n"])
+                    [pa.array(first[keep[at]].view(np.int64)), pa.array(second[keep[at]].view(np.int64)),
+                     pa.array(n.astype(np.int64))], ["first", "second", "n"])
 
-    # at most 1 / HELD_SHARE rows of four numbers
-    return (train.mapInArrow(count, "h long, first long, second long, n long")
-            .groupBy("h", "first", "second")
+    # at most 1 / HELD_SHARE rows of three numbers
+    held = (train.mapInArrow(count, "first long, second long, n long").groupBy("first", "second")
             .agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas())
+    first, second = (held[c].to_numpy(np.int64).view(np.uint64) for c in ("first", "second"))
+    return held.assign(h=_pair(first, second).view(np.int64))
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -221,7 +243,7 @@ def train_bloom(train: DataFrame, counts: DataFrame) -> BloomModel:
     # at most 1 / HELD_SHARE rows of two numbers each
     head = counts.filter(F.col("c") >= least).toPandas()
     head_h, head_n = _sorted(head, "h", "c")
-    held = _held_pairs(train, least)
+    held = _held_pairs(train, least, head_h)
     pair_h, pair_n = _sorted(held, "h", "n")
     # the start sign stands before a text as often as the end token after it
     ends = head_n[head_h == _END]
@@ -230,14 +252,18 @@ def train_bloom(train: DataFrame, counts: DataFrame) -> BloomModel:
     bloom = LogBloom(sum(int(x.sum()) for _, x in items))
     for h, levels in items:
         bloom.add(h, levels)
-    rest, others = n_tokens - head_n.sum(), types - len(head_n)
-    return BloomModel(bloom, n_tokens, types, least, float(rest / max(others, 1)),
-                      _pair_weight(held, words, n_tokens), head_h, head_n)
+    return BloomModel(bloom, n_tokens, types, least, _held_wins(held, words, n_tokens), head_h, head_n)
 
 
-def _pair_weight(held: pd.DataFrame, words: tuple[np.ndarray, np.ndarray], n_tokens: int) -> float:
-    """Deleted interpolation: the share of training tokens that, with one
-    occurrence left out, their pair foretells better than their word."""
+def _wins(n: np.ndarray, before: np.ndarray, word: np.ndarray, n_tokens: int) -> np.ndarray:
+    """Deleted interpolation: the pairs of ``n`` occurrences that, with one
+    left out, foretell their token better than its word does."""
+    by_pair = np.divide(n - 1, before - 1, out=np.zeros(len(n)), where=before > 1)
+    return by_pair > np.maximum(word - 1, 0) / max(n_tokens - 1, 1)
+
+
+def _held_wins(held: pd.DataFrame, words: tuple[np.ndarray, np.ndarray], n_tokens: int) -> float:
+    """The training tokens whose pair is held and wins; the words of a held pair are held."""
     order = np.argsort(words[0])
     known, counts = words[0][order], words[1][order]
 
@@ -249,9 +275,7 @@ def _pair_weight(held: pd.DataFrame, words: tuple[np.ndarray, np.ndarray], n_tok
         return np.where(known[at] == h, counts[at], 0)
 
     n, before, word = held["n"].to_numpy(float), count("first"), count("second")
-    by_pair = np.divide(n - 1, before - 1, out=np.zeros(len(n)), where=before > 1)
-    wins = by_pair > np.maximum(word - 1, 0) / max(n_tokens - 1, 1)
-    return float(min(n[wins].sum() / max(n_tokens, 1), 0.9))
+    return float(n[_wins(n, before, word, n_tokens)].sum())
 
 
 def _sorted(pdf: pd.DataFrame, h: str, n: str) -> tuple[np.ndarray, np.ndarray]:
@@ -260,31 +284,217 @@ def _sorted(pdf: pd.DataFrame, h: str, n: str) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], pdf[n].to_numpy(np.int64)[order]
 
 
+# ---- exact counts of the rarer n-grams -------------------------------------------
+
+def _packed(h: np.ndarray) -> tuple[int, bytes]:
+    """A first hash and the steps to the next ones of a sorted array, in as few bytes as the largest needs."""
+    steps = np.diff(h)
+    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    return int(h[:1].view(np.int64)[0]), steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpacked(first: int, steps: bytes, size: int) -> np.ndarray:
+    out = np.zeros((size, 8), np.uint8)
+    if size > 1:
+        out[1:, : len(steps) // (size - 1)] = np.frombuffer(steps, np.uint8).reshape(size - 1, -1)
+    out = out.view("<u8").reshape(-1)
+    out[0] = np.int64(first).view(np.uint64)
+    return np.cumsum(out, dtype=np.uint64)
+
+
+def _small(n: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs."""
+    return n.astype(np.min_scalar_type(int(n.max(initial=0)))).tobytes()
+
+
+def _counts(data: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // size}").astype(np.int64)
+
+
+def _rare_of(model: BloomModel, part: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's tokens, which words and pairs are rare, and the hashes of these."""
+    tokens = token_hashes(part.column("text").to_pylist())
+    h, pairs = np.concatenate(tokens), np.concatenate([pair_hashes(t) for t in tokens])
+    words, keep = rare_grams(model, h, pairs)
+    return tokens, words, keep, np.concatenate((h[words], pairs[keep]))
+
+
+def rare_counts(chunks: DataFrame, model, ranges: int) -> DataFrame:
+    """``chunk``, ``range``, ``n``: the exact training counts of the different
+    rare n-grams of each chunk, in the order of their hashes. An n-gram held by
+    no training text counts 0."""
+
+    def ask(part: pa.Table) -> pa.Table:
+        tokens, words, keep, grams = _rare_of(model.value, part)
+        learned = np.repeat(~np.array(part.column("_held").to_pylist(), bool), [len(t) for t in tokens])
+        grams, at = np.unique(grams, return_inverse=True)
+        n = np.bincount(at, np.concatenate((learned[words], learned[keep])), len(grams)).astype(np.int64)
+        where = ((grams >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+        found, starts = np.unique(where, return_index=True)
+        pieces = [(*_packed(g), len(g), _small(c)) for g, c in
+                  zip(np.split(grams, starts[1:]), np.split(n, starts[1:]), strict=True) if len(g)]
+        columns = [list(x) for x in zip(*pieces, strict=True)] or [[], [], [], []]
+        return pa.table([pa.array([part.column("_chunk")[0].as_py()] * len(pieces), pa.int64()),
+                         pa.array(found, pa.int64()), pa.array(columns[0], pa.int64()),
+                         pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int64()),
+                         pa.array(columns[3], pa.binary())],
+                        ["chunk", "range", "first", "steps", "size", "n"])
+
+    def answer(asks: pa.Table) -> pa.Table:
+        sizes = asks.column("size").to_pylist()
+        grams = np.concatenate([_unpacked(*x) for x in zip(
+            asks.column("first").to_pylist(), asks.column("steps").to_pylist(), sizes, strict=True)])
+        n = np.concatenate([_counts(*x) for x in zip(asks.column("n").to_pylist(), sizes, strict=True)])
+        distinct, at = np.unique(grams, return_inverse=True)
+        total = np.bincount(at, n, len(distinct)).astype(np.int64)[at]
+        told = [_small(x) for x in np.split(total, np.cumsum(sizes)[:-1])]
+        return pa.table([asks.column("chunk"), asks.column("range"), asks.column("size"),
+                         pa.array(told, pa.binary())], ["chunk", "range", "size", "n"])
+
+    return (chunks.groupBy("_chunk").applyInArrow(
+                ask, "chunk long, range long, first long, steps binary, size long, n binary")
+            .groupBy("range").applyInArrow(answer, "chunk long, range long, size long, n binary"))
+
+
 # ---- scoring ------------------------------------------------------------------
 
-def _score(model: BloomModel, texts: list[str | None]) -> list[tuple]:
-    """n_tokens, score, the part of held words in n_known and the base sum, and
-    the other words with their counts in the text."""
-    tokens = token_hashes(texts)
-    sizes = np.array([len(h) for h in tokens])
+@dataclass
+class _Tokens:
+    """Of the tokens of some texts: exact counts of the words, their
+    probabilities, whether the word before is known, the pair's share of it,
+    and (of rare pairs) whether the pair foretells the token better."""
+
+    starts: np.ndarray
+    sizes: np.ndarray
+    counts: np.ndarray
+    p_word: np.ndarray
+    known: np.ndarray
+    share: np.ndarray
+    wins: np.ndarray
+
+    def summed(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values, self.starts)
+
+
+def _tokens(model: BloomModel, tokens: list[np.ndarray], words: np.ndarray | None = None,
+            keep: np.ndarray | None = None, exact: np.ndarray | None = None) -> _Tokens:
+    """``exact``: the counts of the rare ``words`` and of the rare pairs (``keep``); without these all are held."""
+    h = np.concatenate(tokens)
+    sizes = np.array([len(t) for t in tokens])
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    score = np.add.reduceat(model.log10(tokens), starts)
-    c = model.counts(np.concatenate(tokens))
-    known = np.add.reduceat((c > 0).astype(np.int64), starts)
-    base = np.add.reduceat(np.where(c > 0, np.log10(c + 1.0), 0.0), starts)
-    out = []
-    for i, h in enumerate(tokens):
-        rare, n = np.unique(h[c[starts[i]: starts[i] + sizes[i]] == 0], return_counts=True)
-        out.append((int(sizes[i]), float(score[i]), int(known[i]), float(base[i]),
-                    rare.view(np.int64), n.astype(np.int32)))
+    distinct, at = np.unique(h, return_inverse=True)
+    count = model.counts(h)
+    word = count_of(model.bloom.levels(distinct), model.least)[at]     # held counts are quantised
+    pairs, at = np.unique(np.concatenate([pair_hashes(t) for t in tokens]), return_inverse=True)
+    pair = count_of(model.bloom.levels(pairs), model.least)[at]
+    wins = np.zeros(len(h), bool)
+    if exact is not None:
+        n_words = int(words.sum())
+        count[words], word[words], pair[keep] = exact[:n_words], exact[:n_words], exact[n_words:]
+    # the start sign stands before a text as often as the end token after it
+    ends = starts + sizes - 1
+    before = _shifted(word, starts, word[ends])
+    if exact is not None:
+        wins[keep] = _wins(pair[keep], _shifted(count, starts, count[ends])[keep], count[keep], model.n_tokens)
+    share = np.divide(pair, np.maximum(before, pair), out=np.zeros(len(h)), where=before > 0)
+    return _Tokens(starts, sizes, count, (word + 1) / (model.n_tokens + model.types + 1.0), before > 0, share, wins)
+
+
+def _shifted(values: np.ndarray, starts: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The value of the token before; ``first`` before the first of each text."""
+    out = np.concatenate((values[:1], values[:-1]))
+    out[starts] = first
     return out
 
 
+def _score(model: BloomModel, texts: list[str | None]) -> list[tuple]:
+    """n_tokens, n_known, the base sum and the score of texts whose n-grams are all held."""
+    t = _tokens(model, token_hashes(texts))
+    weight = np.where(t.known, model.weight(model.wins), 0.0)
+    score = t.summed(np.log10(weight * t.share + (1 - weight) * t.p_word))
+    known, base = t.summed((t.counts > 0).astype(np.int64)), t.summed(np.log10(t.counts + 1.0))
+    return list(zip(t.sizes.tolist(), known.tolist(), base.tolist(), score.tolist(), strict=True))
+
+
+def _measured(model: BloomModel, part: pa.Table, told: pa.Table) -> list[pa.Array]:
+    """Of each text of a chunk, with the answers to its asks: n_tokens, n_known,
+    the base sum, the sum of the words' log10, the tokens whose word before is
+    known, the training tokens that their rare pair foretells better, and the
+    ratios of pair and word as steps and their numbers."""
+    tokens, words, keep, grams = _rare_of(model, part)
+    order = np.argsort(told.column("range").to_numpy())
+    n, size = told.column("n").to_pylist(), told.column("size").to_pylist()
+    counts = np.concatenate([np.empty(0, np.int64), *[_counts(n[i], size[i]) for i in order]])
+    distinct, at = np.unique(grams, return_inverse=True)
+    if len(distinct) != len(counts):
+        raise ValueError("the answers do not belong to these texts")
+    t = _tokens(model, tokens, words, keep, counts[at])
+    learned = ~np.array(part.column("_held").to_pylist(), bool)
+    has = np.flatnonzero(t.share > 0)
+    step = np.rint(np.log2(t.share[has] / t.p_word[has]) * RATIO_STEPS).astype(np.int64)
+    row = np.repeat(np.arange(len(tokens)), t.sizes)[has]
+    both, times = np.unique((row << 32) + step + (1 << 31), return_counts=True)
+    offsets = pa.array(np.searchsorted(both, np.arange(len(tokens) + 1) << 32).astype(np.int32))
+    steps = pa.array(((both & 0xFFFFFFFF) - (1 << 31)).astype(np.int32))
+    return [pa.array(t.sizes.astype(np.int64)), pa.array(t.summed((t.counts > 0).astype(np.int64))),
+            pa.array(t.summed(np.log10(t.counts + 1.0))), pa.array(t.summed(np.log10(t.p_word))),
+            pa.array(t.summed(t.known.astype(np.int64))),
+            pa.array(np.where(learned, t.summed(t.wins.astype(np.int64)), 0)),
+            pa.ListArray.from_arrays(offsets, steps),
+            pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))]
+
+
+_MEASURED = ("n_tokens long, n_known long, _sum double, _words double, _before long, _wins long, "
+             "_steps array<int>, _times array<int>")
+
+
+def _with_rare(rows: DataFrame, fitted: BloomModel, model) -> DataFrame:
+    """``_id``, ``_held``, ``n_tokens``, ``n_known``, ``_sum`` and ``score``,
+    with the exact counts of the n-grams that are not held."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # whole rows that repeat come into one chunk, others are spread by their texts
+    chunks = rows.withColumn("_chunk", F.pmod(F.xxhash64("_id", "text"), F.lit(size // CHUNK_BYTES + 1)))
+    told = rare_counts(chunks, model, size // RANGE_BYTES + 1)
+    keys = rows.select("_id", "_held").schema
+    schema = keys
+    for f in rows.sparkSession.createDataFrame([], _MEASURED).schema:
+        schema = schema.add(f)
+    names = [f.name for f in schema]
+
+    def measure(part: pa.Table, answers: pa.Table) -> pa.Table:
+        own = [part.column("_id"), part.column("_held")]
+        if part.num_rows == 0:
+            raise ValueError("answers without texts")
+        return pa.table([*own, *_measured(model.value, part, answers)], names)
+
+    # the chunks' shuffle is one for asks and texts
+    measured = written(chunks.groupBy("_chunk").cogroup(told.groupBy("chunk")).applyInArrow(measure, schema),
+                       "lm-measured")
+    wins = measured.agg(F.sum("_wins")).first()[0] or 0
+    weight = fitted.weight(fitted.wins + wins)
+    rest, odds = float(np.log10(1 - weight)), weight / (1 - weight)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            steps, times = batch.column("_steps"), batch.column("_times").flatten().to_numpy()
+            gain = times * np.log10(1 + odds * 2.0 ** (steps.flatten().to_numpy() / RATIO_STEPS))
+            total = np.concatenate(([0.0], np.cumsum(gain)))
+            ends = np.cumsum(steps.value_lengths().to_numpy())
+            gained = total[ends] - total[np.concatenate(([0], ends[:-1]))]
+            score = batch.column("_words").to_numpy() + batch.column("_before").to_numpy() * rest + gained
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(i) for i in range(5)], pa.array(score)], [*batch.schema.names[:5], "score"])
+
+    out = measured.select("_id", "_held", "n_tokens", "n_known", "_sum").schema.add("score", "double")
+    return measured.mapInArrow(finish, out)
+
+
 def lm_scores(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id",
               text_col: str = "text") -> DataFrame:
     """One row per input row: the id, ``held_out``, ``n_tokens``, ``n_known``
     (tokens that occur in training), ``train_tokens``, ``base_score`` (exact
-    add-one unigram log10) and ``score`` (log10 probability by the filter).
+    add-one unigram log10) and ``score`` (log10 probability by the filter and
+    the exact counts of what it does not hold).
 
     * Learned from the rows where ``held_out`` is false (or null). A null text
       is an empty one: only its end token is scored. Without training rows
@@ -299,20 +509,13 @@ def lm_scores(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id",
     counts = written(word_counts(train), "lm-counts")
     fitted = train_bloom(train, counts)
     model = rows.sparkSession.sparkContext.broadcast(fitted)
-    scored = add_columns(rows, "text", ["_id", "_held"],
-                         "n_tokens long, score double, _known long, _sum double, "
-                         "_rare array<long>, _n array<int>", lambda texts: _score(model.value, texts))
-    # numbers are given once, by the write
-    scored = written(scored.withColumn("_row", F.monotonically_increasing_id()), "lm-scored")
-    rare = scored.select("_row", F.explode(F.arrays_zip("_rare", "_n")).alias("t")).select(
-        "_row", F.col("t._rare").alias("h"), F.col("t._n").alias("n"))
-    joined = rare.join(counts.filter(F.col("c") < fitted.least), "h").groupBy("_row").agg(
-        F.sum("n").alias("_known2"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("_sum2"))
+    if fitted.rarer:
+        scored = _with_rare(rows, fitted, model)
+    else:
+        scored = add_columns(rows, "text", ["_id", "_held"], "n_tokens long, n_known long, _sum double, score double",
+                             lambda texts: _score(model.value, texts))
     everything = F.lit(float(fitted.n_tokens + fitted.types + 1))
-    return scored.drop("_rare", "_n").join(joined, "_row", "left").select(
-        F.col("_id").alias(id_col), F.col("_held").alias("held_out"), "n_tokens",
-        (F.col("_known") + F.coalesce("_known2", F.lit(0))).alias("n_known"),
+    return scored.select(
+        F.col("_id").alias(id_col), F.col("_held").alias("held_out"), "n_tokens", "n_known",
         F.lit(fitted.n_tokens).cast("long").alias("train_tokens"),
-        (F.col("_sum") + F.coalesce("_sum2", F.lit(0.0))
-         - F.col("n_tokens") * F.log10(everything)).alias("base_score"),
-        "score")
+        (F.col("_sum") - F.col("n_tokens") * F.log10(everything)).alias("base_score"), "score")
