@@ -9,6 +9,7 @@ from pyspark.sql import types as ST
 
 from tunedata.operators import anchors as AN
 from tunedata.operators import generate as G
+from tunedata.operators import metrics as M
 from tunedata.operators import prompts as P
 from tunedata.sources import io as IO
 from tunedata.streaming import generate as SG
@@ -95,3 +96,23 @@ def test_a_stream_shuffles_texts_once(spark, tmp_shared, monkeypatch):
     out = spark.read.parquet(sink)
     assert out.count() == 600 == out.select("request_id").distinct().count()
     assert out.select(F.max("attempt")).first()[0] == 1
+
+
+def test_perplexity_shuffles_numbers(spark, monkeypatch):
+    """Pairs are written, counted and joined as hashes of their words, with the results of a given model of words."""
+    written = {}
+
+    def recording(df, name, own=M.materialize):
+        written[name] = df.schema
+        return own(df, name)
+
+    monkeypatch.setattr(M, "materialize", recording)
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("abcdefg,.") for _ in range(rng.randrange(9)))) for i in range(60)] + [(60, None)]
+    df = spark.createDataFrame(rows, "k long, t string")
+    own = {r.k: r.perplexity for r in M.perplexity(df, "k", "t").collect()}
+    assert set(written) >= {"bigram-pairs", "bigram-counts", "bigram-losses"}
+    assert not any(f.dataType == ST.StringType() for s in written.values() for f in s)
+    given = {r.k: r.perplexity for r in M.perplexity(df, "k", "t", model=M.train_bigram(df, "k", "t")).collect()}
+    assert set(own) == set(given) == {k for k, _ in rows} and own[60] is None
+    assert all((own[k] is None and given[k] is None) or abs(own[k] - given[k]) < 1e-9 for k in own)

@@ -10,7 +10,7 @@ Scale notes
   token array is sorted and run-length counted with higher-order functions,
   so the metric is a narrow projection (no explode, no shuffle).
 * Perplexity tokenizes each text once: its (previous, token) pairs are
-  written, and both the model and the scores start from that table. The model is two corpus-wide aggregates with map-side
+  written, words as 64-bit hashes (of ten million different words two share one with a probability of 3e-6), and both the model and the scores start from that table. The model is two corpus-wide aggregates with map-side
   combine (``c(p, w)`` and ``c(p, .)``), a loss for each different pair, and a
   join to the texts' pairs that holds no hot key (``lookup.hot_lookup``).
   ``train_bigram`` writes the model tables for repeated scoring;
@@ -98,17 +98,20 @@ def with_entropy(df: DataFrame, text: str, out: str = "entropy",
 
 # --- M4 ----------------------------------------------------------------------
 def bigram_pairs(df: DataFrame, key: str, text: str, max_tokens: int = 1024,
-                 source: str | None = None, lowered: str | None = None) -> DataFrame:
+                 source: str | None = None, lowered: str | None = None, hashed: bool = False) -> DataFrame:
     """(key, [src,] p, w, n): every (previous, token) pair of each text's
     first ``max_tokens`` lower-cased tokens (n = 1; texts repeat few pairs, and
     sorting a text's pairs to count them costs more than it saves). ``source``
     tags the pairs with the column they came from (several models in one pass);
-    ``lowered`` names a column that holds the tokens."""
+    ``lowered`` names a column that holds the tokens; with ``hashed`` words are
+    numbers, as ``_hashed`` makes them."""
     tag = [F.lit(source).alias("src")] if source is not None else []
     words = F.col(lowered) if lowered else tokens(F.lower(F.col(text)))
-    t = df.select(key, *tag, F.slice(words, 1, max_tokens).alias("_t"))
+    words = F.slice(words, 1, max_tokens)
+    t = df.select(key, *tag, (F.transform(words, lambda w: F.xxhash64(w)) if hashed else words).alias("_t"))
     tc = F.col("_t")
-    prev = F.concat(F.array(F.lit(START)), F.slice(tc, 1, F.greatest(F.size(tc) - 1, F.lit(0))))
+    start = F.xxhash64(F.lit(START)) if hashed else F.lit(START)
+    prev = F.concat(F.array(start), F.slice(tc, 1, F.greatest(F.size(tc) - 1, F.lit(0))))
     zipped = F.when(F.size(tc) > 0, F.arrays_zip(prev.alias("p"), tc.alias("w")))
     # explode_outer + null filter: a plain explode makes Catalyst infer a
     # size(...) > 0 filter and push it (with the tokenizer) below this project
@@ -118,6 +121,11 @@ def bigram_pairs(df: DataFrame, key: str, text: str, max_tokens: int = 1024,
                      F.col("_v.w").alias("w"), F.lit(1).cast("long").alias("n"))
 
 
+def _hashed(table: DataFrame) -> DataFrame:
+    """The words of a table of pairs or previous tokens as 64-bit hashes."""
+    return table.withColumns({c: F.xxhash64(c) for c in ("p", "w") if c in table.columns})
+
+
 def bigram_model(pairs: DataFrame, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(by, p, w, c, rows) pair counts and in how many rows of ``pairs`` they
     are, (by, p, cp) previous-token totals and (by, v) vocabulary sizes; ``by``
@@ -186,13 +194,13 @@ def perplexity(df: DataFrame, key: str, text: str, max_tokens: int = 1024,
 
     The model is ``model`` (see ``train_bigram``), else trained on ``corpus``,
     else on the scored column itself; pairs unseen in the model count 0."""
-    pairs = materialize(bigram_pairs(df, key, text, max_tokens), "bigram-pairs")
+    pairs = materialize(bigram_pairs(df, key, text, max_tokens, hashed=True), "bigram-pairs")
     own = corpus is None and model is None
     if model is not None:
-        c, cp, v = model.pairs, model.prevs, model.vocab
+        c, cp, v = _hashed(model.pairs), _hashed(model.prevs), model.vocab
     else:
         train = pairs if corpus is None else bigram_pairs(
-            corpus, corpus_key or key, corpus_text or text, max_tokens)
+            corpus, corpus_key or key, corpus_text or text, max_tokens, hashed=True)
         c, cp, v = bigram_model(train)
     # a given model's pairs are common in the scored texts as in its own
     scored = hot_lookup(pairs, _pair_losses(c, cp, v), ["p", "w"], "rows", ["nll"])
@@ -215,7 +223,7 @@ def perplexities(df: DataFrame, key: str, texts: dict[str, str], max_tokens: int
     maps output column -> column that holds its tokens."""
     pairs = None
     for out, text in texts.items():
-        p = bigram_pairs(df, key, text, max_tokens, source=out, lowered=(lowered or {}).get(out))
+        p = bigram_pairs(df, key, text, max_tokens, source=out, lowered=(lowered or {}).get(out), hashed=True)
         pairs = p if pairs is None else pairs.unionByName(p)
     pairs = materialize(pairs, "bigram-pairs")
     c, cp, v = bigram_model(pairs, by=("src",))
