@@ -3,6 +3,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from conftest import SF001
 from pyspark.sql import functions as F
@@ -104,3 +105,58 @@ def test_hot_lookup_equals_a_left_join(spark, monkeypatch):
         monkeypatch.setattr(lookup, "HEAD_SHARE", share)
         got = lookup.hot_lookup(left, right, ["a", "b"], "n", ["v"]).collect()
         assert {(r.i, r.v) for r in got} == want and len(got) == 300
+
+
+def test_trigrams_are_written_as_numbers_once(spark, monkeypatch):
+    """No table of the model or the scores holds words, and one holds the trigrams: a few bytes for each."""
+    written = {}
+
+    def recording(df, name, own=KN.materialize):
+        written[name] = own(df, name)
+        return written[name]
+
+    monkeypatch.setattr(KN, "materialize", recording)
+    rng = random.Random(4)
+    words = [f"word{int(rng.paretovariate(0.9)) % 3000}" for _ in range(60_000)]
+    df = spark.createDataFrame([(i, " ".join(words[i * 100:i * 100 + 100])) for i in range(600)], "k int, t string")
+    model = KN.train(KN.text_trigrams(df, "k", "t"))
+    different = len(set(plain_grams([r.t for r in df.collect()])))
+    packed = sum(len(r.grams) for r in model.c3.collect())
+    assert packed < 10 * different
+    KN.perplexity_kn(df, "k", "t", model).collect()
+    types = {name: [d for _, d in table.dtypes] for name, table in written.items()}
+    assert not any("string" in d for name in types for d in types[name])
+
+
+def plain_grams(texts):
+    for t in texts:
+        seq = ["<s>", "<s>", *(t or "").lower().split()]
+        yield from zip(seq, seq[1:], seq[2:])
+
+
+@pytest.mark.parametrize("bucket,numbers", [(7, 1 << 18), (40, 3), (40, 0)])
+def test_many_buckets_spread_words_and_parts(spark, monkeypatch, bucket, numbers):
+    monkeypatch.setattr(KN, "BUCKET_GRAMS", bucket)
+    monkeypatch.setattr(KN, "CHUNK_GRAMS", 50)
+    monkeypatch.setattr(KN, "NUMBERS", numbers)
+    given = sentences(2, 80) + [(200, "the the the the the"), (201, None)]
+    df = spark.createDataFrame(given, "k int, t string")
+    model = KN.train(KN.text_trigrams(df, "k", "t"))
+    assert model.numbering.buckets > 10 and (model.numbering.spread > 0) == (numbers > 0)
+    assert (model.c2.count() > 0) == (numbers > 0)
+    p, words, contexts = plain_model([t for _, t in given])
+    asked = [(u, v, w) for u, v in sorted(contexts) for w in [*words, "never"]]
+    assert len(asked) > model.numbering.buckets * bucket                 # each bucket is asked by parts
+    got = {(r.u, r.v, r.w): r.p for r in KN.probabilities(
+        spark.createDataFrame(asked, "u string, v string, w string"), model).collect()}
+    assert len(got) == len(asked)
+    for a in asked:
+        assert got[a] == pytest.approx(p(*a), rel=1e-9)
+
+
+def test_packing_is_undone():
+    rng = np.random.default_rng(6)
+    for m in (0, 1, 2, 500):
+        g = rng.integers(-3, 4, (4, m)) * rng.choice([1, 2**61], (4, m))
+        g, _ = KN._counted(np.vstack([g[:3], np.ones(m, np.int64)]))
+        assert (KN._unpacked(KN._packed(g)) == g).all()

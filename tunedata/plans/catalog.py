@@ -172,7 +172,7 @@ FROM records r LEFT JOIN (SELECT record_id, exp(avg(-ln(p3))) AS perplexity FROM
 ON r.record_id = x.record_id""", ("records",))
 def q_perplexity_kn(spark, sf):
     """Records by a model of all documents."""
-    model = KN.train(KN.text_trigrams(V.problems(spark, sf), "doc_id", "text"))
+    model = KN.train(KN.text_trigrams(V.problems(spark, sf), "doc_id", "text", hashed=True))
     texts = V.records(spark, sf).select("record_id", F.concat_ws(" ", "problem", "answer").alias("text"))
     p = KN.perplexity_kn(texts, "record_id", "text", model)
     return p.select("record_id", F.round("perplexity", 4).alias("perplexity"))
