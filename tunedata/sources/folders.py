@@ -7,29 +7,36 @@ another name first and then moved into place, so a file is whole or absent and
 a task that runs twice leaves the same files. Ids and names become one path
 segment each, whatever they hold.
 
+They are read the same way: tasks list the folders, each a share of the names,
+which are written to the shared folder, and tasks read the files of so many
+folders. The driver holds neither names nor files, however many there are.
+
 Paths are those that ``pyarrow.fs`` opens: absolute local (or mounted) paths and
 the ``file``, ``s3``, ``gs``, ``abfss`` and ``hdfs`` schemes.
 """
 
 from __future__ import annotations
 
+import os
 import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 from urllib.parse import quote, unquote
+from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceWriter, InputPartition,
-                                    WriterCommitMessage)
+from pyspark.sql import types as ST
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from tunedata.session import default_parallelism, ship_package
+from tunedata.session import default_parallelism, materialize, ship_package
 from tunedata.sources.io import index_nonempty
 
 FORMAT = "named_folders"
 LINES_FORMAT = "partitioned_lines"
 #: Folders that one task reads or writes.
 FOLDERS_PER_TASK = 1_000
+#: Names, or bytes of files, that a task hands on at once.
+NAMES_AT_ONCE, BYTES_AT_ONCE = 10_000, 4 << 20
 
 
 def _open(path: str):
@@ -50,36 +57,97 @@ def _name(segment: str) -> str:
     return "" if segment == "%00" else unquote(segment)
 
 
-@dataclass
-class _Folders(InputPartition):
-    names: list[str]
+def _local(system) -> bool:
+    from pyarrow import fs
+    return isinstance(system, fs.LocalFileSystem)
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict) -> None:
-        self.path = options["path"].rstrip("/")
-        self.file = options.get("file")
+def _names(root: str) -> Iterator[bytes]:
+    """Names of the folders right under ``root``. A local folder is listed as a
+    stream, so that no list of all names is held."""
+    from pyarrow import fs
+    system, path = _open(root)
+    if _local(system):
+        with os.scandir(os.fsencode(path)) as entries:
+            yield from (e.name for e in entries if e.is_dir())
+    else:
+        for info in system.get_file_info(fs.FileSelector(path)):
+            if info.type == fs.FileType.Directory:
+                yield info.base_name.encode()
 
-    def partitions(self) -> list[InputPartition]:
-        from pyarrow import fs
-        system, root = _open(self.path)
-        names = sorted(i.base_name for i in system.get_file_info(fs.FileSelector(root))
-                       if i.type == fs.FileType.Directory and i.base_name[0] not in "._")
-        return [_Folders(names[i:i + FOLDERS_PER_TASK]) for i in range(0, len(names), FOLDERS_PER_TASK)]
 
-    def read(self, partition: _Folders | None) -> Iterator[tuple]:
-        from pyarrow import fs
-        system, root = _open(self.path)
-        for folder in partition.names if partition is not None else []:
-            if self.file is not None:
-                found = system.get_file_info([f"{root}/{folder}/{_segment(self.file)}"])
-            else:
-                found = system.get_file_info(fs.FileSelector(f"{root}/{folder}"))
-            for info in sorted(found, key=lambda i: i.path):
-                if info.type == fs.FileType.File and info.base_name[0] not in "._":
-                    with system.open_input_stream(info.path) as f:
-                        text = f.read().decode("utf-8", "replace")
-                    yield _name(folder), _name(info.base_name), text
+def _text(name: bytes) -> str:
+    return name.decode("utf-8", "replace")
+
+
+def _contents(root: str, folder: bytes, file: str | None, wanted: Callable[[str], bool]) -> Iterator[tuple[bytes, bytes]]:
+    """Name and bytes of the files of ``folder`` that are ``wanted``, by name;
+    of ``file`` alone, where one is given."""
+    from pyarrow import fs
+    system, path = _open(root)
+    if _local(system):
+        base = os.path.join(os.fsencode(path), folder)
+        for name in [os.fsencode(file)] if file is not None else sorted(os.listdir(base)):
+            if wanted(_text(name)) and os.path.isfile(at := os.path.join(base, name)):
+                with open(at, "rb") as f:
+                    yield name, f.read()
+        return
+    base = f"{path}/{_text(folder)}"
+    found = system.get_file_info([f"{base}/{file}"] if file is not None else fs.FileSelector(base))
+    for info in sorted(found, key=lambda i: i.path):
+        if info.type == fs.FileType.File and wanted(info.base_name):
+            with system.open_input_stream(info.path) as f:
+                yield info.base_name.encode(), f.read()
+
+
+def files_in_folders(spark: SparkSession, root: str, listed: Callable[[str], bool], wanted: Callable[[str], bool],
+                     row: Callable[[str, str, bytes], tuple | None], schema: str, file: str | None = None) -> DataFrame:
+    """A ``row`` (of ``schema``; None: no row) of folder, name and content for
+    each of the ``wanted`` files (or for ``file`` alone) in the ``listed``
+    folders right under ``root``.
+
+    The folders are listed now: every listing task goes over all names of a
+    local root and keeps its share by a hash (elsewhere listing is dear, and one
+    task does it), and the names are written. The files are read when the
+    result is, ``FOLDERS_PER_TASK`` folders a task."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    ship_package(spark)
+    shares = default_parallelism(spark) if _local(_open(root)[0]) else 1
+    arrow = to_arrow_schema(ST.StructType.fromDDL(schema))
+
+    def names(batches):
+        for share in (x for batch in batches for x in batch.column(0).to_pylist()):
+            some = []
+            for name in _names(root):
+                if crc32(name) % shares == share and listed(_text(name)):
+                    some.append(name)
+                    if len(some) == NAMES_AT_ONCE:
+                        yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary())], ["folder"])
+                        some = []
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary())], ["folder"])
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+    def contents(batches):
+        rows, size = [], 0
+        for folder in (x for batch in batches for x in batch.column(0).to_pylist()):
+            for name, content in _contents(root, folder, file, wanted):
+                made = row(_text(folder), _text(name), content)
+                if made is not None:
+                    rows.append(made)
+                    size += len(content) + 100
+                    if size >= BYTES_AT_ONCE:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+        if rows:
+            yield batch_of(rows)
+
+    folders = materialize(spark.range(0, shares, 1, shares).mapInArrow(names, "folder binary"), "folder-names")
+    # an explicit number, as Spark would put short names into one task
+    tasks = max(1, -(-folders.count() // FOLDERS_PER_TASK))
+    return folders.repartition(tasks, "folder").mapInArrow(contents, schema)
 
 
 class _Writer(DataSourceWriter):
@@ -101,7 +169,7 @@ class _Writer(DataSourceWriter):
 
 
 class NamedFolders(DataSource):
-    """Options: ``path``; when read, ``file``: only files of that name."""
+    """Option: ``path``."""
 
     @classmethod
     def name(cls) -> str:
@@ -110,9 +178,6 @@ class NamedFolders(DataSource):
     def schema(self) -> str:
         return "id string, name string, text string"
 
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(dict(self.options))
-
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return _Writer(dict(self.options))
 
@@ -195,11 +260,17 @@ def _registered(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _shown(name: str) -> bool:
+    return name[:1] not in (".", "_")
+
+
 def read_named(spark: SparkSession, root: str, file: str | None = None) -> DataFrame:
     """``id``, ``name``, ``text`` of the files in the folders right under
     ``root``; deeper folders, files beside them and hidden ones are left out."""
-    reader = _registered(spark).read.format(FORMAT)
-    return (reader.option("file", file) if file is not None else reader).load(root)
+    return files_in_folders(
+        spark, root.rstrip("/"), _shown, _shown,
+        lambda folder, name, content: (_name(folder), _name(name), content.decode("utf-8", "replace")),
+        "id string, name string, text string", _segment(file) if file is not None else None)
 
 
 def write_named(df: DataFrame, root: str, id_: str = "id", text: str = "text",

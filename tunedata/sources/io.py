@@ -8,9 +8,13 @@ checkpoint folder (``session.scratch_path``), never a machine-local folder.
 
 from __future__ import annotations
 
+import bz2
+import gzip
+import os
 import re
+import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
@@ -24,13 +28,35 @@ CORRUPT = "_corrupt_record"
 # --- S1 ----------------------------------------------------------------------
 def read_problem_dirs(spark: SparkSession, root: str, filename: str = "question.txt",
                       partitioned: bool = False) -> DataFrame:
-    """``<root>/<id>/<filename>`` -> (problem_id, text), one file per task.
+    """``<root>/<id>/<filename>`` -> (problem_id, text); ``filename`` is a glob.
 
-    Folders without the file are skipped by the glob; the text is read whole,
-    ``\\r\\n`` normalised and stripped as upstream. The id is the decoded
-    folder name; with ``partitioned`` the folders are the ``name=value`` ones of
-    a partitioned Spark write, and the id is the value."""
+    Folders without the file are skipped, as are empty files and hidden names;
+    the text is read whole, ``\\r\\n`` normalised and stripped as upstream. The
+    id is the folder name; with ``partitioned`` the folders are the
+    ``name=value`` ones of a partitioned Spark write, and the id is the value.
+
+    Local and mounted folders are listed and read by tasks
+    (``folders.files_in_folders``): Spark's reader holds every file of every
+    folder in the driver's memory. Other file systems go through that reader."""
     base = root.rstrip("/")
+    plain = re.sub(r"^[a-z][a-z0-9+.-]*:(//[^/]*)?", "", base)
+    if re.match(r"file:|/", root) and os.path.isdir(plain):
+        from tunedata.sources.folders import files_in_folders
+        pattern = glob_pattern(filename)
+        raw = files_in_folders(
+            spark, plain, _shown_folder, lambda name: _shown_file(name) and pattern.fullmatch(name) is not None,
+            lambda folder, name, content: (folder, _unpacked(name, content)) if content else None,
+            "folder string, value binary", filename if _PLAIN.fullmatch(filename) else None)
+        # bytes that are not UTF-8 stay as they are
+        raw, folder = raw.select("folder", F.col("value").cast("string").alias("value")), F.col("folder")
+    else:
+        raw, folder = _spark_problem_dirs(spark, base, plain, filename)
+    if partitioned:
+        folder = F.regexp_replace(folder, r"^[^=]*=", "")
+    return raw.select(folder.alias("problem_id"), strip(normalize_newlines("value")).alias("text"))
+
+
+def _spark_problem_dirs(spark: SparkSession, base: str, plain: str, filename: str) -> tuple[DataFrame, Column]:
     # Recursive listing runs as a parallel Spark job (no driver-side glob over
     # every folder). Its default parallelism is one task per folder (up to
     # 10,000 tiny tasks); a few tasks per core list the same folders faster.
@@ -49,14 +75,70 @@ def read_problem_dirs(spark: SparkSession, root: str, filename: str = "question.
     # file_path is URL-encoded ('+' stands for itself there); the root is not,
     # unless it was given as a URL
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    plain = re.sub(r"^[a-z][a-z0-9+.-]*:(//[^/]*)?", "", base)
     parts = F.split(path, "/")
     one_level = F.concat_ws("/", F.slice(parts, 1, F.size(parts) - 2)).endswith(plain)
-    folder = F.element_at(parts, -2)
-    if partitioned:
-        folder = F.regexp_replace(folder, r"^[^=]*=", "")
-    return raw.where(one_level).select(folder.alias("problem_id"),
-                                       strip(normalize_newlines("value")).alias("text"))
+    return raw.where(one_level), F.element_at(parts, -2)
+
+
+_PLAIN = re.compile(r"[^\\/*?\[\]{}]+")
+
+
+def glob_pattern(glob: str) -> re.Pattern:
+    """What Spark's ``pathGlobFilter`` matches whole names by: ``*``, ``?``,
+    ``[ab]``, ``[!a-c]``, ``{one,two}``, ``\\`` before a sign that stands for
+    itself."""
+    out, groups, inside, i = [], 0, False, 0
+    while i < len(glob):
+        c = glob[i]
+        if c == "\\":
+            i += 1
+            if i == len(glob):
+                raise ValueError(f"nothing after the last \\ in {glob!r}")
+            out.append(re.escape(glob[i]))
+        elif inside:
+            inside = c != "]"
+            out.append("^" if c == "!" and glob[i - 1] == "[" else "\\[" if c == "[" else c)
+        elif c in "*?":
+            out.append(".*" if c == "*" else ".")
+        elif c == "[":
+            inside = True
+            out.append(c)
+        elif c == "{":
+            groups += 1
+            out.append("(?:")
+        elif groups and c in ",}":
+            groups -= c == "}"
+            out.append("|" if c == "," else ")")
+        else:
+            out.append(re.escape(c))
+        i += 1
+    if inside or groups:
+        raise ValueError(f"unclosed class or group in {glob!r}")
+    return re.compile("".join(out), re.DOTALL)
+
+
+def _shown_folder(name: str) -> bool:
+    """Whether Spark lists a folder of that name."""
+    if name.startswith(("_metadata", "_common_metadata")):
+        return True
+    return not (name.startswith("_") and "=" not in name or name.startswith(".") or name.endswith("._COPYING_"))
+
+
+def _shown_file(name: str) -> bool:
+    return _shown_folder(name) and not (name.startswith("_") and "=" not in name)
+
+
+def _unpacked(name: str, content: bytes) -> bytes:
+    """As Spark's reader does by the end of the name."""
+    if name.endswith(".gz"):
+        return gzip.decompress(content)
+    if name.endswith(".bz2"):
+        return bz2.decompress(content)
+    if name.endswith(".deflate"):
+        return zlib.decompress(content)
+    if name.endswith((".zst", ".lz4", ".snappy")):
+        raise ValueError(f"read_problem_dirs: {name!r} is packed in a form that is not read here")
+    return content
 
 
 def write_problem_dirs(df: DataFrame, root: str, key: str = "problem_id",
