@@ -1,9 +1,12 @@
 """The driver holds no list of files, and texts are neither shuffled nor written more often than a step needs."""
 
+import gzip
 import pathlib
 
+import pytest
 from pyspark.sql import functions as F
 
+from tunedata.functions.text import normalize_newlines, strip
 from tunedata.sources import folders as FO
 from tunedata.sources import io as IO
 
@@ -28,3 +31,35 @@ def test_named_files_are_listed_by_tasks(spark, tmp_shared, monkeypatch):
     empty = tmp_shared("no-folders")
     pathlib.Path(empty.removeprefix("file:")).mkdir()
     assert IO.read_problem_dirs(spark, empty).collect() == [] == FO.read_named(spark, empty).collect()
+
+
+def test_partitioned_folders_are_listed_by_tasks(spark, tmp_shared):
+    root = tmp_shared("parts")
+    IO.write_problem_dirs(spark.range(300).select(F.col("id").alias("problem_id"), F.lit("text").alias("text")), root)
+    got = IO.read_problem_dirs(spark, root, "*.txt", partitioned=True)
+    assert len(got.inputFiles()) <= spark.sparkContext.defaultParallelism + 1
+    assert sorted(int(r.problem_id) for r in got.collect()) == list(range(300))
+
+
+def test_listed_files_are_those_of_sparks_reader(spark, tmp_shared):
+    root = pathlib.Path(tmp_shared("odd tree").removeprefix("file:"))
+    for folder in ("a b", "x=1", "_y=2", "_hidden", ".hidden", "_metadata", "p+q", "50%25", "ü", "c._COPYING_"):
+        (root / folder / "deep").mkdir(parents=True)
+        for name in ("a.txt", "b.txt", "b1.txt", "ab.txt", "a,b", "(a).txt", "_a.txt", "_k=a.txt", ".a.txt", "[a].txt", "deep/a.txt"):
+            (root / folder / name).write_bytes(f" {folder} {name}\r\n".encode())
+        (root / folder / "empty.txt").touch()
+        (root / folder / "bytes.txt").write_bytes(b"\xff\xfe\r\x00 z\xc3")
+        (root / folder / "packed.txt.gz").write_bytes(gzip.compress(b"packed"))
+    (root / "beside.txt").write_text("beside the folders")
+    for glob in ("a.txt", "*.txt", "?.txt", "[ab].txt", "[!a].txt", "[^a].txt", "{a,b1}.txt", "a,b", "(a).txt", "\\[a\\].txt", "[a-b][0-9].txt",
+                 "*.gz", "bytes*", "empty.txt", "*", "deep/a.txt", "A.txt", "a.tx"):
+        raw, folder = IO._spark_problem_dirs(spark, str(root), str(root), glob)
+        theirs = raw.select(folder.alias("problem_id"), strip(normalize_newlines("value")).alias("text"))
+        ours = IO.read_problem_dirs(spark, str(root), glob)
+
+        def rows(df):
+            return sorted((r[0], bytes(r[1])) for r in df.select("problem_id", F.col("text").cast("binary")).collect())
+        assert rows(ours) == rows(theirs), glob
+    for wrong in ("[a", "{a", "a\\"):
+        with pytest.raises(ValueError):
+            IO.glob_pattern(wrong)
