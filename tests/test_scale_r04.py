@@ -1,12 +1,19 @@
 """The driver holds no list of files, and texts are neither shuffled nor written more often than a step needs."""
 
 import gzip
+import hashlib
 import pathlib
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from tunedata.functions import templates as T
 from tunedata.functions.text import normalize_newlines, strip
+from tunedata.operators import generate as G
+from tunedata.operators import prompts as P
+from tunedata.plans import builds as W
 from tunedata.sources import folders as FO
 from tunedata.sources import io as IO
 
@@ -63,3 +70,74 @@ def test_listed_files_are_those_of_sparks_reader(spark, tmp_shared):
     for wrong in ("[a", "{a", "a\\"):
         with pytest.raises(ValueError):
             IO.glob_pattern(wrong)
+
+
+def _row_by_row(probs):
+    """Records of ``build_dataset`` with each row's requests answered on their own."""
+    rows = P.rewrite_prompt(P.expand_variants(P.strip_text(probs))).withColumn("id", F.monotonically_increasing_id())
+    first = G.rules_backend(G.request_table(rows, "rewrite"), carry=["problem_id", "kind"]).where("length(response) > 0")
+    ask = P.question_prompt(first.select("problem_id", "kind", F.col("response").alias("text")))
+    return G.rules_backend(G.request_table(ask, "question"), carry=["problem_id", "kind", "text"]).where(
+        "length(response) > 0").select(
+            F.concat("kind", F.lit(":"), "problem_id"), F.col("text"), "response", F.initcap("kind"))
+
+
+def _problems(spark):
+    rows = [(i, f"Task {i % 40} has {i % 7} steps. Do them. Report {i % 23}.") for i in range(120)]
+    rows += [(i, f"Only {i}.") for i in range(200, 210)] * 2 + [(None, "No id. Of 3."), (None, "No id. Of 3."), (7, "Another 7. Text.")]
+    rows += [(300, None), (301, ""), (302, " \n "), (303, "..."), (304, "... 5")]
+    return spark.createDataFrame(rows, "problem_id LONG, text STRING")
+
+
+def _checked(got, expected, originals):
+    rows = got.collect()
+    want = Counter(map(tuple, expected.collect())) + Counter((f"original:{i}", p, a, "Original") for i, p, a in originals)
+    assert Counter((r.record_id, r.problem, r.answer, r.type) for r in rows) == want
+
+    def order(k):
+        return (k is None, hashlib.md5(f"0:{k}".encode()).hexdigest() if k is not None else "", k or "")
+    by_position = sorted(rows, key=lambda r: r.position)
+    assert [r.position for r in by_position] == list(range(1, len(rows) + 1))
+    keys = [order(r.record_id) for r in by_position]
+    assert keys == sorted(keys)
+
+
+@pytest.mark.parametrize("held", [1 << 20, 0])
+def test_shared_requests_reach_all_their_rows(spark, tmp_shared, monkeypatch, held):
+    """Repeated and null ids, repeated texts, variants that several texts share, blank answers, a rerun with more rows."""
+    monkeypatch.setattr(G, "HELD_IDS", held)
+    probs = _problems(spark).repartition(5)
+    originals = [(1, "p", "a"), (1, "p", "b"), (2, "q", "c")]
+    o = spark.createDataFrame(originals, "record_id INT, problem STRING, answer STRING")
+    work = tmp_shared("build")
+    some = probs.where("problem_id is null or problem_id % 3 = 0")
+    _checked(W.build_dataset(some, o, workdir=work), _row_by_row(some), originals)
+    first = spark.read.parquet(f"{work}/responses-question").where("attempt = 1")
+    assert first.count() == first.select("request_id").distinct().count()
+    _checked(W.build_dataset(probs, o, workdir=work), _row_by_row(probs), originals)
+    _checked(W.build_dataset(probs, o), _row_by_row(probs), originals)
+
+
+def test_client_answers_carry_their_rows(spark):
+    probs = spark.createDataFrame([(2 ** 53 + 1, "One. Two 2."), (None, "One. Two 2."), (5, "Three."), (None, "Four.")],
+                                  "problem_id LONG, text STRING")
+    got = W.build_dataset(probs, backend=lambda p: f"answer to {len(p)}").collect()
+    assert Counter(r.record_id for r in got) == Counter(
+        {f"{k}:{i}": 1 for k in T.KINDS for i in (2 ** 53 + 1, 5)}) + Counter({None: 2 * len(T.KINDS)})
+
+
+def test_build_moves_no_texts(spark, tmp_path):
+    """Answers, records and positions were joined by shuffles of whole texts; each was written as often."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    rows = [(i, ". ".join(" ".join(word() for _ in range(10)) for _ in range(20))) for i in range(300)]
+    probs = spark.createDataFrame(rows, "problem_id LONG, text STRING").repartition(4)
+    size = sum(len(t) for _, t in rows)
+    work = tmp_path / "build"
+    got = W.build_dataset(probs, workdir=str(work))
+    final = got._jdf.queryExecution().executedPlan().toString()
+    scan = next(x for x in final.splitlines() if "FileScan" in x and "answer" in x)
+    assert "Bucketed: true" in scan                       # positions come to the texts
+    assert got.count() == 900
+    written = sum(f.stat().st_size for f in work.rglob("*.parquet"))
+    assert written < 5 * size, written / size             # variants, problems, answers: 15 texts of each problem

@@ -23,7 +23,7 @@ Response table: ``(request_id, response, status, attempt, error)``.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +41,11 @@ RESPONSE_SCHEMA = ST.StructType([
     ST.StructField("error", ST.StringType()),
 ])
 
+#: Column of ``responses_at`` with ``carry``.
+ALONE = "alone"
+#: So many 64-bit hashes of repeated request ids are broadcast at most.
+HELD_IDS = 1 << 20
+
 # FIXED VALUES (stand-in texts of the rules backend; not upstream texts)
 NEGATION_LEAD = "It is not the case that: "
 QUESTION_FORMS = {
@@ -116,7 +121,7 @@ def question_sentences(sents: Column) -> Column:
     return F.filter(cleaned, lambda s: s != "")
 
 
-def rules_backend(requests: DataFrame, text: str = "text") -> DataFrame:
+def rules_backend(requests: DataFrame, text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """Catalyst stand-in: response per (stage, kind, text)."""
     stage, kind = F.col("stage"), F.col("kind")
     # full sentence arrays only where an output reads them (an ambiguous
@@ -136,11 +141,11 @@ def rules_backend(requests: DataFrame, text: str = "text") -> DataFrame:
         "request_id", resp.alias("response"),
         F.when(resp.isNull(), F.lit("error")).otherwise(F.lit("ok")).alias("status"),
         F.lit(1).alias("attempt"),
-        F.when(resp.isNull(), F.lit("unknown stage or kind")).alias("error"))
+        F.when(resp.isNull(), F.lit("unknown stage or kind")).alias("error"), *carry)
 
 
 # --- G3 / G4 -----------------------------------------------------------------
-def _python_runner(fn: Callable[[str], str], attempt: int):
+def _python_runner(fn: Callable[[str], str], attempt: int, carry: Sequence[str] = ()):
     import pandas as pd
 
     def call(prompt: str):
@@ -162,18 +167,21 @@ def _python_runner(fn: Callable[[str], str], attempt: int):
                 "status": [r[1] for r in rows],
                 "attempt": attempt,
                 "error": [r[2] for r in rows],
+                **{c: pdf[c] for c in carry},
             })
     return run
 
 
 def generate_responses(requests: DataFrame, backend="rules", text: str = "text",
                        retry_wait: float = 60.0, attempt_base: int = 1,
-                       parallelism: int | None = None, unique: bool = False) -> DataFrame:
+                       parallelism: int | None = None, unique: bool = False,
+                       carry: Sequence[str] = ()) -> DataFrame:
     """One response row per distinct ``request_id``. Only the columns the
     backend reads are shuffled by the de-duplication, which ``unique`` leaves
     out: no two requests share an id. ``parallelism``: number
     of tasks that call a client (calls are slow and their bytes few, so the
-    partition count by size would be too small).
+    partition count by size would be too small). ``carry``: columns of the
+    requests (strings or truth values) that stay beside the answers.
 
     A client's answers are written as they come, so it is called once for each
     attempt, however often the result is read. Requests that it refuses for
@@ -181,21 +189,22 @@ def generate_responses(requests: DataFrame, backend="rules", text: str = "text",
     answered, and ``retry_wait`` seconds later, they are asked again together,
     spread over all tasks."""
     if backend == "rules":
-        distinct = requests.select("request_id", "stage", "kind", text)
+        distinct = requests.select(*dict.fromkeys(["request_id", "stage", "kind", text, *carry]))
         distinct = distinct if unique else distinct.dropDuplicates(["request_id"])
-        out = rules_backend(distinct, text)
+        out = rules_backend(distinct, text, carry)
         return out if attempt_base == 1 else out.withColumn("attempt", F.lit(attempt_base))
     if not callable(backend):
         raise ValueError("backend must be 'rules' or a callable prompt -> text")
     from tunedata.session import ship_package
     ship_package(requests.sparkSession)
-    distinct = requests.select("request_id", "prompt")
+    distinct = requests.select(*dict.fromkeys(["request_id", "prompt", *carry]))
     distinct = distinct if unique else distinct.dropDuplicates(["request_id"])
+    schema = _with_carried(distinct.schema, carry)
 
     def ask(some: DataFrame, attempt: int, name: str) -> DataFrame:
         if parallelism:
             some = some.repartition(parallelism, "request_id")
-        return materialize(some.mapInPandas(_python_runner(backend, attempt), RESPONSE_SCHEMA), name)
+        return materialize(some.mapInPandas(_python_runner(backend, attempt, carry), schema), name)
 
     first = ask(distinct, attempt_base, "responses-first")
     refused = first.where("status = 'quota'").select("request_id")
@@ -219,47 +228,73 @@ def number_after(new: DataFrame, previous: DataFrame) -> DataFrame:
             .drop("_prev").select(*new.columns))
 
 
-def one_of_each(requests: DataFrame) -> DataFrame:
-    """One row per ``request_id``, found by the ids alone: only rows whose id
-    occurs again are shuffled as a whole (all, if ids that do are many).
-    ``requests`` is read three times."""
-    twice = materialize(requests.groupBy("request_id").agg(F.count(F.lit(1)).alias("_n"))
-                        .where("_n > 1").select("request_id"), "repeated-requests")
-    again = requests.join(twice, "request_id", "left_semi").dropDuplicates(["request_id"])
-    return requests.join(twice, "request_id", "left_anti").unionByName(again.select(*requests.columns))
+def _with_carried(schema: ST.StructType, carry: Sequence[str]) -> ST.StructType:
+    return ST.StructType([*RESPONSE_SCHEMA.fields, *[schema[c] for c in carry]])
+
+
+def one_of_each(requests: DataFrame, alone: str | None = None) -> DataFrame:
+    """One row per ``request_id``, found by 64-bit hashes of the ids: only rows
+    whose hash occurs again are shuffled as a whole, and told apart by their
+    ids. Up to ``HELD_IDS`` such hashes are broadcast; beyond, all rows are
+    shuffled. ``requests`` is read three times. ``alone``: a column to add, true
+    for rows that were surely the only one of their id."""
+    own = requests.columns
+    hashed = requests.withColumn("_hash", F.xxhash64("request_id"))
+    twice = materialize(hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash"),
+                        "repeated-requests")
+    if twice.count() <= HELD_IDS:
+        twice = F.broadcast(twice)
+    once = hashed.join(twice, "_hash", "left_anti")
+    again = hashed.join(twice, "_hash", "left_semi").dropDuplicates(["request_id"])
+    flag = [] if alone is None else [alone]
+    return once.select(*own, *[F.lit(True).alias(c) for c in flag]).unionByName(
+        again.select(*own, *[F.lit(False).alias(c) for c in flag]))
 
 
 def responses_at(requests: DataFrame, path: str, backend="rules", text: str = "text",
-                 retry_wait: float = 60.0) -> DataFrame:
+                 retry_wait: float = 60.0, carry: Sequence[str] | None = None) -> DataFrame:
     """The persisted response table for ``requests`` at ``path`` (shared
     storage): answer only the pending requests, append, read back.
 
     Persisting is what makes a stage resumable and what guarantees the
     backend is called once per request: every later consumer (joins back,
-    ranks, several passes) reads the table instead of re-running the model."""
+    ranks, several passes) reads the table instead of re-running the model.
+
+    With ``carry`` the result holds the answers to ``requests`` alone, with these
+    columns of theirs (strings or truth values) and ``ALONE``: whether the row
+    is surely the only request of its id. Otherwise they are those of one of the
+    requests that share it. The first run writes them beside the answers, in the
+    order of the requests, so that no later step joins texts to find them."""
     spark = requests.sparkSession
     if not table_exists(spark, path):
         columns = ["request_id", "stage", "kind", text] if backend == "rules" else ["request_id", "prompt"]
-        (generate_responses(one_of_each(requests.select(*columns)), backend, text, retry_wait, unique=True)
-         .write.mode("append").parquet(path))
-        return spark.read.schema(RESPONSE_SCHEMA).parquet(path)       # one row a request
-    else:
-        done = spark.read.schema(RESPONSE_SCHEMA).parquet(path)
-        todo = pending_requests(requests, done)
-        new = number_after(generate_responses(todo, backend, text, retry_wait), done)
-    new.write.mode("append").parquet(path)
-    return latest_attempt(spark.read.schema(RESPONSE_SCHEMA).parquet(path))
+        asked = requests.select(*dict.fromkeys([*columns, *(carry or [])]))
+        beside = [] if carry is None else [*carry, ALONE]
+        asked = one_of_each(asked, ALONE if carry is not None else None)
+        schema = _with_carried(asked.schema, beside)
+        (generate_responses(asked, backend, text, retry_wait, unique=True, carry=beside)
+         .write.mode("append").option("compression", "zstd").parquet(path))
+        return spark.read.schema(schema).parquet(path)       # one row a request
+    done = spark.read.schema(RESPONSE_SCHEMA).parquet(path)
+    todo = pending_requests(requests, done)
+    new = number_after(generate_responses(todo, backend, text, retry_wait), done)
+    new.write.mode("append").option("compression", "zstd").parquet(path)
+    latest = latest_attempt(spark.read.schema(RESPONSE_SCHEMA).parquet(path))
+    if carry is None:
+        return latest
+    return latest.join(one_of_each(requests.select("request_id", *carry), ALONE), "request_id")
 
 
 def repaired_at(requests: DataFrame, path: str, backend="rules", repairs: int = 1,
-                text: str = "text", retry_wait: float = 60.0) -> DataFrame:
+                text: str = "text", retry_wait: float = 60.0, carry: Sequence[str] | None = None) -> DataFrame:
     """``responses_at``, then up to ``repairs`` rounds in which requests whose
     latest response is '' are asked again; every attempt is appended to the
     table at ``path``."""
     spark = requests.sparkSession
-    current = responses_at(requests, path, backend, text, retry_wait)
+    current = responses_at(requests, path, backend, text, retry_wait, carry)
     for _ in range(repairs):
-        empty = current.where(F.col("response") == "").select("request_id")
+        # written, so that a few of them are joined without a shuffle of the texts
+        empty = materialize(current.where(F.col("response") == "").select("request_id"), "empty-answers")
         if not empty.take(1):
             break
         todo = materialize(requests.join(empty, "request_id", "left_semi"), "repairs")
@@ -267,8 +302,11 @@ def repaired_at(requests: DataFrame, path: str, backend="rules", repairs: int =
         again = materialize(number_after(generate_responses(todo, backend, text, retry_wait), done), "repaired")
         again.write.mode("append").parquet(path)
         # the new attempts are the latest ones; all other rows stay
-        current = current.join(again.select("request_id"), "request_id", "left_anti").select(
-            *again.columns).unionByName(again)
+        new = again.select("request_id", *[F.col(c).alias(f"_new_{c}") for c in again.columns if c != "request_id"])
+        asked = F.col("_new_attempt").isNotNull()
+        current = current.join(new, "request_id", "left").select(*[
+            F.when(asked, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if f"_new_{c}" in new.columns else c
+            for c in current.columns])
     return current
 
 

@@ -12,6 +12,8 @@ W3 ``build_batches``      instruction text -> tokens -> corpus vocabulary ->
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ from tunedata.operators import prompts as P
 from tunedata.operators import sampling as R
 from tunedata.operators import tokens as TK
 from tunedata.operators.preference import cross_class_rejected
-from tunedata.session import materialize, scratch_path
+from tunedata.session import default_parallelism, materialize, scratch_path
 
 
 def build_dataset(problems: DataFrame, originals: DataFrame | None = None,
@@ -42,34 +44,82 @@ def build_dataset(problems: DataFrame, originals: DataFrame | None = None,
     dir): a rerun with the same ``workdir`` resumes (only pending requests
     are sent), the backend is called once per distinct request, and the
     shuffle ranks read a written table instead of recomputing the lineage.
+
+    Texts stay where they are: the answers carry what the next step reads, in
+    the order of the problems, and what is shuffled are ids and ranks. Only
+    requests that several rows share are joined back to those rows.
     """
     spark = problems.sparkSession
     work = (workdir or scratch_path(spark, "build-dataset")).rstrip("/")
     probs = P.strip_text(problems.select(F.col(key).alias("problem_id"), F.col(text).alias("text")))
-    rewrite = G.request_table(P.rewrite_prompt(P.expand_variants(probs, kinds)), "rewrite")
-    r1 = G.repaired_at(rewrite, f"{work}/responses-rewrite", backend, repairs)
-    ok1 = r1.where((F.col("status") == "ok") & (F.length("response") > 0))
-    variants = (rewrite.select("request_id", "problem_id", "kind")
-                .join(ok1.select("request_id", F.col("response").alias("text")), "request_id")
-                .drop("request_id"))
-    variants = materialize(variants, "variants")          # read four times below
+    rewrite = G.request_table(P.rewrite_prompt(P.expand_variants(probs, kinds)), "rewrite").withColumn(
+        "record_id", F.concat(F.col("kind"), F.lit(":"), F.col("problem_id").cast("string")))
+    answered = (F.col("status") == "ok") & (F.length("response") > 0)
+    variants = G.repaired_at(rewrite, f"{work}/responses-rewrite", backend, repairs, carry=["kind", "record_id"]).where(
+        answered).select(F.col("request_id").alias("rewrite_id"), "kind", "record_id", F.col(G.ALONE).alias("own"),
+                         F.col("response").alias("text"))
     ask = P.question_prompt(variants).withColumn(
         "problem", P.unrender("prompt", "kind", T.QUESTION_TEMPLATES))
     qa = G.request_table(ask, "question")
-    r2 = G.repaired_at(qa, f"{work}/responses-question", backend, repairs)
-    ok2 = r2.where((F.col("status") == "ok") & (F.length("response") > 0)).select(
-        "request_id", F.col("response").alias("answer"))
-    gen = qa.select("request_id", "problem_id", "kind", "problem").join(ok2, "request_id")
-    records = gen.select(
-        F.concat(F.col("kind"), F.lit(":"), F.col("problem_id").cast("string")).alias("record_id"),
-        "problem", "answer", F.initcap("kind").alias("type"))
+    ok = G.repaired_at(qa, f"{work}/responses-question", backend, repairs,
+                       carry=["kind", "record_id", "own", "problem"]).where(answered)
+    cols = ["record_id", "problem", F.col("response").alias("answer"), F.initcap("kind").alias("type")]
+    single = F.col("own") & F.col(G.ALONE)
+    records = ok.where(single).select(*cols).unionByName(
+        _shared(rewrite, qa, ok.where(~single)).select(*cols))
     if originals is not None:
         o = originals.select(
             F.concat(F.lit("original:"), F.col("record_id").cast("string")).alias("record_id"),
             "problem", "answer", F.lit(T.ORIGINAL).alias("type"))
         records = records.unionByName(o)
-    records.write.mode("overwrite").parquet(f"{work}/records")
-    return R.shuffle_positions(spark.read.parquet(f"{work}/records"), "record_id", seed)
+    return _positions_at(records, f"{work}/records", seed)
+
+
+def _shared(rewrite: DataFrame, qa: DataFrame, answers: DataFrame) -> DataFrame:
+    """``answers`` to questions that several records share, or whose variant
+    several do: a row for each of these records."""
+    def of(column, name):
+        return F.unhex(column).alias(name)               # half the bytes of an id
+    asked = qa.select(of("rewrite_id", "rewrite"), of("request_id", "question"), "record_id", "own")
+    links = rewrite.select(of("request_id", "rewrite"), "record_id").join(
+        asked.where(~F.col("own")).select("rewrite", "question"), "rewrite").select("question", "record_id")
+    links = links.unionByName(asked.where("own").select("question", "record_id"))
+    texts = answers.select(of("request_id", "question"), "kind", "problem", "response")
+    return links.join(texts, "question")
+
+
+def _positions_at(records: DataFrame, path: str, seed: int) -> DataFrame:
+    """``records`` written to ``path``, with their shuffle positions.
+
+    The positions are worked out on the keys and come back to the rows: the
+    table is bucketed by the task that wrote a row (``part``), each part's
+    positions are an array in the order of its rows (``row``, the number that a
+    row has in its part), and the join by part moves these and no text."""
+    spark = records.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * default_parallelism(spark))
+    name = f"records_{uuid.uuid4().hex}"
+    # a task writes one bucket: its rows need not be sorted by bucket
+    conf = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(conf, None)
+    spark.conf.set(conf, "2")
+    # the number of a row in its part is in the lower 33 bits of the id
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).cast("int")
+    try:
+        (records.withColumn("part", F.spark_partition_id()).withColumn("row", row)
+         .write.mode("overwrite").option("path", path).option("compression", "zstd").bucketBy(n, "part")
+         .saveAsTable(name, format="parquet"))
+    finally:
+        if before is None:
+            spark.conf.unset(conf)
+        else:
+            spark.conf.set(conf, before)
+    rows = spark.table(name)
+    ranks = R.shuffle_positions(rows.select("record_id", "part", "row"), "record_id", seed)
+    parts = ranks.select("part", "row", "position").repartition(n, "part").groupBy("part").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("row", "position"))), lambda r: r["position"]).alias("_all"))
+    placed = rows.join(parts.hint("shuffle_hash"), "part").withColumn("position", F.get("_all", "row"))
+    spark.sql(f"DROP TABLE {name}")                      # the name alone: the files are at path
+    return placed.drop("part", "row", "_all")
 
 
 def build_preferences(records: DataFrame, key: str = "record_id", ratio=(20, 80),
