@@ -102,10 +102,10 @@ def _checked(got, expected, originals):
     assert keys == sorted(keys)
 
 
-@pytest.mark.parametrize("held", [1 << 20, 0])
-def test_shared_requests_reach_all_their_rows(spark, tmp_shared, monkeypatch, held):
+@pytest.mark.parametrize("words", [1 << 20, 1])            # with one word nearly all requests are marked
+def test_shared_requests_reach_all_their_rows(spark, tmp_shared, monkeypatch, words):
     """Repeated and null ids, repeated texts, variants that several texts share, blank answers, a rerun with more rows."""
-    monkeypatch.setattr(G, "HELD_IDS", held)
+    monkeypatch.setattr(G, "MARK_WORDS", words)
     probs = _problems(spark).repartition(5)
     originals = [(1, "p", "a"), (1, "p", "b"), (2, "q", "c")]
     o = spark.createDataFrame(originals, "record_id INT, problem STRING, answer STRING")
@@ -141,3 +141,23 @@ def test_build_moves_no_texts(spark, tmp_path):
     assert got.count() == 900
     written = sum(f.stat().st_size for f in work.rglob("*.parquet"))
     assert written < 5 * size, written / size             # variants, problems, answers: 15 texts of each problem
+
+
+def test_repeated_requests_are_marked_in_bounded_space(spark, monkeypatch):
+    """The ids of repeated requests were joined as a table: where that was not small, all texts were shuffled."""
+    monkeypatch.setattr(G, "MARK_WORDS", 64)
+    ids = spark.range(30_000).select(F.sha2((F.col("id") % 20_000).cast("string"), 256).alias("request_id"), F.lit("text").alias("text"))
+    written = {}
+
+    def recording(df, name, own=G.materialize):
+        written[name] = own(df, name)
+        return written[name]
+    monkeypatch.setattr(G, "materialize", recording)
+    got = G.one_of_each(ids, "alone")
+    assert written["repeated-requests"].count() <= 64
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = got.groupBy("request_id").agg(F.count("*").alias("n"), F.max("alone").alias("alone"))
+    assert rows.count() == 20_000 and rows.where("n > 1").count() == 0
+    repeated = spark.range(10_000).select(F.sha2(F.col("id").cast("string"), 256).alias("request_id"))
+    assert rows.where("alone").join(repeated, "request_id").count() == 0
+    assert rows.where("alone").count() > 0

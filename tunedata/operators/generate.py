@@ -43,8 +43,8 @@ RESPONSE_SCHEMA = ST.StructType([
 
 #: Column of ``responses_at`` with ``carry``.
 ALONE = "alone"
-#: So many 64-bit hashes of repeated request ids are broadcast at most.
-HELD_IDS = 1 << 20
+#: Repeated request ids are marked in so many words of 64 bits, broadcast at any size.
+MARK_WORDS = 1 << 20
 
 # FIXED VALUES (stand-in texts of the rules backend; not upstream texts)
 NEGATION_LEAD = "It is not the case that: "
@@ -233,19 +233,21 @@ def _with_carried(schema: ST.StructType, carry: Sequence[str]) -> ST.StructType:
 
 
 def one_of_each(requests: DataFrame, alone: str | None = None) -> DataFrame:
-    """One row per ``request_id``, found by 64-bit hashes of the ids: only rows
-    whose hash occurs again are shuffled as a whole, and told apart by their
-    ids. Up to ``HELD_IDS`` such hashes are broadcast; beyond, all rows are
-    shuffled. ``requests`` is read three times. ``alone``: a column to add, true
-    for rows that were surely the only one of their id."""
+    """One row per ``request_id``, found by the ids alone: a hash of each id that
+    occurs again marks a bit, and only rows with a marked bit are shuffled as a
+    whole and told apart by their ids. ``requests`` is read three times.
+    ``alone``: a column to add, true for rows that were surely the only one of
+    their id (few of the others are as well)."""
     own = requests.columns
     hashed = requests.withColumn("_hash", F.xxhash64("request_id"))
-    twice = materialize(hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash"),
-                        "repeated-requests")
-    if twice.count() <= HELD_IDS:
-        twice = F.broadcast(twice)
-    once = hashed.join(twice, "_hash", "left_anti")
-    again = hashed.join(twice, "_hash", "left_semi").dropDuplicates(["request_id"])
+    word, bit = F.pmod("_hash", F.lit(MARK_WORDS)), F.pmod(F.shiftright("_hash", 40), F.lit(64)).cast("int")
+    marks = materialize(
+        hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        .groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits")),
+        "repeated-requests")
+    marked = (word == F.col("_word")) & (F.bit_get("_bits", bit) == 1)
+    once = hashed.join(F.broadcast(marks), marked, "left_anti")
+    again = hashed.join(F.broadcast(marks), marked, "left_semi").dropDuplicates(["request_id"])
     flag = [] if alone is None else [alone]
     return once.select(*own, *[F.lit(True).alias(c) for c in flag]).unionByName(
         again.select(*own, *[F.lit(False).alias(c) for c in flag]))
