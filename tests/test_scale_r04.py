@@ -106,6 +106,7 @@ def _checked(got, expected, originals):
 def test_shared_requests_reach_all_their_rows(spark, tmp_shared, monkeypatch, words):
     """Repeated and null ids, repeated texts, variants that several texts share, blank answers, a rerun with more rows."""
     monkeypatch.setattr(G, "MARK_WORDS", words)
+    monkeypatch.setattr(W, "PART_ROWS", 1 << 20 if words > 1 else 8)
     probs = _problems(spark).repartition(5)
     originals = [(1, "p", "a"), (1, "p", "b"), (2, "q", "c")]
     o = spark.createDataFrame(originals, "record_id INT, problem STRING, answer STRING")

@@ -25,6 +25,9 @@ from tunedata.operators import tokens as TK
 from tunedata.operators.preference import cross_class_rejected
 from tunedata.session import default_parallelism, materialize, scratch_path
 
+#: Positions of so many records at most are held in one array (a power of two).
+PART_ROWS = 1 << 20
+
 
 def build_dataset(problems: DataFrame, originals: DataFrame | None = None,
                   key: str = "problem_id", text: str = "text", kinds=T.KINDS,
@@ -92,21 +95,23 @@ def _positions_at(records: DataFrame, path: str, seed: int) -> DataFrame:
     """``records`` written to ``path``, with their shuffle positions.
 
     The positions are worked out on the keys and come back to the rows: the
-    table is bucketed by the task that wrote a row (``part``), each part's
-    positions are an array in the order of its rows (``row``, the number that a
-    row has in its part), and the join by part moves these and no text."""
+    table is bucketed by the task that wrote a row (``part``, of ``PART_ROWS``
+    rows at most), each part's positions are an array in the order of its rows
+    (``row``, the number that a row has in its part), and the join by part moves
+    these and no text."""
     spark = records.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * default_parallelism(spark))
     name = f"records_{uuid.uuid4().hex}"
-    # a task writes one bucket: its rows need not be sorted by bucket
+    # a task writes one bucket, or a few: its rows need not be sorted by bucket
     conf = "spark.sql.maxConcurrentOutputFileWriters"
     before = spark.conf.get(conf, None)
-    spark.conf.set(conf, "2")
-    # the number of a row in its part is in the lower 33 bits of the id
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).cast("int")
+    spark.conf.set(conf, "4")
+    # the task in the upper bits, the number of the row in the task in the lower ones
+    numbered = records.withColumn("_id", F.monotonically_increasing_id())
+    numbered = numbered.withColumn("part", F.expr(f"_id div {PART_ROWS}")).withColumn(
+        "row", F.pmod("_id", F.lit(PART_ROWS)).cast("int")).drop("_id")
     try:
-        (records.withColumn("part", F.spark_partition_id()).withColumn("row", row)
-         .write.mode("overwrite").option("path", path).option("compression", "zstd").bucketBy(n, "part")
+        (numbered.write.mode("overwrite").option("path", path).option("compression", "zstd").bucketBy(n, "part")
          .saveAsTable(name, format="parquet"))
     finally:
         if before is None:

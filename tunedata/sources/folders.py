@@ -35,6 +35,8 @@ FORMAT = "named_folders"
 LINES_FORMAT = "partitioned_lines"
 #: Folders that one task reads or writes.
 FOLDERS_PER_TASK = 1_000
+#: Tasks that list one root, each all its names, at most.
+LISTING_TASKS = 32
 #: Names, or bytes of files, that a task hands on at once.
 NAMES_AT_ONCE, BYTES_AT_ONCE = 10_000, 4 << 20
 
@@ -113,7 +115,7 @@ def files_in_folders(spark: SparkSession, root: str, listed: Callable[[str], boo
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     ship_package(spark)
-    shares = default_parallelism(spark) if _local(_open(root)[0]) else 1
+    shares = min(default_parallelism(spark), LISTING_TASKS) if _local(_open(root)[0]) else 1
     arrow = to_arrow_schema(ST.StructType.fromDDL(schema))
 
     def names(batches):

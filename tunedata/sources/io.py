@@ -1,8 +1,9 @@
 """Sources and sinks: problem directories, JSON lines, JSON arrays, appends,
 line indexes.
 
-All readers are Spark readers (splittable where the format allows); all
-writers are DataFrame writers. Scratch data goes under the cluster's shared
+All readers are Spark readers (splittable where the format allows), except that
+tasks list and read local problem folders themselves; all writers are DataFrame
+writers. Scratch data goes under the cluster's shared
 checkpoint folder (``session.scratch_path``), never a machine-local folder.
 """
 
